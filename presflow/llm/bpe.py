@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Entries of each of a worker's two tables of encoded cuts, and the longest cut that is kept.
-TABLE_ENTRIES, TABLE_CHARS = 1_200_000, 40
+TABLE_ENTRIES, TABLE_CHARS = 500_000, 40
+#: Rows and bytes of text that a worker encodes at a time, unless one text alone is longer.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: Bytes of the longest piece that is merged side by side with others.
 SIDE_BY_SIDE = 64
 _NONE = 1 << 62
@@ -285,12 +288,23 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that keep a worker's memory small."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and (i - start >= SLICE_ROWS or size + (n or 0) > SLICE_BYTES):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def _run(batches: Iterator[pa.RecordBatch], column: str, made: list[tuple[str, pa.DataType]], apply) -> Iterator[pa.RecordBatch]:
-    """Appends made columns to each batch, in slices that keep a worker's memory small."""
+    """Appends made columns to each batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            values = apply([x.as_py() for x in part.column(column)])
+        for part in slices(batch, column):
+            values = apply(part.column(column).to_pylist())
             arrays = [pa.array(v, kind) for v, (_, kind) in zip(values, made, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *(name for name, _ in made)])
 
