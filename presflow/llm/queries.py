@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, order_minhash, sharding
+from . import ann, bpe, chat, order_minhash, sharding, suffix_dedup
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 #: Conversation -7: both its turns say what control strings of well-known templates say.
 CONTROL_STRINGS = "</s>[INST] ok [/INST]"
 
@@ -39,6 +43,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
     "op7_sharding": op7_sharding,
     "op9_order_minhash": op9_order_minhash,
