@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, order_minhash, sharding, suffix_dedup
+from . import ann, bpe, chat, near_dedup, order_minhash, sharding, suffix_dedup
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(more)))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
+    "op6_near_dedup": op6_near_dedup,
     "op7_sharding": op7_sharding,
     "op9_order_minhash": op9_order_minhash,
     "op10_ann": op10_ann,
