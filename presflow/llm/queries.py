@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, near_dedup, order_minhash, sharding, suffix_dedup
-from .common import documents
+from . import ann, bpe, chat, language, near_dedup, order_minhash, sharding, suffix_dedup
+from .common import documents, id_crc_mod5
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return language.identify(docs, id_crc_mod5(F.col("doc_id")) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
     "op6_near_dedup": op6_near_dedup,
