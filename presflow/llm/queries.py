@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, language, near_dedup, order_minhash, sharding, suffix_dedup
+from . import ann, bpe, chat, language, mixing, near_dedup, order_minhash, sharding, suffix_dedup, training_order
 from .common import documents, id_crc_mod5
 
 
@@ -34,6 +34,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(more)))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(documents(spark, sf_dir))
 
@@ -42,6 +46,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids are the texts' UTF-8 bytes, one byte each; every record is read back from its shard."""
+    shards = training_order.materialise(documents(spark, sf_dir), F.col("text").cast("binary"), 1)
+    records = training_order.read(shards, 1)
+    return records.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(documents(spark, sf_dir))
 
@@ -55,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_training_order": op8_training_order,
     "op9_order_minhash": op9_order_minhash,
     "op10_ann": op10_ann,
 }
