@@ -1,9 +1,10 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one node of the search.  In each of TREES trees, a document goes down the paths of
-BRANCH coordinates of its min-wise signature a level, chosen by the hash of the path so far; documents that agree in them
-stay together.  With a similarity s the expected number of shared children is BRANCH * s, above one for the threshold, so a
-pair stays together somewhere at any depth but for a small chance, and independent trees make that chance as small as wanted.
+coordinates of its min-wise signature, BRANCH from the root and one or two below, chosen by the hash of the path so far;
+documents that agree in them stay together.  With a similarity s the expected number of shared children below the root is
+1.5 * s, above one for the threshold, so a pair stays together somewhere at any depth but for a chance of one in eight a tree
+(0.85), and independent trees make that chance as small as wanted: 0.0003 with four, for pairs that no smaller node holds.
 
 A tree's node is compared exhaustively once it holds at most LEAF documents.  A larger node whose documents are alike on the
 whole will not get smaller by branching.  It is dealt to leaves, and the PIVOTS documents nearest to its modal signature
@@ -32,8 +33,10 @@ from .shingles import COORDINATES, linked, shingles, signature
 
 PERCENT = 85
 TREES, BRANCH, LEAF, PIVOTS, DEPTH = 4, 2, 64, 8, 12
-#: A larger node is dense if its documents agree with one of them in this share of coordinates, on average.
-DENSE = 0.5
+#: Of nodes below the roots, so many in a hundred have a second child.
+SECOND = 50
+#: A larger node is dense if its documents agree with one of them in this share of SAMPLE coordinates, on average.
+DENSE, SAMPLE = 0.5, 16
 #: Signatures for the rest of dense nodes, and how many documents of the rest and of the node meet at a time.
 WIDE, REST, NODE_BLOCK = 512, 64, 2048
 
@@ -81,9 +84,10 @@ def _dealt(dense: DataFrame) -> DataFrame:
 
 
 def _child(i: int):
-    """The i-th child of each node: its coordinate follows from the hash of the path."""
+    """The i-th child of each node: its coordinate, and whether there is a second child, follow from the hash of the path."""
     at = F.pmod(F.xxhash64("node", F.lit(0)) + i * (1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES - 1))), F.lit(COORDINATES)).cast("int")
-    return F.xxhash64("node", at, F.get("sig", at))
+    child = F.xxhash64("node", at, F.get("sig", at))
+    return child if i == 0 else F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < SECOND, child)
 
 
 def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -94,14 +98,15 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for depth in range(DEPTH):
         if large.isEmpty():
             break
-        signed = cut(large.join(reps, "rep"))
-        one = signed.groupBy("node").agg(F.min_by("sig", F.xxhash64("rep", "node")).alias("one"))
-        alike = signed.join(one, "node").groupBy("node").agg((F.avg(_agreement("sig", "one")) / COORDINATES).alias("alike"))
-        dense = alike.filter(F.col("alike") >= (DENSE if depth < DEPTH - 1 else 0.0)).select("node")
-        whole.append(signed.join(dense, "node", "left_semi"))
-        found.append(_dealt(whole[-1]))
-        sparse = signed.join(dense, "node", "left_anti")
-        small, large = _small_and_large(sparse.select(F.explode(F.array(*[_child(i) for i in range(BRANCH)])).alias("node"), "rep").distinct())
+        some = F.slice("sig", 1 + depth * SAMPLE % COORDINATES, SAMPLE).alias("some")
+        placed = cut(large.join(reps, "rep").select("node", "rep", "m", _child(0).alias("one"), _child(1).alias("two"), some))
+        pivot = placed.groupBy("node").agg(F.min_by("some", F.xxhash64("rep", "node")).alias("pivot"))
+        alike = placed.join(pivot, "node").groupBy("node").agg((F.avg(_agreement("some", "pivot")) / SAMPLE).alias("alike"))
+        dense = cut(alike.filter(F.col("alike") >= (DENSE if depth < DEPTH - 1 else 0.0)).select("node"))
+        whole.append(placed.join(dense, "node", "left_semi").select("node", "rep", "m"))
+        found.append(_dealt(whole[-1].join(reps.select("rep", "sig"), "rep")))
+        sparse = placed.join(dense, "node", "left_anti").select(F.explode(F.array_compact(F.array("one", "two"))).alias("node"), "rep")
+        small, large = _small_and_large(sparse.distinct())
         found.append(small)
     united = lambda frames: reduce(DataFrame.unionByName, frames)
     return united(found), united([x.select("node", "rep") for x in whole]) if whole else None
@@ -281,10 +286,11 @@ def link(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: st
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(rows.mapInArrow(_sign, _SIGNED_SQL))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")))
+    by_set = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    reps = cut(by_set.repartition(partitions(df.sparkSession), "rep").dropDuplicates(["rep"]))  # joins by rep below find it dealt already
     # rows that share an id but not a set hang together by the id
-    by_id = known.join(reps.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    component = components(edges(rows, reps.dropDuplicates(["rep"]), percent).unionByName(by_id))
+    by_id = known.join(by_set.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    component = components(edges(rows, reps, percent).unionByName(by_id))
     own = signed.filter("doc_id is not null").select("doc_id", "n_shingles")
     done = own.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lone = signed.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
