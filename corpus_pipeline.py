@@ -1,17 +1,62 @@
-"""The corpus pipeline: stages that turn raw documents into token ids."""
+"""The corpus pipeline: stages that turn raw documents into token ids.
+
+Each stage takes what its predecessor kept, written and read again, and returns the columns of documents (the last one the
+digests of the token ids).  A stage that drops a row drops it for good.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from presflow.llm import bpe, language, mixing, near_dedup, suffix_dedup
+from presflow.llm.common import id_crc_mod5
+
+#: Documents whose language can't be told (no text, no letter) are rejected, and those that are told with less than this score.
+LEAST_SCORE = 0.3
+#: Similarity of five-word shingles from which documents are near duplicates, in percent.
+NEAR_PERCENT = 80
+#: Share of tokens that the mixing keeps.
+MIX_BUDGET = 0.8
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the identification rejects."""
+    told = language.identify(docs, id_crc_mod5(F.col("doc_id")) == 0)
+    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    linked = near_dedup.link(docs, percent=NEAR_PERCENT)
+    gone = linked.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 bytes or more that a document with a smaller id holds too; texts of which nothing is left go."""
+    return suffix_dedup.shorten(docs)
+
 
-from presflow.llm import bpe
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws documents so that sources, languages and topics have their target weights."""
+    kept = mixing.mix(docs, budget=MIX_BUDGET).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, as packed integers, with digests of them and of what they decode to."""
     return bpe.digests(docs)
 
 
-STAGES = [("bpe_encoding", encode_tokens)]
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe_encoding", encode_tokens),
+]
+#: Trained machines, raking and merges can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

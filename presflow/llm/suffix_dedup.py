@@ -284,32 +284,32 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+def _spans_by_text(marks: pa.Table) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Spans in order, apart from each other, by (id, key of the text)."""
+    ids, keys, text, start, length = _spans(marks)[:5]
+    # one number for each document, however many payloads name it
+    names = list(zip(ids.tolist(), keys.tolist(), strict=True))
+    number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    text = np.array([number[x] for x in names], np.int64)[text] if len(text) else text
+    by_number = list(number)
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, a, n in zip(*(x.tolist() for x in _merged(text, start, length)), strict=True):
+        out.setdefault(by_number[t], []).append((a, n))
+    return out
+
+
 def _cut_out(schema: pa.Schema, make):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, keys, text, start, length = _spans(marks)[:5]
-        # one number for each document, however many payloads name it
-        names = list(zip(ids.tolist(), keys.tolist(), strict=True))
-        number = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        text = np.array([number[x] for x in names], np.int64)[text] if len(text) else text
-        text, start, length = _merged(text, start, length)
-        of: dict[int, list[tuple[int, int]]] = {}
-        for t, a, n in zip(text.tolist(), start.tolist(), length.tolist(), strict=True):
-            of.setdefault(t, []).append((a, n))
+        of = _spans_by_text(marks)
         rows = []
         for row, (doc_id, value) in enumerate(zip(docs["doc_id"].to_pylist(), docs["text"], strict=True)):
             raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-            spans = of.get(number.get((doc_id, text_key(raw)), -1), [])
-            rows.append(make(docs, row, raw, spans, value.is_valid))
+            rows.append(make(docs, row, raw, of.get((doc_id, text_key(raw)), []), value.is_valid))
         return pa.Table.from_pylist(rows, schema)
 
     return run
 
 
-def _release() -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referred to."""
-    gc.collect()
-
-
 def spans_of(rows: DataFrame, match: int = MATCH) -> tuple[DataFrame, DataFrame, int]:
     """Documents with the bucket they are in, the marks (packed spans) by that bucket, and the number of buckets."""
     spark = rows.sparkSession
@@ -318,7 +318,7 @@ def spans_of(rows: DataFrame, match: int = MATCH) -> tuple[DataFrame, DataFrame,
     parsed = rows.select("doc_id", "text").mapInArrow(_parse_blocks(buckets, match), _ROW_SQL)
     met = cut(parsed.groupBy("bucket").applyInArrow(_meet(buckets, match), _ROW_SQL))
     del parsed
-    _release()
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     fetched = _docs(rows, buckets).groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_fetch(buckets, match), _ROW_SQL)
     more = fetched.groupBy("bucket").applyInArrow(_sort_suffixes(buckets, match), _ROW_SQL)
@@ -359,6 +359,46 @@ def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", match: in
     return _apply(_input(df, doc_id, text), _DIGEST, fields, _digest, match)
 
 
+def _clean(raw: bytes) -> str:
+    """Text of what is left: bytes of a character that was cut in two go."""
+    return raw.decode("utf-8", "ignore")
+
+
+def shorten(df: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
+    """All columns of ``df``, with texts shortened as ``remove`` does; rows whose text is thereby emptied go.
+
+    Bytes of a character that a cut went through go with it.  n_chars, if there is such a column, follows the text.
+    """
+    keys = {"doc_id": doc_id, "text": text}
+    named = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys.values()]).alias("rest")) if len(df.columns) > 2 else df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    shorter = _apply_rows(named, match)
+    rest = [c for c in df.columns if c not in keys.values()]
+    values = {doc_id: F.col("doc_id").cast(df.schema[doc_id].dataType), text: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    if "n_chars" in rest:
+        values["n_chars"] = F.length("text").cast(df.schema["n_chars"].dataType)
+    return shorter.select(*[values[c].alias(c) for c in df.columns])
+
+
+def _apply_rows(rows: DataFrame, match: int) -> DataFrame:
+    """The rows with shortened texts, without those that are emptied."""
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = docs.drop_columns(["bucket"])
+        of = _spans_by_text(marks)
+        texts, stay = [], []
+        for doc_id, value in zip(docs["doc_id"].to_pylist(), docs["text"], strict=True):
+            raw = value.as_buffer().to_pybytes() if value.is_valid else b""
+            spans = of.get((doc_id, text_key(raw)))
+            texts.append(_clean(kept(raw, spans)) if spans else value.as_py())
+            stay.append(not spans or bool(texts[-1]))
+        at = docs.schema.get_field_index("text")
+        return docs.set_column(at, "text", pa.array(texts, pa.string())).filter(pa.array(stay, pa.bool_()))
+
+    docs, marks, _ = spans_of(rows, match)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return docs.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, fields)
+
+
 _KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary())])
 
 
