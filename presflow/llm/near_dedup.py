@@ -37,6 +37,8 @@ TREES, BRANCH, LEAF, PIVOTS, DEPTH = 4, 2, 64, 8, 12
 SECOND = 50
 #: A larger node is dense if its documents agree with one of them in this share of SAMPLE coordinates, on average.
 DENSE, SAMPLE = 0.5, 16
+#: Coordinates of the modal signature that pivots are near to.
+MODAL = 8
 #: Signatures for the rest of dense nodes, and how many documents of the rest and of the node meet at a time.
 WIDE, REST, NODE_BLOCK = 512, 64, 2048
 
@@ -63,18 +65,17 @@ def _small_and_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("m") <= LEAF).select("node", "rep"), sized.filter(F.col("m") > LEAF)
 
 
-def _agreement(a: str, b: str):
+def _agreement(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
 
 
 def _dealt(dense: DataFrame) -> DataFrame:
-    """Leaves (node, rep) of dense nodes (node, rep, m, sig)."""
-    values = dense.select("node", F.posexplode("sig").alias("at", "value")).groupBy("node", "at", "value").count()
+    """Leaves (node, rep) of dense nodes (node, rep, m, some)."""
+    values = dense.select("node", F.posexplode(F.slice("some", 1, MODAL)).alias("at", "value")).groupBy("node", "at", "value").count()
     modal = values.groupBy("node", "at").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
-    modal = modal.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("mode"))
-    modal = modal.select("node", F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.col("mode")[i]).alias("modal"))
+    modal = modal.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("mode")).select("node", F.col("mode.value").alias("modal"))
     near = Window.partitionBy("node").orderBy(F.desc("central"), "rep")
-    pivots = dense.join(modal, "node").select("node", "rep", "m", _agreement("sig", "modal").alias("central"))
+    pivots = dense.join(modal, "node").select("node", "rep", "m", _agreement(F.slice("some", 1, MODAL), "modal").alias("central"))
     pivots = pivots.withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= PIVOTS)
     leaves = F.ceil(F.col("m") / (LEAF - PIVOTS)).cast("int")
     leaf = lambda salt: F.xxhash64("node", salt).alias("node")
@@ -98,18 +99,20 @@ def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for depth in range(DEPTH):
         if large.isEmpty():
             break
-        some = F.slice("sig", 1 + depth * SAMPLE % COORDINATES, SAMPLE).alias("some")
-        placed = cut(large.join(reps, "rep").select("node", "rep", "m", _child(0).alias("one"), _child(1).alias("two"), some))
+        placed = cut(large.join(reps, "rep").select("node", "rep", "m", _child(0).alias("one"), _child(1).alias("two"), F.slice("sig", 1, SAMPLE).alias("some")))
         pivot = placed.groupBy("node").agg(F.min_by("some", F.xxhash64("rep", "node")).alias("pivot"))
         alike = placed.join(pivot, "node").groupBy("node").agg((F.avg(_agreement("some", "pivot")) / SAMPLE).alias("alike"))
         dense = cut(alike.filter(F.col("alike") >= (DENSE if depth < DEPTH - 1 else 0.0)).select("node"))
-        whole.append(placed.join(dense, "node", "left_semi").select("node", "rep", "m"))
-        found.append(_dealt(whole[-1].join(reps.select("rep", "sig"), "rep")))
-        sparse = placed.join(dense, "node", "left_anti").select(F.explode(F.array_compact(F.array("one", "two"))).alias("node"), "rep")
+        if not dense.isEmpty():
+            within = cut(placed.join(dense, "node", "left_semi").select("node", "rep", "m", "some"))
+            whole.append(within.select("node", "rep"))
+            found.append(cut(_dealt(within)))
+            placed = placed.join(dense, "node", "left_anti")
+        sparse = placed.select(F.explode(F.array_compact(F.array("one", "two"))).alias("node"), "rep")
         small, large = _small_and_large(sparse.distinct())
         found.append(small)
     united = lambda frames: reduce(DataFrame.unionByName, frames)
-    return united(found), united([x.select("node", "rep") for x in whole]) if whole else None
+    return united(found), united(whole) if whole else None
 
 
 def _groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
