@@ -1,8 +1,8 @@
 """Registered queries of the presence operators, by name, and the SQL that an oracle runs for them."""
 
-from . import intervals, vectors
+from . import intervals, records, vectors
 
-MODULES = (intervals, vectors)
+MODULES = (intervals, vectors, records)
 
 
 def queries() -> dict:
