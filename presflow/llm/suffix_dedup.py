@@ -16,7 +16,6 @@ reaches its bucket once for each block, whatever the number of documents that ho
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from hashlib import sha256
 from math import ceil
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import phrases
-from .common import cut
+from .common import cut, release
 
 MATCH = 50
 #: Bytes of text in a block that is parsed at once (unless one text is longer), and those behind a bucket.
@@ -318,8 +317,7 @@ def spans_of(rows: DataFrame, match: int = MATCH) -> tuple[DataFrame, DataFrame,
     parsed = rows.select("doc_id", "text").mapInArrow(_parse_blocks(buckets, match), _ROW_SQL)
     met = cut(parsed.groupBy("bucket").applyInArrow(_meet(buckets, match), _ROW_SQL))
     del parsed
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     fetched = _docs(rows, buckets).groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_fetch(buckets, match), _ROW_SQL)
     more = fetched.groupBy("bucket").applyInArrow(_sort_suffixes(buckets, match), _ROW_SQL)
     return _docs(rows, buckets), met.unionByName(more), buckets
