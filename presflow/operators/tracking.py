@@ -1,0 +1,263 @@
+"""Frame-ordered operators: the multi-object tracker, re-identification with hysteresis, stitching and aliases."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import checkpoints
+from .intervals import range_join
+from .vectors import dot
+
+
+@dataclass(frozen=True)
+class TrackerParams:
+    high: float = 0.6
+    low: float = 0.3
+    match: float = 0.3
+    iou_weight: float = 0.4
+    buffer: int = 30
+    #: Lost tracks never age, as in the tracker whose results this reproduces; otherwise they end after ``buffer`` frames.
+    compat: bool = False
+
+
+def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, each cheaper than the limit: shortest augmenting paths on the padded matrix."""
+    n, m = cost.shape
+    if not n or not m:
+        return []
+    size = n + m  # every row and column may stay alone at half the limit each
+    full = np.zeros((size, size))
+    full[:n, :m] = np.where(cost < limit, cost, 1e6)
+    full[:n, m:] = full[n:, :m] = limit / 2
+    u, v, owner, way = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, int), np.zeros(size + 1, int)
+    for row in range(1, size + 1):
+        owner[0], at = row, 0
+        least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
+        while True:
+            used[at] = True
+            free = ~used[1:]
+            reduced = full[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = free & (reduced < least[1:])
+            least[1:][better] = reduced[better]
+            way[1:][better] = at
+            nearest = int(np.where(free, least[1:], np.inf).argmin()) + 1
+            delta = least[nearest]
+            u[owner[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            at = nearest
+            if owner[at] == 0:
+                break
+        while at:
+            owner[at] = owner[way[at]]
+            at = way[at]
+    return sorted((owner[c] - 1, c - 1) for c in range(1, m + 1) if owner[c] - 1 < n and cost[owner[c] - 1, c - 1] < limit)
+
+
+def ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    shared = np.prod(np.maximum(high - low, 0), axis=2)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    union = area(a)[:, None] + area(b)[None, :] - shared
+    return np.divide(shared, union, out=np.zeros_like(shared, float), where=union > 0)
+
+
+class Tracker:
+    """Associates detections over frames: sure ones with active tracks, faint ones with what is left, the rest with lost tracks."""
+
+    def __init__(self, params: TrackerParams = TrackerParams()):
+        self.p, self.next_id = params, 0
+        self.tracks: list[dict] = []
+
+    def _pair(self, tracks: list[dict], boxes: np.ndarray, vectors: np.ndarray, rows: list[int]):
+        if not tracks or not rows:
+            return [], tracks, rows
+        means = np.array([t["sum"] for t in tracks])
+        means = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+        units = vectors[rows] / np.maximum(np.linalg.norm(vectors[rows], axis=1, keepdims=True), 1e-12)
+        like = self.p.iou_weight * ious(np.array([t["box"] for t in tracks], float), boxes[rows]) + (1 - self.p.iou_weight) * means @ units.T
+        found = assign(1 - like, 1 - self.p.match)
+        left_t, left_r = {i for i, _ in found}, {j for _, j in found}
+        return [(tracks[i], rows[j]) for i, j in found], [t for i, t in enumerate(tracks) if i not in left_t], [r for j, r in enumerate(rows) if j not in left_r]
+
+    def update(self, frame: int, boxes: np.ndarray, vectors: np.ndarray, conf: np.ndarray) -> dict[int, int]:
+        """Track ids by row of the frame; rows that are too faint for a track have none."""
+        high = [i for i in range(len(conf)) if conf[i] >= self.p.high]
+        faint = [i for i in range(len(conf)) if self.p.low <= conf[i] < self.p.high]
+        active, lost = [t for t in self.tracks if t["missed"] == 0], [t for t in self.tracks if t["missed"]]
+        one, active, high = self._pair(active, boxes, vectors, high)
+        two, active, _ = self._pair(active, boxes, vectors, faint)
+        three, lost, high = self._pair(lost, boxes, vectors, high)
+        ids = {}
+        for t, row in one + two + three:
+            t.update(box=boxes[row], sum=t["sum"] + vectors[row], missed=0)
+            ids[row] = t["id"]
+        for t in active + ([] if self.p.compat else lost):
+            t["missed"] += 1
+        for row in high:
+            self.tracks.append({"id": self.next_id, "box": boxes[row], "sum": vectors[row].astype(float), "missed": 0})
+            ids[row] = self.next_id
+            self.next_id += 1
+        self.tracks = [t for t in self.tracks if t["missed"] <= self.p.buffer]
+        return ids
+
+    def cut(self) -> None:
+        """A scene ends: no track goes on."""
+        self.tracks = []
+
+
+def track(df: DataFrame, params: TrackerParams = TrackerParams(), episode: str = "episode_id") -> DataFrame:
+    """episode, frame_id, det_idx and track_id of every detection that belongs to a track; episodes run side by side."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracker, out = Tracker(params), []
+        for frame, rows in pdf.sort_values(["frame_id", "det_idx"]).groupby("frame_id", sort=True):
+            boxes, vectors = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), np.array(rows["embedding"].tolist(), float)
+            ids = tracker.update(frame, boxes, vectors, rows["conf"].to_numpy())
+            out += [(rows[episode].iloc[0], frame, rows["det_idx"].iloc[i], t) for i, t in sorted(ids.items())]
+        return pd.DataFrame(out, columns=[episode, "frame_id", "det_idx", "track_id"])
+
+    kind = df.schema[episode].dataType.simpleString()
+    return df.groupBy(episode).applyInPandas(run, f"{episode} {kind}, frame_id bigint, det_idx int, track_id bigint")
+
+
+@dataclass(frozen=True)
+class ReidParams:
+    join: float = 0.8
+    stay: float = 0.7
+    spawn: float = 0.5
+    alpha: float = 0.5
+    confirm: int = 3
+    drop: int = 5
+    max_sigma: float = 3.0
+
+
+class Reidentifier:
+    """Labels for tracks with hysteresis: anonymous, provisional, confirmed.  Centroids are shared by all tracks of an episode."""
+
+    def __init__(self, params: ReidParams = ReidParams()):
+        self.p = params
+        self.labels: dict[str, dict] = {}
+        self.states: dict = {}
+        self.spawned = 0
+
+    def seed(self, label: str, vector) -> None:
+        v = np.asarray(vector, float)
+        self.labels[label] = {"centroid": v / max(np.linalg.norm(v), 1e-12), "n": 1, "mean": 1.0, "m2": 0.0}
+
+    def _nearest(self, v: np.ndarray) -> tuple[str | None, float]:
+        best = max(((float(s["centroid"] @ v), label) for label, s in self.labels.items()), default=(0.0, None))
+        return best[1], best[0]
+
+    def _learn(self, label: str, v: np.ndarray) -> None:
+        s = self.labels[label]
+        sim = float(s["centroid"] @ v)
+        s["n"] += 1
+        d = sim - s["mean"]
+        s["mean"] += d / s["n"]
+        s["m2"] += d * (sim - s["mean"])
+        c = 0.9 * s["centroid"] + 0.1 * v
+        s["centroid"] = c / max(np.linalg.norm(c), 1e-12)
+
+    def _fits(self, label: str, sim: float) -> bool:
+        s = self.labels[label]
+        sigma = (s["m2"] / (s["n"] - 1)) ** 0.5 if s["n"] > 2 else 0.0
+        return sigma == 0.0 or (s["mean"] - sim) / sigma <= self.p.max_sigma
+
+    def assign(self, vector, frame: int, track_id) -> dict:
+        v = np.asarray(vector, float)
+        v = v / max(np.linalg.norm(v), 1e-12)
+        st = self.states.setdefault(track_id, {"status": "anonymous", "label": None, "ema": None, "streak": 0, "misses": 0})
+        before, status, reason = st["label"], st["status"], None
+        if st["label"] is not None:
+            sim = float(self.labels[st["label"]]["centroid"] @ v)
+            st["ema"] = sim if st["ema"] is None else self.p.alpha * sim + (1 - self.p.alpha) * st["ema"]
+            if st["ema"] >= self.p.stay:
+                st["misses"], st["streak"] = 0, st["streak"] + 1
+                if status == "provisional" and st["streak"] >= self.p.confirm:
+                    st["status"], reason = "confirmed", "confirm"
+                self._learn(st["label"], v)
+            else:
+                st["misses"], st["streak"] = st["misses"] + 1, 0
+                if st["misses"] >= self.p.drop:
+                    st.update(status="anonymous", label=None, ema=None, misses=0)
+                    reason = "drop_exit"
+        else:
+            label, sim = self._nearest(v)
+            if label is not None and sim >= self.p.join and self._fits(label, sim):
+                st.update(status="confirmed", label=label, ema=sim, streak=1)
+                reason = "join_confirmed"
+                self._learn(label, v)
+            elif sim < self.p.spawn:
+                self.spawned += 1
+                label = f"ANON_{self.spawned}"
+                self.seed(label, v)
+                st.update(status="provisional", label=label, ema=1.0, streak=1)
+                reason = "spawn"
+        return {"frame": int(frame), "track_id": track_id, "label_before": before, "label_after": st["label"], "status_before": status, "status_after": st["status"], "reason": reason, "ema": st["ema"]}
+
+
+REID_FIELDS = "frame bigint, track_id bigint, label_before string, label_after string, status_before string, status_after string, reason string, ema double"
+
+
+def reidentify(df: DataFrame, seeds: DataFrame, params: ReidParams = ReidParams(), episode: str = "episode_id") -> DataFrame:
+    """Identity events of rows (episode, frame_id, track_id, embedding), with seeds (label, embedding) known at the start of each episode.
+
+    Seeds are a bank of identities, one row each; at most 100,000 are taken, more is refused.
+    """
+    known = seeds.limit(100_001).collect()
+    if len(known) > 100_000:
+        raise ValueError("more than 100,000 seeds")
+    known = [(r["label"], list(r["embedding"])) for r in known]
+    kind = df.schema[episode].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = Reidentifier(params)
+        for label, vector in known:
+            state.seed(label, vector)
+        rows = pdf.sort_values(["frame_id", "track_id"])
+        out = pd.DataFrame([state.assign(v, f, t) for f, t, v in zip(rows["frame_id"], rows["track_id"], rows["embedding"])])
+        out.insert(0, episode, rows[episode].to_numpy())
+        return out
+
+    return df.groupBy(episode).applyInPandas(run, f"{episode} {kind}, {REID_FIELDS}")
+
+
+def stitch(tracks: DataFrame, max_gap: int, least: float, margin: float, bin_ms: int = 5_000) -> DataFrame:
+    """track_id, linked_to and sim: the best later track that starts within ``max_gap`` of a track's end, alike and apart enough."""
+    reach = tracks.select("track_id", "prototype", F.col("end_ms").alias("start_ms"), (F.col("end_ms") + max_gap).alias("end_ms"), F.col("end_ms").alias("ends"))
+    starts = tracks.select("track_id", "prototype", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("ends"))
+    later = (F.col("l.track_id") != F.col("r.track_id")) & (F.struct("r.ends", "r.track_id") > F.struct("l.ends", "l.track_id")) & F.col("r.start_ms").between(F.col("l.start_ms"), F.col("l.end_ms"))
+    pairs = range_join(reach, starts, later, bin_ms).select(F.col("l.track_id").alias("track_id"), F.col("r.track_id").alias("linked_to"), F.round(dot("l.prototype", "r.prototype"), 9).alias("sim"))
+    w = Window.partitionBy("track_id").orderBy(F.desc("sim"), "linked_to")
+    ranked = pairs.withColumn("nth", F.row_number().over(w)).withColumn("second", F.lead("sim").over(w)).filter("nth = 1")
+    return ranked.filter((F.col("sim") >= least) & (F.col("sim") - F.coalesce("second", F.lit(-1.0)) >= margin)).select("track_id", "linked_to", "sim")
+
+
+def resolve_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:
+    """label, resolved: the end of each chain of (label, alias); a chain that runs into a cycle stops after ``rounds`` doublings."""
+    checkpoints(aliases.sparkSession)
+    now = aliases.select("label", F.col("alias").alias("resolved"))
+    for _ in range(rounds):
+        step = now.select(F.col("label").alias("resolved"), F.col("resolved").alias("_to"))
+        new = now.join(step, "resolved", "left").select("label", F.coalesce("_to", "resolved").alias("resolved"), F.col("_to").isNotNull().alias("_moved")).checkpoint()
+        now = new.select("label", "resolved")
+        if new.filter("_moved").isEmpty():
+            break
+    return now
+
+
+def detect_with(df: DataFrame, detector, fields: str) -> DataFrame:
+    """Runs a detector (an iterator of pandas frames to one) over frames; the place where inference plugs in."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from detector(frames)
+
+    return df.mapInPandas(run, fields)

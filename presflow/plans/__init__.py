@@ -1,8 +1,8 @@
 """Registered queries of the presence operators, by name, and the SQL that an oracle runs for them."""
 
-from . import intervals, records, vectors
+from . import intervals, records, tracking, vectors
 
-MODULES = (intervals, vectors, records)
+MODULES = (intervals, vectors, records, tracking)
 
 
 def queries() -> dict:
