@@ -37,7 +37,7 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 #: Labelled rows that are learned from: at most SAMPLE in expectation, an equal share for each language.
-SAMPLE = 2400
+SAMPLE = 1200
 FEATURES = 1 << 14
 GRAMS = 4
 UNKNOWN = "und"
@@ -82,15 +82,19 @@ def svm(gram: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12) -> np
 class _Duels:
     """Machines of each class against each."""
 
-    def __init__(self, x: np.ndarray, gram: np.ndarray, labels: list[str]):
-        self.classes = sorted(set(labels))
-        names = np.array(labels)
+    def __init__(self, x: np.ndarray, gram: np.ndarray, labels: list[str | None]):
+        """Rows whose label is None take no part."""
+        self.classes = sorted({label for label in labels if label is not None})
+        names = np.array([label if label is not None else "" for label in labels])
+        used = np.array([label is not None for label in labels], bool)
         self.pairs = list(combinations(range(len(self.classes)), 2))
         weights = []
         for a, b in self.pairs:
-            of_a, of_b = names == self.classes[a], names == self.classes[b]
+            of_a, of_b = used & (names == self.classes[a]), used & (names == self.classes[b])
             either = np.flatnonzero(of_a | of_b)
-            weights.append(svm(gram[np.ix_(either, either)], np.where(of_a[either], 1.0, -1.0)) @ x[either])
+            dual = np.zeros(len(x), np.float32)
+            dual[either] = svm(gram[np.ix_(either, either)], np.where(of_a[either], 1.0, -1.0))
+            weights.append(dual @ x)
         self.weights = np.array(weights).T.astype(np.float32) if weights else np.zeros((x.shape[1], 0), np.float32)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +122,7 @@ class Model:
         self.families = _Duels(x, gram, [family_of(language) for language in languages])
         self.within = {}
         for family in self.families.classes:
-            rows = [i for i, language in enumerate(languages) if family_of(language) == family]
-            self.within[family] = _Duels(x[rows], gram[np.ix_(rows, rows)], [languages[i] for i in rows])
+            self.within[family] = _Duels(x, gram, [language if family_of(language) == family else None for language in languages])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -163,15 +166,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.25 * share / n) * (1 << 40)))) for lang, n in sorted(counts.items())]) if counts else F.lit(0)
     rows = labelled.filter(spot < rate).select("lang", "text").mapInArrow(_vectors, "lang string, places binary, values binary").collect()
     taken: dict[str, int] = {}
-    x, languages = [], []
+    x, languages = np.zeros((len(rows), FEATURES), np.float32), []
     for row in sorted(rows, key=lambda r: (r.lang, bytes(r.places), bytes(r["values"]))):
         if taken.get(row.lang, 0) < 1.5 * share:
             taken[row.lang] = taken.get(row.lang, 0) + 1
-            v = np.zeros(FEATURES, np.float32)
-            v[np.frombuffer(row.places, "u2")] = np.frombuffer(row["values"], np.float32)
-            x.append(v)
+            x[len(languages), np.frombuffer(row.places, "u2")] = np.frombuffer(row["values"], np.float32)
             languages.append(row.lang)
-    return Model(np.array(x) if x else np.zeros((0, FEATURES), np.float32), languages)
+    del rows
+    return Model(x[: len(languages)], languages)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
