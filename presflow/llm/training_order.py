@@ -47,18 +47,18 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def first_numbers(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, first) for distinct (doc_id, n): the sum of n over smaller ids (a null id is the smallest); and the sum of all.
+    """(place, first) for distinct (place, n): the sum of n over smaller places; and the sum of all.
 
-    Ids are dealt to ranges once (written, so that the ranges stay); sums run within a range and over the ranges' sums.
+    Places are dealt to ranges once (written, so that the ranges stay); sums run within a range and over the ranges' sums.
     """
-    spans = cut(counts.repartitionByRange(partitions(counts.sparkSession), "doc_id").withColumn("span", F.spark_partition_id()))
+    spans = cut(counts.repartitionByRange(partitions(counts.sparkSession), "place").withColumn("span", F.spark_partition_id()))
     sums = spans.groupBy("span").agg(F.sum("n").alias("n"))
     before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a range
-    inner = Window.partitionBy("span").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     first = spans.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(bases), "span")
     total = sums.agg(F.sum("n")).first()[0] or 0
-    return first.select("doc_id", (F.col("base") + F.col("inside")).alias("first")), total
+    return first.select("place", (F.col("base") + F.col("inside")).alias("first")), total
 
 
 def _sequences(n: int, length: int, width: int, records: int, key: int):
@@ -112,13 +112,13 @@ def materialise(df: DataFrame, tokens: Column, width: int, doc_id: str = "doc_id
     that share an id follow each other by a hash of their tokens; a null id is written as -1 and comes first.  Other columns
     are not looked at.  An empty table gives no shard.  Tokens are shuffled twice: to their numbers, by id, and to their shards.
     """
-    key_column = F.col(doc_id) if (doc_id, df.schema[doc_id].dataType.simpleString()) == ("doc_id", "bigint") else F.col(doc_id).cast("bigint").alias("doc_id")
-    rows = df.select(key_column, F.coalesce(tokens, F.lit(b"")).alias("tokens"))
+    # one key, never null, for the join and the window: texts are dealt by it once
+    place = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("place")
+    rows = df.select(place, F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(tokens, F.lit(b"")).alias("tokens"))
     parts = F.greatest(F.lit(1), F.ceil(F.octet_length("tokens") / (length * width))).cast("bigint")
-    first, n = first_numbers(rows.select("doc_id", parts.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")))
-    alike = Window.partitionBy("doc_id").orderBy(F.xxhash64("tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    named = rows.join(first.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
-    numbered = named.select("doc_id", (F.col("first") + F.coalesce(F.sum(parts).over(alike), F.lit(0))).alias("first"), "tokens")
+    first, n = first_numbers(rows.select("place", parts.alias("n")).groupBy("place").agg(F.sum("n").alias("n")))
+    alike = Window.partitionBy("place").orderBy(F.xxhash64("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.join(first.hint("merge"), "place").select("doc_id", (F.col("first") + F.coalesce(F.sum(parts).over(alike), F.lit(0))).alias("first"), "tokens")
     sequences = numbered.mapInArrow(_sequences(n, length, width, records, key), "shard bigint, slot bigint, record binary")
     dealt = sequences.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard", "slot")
     return dealt.mapInArrow(_write(HEADER.itemsize + length * width), "shard bigint, first_slot bigint, n_records int, stride int, payload binary")
