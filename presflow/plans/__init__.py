@@ -1,8 +1,8 @@
 """Registered queries of the presence operators, by name, and the SQL that an oracle runs for them."""
 
-from . import audits, intervals, records, tracking, vectors
+from . import audits, intervals, records, registry, tracking, vectors
 
-MODULES = (intervals, vectors, audits, records, tracking)
+MODULES = (intervals, vectors, audits, records, registry, tracking)
 
 
 def queries() -> dict:
