@@ -271,10 +271,17 @@ def edges(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     wanted = parts.select("rep") if whole is None else parts.select("rep").unionByName(whole.select("rep"))
     texts = rows.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("rep"), "text")
     texts = cut(texts.join(wanted.distinct(), "rep").join(reps.select("rep"), "rep").dropDuplicates(["rep"]))
-    links = parts.join(texts, "rep").repartition(p, "part").sortWithinPartitions("part", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    confirm = lambda some: some.select("part", "rep").join(texts, "rep").repartition(p, "part").sortWithinPartitions("part", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    # first the largest part of each document; then, of the others, those that do not hang together yet
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    first = cut(parts.join(sizes, "part").groupBy("rep").agg(F.max_by("part", F.struct("n", "part")).alias("part")).select("part").distinct())
+    links = cut(confirm(parts.join(first, "part", "left_semi")))
+    labels = components(links).withColumnRenamed("node", "rep")
+    others = parts.join(first, "part", "left_anti").join(labels, "rep", "left").select("part", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = others.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("part")
+    links = cut(links.unionByName(confirm(others.join(mixed, "part", "left_semi"))))
     if whole is None:
         return links
-    links = cut(links)
     return links.unionByName(_rest(whole, components(links), texts, percent))
 
 
