@@ -31,7 +31,7 @@ from .common import cut, release
 
 MATCH = 50
 #: Bytes of text in a block that is parsed at once (unless one text is longer), and those behind a bucket.
-BLOCK_BYTES, BUCKET_BYTES, BLOCK_TEXTS = 6 << 20, 6 << 20, 60_000
+BLOCK_BYTES, BUCKET_BYTES, BLOCK_TEXTS = 3 << 20, 6 << 20, 60_000
 #: Suffixes sorted at once, unless one trigger alone has more.
 SORTED_AT_ONCE = 1 << 20
 
