@@ -4,9 +4,10 @@ A text's k-mers (over its UTF-8 bytes) are numbered by occurrence.  Every number
 hash; in each bin the PER_BIN least k-mers are selected, put back into text order and hashed as a tuple.  The fingerprint
 holds one tuple hash a bin, so it changes with the k-mers and with their order, as edit distance does.
 
-Bins are filled by the hash of the bare k-mer, least first, so only k-mers of small hash matter.  They are found in one pass
-that keeps about KEPT positions, whatever the text's length; a text of so few different k-mers that the pass keeps too few
-is taken whole.  Of these, the MOST least (hash, occurrence) are candidates.
+Bins are filled by the hash of the bare k-mer, least first, so k-mers of small hash settle them.  A pass keeps the positions
+whose hash lies under a limit, about KEPT of them, and of these the MOST least (hash, occurrence).  If they fill every bin, no
+other k-mer of the text can be among the least of one.  If they don't (about one long text in a hundred, and texts of few
+different k-mers), the MOST least of the whole text are taken, and if these leave a bin open, the whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 from .common import cut, partitions
 
 K, BINS, PER_BIN = 12, 48, 2
-KEPT, MOST, OCCURRENCES = 192, 1024, 512
+KEPT, MOST = 512, 1024
 _TOP = 9.223372036854775e18
 
 
@@ -40,19 +41,20 @@ def _of_bytes(b: Column) -> Column:
     places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     limit = ((2.0 * F.least(F.lit(1.0), KEPT / F.greatest(n, F.lit(1))) - 1.0) * _TOP).cast("bigint")
     few = lambda n: _let(limit, lambda most: F.filter(places(n), lambda i: hashed(i) <= most))
-    least = BINS * PER_BIN
-    kept = _let(n, lambda n: _let(few(n), lambda some: F.when(F.size(some) >= F.least(n, F.lit(least)), some).otherwise(places(n))))
-    by_hash = F.sort_array(F.transform(kept, lambda i: F.struct(hashed(i).alias("h"), i.alias("at"))))
-    return _let(by_hash, lambda rows: _let(_candidates(rows), _select))
+    by_hash = lambda at: F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("at"))))
+    whole = lambda n: _let(by_hash(places(n)), lambda rows: _let(_let(F.slice(rows, 1, MOST), _selected), lambda s: F.when(_full(s) | (F.size(rows) <= MOST), s).otherwise(_selected(rows))))
+    least = lambda n: _let(few(n), lambda some: _let(_let(F.slice(by_hash(some), 1, MOST), _selected), lambda s: F.when(_full(s) | (F.size(some) == n) & (n <= MOST), s).otherwise(whole(n))))
+    return _let(_let(n, least), _tuples)
 
 
-def _candidates(rows: Column) -> Column:
-    """The MOST least rows, of one k-mer at most OCCURRENCES."""
-    again = lambda row, t: (t >= OCCURRENCES) & (F.get(rows, t - OCCURRENCES)["h"] == row["h"])
-    return F.slice(F.filter(rows, lambda row, t: ~again(row, t)), 1, MOST)
+def _full(selected: Column) -> Column:
+    """Whether every bin has its PER_BIN k-mers."""
+    return F.size(selected) == BINS * PER_BIN
 
 
-def _select(rows: Column) -> Column:
+def _selected(rows: Column) -> Column:
+    """The PER_BIN least of each bin, bins in order, of rows (h, at) in order."""
+
     def numbered(hashes: Column) -> Column:
         def row(r: Column, t: Column) -> Column:
             first = (t == 0) | (F.get(hashes, t - 1) != r["h"])
@@ -61,7 +63,7 @@ def _select(rows: Column) -> Column:
 
         return F.sort_array(F.transform(rows, row))
 
-    return _let(_let(rows["h"], numbered), lambda rows: _let(_least(rows), _tuples))
+    return _let(_let(rows["h"], numbered), _least)
 
 
 def _least(rows: Column) -> Column:

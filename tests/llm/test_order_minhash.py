@@ -3,6 +3,7 @@
 import random
 from hashlib import sha256
 
+import xxhash
 from pyspark.sql import functions as F
 
 from presflow.llm import order_minhash as O
@@ -51,3 +52,33 @@ def test_repeats_nulls_and_empty(spark):
     got = O.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == 4 and [r.near_next for r in got if r.doc_id is None] == [None]
     assert O.fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def model(text):
+    """Every bin's least of all numbered k-mers of a text."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    spark_hash = lambda raw, seed=42: xxhash.xxh64_intdigest(raw, seed)
+    b, seen, bins = text.encode(), {}, {}
+    for at in range(max(len(b) - O.K + 1, min(len(b), 1))):
+        h = spark_hash(b[at : at + O.K])
+        seen[h] = t = seen.get(h, -1) + 1
+        g = signed(spark_hash(t.to_bytes(4, "little"), spark_hash(h.to_bytes(8, "little"))))
+        bins.setdefault(g % O.BINS, []).append((signed(h), at, g))
+    out = []
+    for of, rows in sorted(bins.items()):
+        h = 42
+        for _, _, g in sorted(sorted(rows)[: O.PER_BIN], key=lambda r: r[1]):
+            h = spark_hash((g & (1 << 64) - 1).to_bytes(8, "little"), h)
+        out.append(of << 32 | h & 0xFFFFFFFF)
+    return out
+
+
+def test_every_bin_takes_its_least_of_the_whole_text(spark):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    texts = ["", "short", "é" * 40, "x" * 3000, "ab" * 1500] + [prose(n) for n in (11, 12, 13, 100, 300, 511, 540, 700, 1100, 5000, 20000)]
+    texts += [prose(3000) + "same line again\n" * 300, " " * 2000 + prose(1500)] + [prose(2500) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    got = {r.i: list(r.sig) for r in df.select("i", O.signature(F.col("text")).alias("sig")).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != model(t)] == []
+    assert all(len(got[i]) == O.BINS for i, t in enumerate(texts) if len(t) >= 1100)
