@@ -14,7 +14,7 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 _RUN = np.uint64(0xE7037ED1A0B428DB)  # odd, so that it has an inverse
 _INVERSE = np.uint64(pow(int(_RUN), -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
-#: Bytes that can be parsed at once.
+#: Windows whose triggers are looked for at once: their places, with those of the last window's hashes, fit _PLACE.
 LIMIT = 1 << 23
 _powers: list[np.ndarray] = []
 
@@ -46,6 +46,16 @@ def _sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (w - span)], keys[w - span :]) if w > span else keys
 
 
+def _triggers(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w hashes, the leftmost of equals; a text may be longer than places that keys can hold."""
+    out = np.empty(len(h) - w + 1, np.int64)
+    for at in range(0, len(out), LIMIT):
+        part = h[at : at + LIMIT + w - 1]
+        places = np.arange(len(part), dtype=np.uint64)
+        out[at : at + LIMIT] = (_sliding_least(part & ~_PLACE | places, w) & _PLACE).astype(np.int64) + at
+    return out
+
+
 def _run_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 20)
@@ -62,8 +72,7 @@ def parse(data: np.ndarray, ends: np.ndarray, match: int, k: int = TRIGGER):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     h = rolling(data, k)
-    places = np.arange(len(h), dtype=np.uint64)
-    trigger = (_sliding_least(h & ~_PLACE | places, match - k + 1) & _PLACE).astype(np.int64)
+    trigger = _triggers(h, match - k + 1)
     starts = np.r_[0, ends[:-1]]
     windows = np.maximum(ends - starts - (match - 1), 0)
     used = np.repeat(starts - np.r_[0, np.cumsum(windows)[:-1]], windows) + np.arange(windows.sum())

@@ -3,9 +3,10 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
-from presflow.llm import suffix_dedup
+from presflow.llm import phrases, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -73,3 +74,18 @@ def test_kept_texts(spark):
     rows = [(1, "One. " + passage), (2, passage + " Two."), (3, "nothing shared")]
     got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "One. " + passage, 2: " Two.", 3: "nothing shared"}
+
+
+def test_texts_longer_than_places_hold(monkeypatch):
+    rng = np.random.default_rng(4)
+    passage, long = rng.integers(0, 256, 300, dtype=np.uint8), rng.integers(0, 256, 6000, dtype=np.uint8)
+    long[5500:5800] = passage
+    data, ends = np.r_[long, passage], np.array([6000, 6300])
+    want = phrases.parse(data, ends, 50)
+    monkeypatch.setattr(phrases, "_PLACE", np.uint64((1 << 10) - 1))
+    monkeypatch.setattr(phrases, "LIMIT", 1 << 9)
+    got = phrases.parse(data, ends, 50)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    text, _, _, trigger, phrase = got
+    inner = phrase[text == 1][1:-1]  # the passage's ends lie in phrases of other bytes
+    assert len(inner) > 5 and np.isin(inner, phrase[text == 0]).all()
