@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, language, mixing, near_dedup, order_minhash, sharding, suffix_dedup, training_order
-from .common import documents, id_crc_mod5
+from .common import cut, documents, id_crc_mod5
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +47,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids are the texts' UTF-8 bytes, one byte each; every record is read back from its shard."""
-    shards = training_order.materialise(documents(spark, sf_dir), F.col("text").cast("binary"), 1)
-    records = training_order.read(shards, 1)
+    """Token ids are those of op1, four bytes each, encoded once; every record is read back from its shard's file."""
+    coded = cut(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "token_bytes"))
+    records = training_order.read(training_order.materialise(coded, F.col("token_bytes"), 4), 4)
     return records.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 

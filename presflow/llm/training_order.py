@@ -1,28 +1,34 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
 Texts are cut into sequences, numbered without gaps in order of document.  A keyed Feistel permutation of the numbers, with
-cycle-walking back into their range, gives each sequence its global slot.  A shard holds a range of slots as one string of
-records of equal length, so record r of a shard starts at byte r * stride, and reading may start at any slot.
+cycle-walking back into their range, gives each sequence its global slot.  Partitions are ranges of slots; each writes its
+shards, one file each in the shared folder, as records of equal length.  So record r of a shard starts at byte r * stride, and
+reading may start at any slot without anything else being read or worked out again.
 
 Record: document id (8 bytes), part (4), tokens (4), then the token ids, filled up with zeros; all little-endian.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoints
 from .common import cut, partitions
 
 #: Tokens of a sequence, records of a shard, and rounds of the permutation.
 LENGTH, RECORDS, ROUNDS = 1024, 2048, 6
 HEADER = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u4")])
 KEY = 20_261
+#: Records that are read at once.
+READ = 256
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -62,8 +68,6 @@ def first_numbers(counts: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _sequences(n: int, length: int, width: int, records: int, key: int):
-    stride = HEADER.itemsize + length * width
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -75,7 +79,7 @@ def _sequences(n: int, length: int, width: int, records: int, key: int):
                     for i, start in enumerate(range(0, max(1, len(raw)), step)):
                         ids = raw[start : start + step]
                         head = np.array([(-1 if doc_id is None else doc_id, i, len(ids) // width)], HEADER).tobytes()
-                        made.append((head + ids).ljust(stride, b"\0"))
+                        made.append(head + ids)
                         slots.append(first + i)
                 slot = permute(np.array(slots, np.int64), n, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot // records), pa.array(slot), pa.array(made, pa.binary())], ["shard", "slot", "record"])
@@ -83,34 +87,54 @@ def _sequences(n: int, length: int, width: int, records: int, key: int):
     return run
 
 
-def _write(stride: int):
-    """One row for each shard, from records in order."""
+def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        shard, first, held = None, 0, []
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([first]), pa.array([len(held)], pa.int32()), pa.array([stride], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["shard", "first_slot", "n_records", "stride", "payload"])
+def _write(folder: str, stride: int):
+    """Shards of records in order: a file each, under its name once it is whole, and a row for it."""
 
+    def shards(batches):
+        """(shard, slot, record), with a None after each shard."""
+        last = None
         for batch in batches:
-            for of, slot, record in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if of != shard:
-                    if held:
-                        yield done()
-                    shard, first, held = of, slot, []
-                held.append(record)
-        if held:
-            yield done()
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if last not in (None, row[0]):
+                    yield None
+                last = row[0]
+                yield row
+        if last is not None:
+            yield None
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        system, root = _filesystem(folder)
+        out = None
+        for row in shards(batches):
+            if row is None:
+                out.close()
+                system.move(f"{root}/{part}", f"{root}/{name}")
+                columns = [pa.array([shard]), pa.array([first]), pa.array([n], pa.int32()), pa.array([stride], pa.int32()), pa.array([f"{folder}/{name}"])]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "first_slot", "n_records", "stride", "path"])
+                out = None
+                continue
+            if out is None:
+                shard, first, n = row[0], row[1], 0
+                name, part = f"shard-{shard:08d}", f".{uuid.uuid4().hex}"
+                system.create_dir(root)
+                out = system.open_output_stream(f"{root}/{part}")
+            out.write(row[2].ljust(stride, b"\0"))
+            n += 1
 
     return run
 
 
 def materialise(df: DataFrame, tokens: Column, width: int, doc_id: str = "doc_id", length: int = LENGTH, records: int = RECORDS, key: int = KEY) -> DataFrame:
-    """shard, first_slot, n_records, stride and payload, a row for each shard.
+    """Writes the shards; shard, first_slot, n_records, stride and path, a row for each of their files.
 
     ``tokens`` is a binary column of ids of ``width`` bytes each.  A null or empty one makes one sequence of no tokens.  Rows
     that share an id follow each other by a hash of their tokens; a null id is written as -1 and comes first.  Other columns
-    are not looked at.  An empty table gives no shard.  Tokens are shuffled twice: to their numbers, by id, and to their shards.
+    are not looked at.  An empty table gives no shard.  Tokens are shuffled twice: to their numbers, by id, and to their ranges
+    of slots.  The files lie in a folder of their own below ``spark.checkpoint.dir`` and stay there.
     """
     # one key, never null, for the join and the window: texts are dealt by it once
     place = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("place")
@@ -120,26 +144,33 @@ def materialise(df: DataFrame, tokens: Column, width: int, doc_id: str = "doc_id
     alike = Window.partitionBy("place").orderBy(F.xxhash64("tokens")).rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.join(first.hint("merge"), "place").select("doc_id", (F.col("first") + F.coalesce(F.sum(parts).over(alike), F.lit(0))).alias("first"), "tokens")
     sequences = numbered.mapInArrow(_sequences(n, length, width, records, key), "shard bigint, slot bigint, record binary")
-    dealt = sequences.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInArrow(_write(HEADER.itemsize + length * width), "shard bigint, first_slot bigint, n_records int, stride int, payload binary")
+    p, shards = partitions(df.sparkSession), max(1, -(-n // records))
+    dealt = sequences.repartitionById(p, F.floor(F.col("shard") * p / shards).cast("int")).sortWithinPartitions("shard", "slot")
+    folder = f"{checkpoints(df.sparkSession).sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    return cut(dealt.mapInArrow(_write(folder, HEADER.itemsize + length * width), "shard bigint, first_slot bigint, n_records int, stride int, path string"))
 
 
-def _read(width: int):
+def _read(width: int, from_slot: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                n, stride = row["n_records"], row["stride"]
-                data = np.frombuffer(row["payload"], np.uint8).reshape(n, stride)
-                heads = np.ascontiguousarray(data[:, : HEADER.itemsize]).view(HEADER).ravel()
-                tokens = [data[i, HEADER.itemsize : HEADER.itemsize + int(h["n_tokens"]) * width].tobytes() for i, h in enumerate(heads)]
-                columns = [np.full(n, row["shard"]), row["first_slot"] + np.arange(n), np.arange(n, dtype=np.int64) * stride, heads["doc_id"], heads["part"].astype(np.int64), heads["n_tokens"].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tokens, pa.binary())], ["shard", "slot", "byte_offset", "doc_id", "part", "n_tokens", "tokens"])
+                system, path = _filesystem(row["path"])
+                stride = row["stride"]
+                with system.open_input_file(path) as file:
+                    for start in range(max(0, from_slot - row["first_slot"]), row["n_records"], READ):
+                        n = min(READ, row["n_records"] - start)
+                        data = np.frombuffer(file.read_at(n * stride, start * stride), np.uint8).reshape(n, stride)
+                        heads = np.ascontiguousarray(data[:, : HEADER.itemsize]).view(HEADER).ravel()
+                        tokens = [data[i, HEADER.itemsize : HEADER.itemsize + int(h["n_tokens"]) * width].tobytes() for i, h in enumerate(heads)]
+                        at = start + np.arange(n, dtype=np.int64)
+                        columns = [np.full(n, row["shard"]), row["first_slot"] + at, at * stride, heads["doc_id"], heads["part"].astype(np.int64), heads["n_tokens"].astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tokens, pa.binary())], ["shard", "slot", "byte_offset", "doc_id", "part", "n_tokens", "tokens"])
 
     return run
 
 
 def read(shards: DataFrame, width: int, from_slot: int = 0) -> DataFrame:
-    """Records of the shards, from a slot on: shard, slot, byte_offset, doc_id, part, n_tokens and tokens.  Earlier shards are not read."""
+    """Records of the shards' files, from a slot on: shard, slot, byte_offset, doc_id, part, n_tokens and tokens.  What lies before is not read."""
     wanted = shards.filter(F.col("first_slot") + F.col("n_records") > from_slot)
     fields = "shard bigint, slot bigint, byte_offset bigint, doc_id bigint, part bigint, n_tokens bigint, tokens binary"
-    return wanted.mapInArrow(_read(width), fields).filter(F.col("slot") >= from_slot)
+    return wanted.mapInArrow(_read(width, from_slot), fields)

@@ -1,12 +1,13 @@
 """Training order: a permutation, whole texts, reading from a slot on."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presflow.llm import training_order
+from presflow.llm import bpe, queries, training_order
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000, 4097])
@@ -39,3 +40,27 @@ def test_round_trip(spark):
     later = training_order.read(shards, 1, from_slot=57).collect()
     assert sorted(r.slot for r in later) == list(range(57, len(records)))
     assert training_order.materialise(df.limit(0), F.col("text").cast("binary"), 1).count() == 0
+
+
+def test_shards_are_files_of_ranges_of_slots(spark):
+    rows = [(i, "x" * (i % 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shards = training_order.materialise(df, F.col("text").cast("binary"), 1, length=16, records=10)
+    found = sorted(shards.withColumn("of", F.spark_partition_id()).collect(), key=lambda r: r.shard)
+    assert [r.of for r in found] == sorted(r.of for r in found) and len({r.of for r in found}) > 1
+    raw = [open(r.path.removeprefix("file:"), "rb").read() for r in found]
+    assert [len(x) for x in raw] == [r.n_records * 32 for r in found]
+    for r in training_order.read(shards, 1).collect():
+        record = raw[r.shard][r.byte_offset : r.byte_offset + 32]
+        assert record == np.array([(r.doc_id, r.part, r.n_tokens)], training_order.HEADER).tobytes() + bytes(r.tokens).ljust(16, b"\0")
+    for r in found[:5]:
+        os.remove(r.path.removeprefix("file:"))
+    assert sorted(r.slot for r in training_order.read(shards, 1, from_slot=57).collect())[0] == 57
+
+
+def test_query_orders_the_ids_of_op1(spark, tmp_path):
+    rows = [(1, "some words of a text " * 300), (2, "short"), (3, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_training_order(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    want = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n for r in got} == {r.doc_id: r.n_tokens for r in want}
