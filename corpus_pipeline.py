@@ -6,11 +6,14 @@ digests of the token ids).  A stage that drops a row drops it for good.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presflow.llm import bpe, language, mixing, near_dedup, suffix_dedup
 from presflow.llm.common import id_crc_mod5
+from presflow.session import checkpoints
 
 #: Documents whose language can't be told (no text, no letter) are rejected, and those that are told with less than this score.
 LEAST_SCORE = 0.3
@@ -61,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result; every stage's is written as Parquet below ``spark.checkpoint.dir`` and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{checkpoints(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

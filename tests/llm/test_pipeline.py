@@ -48,3 +48,15 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_every_operator_has_a_query():
     assert [sum(name.startswith(f"op{n}_") for name in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+
+
+def test_run_writes_between_stages(spark, sf_dir, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append({f.rsplit("/", 2)[1] for f in docs.inputFiles()})
+        return docs.filter("doc_id > 5")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    assert corpus_pipeline.run(spark, sf_dir).filter("doc_id <= 5").count() == 0
+    assert read == [{"documents.parquet"}, {"one"}, {"two"}]
