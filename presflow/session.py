@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -38,8 +39,19 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def checkpoints(spark: SparkSession) -> SparkSession:
-    """Sees to a folder for checkpoints: the session's spark.checkpoint.dir, a local one only where that is unset (tests)."""
+    """Sees to a folder for checkpoints: the session's spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine (tests) gets a local folder; a cluster's executors could not read one.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="presflow-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="presflow-"))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, as a path."""
+    return checkpoints(spark).sparkContext._jsc.sc().getCheckpointDir().get()
