@@ -14,6 +14,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,13 @@ import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import claim
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Entries of each of a worker's two tables of encoded cuts, and the longest cut that is kept.
-TABLE_ENTRIES, TABLE_CHARS = 500_000, 40
+TABLE_ENTRIES, TABLE_CHARS = 250_000, 40
 #: Rows and bytes of text that a worker encodes at a time, unless one text alone is longer.
 SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: Bytes of the longest piece that is merged side by side with others.
@@ -226,6 +228,7 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
+        claim("bpe", cls._made.clear)
         if (path, pattern) not in cls._made:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
@@ -335,7 +338,22 @@ def decode(df: DataFrame, tokens: str = "token_bytes", ranks: str = RANKS, patte
     return _with(df, tokens, "decoded binary", [("decoded", pa.binary())], lambda packed: [list(map(Codec.of(ranks, pattern).decode, packed))])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Encodes and decodes every text; digests of the ids and of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "token_bytes"))
-    return coded.select("doc_id", "n_tokens", F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: every text encoded, the ids decoded again, and digests of both.
+
+    One pass in one worker a task, so that only digests leave it.  A null text is an empty one; rows that repeat are rows of
+    their own; other columns are not looked at; an empty table gives an empty table.
+    """
+
+    def apply(texts):
+        codec = Codec.of(ranks, pattern)
+        packed = codec.encode_many(texts)
+        return [len(p) // 4 for p in packed], [sha256(p).hexdigest() for p in packed], [sha256(codec.decode(p)).hexdigest() for p in packed]
+
+    def run(batches):
+        for batch in _run(batches, "text", made, apply):
+            yield batch.select(names)
+
+    made = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
+
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go as soon as the action has ended."""
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read back: lineage ends there and lost executors cost nothing.
+    """The frame written to the shared checkpoint folder and read back: lineage ends there, lost executors cost nothing, and its shuffles go."""
+    with tidy(checkpoints(df.sparkSession)):
+        return df.checkpoint(eager=True)
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) is a local one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="presflow-"))
-    return df.checkpoint(eager=True)
+
+_claims: dict[str, Callable[[], None]] = {}
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to; it does so as the driver's garbage is collected.
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Said by an operator that keeps tables in a worker between batches: those of others go first.
 
-    Twice, as the first collection only queues what hangs on finalizers and listeners.
+    Workers are used again by later stages, so without this the tables of all operators of a pipeline would add up.
     """
-    for _ in range(2):
+    if name not in _claims or len(_claims) > 1:
+        for other in [x for x in _claims if x != name]:
+            _claims.pop(other)()
+        _claims[name] = clear
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

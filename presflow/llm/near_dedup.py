@@ -1,19 +1,22 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Documents with equal shingle sets are one node of the search.  In each of TREES trees, a document goes down the paths of
-BRANCH coordinates of its min-wise signature a level, chosen by the hash of the path so far; documents that agree in them
-stay together.  With a similarity s the expected number of shared children is BRANCH * s, above one for the threshold, so a
-pair stays together somewhere at any depth but for a small chance, and further trees make that chance smaller.  All trees
-draw on one signature of 64 coordinates.  Averaged over how many of these a linked pair agrees in, the model gives a recall
-of 99.998 % at a similarity of 0.85 and of 99.98 % at 0.80, for pairs that no smaller node holds.
-
-A tree's node is compared exhaustively once it holds at most LEAF documents.  A larger node whose documents are alike on the
-whole will not get smaller by branching.  It is dealt to leaves, and the PIVOTS documents nearest to its modal signature
-join every one of them, so what links with a pivot or within a leaf is connected.  What of a dense node is then not connected
-with its largest component is compared with the whole node, by signatures of WIDE coordinates.  Other large nodes branch on.
-
-Leaves are compared by signatures of one byte a coordinate first; candidates then by their full shingle sets, and only in
-pairs that are not connected yet.  Confirmed links make components.
+Documents with equal shingle sets are one item of the search.  In each of TREES trees an item goes to the nodes of BRANCH
+coordinates of its min-wise signature, and from a node on to BRANCH children, whose coordinates follow from the hash of the
+path; items that agree in them stay together.  With a similarity s the expected number of shared children is BRANCH * s,
+above one for the threshold, so a linked pair stays together somewhere at any depth but for a small chance, and independent
+trees make that chance smaller.  All trees draw on one signature of 64 coordinates.  Averaged over how many of these a linked
+pair agrees in, the model gives a recall of 99.998 % at a similarity of 0.85 and of 99.98 % at 0.80 for pairs that meet in no
+small node; pairs of smaller nodes are missed with a chance of (1 - s) to the power of TREES * BRANCH, 3e-7 and 3e-6.
+
+Nodes of at most LEAF items are compared exhaustively.  Before a larger one branches, its items meet HUBS of its items,
+drawn by hash: an item that links with its nearest hub is connected, and pairs of connected items need no comparison.  So a
+large group of near copies comes down to one component and a rest.  A node that is one component is done.  Of a node's other
+pairs, those with an item outside of its largest component, either its children are looked at or blocks of the node and of
+the rest are compared, whichever takes fewer rows; where items are so alike that branching would not thin them, that is
+the blocks.  Both ways look at all of these pairs.
+
+Leaves are compared by signatures of one byte a coordinate first; candidates then by their full shingle sets.  Confirmed links
+make components.
 """
 
 from __future__ import annotations
@@ -24,25 +27,33 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, partitions
 from .components import components
-from .shingles import COORDINATES, linked, shingles, signature
+from .shingles import COORDINATES, shingles, signature
 
 PERCENT = 85
-TREES, BRANCH, LEAF, PIVOTS, DEPTH = 4, 2, 64, 8, 12
-#: A larger node is dense if its documents agree with one of them in this share of SAMPLE coordinates, on average.
-DENSE, SAMPLE = 0.5, 16
-#: Coordinates of the modal signature that pivots are near to.
-MODAL = 8
-#: Signatures for the rest of dense nodes, and how many documents of the rest and of the node meet at a time.
-WIDE, REST, NODE_BLOCK = 512, 64, 2048
+TREES, BRANCH, LEAF = 4, 2, 256
+#: Items of a node that its other items meet, items that meet them at a time, and items of a confirmed star.
+HUBS, MEETING, STAR = 64, 512, 128
+#: Items of each side of a block, and shingles of a leaf or block from which it is cut smaller.
+BLOCK, SHINGLES = 1024, 4_000_000
+#: What a row of a level of branching costs, in rows of blocks.
+LEVEL = 4.0
+#: Columns of the incidence matrix that intersections are counted by at a time.
+COLUMNS = 8192
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32())), ("low", pa.binary())])
-_SIGNED_SQL = "doc_id bigint, n_shingles bigint, set_key binary, sig array<int>, low binary"
+ROOTS = TREES * BRANCH
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.binary()), ("roots", pa.list_(pa.int32())), ("low", pa.binary())])
+_SIGNED_SQL = "doc_id bigint, n_shingles bigint, item binary, roots array<int>, low binary"
+
+
+def _key(s: np.ndarray) -> bytes:
+    """The name of a shingle set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _sign(batches):
@@ -53,66 +64,10 @@ def _sign(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 s = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 sig = signature(s) if len(s) else np.zeros(0, np.uint32)
-                rows.append({"doc_id": doc_id, "n_shingles": len(s), "set_key": xxhash.xxh3_128_digest(s.tobytes()), "sig": sig.view(np.int32), "low": sig.astype(np.uint8).tobytes()})
+                rows.append({"doc_id": doc_id, "n_shingles": len(s), "item": _key(s), "roots": sig[:ROOTS].view(np.int32), "low": sig.astype(np.uint8).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, _SIGNED)
 
 
-def _small_and_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, rep) of nodes with 2 to LEAF documents, and those of larger ones, with ``m``."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-    sized = cut(nodes.join(sizes, "node"))
-    return sized.filter(F.col("m") <= LEAF).select("node", "rep"), sized.filter(F.col("m") > LEAF)
-
-
-def _agreement(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-
-
-def _dealt(dense: DataFrame) -> DataFrame:
-    """Leaves (node, rep) of dense nodes (node, rep, m, some)."""
-    values = dense.select("node", F.posexplode(F.slice("some", 1, MODAL)).alias("at", "value")).groupBy("node", "at", "value").count()
-    modal = values.groupBy("node", "at").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
-    modal = modal.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("mode")).select("node", F.col("mode.value").alias("modal"))
-    near = Window.partitionBy("node").orderBy(F.desc("central"), "rep")
-    pivots = dense.join(modal, "node").select("node", "rep", "m", _agreement(F.slice("some", 1, MODAL), "modal").alias("central"))
-    pivots = pivots.withColumn("nth", F.row_number().over(near)).filter(F.col("nth") <= PIVOTS)
-    leaves = F.ceil(F.col("m") / (LEAF - PIVOTS)).cast("int")
-    leaf = lambda salt: F.xxhash64("node", salt).alias("node")
-    members = dense.select(leaf(F.pmod(F.xxhash64("rep", "node"), leaves).cast("int")), "rep")
-    everywhere = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), leaves - 1))).select(leaf(F.col("salt")), "rep")
-    return members.unionByName(everywhere).distinct()
-
-
-def _child(i: int):
-    """The i-th child of each node: its coordinate follows from the hash of the path."""
-    at = F.pmod(F.xxhash64("node", F.lit(0)) + i * (1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES - 1))), F.lit(COORDINATES)).cast("int")
-    return F.xxhash64("node", at, F.get("sig", at))
-
-
-def leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves (node, rep) of all trees, and the documents (node, rep) of dense nodes; ``reps`` has rep and sig."""
-    roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(at), F.get("sig", F.lit(at))) for tree in range(TREES) for at in range(tree * BRANCH, (tree + 1) * BRANCH)])
-    found, large = _small_and_large(reps.select(F.explode(roots).alias("node"), "rep"))
-    found, whole = [found], []
-    for depth in range(DEPTH):
-        if large.isEmpty():
-            break
-        placed = cut(large.join(reps, "rep").select("node", "rep", "m", _child(0).alias("one"), _child(1).alias("two"), F.slice("sig", 1, SAMPLE).alias("some")))
-        pivot = placed.groupBy("node").agg(F.min_by("some", F.xxhash64("rep", "node")).alias("pivot"))
-        alike = placed.join(pivot, "node").groupBy("node").agg((F.avg(_agreement("some", "pivot")) / SAMPLE).alias("alike"))
-        dense = cut(alike.filter(F.col("alike") >= (DENSE if depth < DEPTH - 1 else 0.0)).select("node"))
-        if not dense.isEmpty():
-            within = cut(placed.join(dense, "node", "left_semi").select("node", "rep", "m", "some"))
-            whole.append(within.select("node", "rep"))
-            found.append(cut(_dealt(within)))
-            placed = placed.join(dense, "node", "left_anti")
-        sparse = placed.select(F.explode(F.array("one", "two")).alias("node"), "rep")
-        small, large = _small_and_large(sparse.distinct())
-        found.append(small)
-    united = lambda frames: reduce(DataFrame.unionByName, frames)
-    return united(found), united(whole) if whole else None
-
-
 def _groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys, each whole; rows come sorted."""
     held: list[pa.RecordBatch] = []
@@ -133,154 +88,282 @@ def _groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _dealt(df: DataFrame, key: str, *then: str) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *then)
+
+
+def _tolerance(percent: int) -> float:
+    """Agreement that a linked pair falls below about once in 300,000 times."""
+    s = percent / 100
+    return s - 4.5 * (s * (1 - s) / COORDINATES) ** 0.5
+
+
+def _lows(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(table.num_rows, COORDINATES)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates that each row of a has in common with each of b."""
+    out = np.empty((len(a), len(b)), np.uint8)
+    step = max(1, (1 << 21) // (COORDINATES * max(1, len(b))))
+    for at in range(0, len(a), step):
+        out[at : at + step] = (a[at : at + step, None] == b).sum(2, dtype=np.uint8)
+    return out
+
+
+def _parts(near: np.ndarray) -> Iterator[np.ndarray]:
+    """Members of each connected part of a symmetric matrix of neighbours that has more than one."""
+    left = near.any(1)
+    while left.any():
+        seen = np.zeros(len(near), bool)
+        front = np.zeros(len(near), bool)
+        front[left.argmax()] = True
+        while front.any():
+            seen |= front
+            front = near[front].any(0) & ~seen
+        left &= ~seen
+        yield np.flatnonzero(seen)
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 5000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def _stars(least: float):
+    """(node, item, hub, agree): each item's nearest hub if it is near enough, and for each unit with no item the mean agreement of hubs."""
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+    def rows(batches):
+        for table in _groups(batches, "unit"):
+            low, hub = _lows(table), table["hub"].to_numpy(zero_copy_only=False)
+            items, node = table["item"].to_pylist(), table["node"][0].as_py()
+            hubs, others = np.flatnonzero(hub), np.flatnonzero(~hub)
+            among = _agreement(low[hubs], low[hubs])
+            n = len(hubs)
+            yield node, None, None, float((among.sum(dtype=np.int64) - n * COORDINATES) / max(1, n * (n - 1)) / COORDINATES)
+            if len(others):
+                agree = _agreement(low[others], low[hubs])
+                best = agree.argmax(1)
+                for i in np.flatnonzero(agree.max(1) >= least * COORDINATES):
+                    yield node, items[others[i]], items[hubs[best[i]]], float(agree[i, best[i]] / COORDINATES)
 
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
+    return lambda batches: _batches(rows(batches), ["node", "item", "hub", "agree"], [pa.int64(), pa.binary(), pa.binary(), pa.float64()])
 
 
 def _candidates(least: float):
-    """Parts of leaves that hang together by signatures: (part, rep)."""
-
-    def parts(batches):
-        for table in _groups(batches, "node"):
-            reps = table["rep"].to_numpy()
-            low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(reps), COORDINATES)
-            union = _Union(len(reps))
-            for i in range(len(reps) - 1):
-                for j in np.flatnonzero((low[i + 1 :] == low[i]).sum(1) >= least * COORDINATES):
-                    union.join(i, i + 1 + int(j))
-            roots = np.array([union.root(i) for i in range(len(reps))])
-            for root in np.flatnonzero(np.bincount(roots) > 1):
-                members = reps[roots == root]
-                yield np.full(len(members), xxhash.xxh3_64_intdigest(members.tobytes()), np.uint64).view(np.int64), members
-
-    def run(batches):
-        held, n = [], 0
-        for part in parts(batches):
-            held.append(part)
-            n += len(part[1])
-            if n > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["part", "rep"])
-                held, n = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["part", "rep"])
-
-    return run
+    """(part, item): what hangs together in each unit by pairs of different components that are near enough.
+
+    side: 0 for an item that meets all of its unit, 1 for one of the rest, which meets those of side 2.
+    """
+
+    def rows(batches):
+        for table in _groups(batches, "unit"):
+            low, side = _lows(table), table["side"].to_numpy()
+            items, label = table["item"].to_pylist(), table["label"].to_pylist()
+            names = _codes(label)
+            near = np.zeros((len(low), len(low)), bool)
+            of = np.flatnonzero(side < 2)
+            to = np.flatnonzero(side != 1)
+            hit = (_agreement(low[of], low[to]) >= least * COORDINATES) & (names[of][:, None] != names[to])
+            near[np.ix_(of, to)] = hit
+            near |= near.T
+            for part in _parts(near):
+                members = sorted({items[i] for i in part})
+                key = xxhash.xxh3_64_intdigest(b"".join(members)) - (1 << 63)
+                for item in members:
+                    yield key, item
+
+    return lambda batches: _batches(rows(batches), ["part", "item"], [pa.int64(), pa.binary()])
+
+
+def _codes(names: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(x, len(known)) for x in names], np.int64)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets (of distinct numbers), by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.r_[True, value[1:] != value[:-1]]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    number = np.cumsum(shared) - 1
+    column, owner = number[column[shared[column]]], owner[shared[column]]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[a:b], column[a:b] - at] = 1
+        both += block @ block.T  # counts of at most COLUMNS are exact
+    size = np.array([len(s) for s in sets], np.int64)
+    both = both.astype(np.int64)
+    both[np.arange(len(sets)), np.arange(len(sets))] = size
+    return both
+
+
+def links_among(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for every two sets; no set is linked with itself."""
+    both, size = intersections(sets), np.array([len(s) for s in sets], np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    linked[np.arange(len(sets)), np.arange(len(sets))] = False
+    return linked
 
 
 def _confirm(percent: int):
     """Links of each part, confirmed on full sets, as stars around the smallest of what hangs together."""
 
-    def run(batches):
-        a, b = [], []
+    def rows(batches):
         for table in _groups(batches, "part"):
-            reps = table["rep"].to_pylist()
-            sets = [shingles(x.as_buffer().to_pybytes()) for x in table["text"]]
-            union = _Union(len(reps))
-            for i in range(len(reps)):
-                for j in range(i + 1, len(reps)):
-                    if union.root(i) != union.root(j) and linked(sets[i], sets[j], percent):
-                        union.join(i, j)
-            for i in range(len(reps)):
-                if (root := union.root(i)) != i:
-                    a.append(reps[i])
-                    b.append(reps[root])
-            if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _widen(batches):
-    """(node, rep, component, rest) with signatures of one byte for each of WIDE coordinates in place of texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            wide = [signature(shingles(x.as_buffer().to_pybytes()), WIDE).astype(np.uint8).tobytes() for x in part.column(part.schema.get_field_index("text"))]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("rep")), pa.array(wide, pa.binary())], ["rep", "wide"])
+            items = table["item"].to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+            for part in _parts(links_among(sets, percent)):
+                names = sorted(items[i] for i in part)
+                for name in names[1:]:
+                    yield name, names[0]
 
+    return lambda batches: _batches(rows(batches), ["a", "b"], [pa.binary(), pa.binary()])
 
-def _meet_rest(least: float):
-    """Pairs (a, b) of different components: a of the rest and b of the node, alike by their wide signatures."""
 
-    def run(batches):
-        for table in _groups(batches, "meeting"):
-            reps, component, rest = table["rep"].to_numpy(), table["component"].to_numpy(), table["rest"].to_numpy(zero_copy_only=False)
-            wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(len(reps), WIDE)
-            others = np.flatnonzero(~rest)
-            for i in np.flatnonzero(rest):
-                hit = others[((wide[others] == wide[i]).sum(1) >= least * WIDE) & (component[others] != component[i])]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), reps[i])), pa.array(reps[hit])], ["a", "b"])
+def _sets(batches):
+    """(item, shingles) of rows (item, text) whose text has the set that the item names."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            made = [(item, s) for item, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) if _key(s := shingles(text.as_buffer().to_pybytes())) == item]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["item", "shingles"])
+
+
+class Search:
+    """Confirmed links between items (item, doc_id, n_shingles, roots, low), whose texts are in ``rows`` (doc_id, text)."""
+
+    def __init__(self, items: DataFrame, rows: DataFrame, percent: int):
+        self.items, self.percent, self.least = items, percent, _tolerance(percent)
+        self.rows = rows.filter("doc_id is not null and text is not null")
+        self.slim = items.select("item", "low")
+        self.links: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def labelled(self, df: DataFrame, item: str = "item", label: str = "label") -> DataFrame:
+        """``label``: what each item is connected with so far."""
+        if self.labels is None:
+            return df.withColumn(label, F.col(item))
+        labels = self.labels.select(F.col("item").alias(item), F.col("label").alias(label))
+        return df.join(labels, item, "left").withColumn(label, F.coalesce(label, item))
+
+    def confirm(self, parts: DataFrame) -> None:
+        """Adds the links of parts (part, item)."""
+        wanted = self.items.join(parts.select("item").distinct(), "item", "left_semi").select("item", "doc_id")
+        texts = self.rows.join(wanted, "doc_id").select("item", "text").mapInArrow(_sets, "item binary, shingles binary").dropDuplicates(["item"])
+        met = _dealt(parts.join(texts, "item"), "part", "item")
+        self.links.append(cut(met.mapInArrow(_confirm(self.percent), "a binary, b binary")))
+        self.labels = cut(components(reduce(DataFrame.unionByName, self.links))).select(F.col("node").alias("item"), F.col("component").alias("label"))
+
+    def grown(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of rows (node, item, n), those of nodes that may be compared at once, and (node, item, low, n, m, weight) of larger ones."""
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).filter("m > 1")
+        met = cut(nodes.join(sizes, "node").join(self.slim, "item"))
+        leaf = (F.col("m") <= LEAF) & (F.col("weight") <= SHINGLES)
+        return met.filter(leaf).select("node", "item", "low"), met.filter(~leaf)
+
+    def star(self, large: DataFrame, depth: int) -> DataFrame:
+        """Connects what it can by hubs; (node, alike) of the large nodes."""
+        drawn = Window.partitionBy("node").orderBy(F.xxhash64("item", "node", F.lit(depth)))
+        hubs = large.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= HUBS)
+        units = F.ceil(F.col("m") / MEETING).cast("int")
+        unit = lambda at: F.xxhash64("node", at).alias("unit")
+        others = large.select(unit(F.pmod(F.xxhash64("item", "node"), units).cast("int")), "node", "item", "low", F.lit(False).alias("hub"))
+        every = hubs.withColumn("at", F.explode(F.sequence(F.lit(0), units - 1))).select(unit(F.col("at")), "node", "item", "low", F.lit(True).alias("hub"))
+        met = cut(_dealt(others.unionByName(every), "unit").mapInArrow(_stars(self.least), "node bigint, item binary, hub binary, agree double"))
+        near = met.filter("item is not null").groupBy("item").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub"))
+        near = self.labelled(self.labelled(near, "item", "own"), "hub", "other")
+        near = cut(near.filter("own <> other").select("item", "hub"))
+        if not near.isEmpty():
+            chunks = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
+            part = lambda at: F.xxhash64("hub", at).alias("part")
+            rays = near.join(chunks, "hub").select(part(F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")), "item")
+            centres = chunks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(part(F.col("at")), F.col("hub").alias("item"))
+            self.confirm(cut(rays.unionByName(centres)))
+        return met.filter("item is null").groupBy("node").agg(F.max("agree").alias("alike"))
+
+    def run(self) -> DataFrame:
+        """Links (a, b) that connect whatever links connect."""
+        roots = F.array(*[F.xxhash64(F.lit(at), F.get("roots", F.lit(at))) for at in range(ROOTS)])
+        small, large = self.grown(self.items.select(F.explode(roots).alias("node"), "item", F.col("n_shingles").alias("n")))
+        leaves, blocks, depth = [small], [], 0
+        while not large.isEmpty():
+            alike = self.star(large, depth)
+            placed = cut(self.labelled(large))
+            sizes = placed.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
+            weight = placed.groupBy("node").agg(F.first("weight").alias("weight"))
+            plan = sizes.filter("m > most").join(alike, "node").join(weight, "node").withColumn("rest", F.col("m") - F.col("most")).select("node", "main", *_ways(F.col("m"), F.col("rest"), F.col("weight"), F.col("alike")))
+            placed = cut(placed.drop("m", "weight").join(plan, "node"))
+            blocks.append(cut(_blocks(placed.filter("NOT branches"))))
+            children = placed.filter("branches").select(F.explode(F.array(*[_child(i) for i in range(BRANCH)])).alias("node"), "item", "n").distinct()
+            small, large = self.grown(children)
+            leaves.append(small)
+            depth += 1
+        self.compare(reduce(DataFrame.unionByName, leaves), blocks)
+        return reduce(DataFrame.unionByName, self.links)
+
+    def compare(self, leaves: DataFrame, blocks: list[DataFrame]) -> None:
+        """Candidates of all leaves and blocks, confirmed."""
+        # the same items meet in many leaves: one of equal leaves is enough
+        same = leaves.groupBy("node").agg(F.bit_xor(F.xxhash64("item")).alias("x"), F.sum(F.xxhash64("item", F.lit(1)).cast("decimal(38,0)")).alias("y")).groupBy("x", "y").agg(F.min("node").alias("node")).select("node")
+        units = self.labelled(leaves.join(same, "node", "left_semi")).select(F.col("node").alias("unit"), "item", "low", "label", F.lit(0).alias("side"))
+        for some in blocks:
+            units = units.unionByName(self.labelled(some).select("unit", "item", "low", "label", "side"))
+        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), "part bigint, item binary").distinct())
+        # first the largest part of each item; then, of the others, those that do not hang together yet
+        sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
+        first = cut(parts.join(sizes, "part").groupBy("item").agg(F.max_by("part", F.struct("k", "part")).alias("part")).select("part").distinct())
+        self.confirm(parts.join(first, "part", "left_semi"))
+        others = self.labelled(parts.join(first, "part", "left_anti"))
+        mixed = others.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("part")
+        again = cut(others.join(mixed, "part", "left_semi").select("part", "item"))
+        if not again.isEmpty():
+            self.confirm(again)
+
+
+def _child(i: int) -> Column:
+    """The i-th child of each node: its coordinate follows from the hash of the path."""
+    at = F.pmod(F.xxhash64("node", F.lit(0)) + i * (1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES - 1))), F.lit(COORDINATES)).cast("int")
+    return F.xxhash64("node", at, F.substring("low", at + 1, F.lit(1)))
 
-    return run
 
+def _ways(m: Column, rest: Column, weight: Column, alike: Column) -> list[Column]:
+    """rows_of and blocks_of (numbers of blocks of the rest and of the node), and whether branching takes fewer rows than they do.
 
-def _tolerance(percent: int, coordinates: int) -> float:
-    """Agreement that a linked pair falls below about once in 300,000 times."""
-    s = percent / 100
-    return s - 4.5 * (s * (1 - s) / coordinates) ** 0.5
-
-
-def _rest(whole: DataFrame, component: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between what is not in the largest component of its dense node and the whole node."""
-    p = partitions(whole.sparkSession)
-    placed = whole.distinct().join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = placed.groupBy("node", "component").count().groupBy("node")
-    sizes = sizes.agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), (F.sum("count") - F.max("count")).alias("n")).filter("n > 0")
-    placed = cut(placed.join(sizes, "node").withColumn("rest", F.col("component") != F.col("main")))
-    if placed.isEmpty():
-        return placed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    wide = cut(texts.join(placed.select("rep").distinct(), "rep").mapInArrow(_widen, "rep bigint, wide binary"))
-    chunks, blocks = F.ceil(F.col("n") / REST).cast("int"), F.ceil(F.col("m") / NODE_BLOCK).cast("int")
-    spot = lambda n: F.pmod(F.xxhash64("rep", "node"), n).cast("int")
+    A level of branching leaves a share ``alike`` of a node in a child, BRANCH * alike rows for one.  Its rows count LEVEL
+    times, for the steps that a level takes and for children that shrink less than the mean.
+    """
+    heavy = F.ceil(weight / SHINGLES)
+    chunks = F.greatest(F.ceil(rest / BLOCK), F.ceil(heavy * rest / m))
+    cuts = F.greatest(F.ceil(m / BLOCK), heavy)
+    p = F.least(F.greatest(alike, F.lit(0.01)), F.lit(0.999))
+    levels = F.greatest(F.lit(1.0), F.log(m / LEAF) / -F.log(p))
+    ratio = BRANCH * p
+    branching = m * F.when(F.abs(ratio - 1) < 0.01, levels).otherwise((F.pow(ratio, levels + 1) - ratio) / (ratio - 1))
+    return [chunks.cast("int").alias("chunks"), cuts.cast("int").alias("cuts"), (LEVEL * branching < m * chunks + rest * cuts).alias("branches")]
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """(unit, item, low, side): every block of a node's rest beside every block of the node."""
+    spot = lambda n: F.pmod(F.xxhash64("item", "node"), n).cast("int")
     count = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    some = placed.filter("rest").withColumn("chunk", spot(chunks)).withColumn("block", count(blocks)).withColumn("rest", F.lit(True))
-    every = placed.withColumn("block", spot(blocks)).withColumn("chunk", count(chunks)).withColumn("rest", F.lit(False))
-    meeting = F.xxhash64("node", "chunk", "block").alias("meeting")
-    both = some.select(meeting, "rep", "component", "rest").unionByName(every.select(meeting, "rep", "component", "rest")).join(wide, "rep")
-    pairs = both.repartition(p, "meeting").sortWithinPartitions("meeting", "rest", "rep").mapInArrow(_meet_rest(_tolerance(percent, WIDE)), "a bigint, b bigint")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.xxhash64("a", "b").alias("part"), F.explode(F.array("a", "b")).alias("rep")).join(texts, "rep")
-    return ends.repartition(p, "part").sortWithinPartitions("part", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
-
-
-def edges(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect whatever links connect; ``reps`` has rep, sig and low, ``rows`` doc_id and text."""
-    p = partitions(rows.sparkSession)
-    found, whole = leaves(reps.select("rep", "sig"))
-    # the same documents meet in many leaves: one of equal leaves is enough
-    same = found.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).groupBy("reps").agg(F.min("node").alias("node"))
-    members = same.filter(F.size("reps") > 1).select("node", F.explode("reps").alias("rep")).join(reps.select("rep", "low"), "rep")
-    parts = members.repartition(p, "node").sortWithinPartitions("node", "rep").mapInArrow(_candidates(_tolerance(percent, COORDINATES)), "part bigint, rep bigint")
-    parts = cut(parts.distinct())
-    wanted = parts.select("rep") if whole is None else parts.select("rep").unionByName(whole.select("rep"))
-    texts = rows.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("rep"), "text")
-    texts = cut(texts.join(wanted.distinct(), "rep").join(reps.select("rep"), "rep").dropDuplicates(["rep"]))
-    confirm = lambda some: some.select("part", "rep").join(texts, "rep").repartition(p, "part").sortWithinPartitions("part", "rep").mapInArrow(_confirm(percent), "a bigint, b bigint")
-    # first the largest part of each document; then, of the others, those that do not hang together yet
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    first = cut(parts.join(sizes, "part").groupBy("rep").agg(F.max_by("part", F.struct("n", "part")).alias("part")).select("part").distinct())
-    links = cut(confirm(parts.join(first, "part", "left_semi")))
-    labels = components(links).withColumnRenamed("node", "rep")
-    others = parts.join(first, "part", "left_anti").join(labels, "rep", "left").select("part", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = others.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("part")
-    links = cut(links.unionByName(confirm(others.join(mixed, "part", "left_semi"))))
-    if whole is None:
-        return links
-    return links.unionByName(_rest(whole, components(links), texts, percent))
+    unit = F.xxhash64("node", "chunk", "block").alias("unit")
+    rest = placed.filter("label <> main").withColumn("chunk", spot(F.col("chunks"))).withColumn("block", count(F.col("cuts"))).select(unit, "item", "low", F.lit(1).alias("side"))
+    every = placed.withColumn("block", spot(F.col("cuts"))).withColumn("chunk", count(F.col("chunks"))).select(unit, "item", "low", F.lit(2).alias("side"))
+    return rest.unionByName(every)
 
 
 def link(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,17 +372,24 @@ def link(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: st
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable over links, kept says whether that is the document's own.  A text without words (or null) is linked with
     nothing.  Rows that share an id are linked with each other, whatever their texts, and are rows of their own in the
-    result.  A row with a null id is linked with nothing, is kept, and has no component.  Other columns are not looked at.
+    result.  A row with a null id is linked with nothing, is kept, and has no component.  Other columns are not looked at; an
+    empty table gives an empty table.
     """
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(rows.mapInArrow(_sign, _SIGNED_SQL))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
-    by_set = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    reps = cut(by_set.repartition(partitions(df.sparkSession), "rep").dropDuplicates(["rep"]))  # joins by rep below find it dealt already
+    by_item = known.groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("low").alias("low"))
+    items = cut(by_item.repartition(partitions(df.sparkSession), "item"))  # joins by item below find it dealt already
     # rows that share an id but not a set hang together by the id
-    by_id = known.join(by_set.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    component = components(edges(rows, reps, percent).unionByName(by_id))
-    own = signed.filter("doc_id is not null").select("doc_id", "n_shingles")
-    done = own.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    ids = known.groupBy("doc_id").agg(F.min("item").alias("one"), F.max("item").alias("other")).filter("one <> other").select("doc_id", "one")
+    by_id = cut(known.join(ids, "doc_id").filter("item <> one").select(F.col("item").alias("a"), F.col("one").alias("b")).distinct())
+    links = Search(items, rows, percent).run().unionByName(by_id)
+    labels = components(links).select(F.col("node").alias("item"), F.col("component").alias("label"))
+    placed = items.select("item", "doc_id").join(labels, "item", "left").withColumn("label", F.coalesce("label", "item"))
+    placed = placed.join(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("item", "component_id")
+    done = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "item").join(placed, "item").select("doc_id", "n_shingles", "component_id")
+    # a document that has an id with others that have words goes with them
+    bare = signed.filter("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    bare = bare.join(done.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     lone = signed.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
-    return done.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return done.unionByName(bare).unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import claim
+
 WORDS = 5
 #: Coordinates of a signature.
 COORDINATES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_ENTRIES = 400_000
+_TABLE_ENTRIES = 200_000
 
 
 class _Hashes(dict):
@@ -27,6 +29,7 @@ _hashes = _Hashes()
 
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Distinct shingles of n words, A-Z in lower case; fewer words make one shingle of them all, no word none."""
+    claim("shingles", _hashes.clear)
     words = text.lower().split()  # of bytes: lowers A-Z alone, splits at \x20 and \x09-\x0D
     if not words:
         return np.zeros(0, np.uint64)

@@ -105,17 +105,43 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert near_dedup.link(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_pairs_that_meet_in_large_nodes_alone_stay_together(spark):
+def test_large_nodes_branch_or_meet_in_blocks(spark, monkeypatch):
+    for name, value in {"LEAF": 20, "HUBS": 6, "MEETING": 40, "STAR": 8, "BLOCK": 12, "SHINGLES": 40_000}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    levels = []
+    monkeypatch.setattr(near_dedup.Search, "star", lambda self, large, depth, star=near_dedup.Search.star: levels.append(depth) or star(self, large, depth))
+    rows = corpus(random.Random(4), 60, 90)
+    got = near_dedup.link(spark.createDataFrame(rows, SCHEMA).repartition(3), 80).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 80) and len(levels) > 1
+
+
+def test_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "pq")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " tail"), (5, None), (3, "alone with other words than these"), (9, b + " tail")]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.link(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5), (9, 5)]
+
+
+def test_links_by_matrix():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(60)]
+    found = near_dedup.links_among(sets, 30)
+    assert all(found[i, j] == (i != j and linked(sets[i], sets[j], 30)) for i in range(60) for j in range(60)) and found.any()
+
+
+def test_branching_keeps_alike_items_together():
     rng = np.random.default_rng(5)
-    n = 1500
-    left = rng.integers(0, 3, (n, 64))  # few values: every node is large, none is dense
-    right = left.copy()
-    for row in right:  # each pair agrees in 38 coordinates
-        at = rng.choice(64, 26, replace=False)
-        row[at] = (row[at] + rng.integers(1, 3, 26)) % 3
-    sigs = np.stack([left, right], 1).reshape(2 * n, 64)
-    reps = spark.createDataFrame([(i, sig.tolist()) for i, sig in enumerate(sigs)], "rep bigint, sig array<int>")
-    found, whole = near_dedup.leaves(reps)
-    assert whole is None
-    met = found.selectExpr("node", "rep div 2 as pair").groupBy("node", "pair").count().filter("count > 1").select("pair").distinct().count()
-    assert met >= 0.96 * n  # the model: 98.5 % with two children a node, 90 % with one and a half
+    n, depth = 4000, 8
+
+    def kept(left, right):
+        """Whether two signatures meet in a node of that depth."""
+        nodes = [(i, left[i]) for i in range(near_dedup.ROOTS) if left[i] == right[i]]
+        for level in range(depth):
+            places = [(hash((p, level)) + i * (1 + hash((p, level, 1)) % 63)) % 64 for p in nodes for i in range(near_dedup.BRANCH)]
+            nodes = [(p, i, left[at]) for (p, i), at in zip([(p, i) for p in nodes for i in range(near_dedup.BRANCH)], places, strict=True) if left[at] == right[at]][:200]
+        return bool(nodes)
+
+    left = rng.integers(0, 1 << 30, (n, 64))
+    for s, least in ((0.85, 0.999), (0.80, 0.995)):
+        right = np.where(rng.random((n, 64)) < s, left, -1)
+        assert np.mean([kept(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]) >= least
