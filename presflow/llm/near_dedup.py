@@ -8,12 +8,16 @@ trees make that chance smaller.  All trees draw on one signature of 64 coordinat
 pair agrees in, the model gives a recall of 99.998 % at a similarity of 0.85 and of 99.98 % at 0.80 for pairs that meet in no
 small node; pairs of smaller nodes are missed with a chance of (1 - s) to the power of TREES * BRANCH, 3e-7 and 3e-6.
 
-Nodes of at most LEAF items are compared exhaustively.  Before a larger one branches, its items meet HUBS of its items,
-drawn by hash: an item that links with its nearest hub is connected, and pairs of connected items need no comparison.  So a
-large group of near copies comes down to one component and a rest.  A node that is one component is done.  Of a node's other
-pairs, those with an item outside of its largest component, either its children are looked at or blocks of the node and of
-the rest are compared, whichever takes fewer rows; where items are so alike that branching would not thin them, that is
-the blocks.  Both ways look at all of these pairs.
+Nodes of at most NODE items are looked through in one task: they branch there, in arrays, down to LEAF items, which are
+compared exhaustively; so is a node that is so much alike that branching would take longer.  What hangs together by
+signatures is a part.  A part of at most STAR items is confirmed whole; of a larger one, stars around some of its items are
+confirmed first, which brings a group of near copies down to one component and a rest, and then every pair of its items that
+are near by signatures and not connected yet, in blocks.
+
+Before a node of more than NODE items branches, its items meet HUBS of its items, drawn by hash, and those that link with the
+nearest are connected.  A node that is one component is done.  Of a node's other pairs, those with an item outside of its
+largest component, either its children are looked at or blocks of the node and of the rest are compared, whichever takes
+fewer rows.  Both ways look at all of these pairs.
 
 Leaves are compared by signatures of one byte a coordinate first; candidates then by their full shingle sets.  Confirmed links
 make components.
@@ -36,11 +40,11 @@ from .components import components
 from .shingles import COORDINATES, shingles, signature
 
 PERCENT = 85
-TREES, BRANCH, LEAF = 4, 2, 256
-#: Items of a node that its other items meet, items that meet them at a time, and items of a confirmed star.
+TREES, BRANCH, LEAF, NODE = 4, 2, 256, 6000
+#: Items of a node that its other items meet, items that meet them at a time, and items that are confirmed together.
 HUBS, MEETING, STAR = 64, 512, 128
-#: Items of each side of a block, and shingles of a leaf or block from which it is cut smaller.
-BLOCK, SHINGLES = 1024, 4_000_000
+#: Items of each side of a block.
+BLOCK = 1024
 #: What a row of a level of branching costs, in rows of blocks.
 LEVEL = 4.0
 #: Columns of the incidence matrix that intersections are counted by at a time.
@@ -156,8 +160,70 @@ def _stars(least: float):
     return lambda batches: _batches(rows(batches), ["node", "item", "hub", "agree"], [pa.int64(), pa.binary(), pa.binary(), pa.float64()])
 
 
+def _key_of(members: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"".join(members)) - (1 << 63)
+
+
+def _leaves(low: np.ndarray, rows: np.ndarray, path: int) -> Iterator[np.ndarray]:
+    """Rows of the leaves below a node of these rows: children by two coordinates that follow from the path, while that is less work."""
+    m = len(rows)
+    if m > LEAF:
+        some = low[rows[:: max(1, m // HUBS)]]
+        alike = min(0.999, max(0.01, float((_agreement(some, some).mean() * len(some) / COORDINATES - 1) / (len(some) - 1))))
+        if (BRANCH * alike) ** (np.log(m / LEAF) / -np.log(alike)) * LEAF * LEVEL < m:
+            step = 1 + path // COORDINATES % (COORDINATES - 1)
+            for i in range(BRANCH):
+                at = (path + i * step) % COORDINATES
+                order = rows[np.argsort(low[rows, at], kind="stable")]
+                value = low[order, at]
+                for child in np.split(order, np.flatnonzero(value[1:] != value[:-1]) + 1):
+                    if len(child) > 1:
+                        yield from _leaves(low, child, xxhash.xxh3_64_intdigest(bytes((at, int(low[child[0], at]))), seed=path))
+            return
+    yield rows
+
+
+def _near(low: np.ndarray, path: int, least: float) -> np.ndarray:
+    """Which items are neighbours: near enough by signatures in some leaf."""
+    near = np.zeros((len(low), len(low)), bool)
+    for rows in _leaves(low, np.arange(len(low)), path):
+        near[np.ix_(rows, rows)] |= _agreement(low[rows], low[rows]) >= least * COORDINATES
+    near[np.arange(len(low)), np.arange(len(low))] = False
+    return near
+
+
+def _stars_of(low: np.ndarray, part: np.ndarray, near: np.ndarray) -> Iterator[np.ndarray]:
+    """A part in groups of at most STAR: the items nearest to each of some hubs, those with the most neighbours of a draw, and the hub."""
+    drawn = part[:: max(1, len(part) // (4 * HUBS))]
+    hubs = drawn[np.argsort(-near[np.ix_(drawn, part)].sum(1), kind="stable")[: max(8, len(drawn) // 4)]]
+    others = np.setdiff1d(part, hubs)
+    best = _agreement(low[others], low[hubs]).argmax(1)
+    yield from np.split(hubs, range(STAR, len(hubs), STAR))
+    for h, hub in enumerate(hubs):
+        mine = others[best == h]
+        for at in range(0, len(mine), STAR - 1):
+            yield np.r_[hub, mine[at : at + STAR - 1]]
+
+
 def _candidates(least: float):
-    """(part, item): what hangs together in each unit by pairs of different components that are near enough.
+    """(part, size, item): what is to be confirmed together first, of each unit (a node)."""
+
+    def rows(batches):
+        for table in _groups(batches, "unit"):
+            low, items = _lows(table), table["item"].to_pylist()
+            near = _near(low, table["unit"][0].as_py() & (1 << 63) - 1, least)
+            for part in _parts(near):
+                for group in [part] if len(part) <= STAR else _stars_of(low, part, near):
+                    members = sorted({items[i] for i in group})
+                    key = _key_of(members)
+                    for item in members:
+                        yield key, len(members), item
+
+    return lambda batches: _batches(rows(batches), ["part", "size", "item"], [pa.int64(), pa.int32(), pa.binary()])
+
+
+def _remaining(least: float):
+    """(part, size, item): blocks with pairs that are near and not connected, of parts that were not confirmed whole.
 
     side: 0 for an item that meets all of its unit, 1 for one of the rest, which meets those of side 2.
     """
@@ -165,21 +231,32 @@ def _candidates(least: float):
     def rows(batches):
         for table in _groups(batches, "unit"):
             low, side = _lows(table), table["side"].to_numpy()
-            items, label = table["item"].to_pylist(), table["label"].to_pylist()
-            names = _codes(label)
-            near = np.zeros((len(low), len(low)), bool)
-            of = np.flatnonzero(side < 2)
-            to = np.flatnonzero(side != 1)
-            hit = (_agreement(low[of], low[to]) >= least * COORDINATES) & (names[of][:, None] != names[to])
-            near[np.ix_(of, to)] = hit
-            near |= near.T
-            for part in _parts(near):
-                members = sorted({items[i] for i in part})
-                key = xxhash.xxh3_64_intdigest(b"".join(members)) - (1 << 63)
-                for item in members:
-                    yield key, item
-
-    return lambda batches: _batches(rows(batches), ["part", "item"], [pa.int64(), pa.binary()])
+            items, label = table["item"].to_pylist(), _codes(table["label"].to_pylist())
+            if side[0] == 0:
+                near = _near(low, table["unit"][0].as_py() & (1 << 63) - 1, least)
+                for part in _parts(near):
+                    if len(part) <= STAR:
+                        near[part] = False  # confirmed whole
+            else:
+                near = np.zeros((len(low), len(low)), bool)
+                of, to = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+                near[np.ix_(of, to)] = _agreement(low[of], low[to]) >= least * COORDINATES
+                near |= near.T
+            near &= label[:, None] != label
+            main = np.bincount(label).argmax()
+            some = near.any(1)
+            rest, whole = np.flatnonzero(some & (label != main)), np.flatnonzero(some)
+            half = STAR // 2
+            for a in range(0, len(rest), half):
+                these = rest[a : a + half]
+                those = whole[near[np.ix_(these, whole)].any(0)]
+                for b in range(0, len(those), half):
+                    members = sorted({items[i] for i in np.r_[these[near[np.ix_(these, those[b : b + half])].any(1)], those[b : b + half]]})
+                    key = _key_of(members)
+                    for item in members:
+                        yield key, len(members), item
+
+    return lambda batches: _batches(rows(batches), ["part", "size", "item"], [pa.int64(), pa.int32(), pa.binary()])
 
 
 def _codes(names: list[bytes]) -> np.ndarray:
@@ -260,20 +337,22 @@ class Search:
         labels = self.labels.select(F.col("item").alias(item), F.col("label").alias(label))
         return df.join(labels, item, "left").withColumn(label, F.coalesce(label, item))
 
-    def confirm(self, parts: DataFrame) -> None:
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(item, shingles) of the items that are wanted."""
+        ids = self.items.join(wanted.select("item").distinct(), "item", "left_semi").select("item", "doc_id")
+        return self.rows.join(ids, "doc_id").select("item", "text").mapInArrow(_sets, "item binary, shingles binary").dropDuplicates(["item"])
+
+    def confirm(self, parts: DataFrame, sets: DataFrame) -> None:
         """Adds the links of parts (part, item)."""
-        wanted = self.items.join(parts.select("item").distinct(), "item", "left_semi").select("item", "doc_id")
-        texts = self.rows.join(wanted, "doc_id").select("item", "text").mapInArrow(_sets, "item binary, shingles binary").dropDuplicates(["item"])
-        met = _dealt(parts.join(texts, "item"), "part", "item")
+        met = _dealt(parts.select("part", "item").join(sets, "item"), "part", "item")
         self.links.append(cut(met.mapInArrow(_confirm(self.percent), "a binary, b binary")))
         self.labels = cut(components(reduce(DataFrame.unionByName, self.links))).select(F.col("node").alias("item"), F.col("component").alias("label"))
 
     def grown(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of rows (node, item, n), those of nodes that may be compared at once, and (node, item, low, n, m, weight) of larger ones."""
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).filter("m > 1")
+        """Of rows (node, item), (node, item, low, m) of nodes that one task looks through, and of larger ones."""
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
         met = cut(nodes.join(sizes, "node").join(self.slim, "item"))
-        leaf = (F.col("m") <= LEAF) & (F.col("weight") <= SHINGLES)
-        return met.filter(leaf).select("node", "item", "low"), met.filter(~leaf)
+        return met.filter(F.col("m") <= NODE), met.filter(F.col("m") > NODE)
 
     def star(self, large: DataFrame, depth: int) -> DataFrame:
         """Connects what it can by hubs; (node, alike) of the large nodes."""
@@ -292,46 +371,46 @@ class Search:
             part = lambda at: F.xxhash64("hub", at).alias("part")
             rays = near.join(chunks, "hub").select(part(F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")), "item")
             centres = chunks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(part(F.col("at")), F.col("hub").alias("item"))
-            self.confirm(cut(rays.unionByName(centres)))
+            parts = cut(rays.unionByName(centres))
+            self.confirm(parts, self.sets(parts))
         return met.filter("item is null").groupBy("node").agg(F.max("agree").alias("alike"))
 
     def run(self) -> DataFrame:
         """Links (a, b) that connect whatever links connect."""
         roots = F.array(*[F.xxhash64(F.lit(at), F.get("roots", F.lit(at))) for at in range(ROOTS)])
-        small, large = self.grown(self.items.select(F.explode(roots).alias("node"), "item", F.col("n_shingles").alias("n")))
-        leaves, blocks, depth = [small], [], 0
+        small, large = self.grown(self.items.select(F.explode(roots).alias("node"), "item"))
+        nodes, blocks, depth = [small], [], 0
         while not large.isEmpty():
             alike = self.star(large, depth)
             placed = cut(self.labelled(large))
             sizes = placed.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
-            weight = placed.groupBy("node").agg(F.first("weight").alias("weight"))
-            plan = sizes.filter("m > most").join(alike, "node").join(weight, "node").withColumn("rest", F.col("m") - F.col("most")).select("node", "main", *_ways(F.col("m"), F.col("rest"), F.col("weight"), F.col("alike")))
-            placed = cut(placed.drop("m", "weight").join(plan, "node"))
+            plan = sizes.filter("m > most").join(alike, "node").withColumn("rest", F.col("m") - F.col("most")).select("node", "main", *_ways(F.col("m"), F.col("rest"), F.col("alike")))
+            placed = cut(placed.drop("m").join(plan, "node"))
             blocks.append(cut(_blocks(placed.filter("NOT branches"))))
-            children = placed.filter("branches").select(F.explode(F.array(*[_child(i) for i in range(BRANCH)])).alias("node"), "item", "n").distinct()
+            children = placed.filter("branches").select(F.explode(F.array(*[_child(i) for i in range(BRANCH)])).alias("node"), "item").distinct()
             small, large = self.grown(children)
-            leaves.append(small)
+            nodes.append(small)
             depth += 1
-        self.compare(reduce(DataFrame.unionByName, leaves), blocks)
+        self.compare(reduce(DataFrame.unionByName, nodes), blocks)
         return reduce(DataFrame.unionByName, self.links)
 
-    def compare(self, leaves: DataFrame, blocks: list[DataFrame]) -> None:
-        """Candidates of all leaves and blocks, confirmed."""
-        # the same items meet in many leaves: one of equal leaves is enough
-        same = leaves.groupBy("node").agg(F.bit_xor(F.xxhash64("item")).alias("x"), F.sum(F.xxhash64("item", F.lit(1)).cast("decimal(38,0)")).alias("y")).groupBy("x", "y").agg(F.min("node").alias("node")).select("node")
-        units = self.labelled(leaves.join(same, "node", "left_semi")).select(F.col("node").alias("unit"), "item", "low", "label", F.lit(0).alias("side"))
+    def compare(self, nodes: DataFrame, blocks: list[DataFrame]) -> None:
+        """Candidates of all nodes and blocks, confirmed."""
+        units = nodes.select(F.col("node").alias("unit"), "item", "low")
+        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), "part bigint, size int, item binary").distinct())
+        # a part that lies in a larger one is not needed: then all its items have that one as their largest
+        largest = parts.groupBy("item").agg(F.max(F.struct("size", "part")).alias("largest"))
+        inner = parts.join(largest, "item").groupBy("part").agg(F.min("largest.part").alias("low"), F.max("largest.part").alias("high")).filter("low = high and part <> low").select("part")
+        again = nodes.filter(F.col("m") > STAR).select(F.col("node").alias("unit"), "item", "low")
+        wanted = reduce(DataFrame.unionByName, [x.select("item") for x in (parts, again, *blocks)])
+        sets = cut(self.sets(wanted))
+        self.confirm(parts.join(inner, "part", "left_anti"), sets)
+        units = self.labelled(again).withColumn("side", F.lit(0))
         for some in blocks:
-            units = units.unionByName(self.labelled(some).select("unit", "item", "low", "label", "side"))
-        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), "part bigint, item binary").distinct())
-        # first the largest part of each item; then, of the others, those that do not hang together yet
-        sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
-        first = cut(parts.join(sizes, "part").groupBy("item").agg(F.max_by("part", F.struct("k", "part")).alias("part")).select("part").distinct())
-        self.confirm(parts.join(first, "part", "left_semi"))
-        others = self.labelled(parts.join(first, "part", "left_anti"))
-        mixed = others.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("part")
-        again = cut(others.join(mixed, "part", "left_semi").select("part", "item"))
-        if not again.isEmpty():
-            self.confirm(again)
+            units = units.unionByName(self.labelled(some).select(units.columns))
+        left = cut(_dealt(units, "unit", "item").mapInArrow(_remaining(self.least), "part bigint, size int, item binary").distinct())
+        if not left.isEmpty():
+            self.confirm(left, sets)
 
 
 def _child(i: int) -> Column:
@@ -340,17 +419,15 @@ def _child(i: int) -> Column:
     return F.xxhash64("node", at, F.substring("low", at + 1, F.lit(1)))
 
 
-def _ways(m: Column, rest: Column, weight: Column, alike: Column) -> list[Column]:
-    """rows_of and blocks_of (numbers of blocks of the rest and of the node), and whether branching takes fewer rows than they do.
+def _ways(m: Column, rest: Column, alike: Column) -> list[Column]:
+    """chunks and cuts (numbers of blocks of the rest and of the node), and whether branching takes fewer rows than they do.
 
     A level of branching leaves a share ``alike`` of a node in a child, BRANCH * alike rows for one.  Its rows count LEVEL
     times, for the steps that a level takes and for children that shrink less than the mean.
     """
-    heavy = F.ceil(weight / SHINGLES)
-    chunks = F.greatest(F.ceil(rest / BLOCK), F.ceil(heavy * rest / m))
-    cuts = F.greatest(F.ceil(m / BLOCK), heavy)
+    chunks, cuts = F.ceil(rest / BLOCK), F.ceil(m / BLOCK)
     p = F.least(F.greatest(alike, F.lit(0.01)), F.lit(0.999))
-    levels = F.greatest(F.lit(1.0), F.log(m / LEAF) / -F.log(p))
+    levels = F.greatest(F.lit(1.0), F.log(m / NODE) / -F.log(p))
     ratio = BRANCH * p
     branching = m * F.when(F.abs(ratio - 1) < 0.01, levels).otherwise((F.pow(ratio, levels + 1) - ratio) / (ratio - 1))
     return [chunks.cast("int").alias("chunks"), cuts.cast("int").alias("cuts"), (LEVEL * branching < m * chunks + rest * cuts).alias("branches")]
