@@ -11,8 +11,9 @@ small node; pairs of smaller nodes are missed with a chance of (1 - s) to the po
 Nodes of at most NODE items are looked through in one task: they branch there, in arrays, down to LEAF items, which are
 compared exhaustively; so is a node that is so much alike that branching would take longer.  What hangs together by
 signatures is a part.  A part of at most STAR items is confirmed whole; of a larger one, stars around some of its items are
-confirmed first, which brings a group of near copies down to one component and a rest, and then every pair of its items that
-are near by signatures and not connected yet, in blocks.
+confirmed first, which brings a group of near copies down to one component and a rest.  Then the rest meets all items that are
+near by signatures and not connected yet: their sets come to one task, once each, and are compared by matrix products there.
+Only where they would pass PART_SHINGLES they are cut into chunks that meet pairwise.
 
 Before a node of more than NODE items branches, its items meet HUBS of its items, drawn by hash, and those that link with the
 nearest are connected.  A node that is one component is done.  Of a node's other pairs, those with an item outside of its
@@ -47,8 +48,10 @@ HUBS, MEETING, STAR = 64, 512, 128
 BLOCK = 1024
 #: What a row of a level of branching costs, in rows of blocks.
 LEVEL = 4.0
-#: Columns of the incidence matrix that intersections are counted by at a time.
-COLUMNS = 8192
+#: Columns of the incidence matrix that intersections are counted by at a time, and rows of each side.
+COLUMNS, ROWS = 8192, 1024
+#: Shingles of a part that is confirmed at once.
+PART_SHINGLES = 4 << 20
 
 ROOTS = TREES * BRANCH
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.binary()), ("roots", pa.list_(pa.int32())), ("low", pa.binary())])
@@ -217,20 +220,32 @@ def _candidates(least: float):
                     members = sorted({items[i] for i in group})
                     key = _key_of(members)
                     for item in members:
-                        yield key, len(members), item
+                        yield key, len(members), item, True
 
-    return lambda batches: _batches(rows(batches), ["part", "size", "item"], [pa.int64(), pa.int32(), pa.binary()])
+    return lambda batches: _batches(rows(batches), *_PART)
+
+
+def _chunks(weight: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places in runs whose weights add up to at most ``most``, unless one alone has more."""
+    out, start, total = [], 0, 0
+    for i, w in enumerate(weight.tolist()):
+        if i > start and total + w > most:
+            out.append(np.arange(start, i))
+            start, total = i, 0
+        total += w
+    return [*out, np.arange(start, len(weight))]
 
 
 def _remaining(least: float):
-    """(part, size, item): blocks with pairs that are near and not connected, of parts that were not confirmed whole.
+    """(part, size, item, rest): items of each unit with pairs that are near and not connected, of parts that were not confirmed whole.
 
-    side: 0 for an item that meets all of its unit, 1 for one of the rest, which meets those of side 2.
+    side: 0 for an item that meets all of its unit, 1 for one of the rest, which meets those of side 2.  Of every such pair one item
+    is of the rest: what hangs together most is left out as soon as all others meet it.
     """
 
     def rows(batches):
         for table in _groups(batches, "unit"):
-            low, side = _lows(table), table["side"].to_numpy()
+            low, side, weight = _lows(table), table["side"].to_numpy(), table["n_shingles"].to_numpy()
             items, label = table["item"].to_pylist(), _codes(table["label"].to_pylist())
             if side[0] == 0:
                 near = _near(low, table["unit"][0].as_py() & (1 << 63) - 1, least)
@@ -243,20 +258,25 @@ def _remaining(least: float):
                 near[np.ix_(of, to)] = _agreement(low[of], low[to]) >= least * COORDINATES
                 near |= near.T
             near &= label[:, None] != label
-            main = np.bincount(label).argmax()
-            some = near.any(1)
-            rest, whole = np.flatnonzero(some & (label != main)), np.flatnonzero(some)
-            half = STAR // 2
-            for a in range(0, len(rest), half):
-                these = rest[a : a + half]
-                those = whole[near[np.ix_(these, whole)].any(0)]
-                for b in range(0, len(those), half):
-                    members = sorted({items[i] for i in np.r_[these[near[np.ix_(these, those[b : b + half])].any(1)], those[b : b + half]]})
-                    key = _key_of(members)
-                    for item in members:
-                        yield key, len(members), item
+            rest = near.any(1) & (label != np.bincount(label).argmax())
+            for part in _parts(near):
+                half = PART_SHINGLES if weight[part].sum() <= PART_SHINGLES else PART_SHINGLES // 2
+                chunks = [part[c] for c in _chunks(weight[part], half)]
+                for i, a in enumerate(chunks):
+                    for b in chunks[i:] if len(chunks) == 1 else chunks[i + 1 :]:
+                        some = a if a is b else np.r_[a, b]
+                        if not near[np.ix_(a, b)].any() and not (len(chunks) > 1 and (near[np.ix_(a, a)].any() or near[np.ix_(b, b)].any())):
+                            continue
+                        members = dict(sorted({items[k]: bool(rest[k]) for k in some}.items()))
+                        key = _key_of(list(members))
+                        for item, of_rest in members.items():
+                            yield key, len(members), item, of_rest
+
+    return lambda batches: _batches(rows(batches), *_PART)
+
 
-    return lambda batches: _batches(rows(batches), ["part", "size", "item"], [pa.int64(), pa.int32(), pa.binary()])
+_PART = ["part", "size", "item", "rest"], [pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+_PART_SQL = "part bigint, size int, item binary, rest boolean"
 
 
 def _codes(names: list[bytes]) -> np.ndarray:
@@ -264,34 +284,44 @@ def _codes(names: list[bytes]) -> np.ndarray:
     return np.array([known.setdefault(x, len(known)) for x in names], np.int64)
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every two sets (of distinct numbers), by products of incidence matrices."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def links_among(sets: list[np.ndarray], percent: int, rest: np.ndarray | None = None) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for every two sets (of distinct numbers) of which one is of the ``rest``.
+
+    Intersections are products of incidence matrices over the numbers that several sets have, block by block.  No set is linked with itself.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     value = np.concatenate(sets)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
-    new = np.r_[True, value[1:] != value[:-1]]
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.r_[True, value[1:] != value[:-1]]) - 1
     shared = np.bincount(column) > 1
     number = np.cumsum(shared) - 1
-    column, owner = number[column[shared[column]]], owner[shared[column]]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    for at in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [at, at + COLUMNS])
-        block = np.zeros((len(sets), COLUMNS), np.float32)
-        block[owner[a:b], column[a:b] - at] = 1
-        both += block @ block.T  # counts of at most COLUMNS are exact
-    size = np.array([len(s) for s in sets], np.int64)
-    both = both.astype(np.int64)
-    both[np.arange(len(sets)), np.arange(len(sets))] = size
-    return both
-
-
-def links_among(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether 100 * intersection >= percent * union, for every two sets; no set is linked with itself."""
-    both, size = intersections(sets), np.array([len(s) for s in sets], np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size - both)
-    linked[np.arange(len(sets)), np.arange(len(sets))] = False
+    kept = shared[column]
+    column, owner, columns = number[column[kept]], owner[kept], int(shared.sum())
+    linked = np.zeros((n, n), bool)
+    some = np.arange(n) if rest is None else np.flatnonzero(rest)
+    place = np.full(n, -1)
+    for a in range(0, len(some), ROWS):
+        of = some[a : a + ROWS]
+        place[:] = -1
+        place[of] = np.arange(len(of))
+        both = np.zeros((len(of), n), np.float32)  # counts under 2 ** 24 are exact
+        for at in range(0, columns, COLUMNS):
+            i, j = np.searchsorted(column, [at, at + COLUMNS])
+            own = place[owner[i:j]] >= 0
+            left = np.zeros((len(of), COLUMNS), np.float32)
+            left[place[owner[i:j][own]], column[i:j][own] - at] = 1
+            for b in range(0, n, ROWS):
+                these = (owner[i:j] >= b) & (owner[i:j] < b + ROWS)
+                right = np.zeros((min(ROWS, n - b), COLUMNS), np.float32)
+                right[owner[i:j][these] - b, column[i:j][these] - at] = 1
+                both[:, b : b + ROWS] += left @ right.T
+        common = both.astype(np.int64)
+        linked[of] = 100 * common >= percent * (size[of][:, None] + size - common)
+    linked |= linked.T
+    linked[np.arange(n), np.arange(n)] = False
     return linked
 
 
@@ -302,7 +332,7 @@ def _confirm(percent: int):
         for table in _groups(batches, "part"):
             items = table["item"].to_pylist()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-            for part in _parts(links_among(sets, percent)):
+            for part in _parts(links_among(sets, percent, table["rest"].to_numpy(zero_copy_only=False))):
                 names = sorted(items[i] for i in part)
                 for name in names[1:]:
                     yield name, names[0]
@@ -327,6 +357,7 @@ class Search:
         self.items, self.percent, self.least = items, percent, _tolerance(percent)
         self.rows = rows.filter("doc_id is not null and text is not null")
         self.slim = items.select("item", "low")
+        self.weights = items.select("item", "n_shingles")
         self.links: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
@@ -343,8 +374,8 @@ class Search:
         return self.rows.join(ids, "doc_id").select("item", "text").mapInArrow(_sets, "item binary, shingles binary").dropDuplicates(["item"])
 
     def confirm(self, parts: DataFrame, sets: DataFrame) -> None:
-        """Adds the links of parts (part, item)."""
-        met = _dealt(parts.select("part", "item").join(sets, "item"), "part", "item")
+        """Adds the links of parts (part, item, rest)."""
+        met = _dealt(parts.select("part", "item", "rest").join(sets, "item"), "part", "item")
         self.links.append(cut(met.mapInArrow(_confirm(self.percent), "a binary, b binary")))
         self.labels = cut(components(reduce(DataFrame.unionByName, self.links))).select(F.col("node").alias("item"), F.col("component").alias("label"))
 
@@ -371,7 +402,7 @@ class Search:
             part = lambda at: F.xxhash64("hub", at).alias("part")
             rays = near.join(chunks, "hub").select(part(F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int")), "item")
             centres = chunks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(part(F.col("at")), F.col("hub").alias("item"))
-            parts = cut(rays.unionByName(centres))
+            parts = cut(rays.unionByName(centres).withColumn("rest", F.lit(True)))
             self.confirm(parts, self.sets(parts))
         return met.filter("item is null").groupBy("node").agg(F.max("agree").alias("alike"))
 
@@ -397,7 +428,7 @@ class Search:
     def compare(self, nodes: DataFrame, blocks: list[DataFrame]) -> None:
         """Candidates of all nodes and blocks, confirmed."""
         units = nodes.select(F.col("node").alias("unit"), "item", "low")
-        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), "part bigint, size int, item binary").distinct())
+        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), _PART_SQL).distinct())
         # a part that lies in a larger one is not needed: then all its items have that one as their largest
         largest = parts.groupBy("item").agg(F.max(F.struct("size", "part")).alias("largest"))
         inner = parts.join(largest, "item").groupBy("part").agg(F.min("largest.part").alias("low"), F.max("largest.part").alias("high")).filter("low = high and part <> low").select("part")
@@ -408,7 +439,8 @@ class Search:
         units = self.labelled(again).withColumn("side", F.lit(0))
         for some in blocks:
             units = units.unionByName(self.labelled(some).select(units.columns))
-        left = cut(_dealt(units, "unit", "item").mapInArrow(_remaining(self.least), "part bigint, size int, item binary").distinct())
+        units = units.join(self.weights, "item")
+        left = cut(_dealt(units, "unit", "item").mapInArrow(_remaining(self.least), _PART_SQL).groupBy("part", "size", "item").agg(F.max("rest").alias("rest")))
         if not left.isEmpty():
             self.confirm(left, sets)
 

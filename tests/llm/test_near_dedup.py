@@ -145,3 +145,12 @@ def test_branching_keeps_alike_items_together():
     for s, least in ((0.85, 0.999), (0.80, 0.995)):
         right = np.where(rng.random((n, 64)) < s, left, -1)
         assert np.mean([kept(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]) >= least
+
+
+def test_rest_and_chunks():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(40)]
+    rest = np.arange(40) % 3 == 0
+    every, some = near_dedup.links_among(sets, 30), near_dedup.links_among(sets, 30, rest)
+    assert (some == every & (rest[:, None] | rest)).all() and some.any()
+    assert [c.tolist() for c in near_dedup._chunks(np.array([3, 1, 9, 1, 1]), 4)] == [[0, 1], [2], [3, 4]]
