@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import against, dot
+from .vectors import dot, l2_normalise, medoid, products
 
 
 def cross_contamination(frames: DataFrame, centres: DataFrame, margin: float) -> DataFrame:
     """Frames (item, cluster_id, at, u) nearer to another centroid (other, centroid) than to their own by ``margin``; best_other starts at 0."""
-    met = against(frames, centres).select("item", "cluster_id", "at", "other", dot("u", "centroid").alias("s"))
+    met = products(frames, centres, "u", "centroid").withColumnRenamed("sim", "s")
     own = F.max(F.when(F.col("other") == F.col("cluster_id"), F.col("s")))
     rival = F.max(F.when(F.col("other") != F.col("cluster_id"), F.struct(F.col("s"), (-F.col("other")).alias("o"))))
     rows = met.groupBy("item", "cluster_id", "at").agg(own.alias("own"), rival.alias("rival"))
@@ -31,7 +31,7 @@ def contamination_spans(hits: DataFrame, least: int) -> DataFrame:
 def bank_metrics(bank: DataFrame, overlap: float) -> DataFrame:
     """For each identity (proto_id, identity, embedding): prototypes, the quarter-point of each one's best similarity to its own, and the share nearer than ``overlap`` to another identity."""
     other = bank.select(F.col("proto_id").alias("o_id"), F.col("identity").alias("o_identity"), F.col("embedding").alias("o"))
-    met = against(bank, other).filter("proto_id <> o_id").select("proto_id", "identity", "o_identity", dot("embedding", "o").alias("s"))
+    met = products(bank.select("proto_id", "identity", "embedding"), other, "embedding", "o").filter("proto_id <> o_id").withColumnRenamed("sim", "s")
     each = met.groupBy("proto_id", "identity").agg(F.max(F.when(F.col("identity") == F.col("o_identity"), F.col("s"))).alias("own"), F.max(F.when(F.col("identity") != F.col("o_identity"), F.col("s"))).alias("rival"))
     rows = each.groupBy("identity").agg(F.count("*").alias("prototypes"), F.sort_array(F.array_compact(F.collect_list("own"))).alias("own"), F.avg((F.coalesce("rival", F.lit(-1.0)) > overlap).cast("int")).alias("contam"))
     return rows.select("identity", "prototypes", F.get("own", F.floor(F.size("own") * 0.25).cast("int")).alias("p25"), "contam")

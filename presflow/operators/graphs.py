@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import checkpoints
+from .vectors import against, numbered
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,25 +29,50 @@ def components(edges: DataFrame) -> DataFrame:
 def must_cannot(named: DataFrame) -> DataFrame:
     """kind (must or cannot), a, b of tracks (track_id, cluster_id, name, confidence) in clusters named by hand.
 
-    Tracks of one such cluster must stay together, tracks of different names must not; a < b, each pair once.
+    Tracks of one such cluster must stay together, tracks of different names must not.  Links are between classes: a cluster's tracks are
+    tied to its smallest one, and a name's smallest track stands for all of the name; ``expanded`` gives the pairs of tracks that are asked for.
     """
-    by_hand = named.filter(F.col("name").isNotNull() & (F.col("confidence").isNull() | (F.col("confidence") == 1.0)))
-    l, r = by_hand.alias("l"), by_hand.alias("r")
-    must = l.join(r, (F.col("l.cluster_id") == F.col("r.cluster_id")) & (F.col("l.track_id") < F.col("r.track_id")))
-    cannot = l.join(r, (F.col("l.name") != F.col("r.name")) & (F.col("l.track_id") < F.col("r.track_id")))
-    out = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("l.track_id").alias("a"), F.col("r.track_id").alias("b"))
-    return out(must, "must").unionByName(out(cannot, "cannot")).distinct()
+    by_hand = _by_hand(named)
+    first = by_hand.groupBy("cluster_id").agg(F.min("track_id").alias("a"))
+    must = by_hand.join(first, "cluster_id").filter("track_id > a").select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
+    names = by_hand.groupBy("name").agg(F.min("track_id").alias("a"))
+    cannot = against(names.select("a"), names.select(F.col("a").alias("b"))).filter("a < b")  # names: those that people gave
+    return must.unionByName(cannot.select(F.lit("cannot").alias("kind"), "a", "b")).distinct()
+
+
+def _by_hand(named: DataFrame) -> DataFrame:
+    return named.filter(F.col("name").isNotNull() & (F.col("confidence").isNull() | (F.col("confidence") == 1.0)))
+
+
+def expanded(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """kind, a, b: every pair that a track of ``asked`` (track_id) has in the constraints of ``must_cannot``; as many rows as asked tracks times tracks."""
+    by_hand = _by_hand(named).select("track_id", "cluster_id", "name")
+    some = by_hand.join(asked, "track_id", "left_semi").select(F.col("track_id").alias("a"), F.col("cluster_id").alias("c"), F.col("name").alias("n"))
+    must = some.join(by_hand, (F.col("c") == F.col("cluster_id")) & (F.col("a") != F.col("track_id"))).select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
+    cannot = against(by_hand, some).filter("n <> name").select(F.lit("cannot").alias("kind"), "a", F.col("track_id").alias("b"))
+    return must.unionByName(cannot).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def constraint_counts(links: DataFrame) -> DataFrame:
+    """One row: the numbers of links (kind, a, b) of each kind and of tracks in them."""
+    sides = links.select("kind", F.explode(F.array("a", "b")).alias("t"))
+    tracks = sides.agg(F.countDistinct("t").alias("tracks"), F.countDistinct(F.when(F.col("kind") == "must", F.col("t"))).alias("must_tracks"))
+    counts = links.agg(F.count_if(F.col("kind") == "must").alias("must_links"), F.count_if(F.col("kind") == "cannot").alias("cannot_links"))
+    return counts.crossJoin(tracks)  # one row each
+
+
+def all_constraints(*sources: DataFrame) -> DataFrame:
+    """Links (kind, a, b) of all sources, each once and with a before b."""
+    rows = reduce(DataFrame.unionByName, [s.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for s in sources])
+    return rows.distinct()
 
 
 def enforce_cannot(members: DataFrame, cannot: DataFrame) -> DataFrame:
     """Members (cluster_id, track_id, name) with those of unnamed clusters that violate a pair moved to one new cluster each."""
-    l, r = members.filter("name IS NULL").alias("l"), members.alias("r")
-    same = l.join(r, (F.col("l.cluster_id") == F.col("r.cluster_id")) & (F.col("l.track_id") != F.col("r.track_id")))
-    sided = cannot.unionByName(cannot.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hit = same.join(sided, (F.col("l.track_id") == F.col("a")) & (F.col("r.track_id") == F.col("b"))).select(F.col("l.cluster_id").alias("cluster_id"), F.col("l.track_id").alias("track_id")).distinct().withColumn("moved", F.lit(True))
+    at = lambda side: members.filter("name IS NULL").select(F.col("track_id").alias(side), F.col("cluster_id").alias(f"at_{side}"))
+    violated = cannot.select("a", "b").join(at("a"), "a").join(at("b"), "b").filter("at_a = at_b and a <> b")
+    hit = violated.select(F.explode(F.array("a", "b")).alias("track_id"), F.col("at_a").alias("cluster_id")).distinct().withColumn("moved", F.lit(True))
     top = members.agg(F.max("cluster_id").alias("top"))
-    order = hit.groupBy("cluster_id").count().select("cluster_id")
-    numbered = order.withColumn("n", F.row_number().over(Window.orderBy("cluster_id")))  # one row a violated cluster
-    new = numbered.join(F.broadcast(top)).select("cluster_id", (F.col("top") + F.col("n")).alias("new_id"))
+    new = numbered(hit.select("cluster_id").distinct(), "cluster_id", "n").join(F.broadcast(top)).select("cluster_id", (F.col("top") + 1 + F.col("n")).alias("new_id"))
     joined = members.join(hit, ["cluster_id", "track_id"], "left").join(new, "cluster_id", "left")
     return joined.select(F.when(F.col("moved"), F.col("new_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), "track_id", "name")

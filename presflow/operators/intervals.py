@@ -1,12 +1,14 @@
 """Interval and gap operators: islands, gaps, windows, range joins and the adaptive merge.
 
-Times are whole milliseconds.  Every operator is relational; only the adaptive merge folds over a person's intervals in order.
+Times are whole milliseconds.  Every operator is relational, but for the adaptive merge with caps or visibility, which is one pass over sorted rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,11 +30,11 @@ def near(a_start: Column, a_end: Column, b_start: Column, b_end: Column, thresho
     return F.greatest(b_start - a_end, a_start - b_end) <= threshold
 
 
-def range_join(left: DataFrame, right: DataFrame, condition: Column, bin_ms: int, how: str = "inner", on: list[str] | None = None, pad: int = 0) -> DataFrame:
-    """Interval join on bins of ``bin_ms``: an equality join on the bin, so it shuffles by bin and never crosses all rows.
+def range_join(left: DataFrame, right: DataFrame, condition: Column, bin_ms: int, on: list[str] | None = None, pad: int = 0) -> DataFrame:
+    """Inner interval join on bins of ``bin_ms``: an equality join on the bin, so it shuffles by bin and never crosses all rows.
 
     ``left`` and ``right`` are named l and r in ``condition``.  A pair is kept only in the first bin that both lie in.  Right
-    intervals are widened by ``pad`` on both sides for the search.  ``how``: inner, left_semi or left_anti.
+    intervals are widened by ``pad`` on both sides for the search.  For semi and anti joins see ``has_partner``.
     """
     first = lambda c, shift: F.floor((F.col(c) + shift) / bin_ms)
     spread = lambda df, p: df.withColumn("_bin", F.explode(F.sequence(first(START, -p), F.greatest(first(START, -p), first(END, p)))))
@@ -40,10 +42,8 @@ def range_join(left: DataFrame, right: DataFrame, condition: Column, bin_ms: int
     same = F.col("l._bin") == F.col("r._bin")
     for c in on or []:
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    if how == "inner":
-        once = F.col("l._bin") == F.greatest(F.floor(F.col(f"l.{START}") / bin_ms), F.floor((F.col(f"r.{START}") - pad) / bin_ms))
-        return l.join(r, same & once & condition)
-    raise ValueError("range_join joins inner; test for a partner with has_partner")
+    once = F.col("l._bin") == F.greatest(F.floor(F.col(f"l.{START}") / bin_ms), F.floor((F.col(f"r.{START}") - pad) / bin_ms))
+    return l.join(r, same & once & condition)
 
 
 def has_partner(left: DataFrame, right: DataFrame, key: list[str], condition: Column, bin_ms: int, pad: int = 0) -> DataFrame:
@@ -71,11 +71,16 @@ def gaps(df: DataFrame, keys: list[str], tie: str = "track_id") -> DataFrame:
     return df.withColumn("next_start", F.lead(START).over(w)).withColumn("next_conf", F.lead("conf").over(w)).withColumn("gap", F.col("next_start") - F.col(END))
 
 
-def coverage(windows: DataFrame, intervals: DataFrame, key: list[str], bin_ms: int, on: list[str] | None = None) -> DataFrame:
-    """``windows`` with ``covered_ms`` (shared lengths, summed) and their ratio to the window."""
-    shared = range_join(windows, intervals, overlap_ms("l", "r") > 0, bin_ms, on=on).select(*[F.col(f"l.{k}") for k in key], overlap_ms("l", "r").alias("shared"))
-    summed = shared.groupBy(*key).agg(F.sum("shared").alias("covered_ms"))
-    filled = windows.join(summed, key, "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0).cast("bigint")))
+def coverage(windows: DataFrame, intervals: DataFrame, bin_ms: int, on: list[str] | None = None) -> DataFrame:
+    """``windows`` with ``covered_ms`` (lengths shared with intervals (start, end, conf), summed), the number and mean confidence of these,
+    and the ratio to the window, which passes one where intervals overlap.  ``window_id`` is a hash of all of a window's columns.
+    """
+    named = windows.withColumn("window_id", F.xxhash64(*windows.columns))
+    inside = (F.col(f"r.{END}") > F.col(f"l.{START}")) & (F.col(f"r.{START}") < F.col(f"l.{END}"))
+    shared = range_join(named.dropDuplicates(["window_id"]), intervals, inside, bin_ms, on=on).select(F.col("l.window_id").alias("window_id"), overlap_ms("l", "r").alias("shared"), F.col("r.conf").alias("c"))
+    summed = shared.groupBy("window_id").agg(F.sum("shared").alias("covered_ms"), F.count("*").alias("tracks"), F.avg("c").alias("mean_conf"))
+    none = lambda c, v: F.coalesce(c, v).alias(c)
+    filled = named.join(summed, "window_id", "left").select(*windows.columns, "window_id", none("covered_ms", F.lit(0).cast("bigint")), none("tracks", F.lit(0).cast("bigint")), none("mean_conf", F.lit(0.0)))
     return filled.withColumn("ratio", F.when(F.col(END) > F.col(START), F.col("covered_ms") / (F.col(END) - F.col(START))).otherwise(0.0))
 
 
@@ -136,6 +141,8 @@ class MergeParams:
     hi_cap: int | None = None
     min_visible: float | None = None
     freeze: bool = False
+    #: Parameters of persons that have their own (all but the conflict's, which hold for everyone).
+    per_person: Mapping[str, MergeParams] | None = None
 
     @property
     def caps(self) -> bool:
@@ -145,6 +152,22 @@ class MergeParams:
     def visibility(self) -> float | None:
         return None if self.freeze else self.min_visible or None
 
+    @property
+    def everyone(self) -> list[MergeParams]:
+        return [self, *(self.per_person or {}).values()]
+
+    @property
+    def reach(self) -> int:
+        """No gap beyond it is ever merged."""
+        return max(max(q.gap, q.gap_max, q.edge_epsilon, q.lo_cap or 0, q.hi_cap or 0) for q in self.everyone)
+
+    def value(self, name: str) -> Column:
+        """A parameter, as a column over persons."""
+        out = F
+        for person, own in (self.per_person or {}).items():
+            out = out.when(F.col("person") == person, getattr(own, name))
+        return F.lit(getattr(self, name)) if out is F else out.otherwise(getattr(self, name))
+
 
 def conflicts(df: DataFrame, p: MergeParams, tie: str = "track_id") -> DataFrame:
     """Intervals with ``gap`` to the running end of the person before them, and ``conflict``: another person is seen in it.
@@ -155,73 +178,117 @@ def conflicts(df: DataFrame, p: MergeParams, tie: str = "track_id") -> DataFrame
     w = ordered(["person"], START, tie)
     before = F.max(END).over(w.rowsBetween(Window.unboundedPreceding, -1))
     placed = df.withColumn("gap_start", before).withColumn("gap", F.col(START) - F.col("gap_start"))
-    wide = placed.filter((F.col("gap") > p.conflict_guard) & (F.col("gap") <= max(p.gap, p.gap_max, p.lo_cap or 0, p.hi_cap or 0)))
+    wide = placed.filter((F.col("gap") > p.conflict_guard) & (F.col("gap") <= p.reach))
     wide = wide.select(tie, "person", F.col("gap_start").alias(START), F.col(START).alias(END))
     others = df.filter(F.col("conf") >= p.conflict_conf).select("person", START, END)
     seen = (F.col("l.person") != F.col("r.person")) & (F.col(f"r.{START}") < F.col(f"l.{END}")) & (F.col(f"r.{END}") > F.col(f"l.{START}")) & (overlap_ms("l", "r") >= p.conflict_guard)
-    hit = range_join(wide, others, seen, 4 * max(p.gap, p.gap_max)).select(F.col(f"l.{tie}").alias(tie)).distinct().withColumn("conflict", F.lit(True))
+    hit = range_join(wide, others, seen, 4 * p.reach).select(F.col(f"l.{tie}").alias(tie)).distinct().withColumn("conflict", F.lit(True))
     return placed.join(hit, tie, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
-STATE = "struct<start_ms:bigint,end_ms:bigint,conf:double,visible:double,frames:bigint,members:bigint>"
+MERGES = ("overlap", "edge", "merged")
+
+
+def _window_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
+    """The decisions where a threshold looks at nothing but whether the open group is of high quality.
+
+    A row whose decision depends on that is of high quality itself, so that after it the group is, merged or not.  Hence the
+    group before a row is of high quality if any row is since the last gap that stays open whatever the group.
+    """
+    w = ordered(["person"], START, tie)
+    high = F.col("conf") >= p.value("min_quality")
+    joins = (F.col("gap") < 0) | ((p.value("edge_epsilon") > 0) & (F.col("gap") <= p.value("edge_epsilon")))
+    beyond = F.when(high, F.greatest(p.value("gap"), p.value("gap_max"))).otherwise(p.value("gap"))
+    closed = F.col("gap").isNull() | (~joins & (F.col("conflict") | (F.col("gap") > beyond)))
+    rows = placed.withColumn("_high", high).withColumn("_run", F.sum(closed.cast("int")).over(w))
+    own = Window.partitionBy("person", "_run").orderBy(START, tie).rowsBetween(Window.unboundedPreceding, -1)
+    # the group that a run's first row meets is that of the run before it
+    rows = rows.withColumn("_so_far", F.max("_high").over(own)).withColumn("_whole", F.max("_high").over(Window.partitionBy("person", "_run")))
+    met = F.coalesce("_so_far", F.lag("_whole").over(w))
+    threshold = F.when(met & F.col("_high"), p.value("gap_max")).otherwise(p.value("gap"))
+    step = F.when(F.col("gap").isNull(), "first").when(F.col("gap") < 0, "overlap").when(joins, "edge").when(F.col("gap") > threshold, "clamped").when(F.col("conflict"), "blocked").otherwise("merged")
+    quality = F.when(F.col("gap").isNull() | joins, None).when(met & F.col("_high"), "bump")
+    return rows.select(*placed.columns, step.alias("step"), quality.alias("quality"))
+
+
+def _fold_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
+    """The decisions with caps or visibility, which look at the open group's confidence and history: one pass over sorted rows.
+
+    A gap beyond all thresholds is never merged; what follows it is a segment of its own and may lie in another task.  The
+    confidence that its first row meets is filled in afterwards, for the counters.
+    """
+    w = ordered(["person"], START, tie)
+    apart = F.col("gap").isNull() | (F.col("gap") > p.reach)
+    segments = placed.withColumn("_segment", F.sum(apart.cast("int")).over(w))
+    dealt = segments.select(tie, "person", "_segment", START, "gap", "conflict", F.col("conf").cast("double").alias("conf"), F.col("visible").cast("double").alias("visible"))
+    dealt = dealt.repartition("person", "_segment").sortWithinPartitions("person", "_segment", START, tie)
+    own = dict(p.per_person or {})
+
+    def run(frames):
+        at, conf, visible = None, 0.0, 0.0
+        for frame in frames:
+            steps = []
+            for person, segment, gap, conflict, c, v in zip(frame["person"], frame["_segment"], frame["gap"], frame["conflict"], frame["conf"], frame["visible"], strict=True):
+                q = own.get(person, p)
+                if at != (person, segment):
+                    at, step = (person, segment), "first" if gap != gap else "clamped"
+                elif gap < 0:
+                    step = "overlap"
+                elif q.edge_epsilon > 0 and gap <= q.edge_epsilon:
+                    step = "edge"
+                else:
+                    if q.caps:
+                        limit = min(q.hi_cap if (conf + c) / 2 >= q.min_quality else q.lo_cap, q.gap_max)
+                    else:
+                        limit = q.gap_max if min(conf, c) >= q.min_quality else q.gap
+                    low = q.visibility is not None and min(visible, v) < q.visibility
+                    step = "clamped" if gap > limit else "invisible" if low else "blocked" if conflict else "merged"
+                steps.append(step)
+                conf, visible = (max(conf, c), 0.0) if step in MERGES else (c, v)
+            yield pd.DataFrame({tie: frame[tie], "step": steps})
+
+    kind = placed.schema[tie].dataType.simpleString()
+    rows = placed.join(dealt.mapInPandas(run, f"{tie} {kind}, step string"), tie)
+    rows = rows.withColumn("_group", F.sum((~F.col("step").isin(*MERGES)).cast("int")).over(w))
+    group = Window.partitionBy("person", "_group")
+    rows = rows.withColumn("_so_far", F.max("conf").over(group.orderBy(START, tie).rowsBetween(Window.unboundedPreceding, -1))).withColumn("_whole", F.max("conf").over(group))
+    met = F.coalesce("_so_far", F.lag("_whole").over(w))
+    capped = F.when(p.value("caps"), F.when((met + F.col("conf")) / 2 >= p.value("min_quality"), "bump").otherwise("lo_cap"))
+    quality = F.when(F.col("step").isin("first", "overlap", "edge"), None).otherwise(F.coalesce(capped, F.when(F.least(met, F.col("conf")) >= p.value("min_quality"), "bump")))
+    return rows.select(*placed.columns, "step", quality.alias("quality"))
 
 
 def adaptive_merge(df: DataFrame, p: MergeParams = MergeParams(), tie: str = "track_id") -> DataFrame:
-    """Merged intervals of each person, with the decision taken at each gap in ``steps``.
+    """Each interval with ``gap``, the ``step`` taken at it (first, overlap, edge, merged, blocked, clamped or invisible), ``quality``
+    (bump or lo_cap, where a threshold was raised or capped) and the number ``merged_id`` of the merged interval that it is in.
 
-    A merged interval has the larger confidence, and no frames and no visibility of its own.
+    ``tie`` names a row.  Rows are tracks in long form: nothing grows with a person's timeline.
     """
-    row = F.struct(START, tie, END, F.col("conf").cast("double").alias("conf"), F.col("visible").cast("double").alias("visible"), F.col("frames").cast("bigint").alias("frames"), "gap", "conflict")
-    people = conflicts(df, p, tie).groupBy("person").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    zero = F.struct(F.lit(None).cast(STATE).alias("cur"), F.array().cast(f"array<{STATE}>").alias("out"), F.array().cast("array<string>").alias("steps"))
-
-    def decide(cur: Column, x: Column) -> Column:
-        quality = (cur["conf"] + x["conf"]) / 2
-        if p.caps:
-            threshold = F.least(F.when(quality >= p.min_quality, p.hi_cap).otherwise(p.lo_cap), F.lit(p.gap_max))
-        else:
-            threshold = F.when((cur["conf"] >= p.min_quality) & (x["conf"] >= p.min_quality), F.greatest(F.lit(p.gap), F.lit(p.gap_max))).otherwise(p.gap)
-        step = F.when(x["gap"] < 0, "overlap")
-        if p.edge_epsilon > 0:
-            step = step.when(x["gap"] <= p.edge_epsilon, "edge")
-        step = step.when(x["gap"] > threshold, "clamped")
-        if p.visibility:
-            step = step.when((cur["visible"] < p.visibility) | (x["visible"] < p.visibility), "invisible")
-        return step.when(x["conflict"], "blocked").otherwise("merged")
-
-    def fresh(x: Column) -> Column:
-        return F.struct(x[START].alias(START), x[END].alias(END), x["conf"].alias("conf"), x["visible"].alias("visible"), x["frames"].alias("frames"), F.lit(1).cast("bigint").alias("members"))
-
-    def joined(cur: Column, x: Column) -> Column:
-        return F.struct(cur[START].alias(START), F.greatest(cur[END], x[END]).alias(END), F.greatest(cur["conf"], x["conf"]).alias("conf"), F.lit(0.0).alias("visible"), F.lit(0).cast("bigint").alias("frames"), (cur["members"] + 1).alias("members"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cur = acc["cur"]
-        what = F.when(cur.isNull(), "first").otherwise(decide(cur, x))
-
-        def go(w: Column) -> Column:
-            merges = w.isin("overlap", "edge", "merged")
-            return F.struct(
-                F.when(merges, joined(cur, x)).otherwise(fresh(x)).alias("cur"),
-                F.when(merges | cur.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(cur))).alias("out"),
-                F.concat(acc["steps"], F.array(w)).alias("steps"),
-            )
-
-        return F.element_at(F.transform(F.array(what), go), 1)
-
-    folded = people.select("person", F.aggregate("rows", zero, step).alias("f"))
-    return folded.select("person", F.concat(F.col("f.out"), F.array(F.col("f.cur"))).alias("intervals"), F.col("f.steps").alias("steps"))
+    placed = conflicts(df, p, tie)
+    fold = any(q.caps or q.visibility for q in p.everyone)
+    rows = (_fold_steps if fold else _window_steps)(placed, p, tie)
+    return rows.withColumn("merged_id", F.sum((~F.col("step").isin(*MERGES)).cast("int")).over(ordered(["person"], START, tie)))
 
 
 def timeline(merged: DataFrame) -> DataFrame:
-    return merged.select("person", F.explode("intervals").alias("i")).select("person", *[F.col(f"i.{c}") for c in (START, END, "conf", "visible", "frames", "members")])
+    """Merged intervals: the larger confidence; frames and visibility only of those that were not merged."""
+    rows = merged.groupBy("person", "merged_id").agg(F.min(START).alias(START), F.max(END).alias(END), F.max("conf").alias("conf"), F.max("visible").alias("v"), F.max("frames").alias("f"), F.count("*").alias("members"))
+    alone = F.col("members") == 1
+    return rows.select("person", START, END, "conf", F.when(alone, F.col("v").cast("double")).otherwise(0.0).alias("visible"), F.when(alone, F.col("f").cast("bigint")).otherwise(0).alias("frames"), "members")
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:
     """Counters of each person's decisions."""
-    steps = merged.select("person", F.explode("steps").alias("step"))
     count = lambda s: F.count_if(F.col("step") == s).alias(s)
-    return steps.groupBy("person").agg(F.count_if(F.col("step") != "first").alias("gaps_seen"), *[count(s) for s in ("overlap", "edge", "merged", "blocked", "clamped", "invisible")])
+    return merged.groupBy("person").agg(
+        F.count_if(F.col("step") != "first").alias("gaps_seen"), F.count_if(F.col("step").isin(*MERGES)).alias("gaps_merged"), *[count(s) for s in ("overlap", "edge", "merged", "blocked", "clamped", "invisible")],
+        F.count_if(F.col("quality") == "bump").alias("quality_bumps"), F.count_if(F.col("quality") == "lo_cap").alias("lo_caps"),
+    )
+
+
+def visibility_audit(merged: DataFrame, tie: str = "track_id") -> DataFrame:
+    """The gaps that stay open for visibility: person, start and end of the gap and its length."""
+    return merged.filter(F.col("step") == "invisible").select("person", F.col("gap_start").alias(START), F.col(START).alias(END), "gap", F.col(tie).alias("next_track"))
 
 
 def totals(intervals: DataFrame, duration: int | None = None) -> DataFrame:
@@ -273,3 +340,60 @@ def absolute_error(totals_: DataFrame, truth: DataFrame, pass_ms: int = 4500) ->
     delta = F.col("total_ms") - F.col("truth_ms")
     percent = F.abs(delta) / F.col("truth_ms") * 100
     return joined.select("person", "truth_ms", "total_ms", delta.alias("delta_ms"), F.when(percent <= 5, "PASS").when(percent <= 10, "WARN").otherwise("FAIL").alias("percent_status"), F.when(F.abs(delta) <= pass_ms, "PASS").otherwise("FAIL").alias("status"))
+
+
+def nearest_after(tracks: DataFrame, keys: list[str], most: int, tie: str = "track_id") -> DataFrame:
+    """track_id, next_id and gap: for each interval the one of its key that starts soonest after its end (later than it, at most ``most``).
+
+    One window over starts and ends in order of time, no pairs: an end looks for the next start, and a start that begins at the same
+    time as the end does not count.
+    """
+    begins = tracks.select(*keys, F.col(START).alias("at"), F.lit(0).alias("is_end"), F.struct(F.col(START).alias("start"), F.col(tie).alias("id")).alias("begin"), F.lit(None).cast(tracks.schema[tie].dataType).alias(tie))
+    ends = tracks.select(*keys, F.col(END).alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast(begins.schema["begin"].dataType).alias("begin"), tie)
+    # ends come after the starts of their time; of starts at one time the smallest name is nearest
+    w = ordered(keys, "at", "is_end", F.col("begin.id")).rowsBetween(1, Window.unboundedFollowing)
+    found = begins.unionByName(ends).withColumn("found", F.first("begin", ignorenulls=True).over(w)).filter("is_end = 1 and found is not null")
+    return found.select(tie, F.col("found.id").alias("next_id"), (F.col("found.start") - F.col("at")).alias("gap")).filter(F.col("gap") <= most)
+
+
+def adjacent(left: DataFrame, right: DataFrame, most: int, bin_ms: int, on: list[str] | None = None, tie: str = "track_id") -> DataFrame:
+    """Pairs of an interval and one that starts 0 to ``most`` after its end: track_id, next_id and gap."""
+    reach = left.withColumn("_ends", F.col(END)).withColumn(START, F.col("_ends")).withColumn(END, F.col("_ends") + most)
+    starts = right.withColumn(END, F.col(START))
+    met = range_join(reach, starts, (F.col(f"r.{START}") >= F.col("l._ends")) & (F.col(f"r.{START}") <= F.col(f"l.{END}")) & (F.col(f"l.{tie}") != F.col(f"r.{tie}")), bin_ms, on=on)
+    return met.select(F.col(f"l.{tie}").alias(tie), F.col(f"r.{tie}").alias("next_id"), (F.col(f"r.{START}") - F.col("l._ends")).alias("gap"))
+
+
+def gap_windows(intervals: DataFrame, most: int, pad: int) -> DataFrame:
+    """Windows around the gaps between a person's intervals of up to ``most``, widened by ``pad`` but not below zero."""
+    found = gaps(intervals, ["person"], END).filter((F.col("gap") > 0) & (F.col("gap") <= most))
+    return found.select("person", F.greatest(F.col(END) - pad, F.lit(0)).alias(START), (F.col("next_start") + pad).alias(END))
+
+
+def large_gaps(intervals: DataFrame, least: int) -> DataFrame:
+    """Gaps between a person's intervals that are longer than ``least``: person, start, end and gap."""
+    return gaps(intervals, ["person"], END).filter(F.col("gap") > least).select("person", F.col(END).alias(START), F.col("next_start").alias(END), "gap")
+
+
+def recall_windows(intervals: DataFrame, tracks: DataFrame, most: int, pad: int, few: int, width: int) -> DataFrame:
+    """Windows to search again: around gaps, and, for persons of fewer than ``few`` tracks, ``width`` long at every second width."""
+    around = gap_windows(intervals, most, pad).withColumn("reason", F.lit("gap"))
+    rare = tracks.groupBy("person").agg(F.count("*").alias("n")).filter(F.col("n") < few).select("person")
+    spans = intervals.join(rare, "person", "left_semi").groupBy("person").agg(F.min(START).alias("a"), F.max(END).alias("b")).filter("b > a")
+    starts = spans.select("person", "b", F.explode(F.sequence("a", F.col("b") - 1, F.lit(2 * width).cast("bigint"))).alias(START))
+    return around.unionByName(starts.select("person", START, F.least(F.col(START) + width, F.col("b")).alias(END), F.lit("sparse").alias("reason")))
+
+
+def frame_gaps(tracks: DataFrame, frame_ms: int, least: int) -> DataFrame:
+    """Gaps of a person's tracks in frames (first_frame, last_frame), ``least`` milliseconds or longer, with the tracks on both sides."""
+    w = ordered(["person"], "first_frame", "last_frame", "track_id")
+    placed = tracks.withColumn("after_id", F.lead("track_id").over(w)).withColumn("after_frame", F.lead("first_frame").over(w))
+    length = (F.col("after_frame") - F.col("last_frame")) * frame_ms
+    rows = placed.select("person", F.col("track_id").alias("before_id"), "after_id", F.col("last_frame").alias("gap_first"), F.col("after_frame").alias("gap_last"), length.alias("gap_ms"))
+    return rows.filter(F.col("gap_ms") >= least)
+
+
+def within_budget(candidates: DataFrame, score: str, key: str, per_key: int, total: int, tie: str) -> DataFrame:
+    """The best by score, at most ``per_key`` of a key and ``total`` in all."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie))
+    return candidates.withColumn("_n", nth).filter(F.col("_n") <= per_key).orderBy(F.desc(score), key, tie).limit(total).drop("_n")

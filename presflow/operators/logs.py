@@ -15,15 +15,24 @@ def reattachments(log: DataFrame) -> DataFrame:
     return seen.filter((F.col("decision") == "reattach") & (F.col("before") == "drop")).select("label", "frame", (F.col("frame") - F.col("since")).alias("latency"))
 
 
-def identity_scores(log: DataFrame, fps: float = 30.0) -> DataFrame:
-    """precision, recall, f1 and label switches a minute of rows (frame, truth, predicted)."""
-    tp = F.count_if(F.col("truth") == F.col("predicted"))
-    fp = F.count_if(F.col("predicted").isNotNull() & (F.col("truth").isNull() | (F.col("truth") != F.col("predicted"))))
-    fn = F.count_if(F.col("truth").isNotNull() & (F.col("predicted").isNull() | (F.col("truth") != F.col("predicted"))))
-    sums = log.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (F.max("frame") - F.min("frame") + 1).alias("frames"))
+def identity_metrics(events: DataFrame, fps: float = 30.0) -> DataFrame:
+    """One row of figures of identity events (event_id, frame, label_before, label_after, reason): confirmations are right, switches are
+    wrong, drops are missed; switches a minute; mean and 95th percentile of frames from a drop to the reattachment of its label.
+    """
+    named = lambda c: F.col(c).isNotNull() & (F.col(c) != "UNK")
+    told = F.col("reason")
+    sums = events.agg(
+        F.count("*").alias("events"), F.count_if(told.isin("join_confirmed", "promote_confirm", "reattach") & named("label_after")).alias("tp"), F.count_if(told == "switch").alias("fp"), F.count_if(told == "drop_exit").alias("fn"),
+        F.greatest((F.max("frame") - F.min("frame")) / (fps * 60), F.lit(1e-6)).alias("minutes"),
+    )
+    dropped = events.filter((told == "drop_exit") & named("label_before")).select("event_id", "frame", F.col("label_before").alias("label"), F.lit("drop").alias("decision"))
+    back = events.filter((told == "reattach") & named("label_after")).select("event_id", "frame", F.col("label_after").alias("label"), F.lit("reattach").alias("decision"))
+    late = reattachments(dropped.unionByName(back)).agg(F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"))
     ratio = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("fp")), ratio(F.col("tp"), F.col("fn"))
-    return sums.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), (F.col("frames") / fps).alias("seconds"))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    rounded = lambda c, name: F.bround(c, 4).alias(name)
+    return sums.crossJoin(late).select("events", rounded(f1, "id_f1"), rounded(p, "precision"), rounded(r, "recall"), rounded(F.col("fp") / F.col("minutes"), "switches_per_min"), "latency_mean", "latency_p95")  # one row each
 
 
 def exclusive_quantile(values: Column, share: float) -> Column:

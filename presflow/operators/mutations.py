@@ -42,13 +42,16 @@ def assign_name(members: DataFrame, cluster: int, name: str) -> DataFrame:
 
 
 def move(members: DataFrame, tracks: list[int], to: int) -> DataFrame:
-    """Tracks move to a cluster and take its name; -1 is a new one of quality 0.5.  A source left empty is gone with its rows."""
+    """Tracks move to a cluster and take its name; -1 is a new one of quality 0.5.  A source left empty is gone with its rows.
+    To a cluster that does not exist nothing moves."""
     here = F.col("track_id").isin(tracks)
     if to == -1:
         new = {"cluster_id": F.col("top") + 1, "name": F.lit(None), "confidence": F.lit(None), "quality": F.lit(0.5)}
         return _set(_with_top(members), **{c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()}).select(COLUMNS)
     target = members.filter(F.col("cluster_id") == to).limit(1).select(*[F.col(c).alias(f"_{c}") for c in COLUMNS if c != "track_id"])
-    return _set(members.join(F.broadcast(target)), **{c: F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) for c in COLUMNS if c != "track_id"}).select(COLUMNS)
+    joined = members.join(F.broadcast(target), F.lit(True), "left")  # no row moves if there is no such cluster
+    here = here & F.col("_cluster_id").isNotNull()
+    return _set(joined, **{c: F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) for c in COLUMNS if c != "track_id"}).select(COLUMNS)
 
 
 def delete_tracks(members: DataFrame, tracks: list[int]) -> DataFrame:
@@ -85,6 +88,82 @@ def by_identity(members: DataFrame) -> DataFrame:
     )
 
 
-def delete_frame(refs: Column, frame: Column) -> Column:
-    """Frame references (an array of structs with frame_id) without one frame; start and end of the track stay."""
-    return F.filter(refs, lambda r: r["frame_id"] != frame)
+REFS = ["track_id", "frame_id", "det_idx", "conf"]
+
+
+def delete_frame(refs: DataFrame, track: int, frame: int) -> DataFrame:
+    """Frame references (track_id, frame_id, ...) without one frame of a track; the track's start and end stay."""
+    return refs.filter(~((F.col("track_id") == track) & (F.col("frame_id") == frame)))
+
+
+def _above(df: DataFrame, column: str, name: str = "_top") -> DataFrame:
+    """One row: the largest number in use."""
+    return df.agg(F.coalesce(F.max(column), F.lit(-1)).alias(name))
+
+
+def move_frame(members: DataFrame, tracks: DataFrame, refs: DataFrame, track: int, frame: int, to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A frame of a track becomes a track of its own in another cluster: it has the next free id and the source's start and end.
+
+    A source left without frames goes, from the tracks and from its cluster.  Returns members, tracks and refs; without such a frame or
+    such a cluster they are as before.
+    """
+    here = (F.col("track_id") == track) & (F.col("frame_id") == frame)
+    target = members.filter(F.col("cluster_id") == to).limit(1)
+    moves = refs.filter(here).limit(1).crossJoin(target.select(F.col("cluster_id").alias("_to"))).select(F.lit(True).alias("_moves"))  # one row or none
+    new_id = tracks.join(F.broadcast(_above(tracks, "track_id"))).select((F.col("_top") + 1).alias("_new")).limit(1).crossJoin(F.broadcast(moves))
+    moved = refs.join(F.broadcast(new_id), F.lit(True), "left")
+    out_refs = moved.withColumn("track_id", F.when(here & F.col("_moves"), F.col("_new")).otherwise(F.col("track_id"))).select(refs.columns)
+    source = tracks.filter(F.col("track_id") == track).crossJoin(F.broadcast(new_id)).withColumn("track_id", F.col("_new")).select(tracks.columns)
+    left = out_refs.filter(F.col("track_id") == track).limit(1).select(F.lit(True).alias("_left"))
+    gone = lambda df: df.join(F.broadcast(left), F.lit(True), "left").join(F.broadcast(moves), F.lit(True), "left").filter((F.col("track_id") != track) | F.col("_left") | F.col("_moves").isNull()).select(df.columns)
+    joins = target.crossJoin(F.broadcast(new_id)).withColumn("track_id", F.col("_new")).select(members.columns)
+    return gone(members).unionByName(joins), gone(tracks).unionByName(source), out_refs
+
+
+def split_frames(members: DataFrame, tracks: DataFrame, refs: DataFrame, track: int, frames: list[int], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames of a track (refs with ts_ms) become a track of their own that is given to an identity, as ``assign_tracks`` does.
+
+    Start and end of the new track are those of its frames.  A source left without frames goes.
+    """
+    here = (F.col("track_id") == track) & F.col("frame_id").isin(frames)
+    new_id = _above(tracks, "track_id").select((F.col("_top") + 1).alias("_new"))
+    out_refs = refs.crossJoin(F.broadcast(new_id)).withColumn("track_id", F.when(here, F.col("_new")).otherwise(F.col("track_id"))).select(refs.columns)
+    made = refs.filter(here).crossJoin(F.broadcast(new_id)).groupBy(F.col("_new").alias("track_id")).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("count"))
+    counts = out_refs.filter(F.col("track_id") == track).agg(F.count("*").alias("_left"))
+    kept = tracks.crossJoin(F.broadcast(counts)).filter((F.col("track_id") != track) | (F.col("_left") > 0))
+    kept = kept.withColumn("count", F.when(F.col("track_id") == track, F.col("_left")).otherwise(F.col("count"))).select(tracks.columns)
+    still = members.join(kept.select("track_id"), "track_id", "left_semi").select(COLUMNS)
+    first = members.filter(F.col("name") == name).agg(F.min(F.struct("cluster_id", "quality")).alias("f"))
+    top = _above(members, "cluster_id").crossJoin(first).select(F.coalesce("f.cluster_id", F.col("_top") + 1).alias("cluster_id"), F.coalesce("f.quality", F.lit(0.5)).alias("quality"))
+    joins = made.select("track_id").crossJoin(F.broadcast(top)).select("cluster_id", "track_id", F.lit(name).alias("name"), F.lit(1.0).alias("confidence"), "quality")
+    return still.unionByName(joins), kept.unionByName(made, allowMissingColumns=True).select(tracks.columns), out_refs
+
+
+def logged(log: DataFrame, actions: DataFrame, at: Column) -> DataFrame:
+    """The log (seq, at, action, target, done) with actions (action, target, done) behind it, numbered on in their own order (``nth``)."""
+    new = actions.crossJoin(F.broadcast(_above(log, "seq"))).select((F.col("_top") + 1 + F.col("nth")).alias("seq"), at.alias("at"), "action", "target", "done")
+    return log.unionByName(new)
+
+
+def standing(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The actions of a log that stand after its undos, each of which takes back the last action that still stands (or nothing)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    steps = log.withColumn("_sum", F.sum(F.when(F.col("action") == "undo", -1).otherwise(1)).over(w))
+    steps = steps.withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    after = F.min("_level").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return steps.withColumn("_after", after).filter((F.col("action") != "undo") & (F.coalesce("_after", "_level") >= F.col("_level"))).select(log.columns)
+
+
+def undoable(log: DataFrame, keys: list[str], depth: int = 10, order: str = "seq") -> DataFrame:
+    """What could be taken back next: the newest ``depth`` standing actions, with ``nth`` from 1."""
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return standing(log, keys, order).withColumn("nth", newest).filter(F.col("nth") <= depth)
+
+
+def freshness(episodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """episode_id, is_dirty, reason and is_fresh of episodes (episode_id, clusters_at, totals_at): dirty while there is a mark
+    (episode_id, reason); fresh if not dirty and its totals are newer than its clusters."""
+    flag = marks.groupBy("episode_id").agg(F.max("reason").alias("reason")).withColumn("is_dirty", F.lit(True))
+    rows = episodes.join(flag, "episode_id", "left").withColumn("is_dirty", F.coalesce("is_dirty", F.lit(False)))
+    newer = F.coalesce(F.col("totals_at") > F.col("clusters_at"), F.lit(False))
+    return rows.select("episode_id", "is_dirty", F.coalesce("reason", F.lit("")).alias("reason"), (~F.col("is_dirty") & newer).alias("is_fresh"))

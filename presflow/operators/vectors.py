@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoints
+
 #: Rows of one side up to which it is sent to every task whole.
 SMALL = 20_000
+#: Rows of each side of a block of products.
+BLOCK = 2048
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -45,11 +51,52 @@ def median_template(df: DataFrame, keys: list[str], vector: str = "embedding") -
 def against(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of left with every row of right, in blocks: right is dealt to blocks of at most SMALL rows that meet left by number.
 
-    For prototypes and cluster centroids, of which there are few; the left side is copied once for each block of the right.
+    For things of which one side has few; the left side is copied once for each block of the right.
     """
     blocks = max(1, -(-right.count() // SMALL))
-    numbered = right.withColumn("_block", F.pmod(F.xxhash64(*[c for c, t in right.dtypes if t != "array<double>"]), F.lit(blocks)).cast("int"))
-    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(numbered) if blocks == 1 else numbered, "_block").drop("_block")
+    numbered = right.withColumn("_block", F.pmod(F.xxhash64(*[c for c, t in right.dtypes if not t.startswith("array")]), F.lit(blocks)).cast("int"))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(numbered, "_block").drop("_block")
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table[column].combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _schema(*frames: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for df in frames for f in df.schema.fields)
+
+
+def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float | None = None, best: int | None = None, triangle: bool = False, block: int = BLOCK) -> DataFrame:
+    """Rows of left with rows of right and ``sim``, the product of the vectors ``lv`` and ``rv`` (which are left out).
+
+    Blocks of left meet blocks of right, one matrix product each, so a row is sent once for each block of the other side.  Only pairs of
+    ``least`` or more are kept, and of each left row in each block the ``best`` (with ties).  ``triangle``: both sides are one frame with
+    its names apart, and a pair of blocks meets once; who asks for it keeps one of (x, y) and (y, x).
+    """
+    n, m = (max(1, -(-df.count() // block)) for df in (left, right))
+    left_keys, right_keys = left.drop(lv), right.drop(rv)
+    spot = lambda df, of, blocks: F.pmod(F.xxhash64(*[c for c in df.columns if c != of]), F.lit(blocks)).cast("int")
+    l = left.withColumn("_l", spot(left, lv, n)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    r = right.withColumn("_r", spot(right, rv, m)).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if triangle:
+        l, r = l.filter("_l <= _r"), r.filter("_l <= _r")
+    names = [*left_keys.columns], [*right_keys.columns]
+
+    def run(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            i = j = np.zeros(0, np.int64)
+            sims = np.zeros(0)
+        else:
+            sims = _matrix(some, lv) @ _matrix(others, rv).T
+            keep = np.ones(sims.shape, bool) if least is None else sims >= least
+            if best is not None and best < sims.shape[1]:
+                keep &= sims >= np.partition(sims, -best, axis=1)[:, -best, None]
+            i, j = np.nonzero(keep)
+            sims = sims[i, j]
+        return pa.Table.from_arrays([*(some[c].take(pa.array(i)) for c in names[0]), *(others[c].take(pa.array(j)) for c in names[1]), pa.array(sims)], [*names[0], *names[1], "sim"])
+
+    return l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInArrow(run, f"{_schema(left_keys, right_keys)}, sim double")
 
 
 def medoid(df: DataFrame, keys: list[str], item: str, vector: str = "embedding") -> DataFrame:
@@ -76,8 +123,8 @@ def best_two(scored: DataFrame, key: list[str], label: str, score: str = "sim")
 
 def identity_sims(rows: DataFrame, bank: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:
     """sim: each row's best similarity to any prototype of each identity."""
-    b = bank.select(F.col("identity").alias("_identity"), F.col("embedding").alias("_proto"), "proto_id")
-    return against(rows.select(*key, F.col(vector).alias("_v")), b).groupBy(*key, F.col("_identity").alias("label")).agg(F.max(dot("_v", "_proto")).alias("sim"))
+    b = bank.select(F.col("identity").alias("label"), F.col("embedding").alias("_proto"), "proto_id")
+    return products(rows.select(*key, F.col(vector).alias("_v")), b, "_v", "_proto").groupBy(*key, "label").agg(F.max("sim").alias("sim"))
 
 
 def open_set(best: DataFrame, least: float, margin: float) -> DataFrame:
@@ -86,10 +133,11 @@ def open_set(best: DataFrame, least: float, margin: float) -> DataFrame:
 
 
 def pairs(rows: DataFrame, item: str, vector: str, least: float) -> DataFrame:
-    """Pairs (a, b) of items, a before b, with a similarity of at least ``least``."""
+    """Pairs (a, b, sim) of items, a before b, with a similarity of at least ``least``."""
     r = rows.select(F.col(item).alias("b"), F.col(vector).alias("_vb"))
-    out = against(rows.select(F.col(item).alias("a"), F.col(vector).alias("_va")), r).filter("a < b")
-    return out.select("a", "b", dot("_va", "_vb").alias("sim")).filter(F.col("sim") >= least)
+    out = products(rows.select(F.col(item).alias("a"), F.col(vector).alias("_va")), r, "_va", "_vb", least, triangle=True)
+    # a pair of blocks meets once, with its items either way round
+    return out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"])
 
 
 def iou(a: list[Column], b: list[Column]) -> Column:
@@ -133,13 +181,37 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= k)
 
 
-def frame_confidence(frames: DataFrame, bank: DataFrame, low: float, key: str = "vec_id") -> DataFrame:
-    """Own and best other similarity of each frame with an identity: conf, other, margin, low and conflict."""
-    sims = identity_sims(frames, bank, [key, "identity"])
+def prototypes(df: DataFrame, keys: list[str], k: int = 10, item: str = "vec_id") -> DataFrame:
+    """Unit mean of each key's k samples that are largest by confidence times face size."""
+    size = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    return centroid(top_k(df, keys, k, F.desc(F.col("conf") * size), F.col(item)), keys).withColumnRenamed("centroid", "prototype")
+
+
+def set_similarity(rows: DataFrame, wanted: DataFrame, k: int, key: str = "track_id") -> DataFrame:
+    """key, other and sim of the wanted pairs (key, other) of sets: the mean of the k largest products of their unit vectors ``u``."""
+    left = wanted.join(rows.select(key, F.col("vec_id").alias("_i"), F.col("u").alias("_u")), key)
+    met = left.join(rows.select(F.col(key).alias("other"), F.col("vec_id").alias("_j"), F.col("u").alias("_v")), "other").select(key, "other", "_i", "_j", dot("_u", "_v").alias("sim"))
+    return top_k(met, [key, "other"], k, F.desc("sim"), F.col("_i"), F.col("_j")).groupBy(key, "other").agg(F.avg("sim").alias("sim"))
+
+
+def frame_confidence(frames: DataFrame, bank: DataFrame, low: float, margin_low: float = 0.05, key: str = "vec_id") -> DataFrame:
+    """frame_conf, frame_margin, frame_low and frame_conflict of each frame (key, identity, embedding, and maybe centroid, of its cluster).
+
+    The frame's own similarity is the best to its identity's prototypes, without any that to its cluster's centroid, without one zero.  It
+    conflicts if there is a competitor and the margin to the best is under ``margin_low``.  A frame without a vector counts as zero.
+    """
+    unit = frames.withColumn("_u", F.when(F.size("embedding") > 0, l2_normalise("embedding")))
+    protos = bank.withColumn("embedding", l2_normalise("embedding"))
+    sims = identity_sims(unit.filter("_u is not null"), protos, [key], "_u")
+    names = bank.select(F.col("identity").alias("label")).distinct()
+    blank = unit.filter("_u is null").select(key).crossJoin(F.broadcast(names)).withColumn("sim", F.lit(0.0))  # names: at most one a prototype
     own = F.max(F.when(F.col("label") == F.col("identity"), F.col("sim")))
-    other = F.max(F.when(F.col("label") != F.col("identity"), F.col("sim")))
-    rows = sims.groupBy(key, "identity").agg(F.coalesce(own, F.lit(0.0)).alias("frame_conf"), other.alias("other"))
-    return rows.select(key, "frame_conf", (F.col("frame_conf") - F.coalesce("other", F.lit(0.0))).alias("frame_margin"), (F.col("frame_conf") < low).alias("frame_low"), (F.col("other").isNotNull() & (F.col("other") > F.col("frame_conf"))).alias("frame_conflict"))
+    other = F.max(F.when(~F.col("label").eqNullSafe(F.col("identity")), F.col("sim")))
+    to_centre = dot("_u", "centroid") if "centroid" in frames.columns else F.lit(None).cast("double")
+    each = unit.select(key, "identity", to_centre.alias("to_centre")).join(sims.unionByName(blank), key, "left")
+    rows = each.groupBy(key).agg(F.coalesce(own, F.max("to_centre"), F.lit(0.0)).alias("frame_conf"), other.alias("other"))
+    margin = F.col("frame_conf") - F.coalesce("other", F.lit(0.0))
+    return rows.select(key, "frame_conf", margin.alias("frame_margin"), (F.col("frame_conf") < low).alias("frame_low"), (F.col("other").isNotNull() & (margin < margin_low)).alias("frame_conflict"))
 
 
 def track_confidence(tracks: DataFrame, frames: DataFrame) -> DataFrame:
@@ -154,23 +226,54 @@ def track_confidence(tracks: DataFrame, frames: DataFrame) -> DataFrame:
     return tracks.join(stats, "track_id", "left").select(*tracks.columns, whole("n_frames"), *[zero(c).alias(c) for c in doubles], whole("low"))
 
 
+def cohesion(df: DataFrame, keys: list[str], vector: str = "centroid") -> DataFrame:
+    """Mean similarity of the pairs of a key's unit vectors (1 for a single one), from the length of their sum: no pairs are made."""
+    sums = df.filter(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("_at", "_x")).groupBy(*keys, "_at").agg(F.sum("_x").alias("_s"), F.count("*").alias("_n"))
+    whole = sums.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_q"))
+    return whole.select(*keys, F.when(F.col("_n") == 1, 1.0).otherwise((F.col("_q") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))).alias("pairwise_sim"))
+
+
+def _contam() -> Column:
+    return F.when(F.sum("n_frames") > 0, F.sum(F.col("conflict_frac") * F.col("n_frames")) / F.sum("n_frames")).otherwise(0.0)
+
+
+def cluster_confidence(members: DataFrame, metrics: DataFrame, centroids: DataFrame) -> DataFrame:
+    """cluster_id, name, tracks, p25_median, p25_min, contam and pairwise_sim of members (cluster_id, name, track_id), metrics of tracks and
+    their centroids (track_id, centroid).  Zeros for a cluster without any."""
+    rows = members.join(metrics, "track_id", "left").groupBy("cluster_id", F.coalesce("name", F.lit("Unknown")).alias("name"))
+    stats = rows.agg(F.count("n_frames").alias("tracks"), F.percentile("p25", F.lit(0.5)).alias("p25_median"), F.min("p25").alias("p25_min"), _contam().alias("contam"))
+    alike = cohesion(members.join(centroids, "track_id"), ["cluster_id"])
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return stats.join(alike, "cluster_id", "left").select("cluster_id", "name", "tracks", zero("p25_median"), zero("p25_min"), "contam", zero("pairwise_sim"))
+
+
+def person_confidence(members: DataFrame, metrics: DataFrame) -> DataFrame:
+    """person, n_clusters, n_tracks, p25_median, contam and margin (median over tracks with frames) of each named person."""
+    named = members.filter("name is not null and name <> 'Unknown'").join(metrics, "track_id")
+    return named.groupBy(F.col("name").alias("person")).agg(
+        F.countDistinct("cluster_id").alias("n_clusters"), F.count("*").alias("n_tracks"), F.percentile("p25", F.lit(0.5)).alias("p25_median"), _contam().alias("contam"),
+        F.coalesce(F.percentile(F.when(F.col("n_frames") > 0, F.col("margin")), F.lit(0.5)), F.lit(0.0)).alias("margin"),
+    )
+
+
 def silhouette(df: DataFrame, item: str = "vec_id", label: str = "label") -> DataFrame:
     """Silhouette of each row by cosine distance, from sums of unit vectors by label: no pairs are made."""
     unit = df.select(item, label, l2_normalise("embedding").alias("u"))
     sums = unit.select(label, F.posexplode("u").alias("at", "x")).groupBy(label, "at").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     sums = sums.groupBy(F.col(label).alias("other")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s"))).alias("t")).select("other", "n", F.col("t.s").alias("t"))
-    met = against(unit, sums).select(item, label, "other", "n", dot("u", "t").alias("d"))
+    met = products(unit, sums, "u", "t").withColumnRenamed("sim", "d")
     own = F.max(F.when(F.col("other") == F.col(label), F.when(F.col("n") > 1, 1 - (F.col("d") - 1) / (F.col("n") - 1))))
     rest = F.min(F.when(F.col("other") != F.col(label), 1 - F.col("d") / F.col("n")))
     rows = met.groupBy(item, label).agg(own.alias("a"), rest.alias("b"))
-    return rows.select(item, label, F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    worth = (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    return rows.select(item, label, F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise(worth).alias("silhouette"))
 
 
 def impurity(df: DataFrame, outlier: float, margin: float, label: str = "label") -> DataFrame:
     """Share of each label's rows that lie far from its centroid or nearer to another's."""
     unit = df.select("vec_id", label, l2_normalise("embedding").alias("u"))
     centres = centroid(df, [label]).select(F.col(label).alias("other"), "centroid")
-    met = against(unit, centres).select("vec_id", label, "other", dot("u", "centroid").alias("s"))
+    met = products(unit, centres, "u", "centroid").withColumnRenamed("sim", "s")
     rows = met.groupBy("vec_id", label).agg(F.max(F.when(F.col("other") == F.col(label), F.col("s"))).alias("own"), F.greatest(F.lit(0.0), F.max(F.when(F.col("other") != F.col(label), F.col("s")))).alias("best_other"))
     far, cross = F.col("own") < outlier, F.col("best_other") - F.col("own") >= margin
     return rows.groupBy(label).agg(F.count("*").alias("n"), F.count_if(far).alias("outliers"), F.count_if(cross).alias("cross"), ((F.count_if(far) + F.count_if(cross)) / F.count("*")).alias("impurity"))
@@ -179,25 +282,41 @@ def impurity(df: DataFrame, outlier: float, margin: float, label: str = "label")
 def nearest_distances(df: DataFrame, k: int) -> DataFrame:
     """Each vector's distance (1 - similarity) to its k-th nearest, itself counted as the first."""
     unit = df.select("vec_id", l2_normalise("embedding").alias("u"))
-    met = against(unit, unit.select(F.col("vec_id").alias("other"), F.col("u").alias("v")))
-    ranked = top_k(met.select("vec_id", "other", (1 - dot("u", "v")).alias("d")), ["vec_id"], k, F.col("d"), F.col("other"))
+    met = products(unit, unit.select(F.col("vec_id").alias("other"), F.col("u").alias("v")), "u", "v", best=k)
+    ranked = top_k(met.select("vec_id", "other", (1 - F.col("sim")).alias("d")), ["vec_id"], k, F.col("d"), F.col("other"))
     return ranked.filter(F.col("nth") == k).select("vec_id", F.greatest(F.lit(0.0), "d").alias("kth"))
 
 
-def dbscan(df: DataFrame, eps: float, least: int, components) -> DataFrame:
+def near_links(df: DataFrame, eps: float) -> DataFrame:
+    """(a, b, sim) of vectors within a cosine distance of ``eps``, a < b."""
+    return pairs(df.select("vec_id", l2_normalise("embedding").alias("u")), "vec_id", "u", 1 - eps)
+
+
+def dbscan(df: DataFrame, eps: float, least: int, components, links: DataFrame | None = None) -> DataFrame:
     """vec_id and cluster (-1 for noise) by cosine distance; ``least`` counts the point itself.
 
     Clusters are numbered by their smallest member; a border point that several reach goes to the one with the smallest core.
-    ``components`` turns links (a, b) into (node, component).
+    ``components`` turns links (a, b) into (node, component).  ``links`` may hold ``near_links`` of a larger radius.
     """
-    unit = df.select("vec_id", l2_normalise("embedding").alias("u"))
-    links = pairs(unit, "vec_id", "u", 1 - eps).select("a", "b")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    near = (near_links(df, eps) if links is None else links.filter(F.col("sim") >= 1 - eps)).select("a", "b")
+    checkpoints(df.sparkSession)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     core = both.groupBy("a").count().filter(F.col("count") + 1 >= least).select(F.col("a").alias("core"))
+    core = (df.select(F.col("vec_id").alias("core")) if least <= 1 else core).checkpoint()
     inner = both.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
     placed = core.join(components(inner), F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("root"))
     border = both.join(core, F.col("a") == F.col("core"), "left_anti").join(placed, F.col("b") == F.col("core")).groupBy("a").agg(F.min("root").alias("root"))
     members = placed.select(F.col("core").alias("vec_id"), "root").unionByName(border.select(F.col("a").alias("vec_id"), "root"))
-    numbers = members.groupBy("root").agg(F.min("vec_id").alias("first"))
-    numbers = numbers.withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1)  # one row a cluster
+    numbers = numbered(members.groupBy("root").agg(F.min("vec_id").alias("first")), "first", "cluster")
     return df.select("vec_id").join(members.join(numbers, "root"), "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``name``: numbers from 0 without gaps by a column of distinct values; ranges are numbered side by side, from their counts."""
+    checkpoints(rows.sparkSession)
+    dealt = rows.repartitionByRange(order).withColumn("_span", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("_span").agg(F.count("*").alias("_n"))
+    bases = counts.select("_span", F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a range
+    inner = F.row_number().over(Window.partitionBy("_span").orderBy(order)) - 1
+    placed = dealt.withColumn("_inner", inner).join(F.broadcast(bases), "_span")
+    return placed.select(*rows.columns, (F.col("_base") + F.col("_inner")).alias(name))

@@ -1,8 +1,8 @@
 """Registered queries of the presence operators, by name, and the SQL that an oracle runs for them."""
 
-from . import audits, intervals, records, registry, tracking, vectors
+from . import assembly, audits, clustering, intervals, records, recovery, registry, tracking, vectors
 
-MODULES = (intervals, vectors, audits, records, registry, tracking)
+MODULES = (intervals, assembly, vectors, audits, clustering, recovery, records, registry, tracking)
 
 
 def queries() -> dict:

@@ -85,14 +85,18 @@ def best_seeds(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {NAMED}, l AS (SELECT i AS a, i + 9 AS b FROM range(0, 60) t(i) WHERE i % 10 = 3 AND i < 50), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+    f"""WITH RECURSIVE {NAMED}, fm AS (SELECT cluster_id, min(track_id) AS node FROM named GROUP BY 1), l AS (SELECT x.node AS a, y.node AS b FROM fm x JOIN fm y ON y.cluster_id = x.cluster_id + 1 WHERE x.cluster_id % 4 < 2),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
  comp AS (SELECT node, min(root) AS component FROM r GROUP BY node), small AS (SELECT cluster_id, name, min(track_id) AS node FROM named GROUP BY 1, 2), tied AS (SELECT component, cluster_id, name FROM small JOIN comp USING (node)),
- f AS (SELECT component, arg_min(cluster_id, (name IS NULL)::INT * 1000 + cluster_id) AS to_, arg_min(coalesce(name, ''), (name IS NULL)::INT * 1000 + cluster_id) AS to_name FROM tied GROUP BY 1), m AS (SELECT cluster_id, to_, nullif(to_name, '') AS to_name FROM tied JOIN f USING (component))
+ f AS (SELECT component, arg_min(cluster_id, (name IS NULL)::INT * 1000000 + cluster_id) AS to_, arg_min(coalesce(name, ''), (name IS NULL)::INT * 1000000 + cluster_id) AS to_name FROM tied GROUP BY 1), m AS (SELECT cluster_id, to_, nullif(to_name, '') AS to_name FROM tied JOIN f USING (component))
  SELECT coalesce(to_, n.cluster_id) AS cluster_id, track_id, CASE WHEN to_ IS NOT NULL THEN to_name ELSE name END AS name FROM named n LEFT JOIN m USING (cluster_id)"""
 )
 def enforce_must_links(spark, sf_dir):
-    links = spark.range(50).filter("id % 10 = 3").select(F.col("id").alias("a"), (F.col("id") + 9).alias("b"))
-    return A.enforce_must(_named(spark).select("cluster_id", "track_id", "name"), components(links))
+    named = _named(spark, sf_dir).select("cluster_id", "track_id", "name")
+    first = named.groupBy("cluster_id").agg(F.min("track_id").alias("node"))
+    following = first.select((F.col("cluster_id") - 1).alias("cluster_id"), F.col("node").alias("b"))
+    links = first.filter("cluster_id % 4 < 2").join(following, "cluster_id").select(F.col("node").alias("a"), "b")
+    return A.enforce_must(named, components(links))
 
 
 @query(
@@ -106,7 +110,12 @@ def consolidate_names(spark, sf_dir):
     return A.consolidate(rows, 0.0, spark.createDataFrame([(1, 13)], "a bigint, b bigint"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY vec_id) - 1 AS n, {UNIT.format(v='embedding')} AS u FROM det), near AS (SELECT a.track_id, a.n AS a, b.n AS b FROM o a JOIN o b ON a.track_id = b.track_id AND a.n < b.n AND list_dot_product(a.u, b.u) >= 0.2),
+ s AS (SELECT DISTINCT track_id, -1::BIGINT AS n, []::BIGINT[] AS kept FROM o
+  UNION ALL SELECT s.track_id, s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near x WHERE x.track_id = s.track_id AND x.b = s.n + 1 AND list_contains(s.kept, x.a)) THEN s.kept ELSE list_append(s.kept, s.n + 1) END FROM s WHERE EXISTS (SELECT 1 FROM o WHERE o.track_id = s.track_id AND o.n = s.n + 1))
+ SELECT track_id, arg_max(kept, n) AS kept FROM s GROUP BY 1"""
+)
 def greedy_distinct(spark, sf_dir):
     rows = detections(spark, sf_dir).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", V.l2_normalise("embedding").alias("u")))).alias("r"))
     return rows.select("track_id", A.greedy_distinct(F.col("r.u"), 0.2).alias("kept"))

@@ -56,22 +56,24 @@ def _merge_sql(p: I.MergeParams) -> str:
     threshold = (
         f"least(CASE WHEN {quality} >= {p.min_quality} THEN {p.hi_cap} ELSE {p.lo_cap} END, {p.gap_max})"
         if p.caps
-        else f"CASE WHEN s.conf >= {p.min_quality} AND x.conf >= {p.min_quality} THEN {max(p.gap, p.gap_max)} ELSE {p.gap} END"
+        else f"CASE WHEN s.conf >= {p.min_quality} AND x.conf >= {p.min_quality} THEN {p.gap_max} ELSE {p.gap} END"
     )
     invisible = f"WHEN s.visible < {p.visibility} OR x.visible < {p.visibility} THEN 'invisible'" if p.visibility else ""
     step = f"CASE WHEN x.gap < 0 THEN 'overlap' WHEN {p.edge_epsilon} > 0 AND x.gap <= {p.edge_epsilon} THEN 'edge' WHEN x.gap > {threshold} THEN 'clamped' {invisible} WHEN x.conflict THEN 'blocked' ELSE 'merged' END"
     merges = f"({step}) IN ('overlap', 'edge', 'merged')"
+    bump = f"CASE WHEN {quality} >= {p.min_quality} THEN 'bump' ELSE 'lo_cap' END" if p.caps else f"CASE WHEN s.conf >= {p.min_quality} AND x.conf >= {p.min_quality} THEN 'bump' END"
+    bump = f"CASE WHEN ({step}) NOT IN ('overlap', 'edge') THEN {bump} END"
     return f"""WITH RECURSIVE {TRACKS},
  before AS (SELECT *, max(end_ms) OVER (PARTITION BY person ORDER BY start_ms, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gs,
    row_number() OVER (PARTITION BY person ORDER BY start_ms, track_id) AS n FROM tracks),
  hits AS (SELECT DISTINCT l.track_id FROM before l JOIN tracks r ON l.person <> r.person AND r.conf >= {p.conflict_conf} AND l.start_ms - l.gs > {p.conflict_guard}
    AND r.start_ms < l.start_ms AND r.end_ms > l.gs AND least(r.end_ms, l.start_ms) - greatest(r.start_ms, l.gs) >= {p.conflict_guard}),
  placed AS (SELECT b.*, b.start_ms - b.gs AS gap, h.track_id IS NOT NULL AS conflict FROM before b LEFT JOIN hits h USING (track_id)),
- state AS (SELECT person, n, start_ms, end_ms, conf, visible, frames, 1::BIGINT AS members, 1::BIGINT AS g, 'first' AS step FROM placed WHERE n = 1
+ state AS (SELECT person, n, start_ms, end_ms, conf, visible, frames, 1::BIGINT AS members, 1::BIGINT AS g, 'first' AS step, NULL::VARCHAR AS quality, NULL::BIGINT AS gap, NULL::BIGINT AS gs, track_id FROM placed WHERE n = 1
   UNION ALL
   SELECT x.person, x.n, CASE WHEN {merges} THEN s.start_ms ELSE x.start_ms END, CASE WHEN {merges} THEN greatest(s.end_ms, x.end_ms) ELSE x.end_ms END,
    CASE WHEN {merges} THEN greatest(s.conf, x.conf) ELSE x.conf END, CASE WHEN {merges} THEN 0.0 ELSE x.visible END, CASE WHEN {merges} THEN 0 ELSE x.frames END,
-   CASE WHEN {merges} THEN s.members + 1 ELSE 1 END, CASE WHEN {merges} THEN s.g ELSE s.g + 1 END, {step}
+   CASE WHEN {merges} THEN s.members + 1 ELSE 1 END, CASE WHEN {merges} THEN s.g ELSE s.g + 1 END, {step}, {bump}, x.gap, x.gs, x.track_id
   FROM state s JOIN placed x ON x.person = s.person AND x.n = s.n + 1)"""
 
 
@@ -94,11 +96,24 @@ def adaptive_merge_capped(spark, sf_dir):
 _COUNTS = ", ".join(f"count(*) FILTER (step = '{s}') AS {s}" for s in ("overlap", "edge", "merged", "blocked", "clamped", "invisible"))
 
 
-@query(f"{_merge_sql(_P)} SELECT person, count(*) FILTER (step <> 'first') AS gaps_seen, {_COUNTS} FROM state GROUP BY person")
+_STATS = f"SELECT person, count(*) FILTER (step <> 'first') AS gaps_seen, count(*) FILTER (step IN ('overlap', 'edge', 'merged')) AS gaps_merged, {_COUNTS}, count(*) FILTER (quality = 'bump') AS quality_bumps, count(*) FILTER (quality = 'lo_cap') AS lo_caps FROM state GROUP BY person"
+
+
+@query(f"{_merge_sql(_P)} {_STATS}")
 def merge_stats(spark, sf_dir):
     return I.merge_stats(I.adaptive_merge(tracks(spark, sf_dir), _P))
 
 
+@query(f"{_merge_sql(_CAPPED)} {_STATS}")
+def merge_stats_capped(spark, sf_dir):
+    return I.merge_stats(I.adaptive_merge(tracks(spark, sf_dir), _CAPPED))
+
+
+@query(f"{_merge_sql(_CAPPED)} SELECT person, gs AS start_ms, gs + gap AS end_ms, gap, track_id AS next_track FROM state WHERE step = 'invisible'")
+def visibility_audit(spark, sf_dir):
+    return I.visibility_audit(I.adaptive_merge(tracks(spark, sf_dir), _CAPPED))
+
+
 @query(
     f"""{ISLANDS} SELECT a.person AS person_a, b.person AS person_b, count(*) AS times, CAST(sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) AS BIGINT) AS shared_ms
  FROM merged a JOIN merged b ON a.person < b.person AND least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) GROUP BY 1, 2"""
@@ -126,16 +141,17 @@ AUDIT = f"""{ISLANDS},
   UNION ALL SELECT person, 'between', end_ms, nx FROM n WHERE nx - end_ms > 0 AND nx - end_ms <= 3000
   UNION ALL SELECT person, 'tail', end_ms, {LENGTH} FROM n WHERE nx IS NULL AND {LENGTH} - end_ms > 0 AND {LENGTH} - end_ms <= 3000),
  win AS (SELECT person, kind, greatest(start_ms - 200, 0) AS start_ms, least(end_ms + 200, {LENGTH}) AS end_ms FROM gaps),
- cov AS (SELECT w.person, w.kind, w.start_ms, w.end_ms, coalesce((SELECT CAST(sum(least(t.end_ms, w.end_ms) - greatest(t.start_ms, w.start_ms)) AS BIGINT) FROM tracks t
-   WHERE t.start_ms < w.end_ms AND t.end_ms > w.start_ms), 0) AS covered_ms FROM win w)"""
+ num AS (SELECT *, row_number() OVER () AS i FROM win),
+ cov AS (SELECT w.person, w.kind, w.start_ms, w.end_ms, CAST(coalesce(sum(least(t.end_ms, w.end_ms) - greatest(t.start_ms, w.start_ms)), 0) AS BIGINT) AS covered_ms, count(t.track_id) AS tracks, round(coalesce(avg(t.conf), 0), 9) AS mean_conf
+   FROM num w LEFT JOIN tracks t ON t.start_ms < w.end_ms AND t.end_ms > w.start_ms GROUP BY w.i, w.person, w.kind, w.start_ms, w.end_ms)"""
 
 
 @query(f"""{AUDIT} SELECT *, covered_ms / (end_ms - start_ms) AS ratio, CASE WHEN covered_ms / (end_ms - start_ms) < 0.2 THEN 'high' WHEN covered_ms / (end_ms - start_ms) < 0.5 THEN 'medium' ELSE 'low' END AS priority FROM cov""")
 def gap_audit(spark, sf_dir):
     found = I.audit_gaps(merged_at_300(spark, sf_dir), LENGTH, 3000)
     windows = found.select("person", "kind", F.greatest(F.col("start_ms") - 200, F.lit(0)).alias("start_ms"), F.least(F.col("end_ms") + 200, F.lit(LENGTH)).alias("end_ms"))
-    covered = I.coverage(windows, tracks(spark, sf_dir).select("start_ms", "end_ms"), ["person", "kind", "start_ms"], 5_000)
-    return covered.withColumn("priority", I.priority(F.col("ratio")))
+    covered = I.coverage(windows, tracks(spark, sf_dir).select("start_ms", "end_ms", "conf"), 5_000)
+    return covered.drop("window_id").withColumn("priority", I.priority(F.col("ratio"))).withColumn("mean_conf", F.round("mean_conf", 9))
 
 
 @query(
@@ -150,7 +166,7 @@ def densify_windows(spark, sf_dir):
     merged = merged_at_300(spark, sf_dir).select("person", "start_ms", "end_ms", "conf", F.col("start_ms").alias("track_id"))
     found = I.gaps(merged, ["person"], "end_ms").filter((F.col("gap") > 0) & (F.col("gap") <= 2000))
     windows = found.select("person", F.greatest(F.col("end_ms") - 300, F.lit(0)).alias("start_ms"), (F.col("next_start") + 300).alias("end_ms"))
-    covered = I.coverage(windows, merged.select("person", "start_ms", "end_ms"), ["person", "start_ms"], 5_000, on=["person"])
+    covered = I.coverage(windows, merged.select("person", "start_ms", "end_ms", "conf"), 5_000, on=["person"])
     return covered.withColumn("ratio", F.least(F.lit(1.0), "ratio")).filter("ratio < 0.4").select("person", "start_ms", "end_ms", "ratio")
 
 
@@ -276,18 +292,12 @@ def undercount(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TRACKS}, a AS (SELECT * FROM tracks WHERE track_id % 5 = 0), b AS (SELECT * FROM tracks WHERE track_id % 5 = 1),
- j AS (SELECT a.track_id, b.track_id AS next_id, b.start_ms - a.end_ms AS gap, row_number() OVER (PARTITION BY a.track_id ORDER BY b.start_ms - a.end_ms, b.track_id) AS k
-  FROM a JOIN b ON a.person = b.person AND b.start_ms > a.end_ms AND b.start_ms - a.end_ms <= 1000)
+    f"""WITH {TRACKS}, j AS (SELECT a.track_id, b.track_id AS next_id, b.start_ms - a.end_ms AS gap, row_number() OVER (PARTITION BY a.track_id ORDER BY b.start_ms - a.end_ms, b.track_id) AS k
+  FROM tracks a JOIN tracks b ON a.person = b.person AND b.start_ms > a.end_ms AND b.start_ms - a.end_ms <= 1000)
  SELECT track_id, next_id, gap FROM j WHERE k = 1"""
 )
 def nearest_downstream(spark, sf_dir):
-    rows = tracks(spark, sf_dir).select("track_id", "person", "start_ms", "end_ms")
-    reach = rows.filter("track_id % 5 = 0").select("track_id", "person", (F.col("end_ms") + 1).alias("start_ms"), (F.col("end_ms") + 1000).alias("end_ms"))
-    starts = rows.filter("track_id % 5 = 1").select("track_id", "person", "start_ms", F.col("start_ms").alias("end_ms"))
-    pairs = I.range_join(reach, starts, F.col("r.start_ms").between(F.col("l.start_ms"), F.col("l.end_ms")), 2_000, on=["person"])
-    gap = (F.col("r.start_ms") - F.col("l.start_ms") + 1).alias("gap")
-    return pairs.groupBy(F.col("l.track_id").alias("track_id")).agg(F.min(F.struct(gap, F.col("r.track_id").alias("next_id"))).alias("b")).select("track_id", "b.next_id", "b.gap")
+    return I.nearest_after(tracks(spark, sf_dir), ["person"], 1000)
 
 
 @query(

@@ -100,15 +100,22 @@ def reattach_latency(spark, sf_dir):
     return logs.reattachments(_log(spark, sf_dir))
 
 
+EVENTS = """ev AS (SELECT event_id, epoch_us(ts) // 1000000 AS frame, CASE WHEN event_id % 11 = 0 THEN 'UNK' ELSE 'N' || (user_id % 40) END AS label_before, CASE WHEN event_id % 13 = 0 THEN 'UNK' ELSE 'N' || (user_id % 40) END AS label_after,
+ CASE event_id % 6 WHEN 0 THEN 'join_confirmed' WHEN 1 THEN 'promote_confirm' WHEN 2 THEN 'reattach' WHEN 3 THEN 'drop_exit' WHEN 4 THEN 'switch' ELSE 'assign_provisional' END AS reason FROM events)"""
+
+
 @query(
-    """WITH r AS (SELECT event_id AS frame, CASE WHEN user_id % 9 > 0 THEN user_id % 4 END AS truth, CASE WHEN event_id % 7 > 0 THEN (user_id + (event_id % 5 = 0)::INT) % 4 END AS predicted FROM events),
- s AS (SELECT count(*) FILTER (truth = predicted) AS tp, count(*) FILTER (predicted IS NOT NULL AND truth IS DISTINCT FROM predicted) AS fp, count(*) FILTER (truth IS NOT NULL AND truth IS DISTINCT FROM predicted) AS fn, max(frame) - min(frame) + 1 AS n FROM r)
- SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1, n / 30.0::DOUBLE AS seconds FROM s"""
+    f"""WITH {EVENTS}, l AS (SELECT event_id, frame, CASE WHEN reason = 'drop_exit' THEN label_before ELSE label_after END AS label, reason FROM ev WHERE reason = 'drop_exit' AND label_before <> 'UNK' OR reason = 'reattach' AND label_after <> 'UNK'),
+ b AS (SELECT *, lag(reason) OVER w AS r, lag(frame) OVER w AS f FROM l WINDOW w AS (PARTITION BY label ORDER BY frame, event_id)), d AS (SELECT avg(frame - f) AS latency_mean, quantile_cont((frame - f)::DOUBLE, 0.95) AS latency_p95 FROM b WHERE reason = 'reattach' AND r = 'drop_exit'),
+ s AS (SELECT count(*) AS events, count(*) FILTER (reason IN ('join_confirmed', 'promote_confirm', 'reattach') AND label_after <> 'UNK') AS tp, count(*) FILTER (reason = 'switch') AS fp, count(*) FILTER (reason = 'drop_exit') AS fn, (max(frame) - min(frame)) / 1800.0::DOUBLE AS m FROM ev)
+ SELECT events, round_even(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS id_f1, round_even(tp / (tp + fp), 4) AS precision, round_even(tp / (tp + fn), 4) AS recall, round_even(fp / m, 4) AS switches_per_min, latency_mean, latency_p95 FROM s, d"""
 )
 def id_metrics(spark, sf_dir):
-    e, u = F.col("event_id"), F.col("user_id")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(e.alias("frame"), F.when(u % 9 > 0, u % 4).alias("truth"), F.when(e % 7 > 0, (u + F.when(e % 5 == 0, 1).otherwise(0)) % 4).alias("predicted"))
-    return logs.identity_scores(rows)
+    e, label = F.col("event_id"), F.format_string("N%d", F.col("user_id") % 40)
+    reasons = F.array(*[F.lit(r) for r in ("join_confirmed", "promote_confirm", "reattach", "drop_exit", "switch", "assign_provisional")])
+    unless = lambda n: F.when(e % n == 0, "UNK").otherwise(label)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint").alias("frame"), unless(11).alias("label_before"), unless(13).alias("label_after"), F.get(reasons, (e % 6).cast("int")).alias("reason"))
+    return logs.identity_metrics(rows)
 
 
 @query(

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering as C
 from ..operators import registry as R
-from .vectors import _embeddings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,8 +53,3 @@ def archive_and_restore(spark, sf_dir):
 @query(f"WITH {FILES} SELECT episode_id, substr(md5(string_agg(name || '::' || size || '::' || changed, '::' ORDER BY name || '::' || size || '::' || changed)), 1, 12) AS hash FROM f GROUP BY episode_id")
 def episode_hashes(spark, sf_dir):
     return R.content_hash(files(spark, sf_dir))
-
-
-@query()
-def eps_sweep(spark, sf_dir):
-    return C.eps_sweep(_embeddings(spark, sf_dir), [0.6, 0.65, 0.7], 4)

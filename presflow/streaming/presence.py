@@ -6,13 +6,14 @@ Sources are files or any other streaming reader; observations older than the wat
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.tracking import Reidentifier, ReidParams
+from ..operators.tracking import Reidentifier, ReidParams, decisions
 
 LATE = "10 minutes"
 
@@ -34,22 +35,52 @@ def sessions(stream: DataFrame, ts: str, keys: list[str], gap: str, late: str =
     return grouped.select("w.start", "last", *keys, "n")
 
 
-def identities(stream: DataFrame, seeds: list[tuple[str, list[float]]], params: ReidParams = ReidParams()) -> DataFrame:
-    """Identity events of a stream (episode_id, frame_id, track_id, embedding); an episode's labels, centroids and tracks are its state."""
+def identities(stream: DataFrame, seeds: list[tuple[str, list[float]]], params: ReidParams = ReidParams(), keep_ms: int = 3_600_000) -> DataFrame:
+    """Identity decisions of a stream (episode_id, frame_id, track_id, embedding); an episode's labels, centroids and tracks are its state.
+
+    A frame's rows come in one file.  The state of an episode that has had no rows for ``keep_ms`` is dropped.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             reid = pickle.loads(state.get[0])
         else:
             reid = Reidentifier(params)
             for label, vector in seeds:
                 reid.seed(label, vector)
-        for rows in frames:
-            rows = rows.sort_values(["frame_id", "track_id"])
-            out = pd.DataFrame([reid.assign(v, f, t) for f, t, v in zip(rows["frame_id"], rows["track_id"], rows["embedding"])])
-            out.insert(0, "episode_id", key[0])
-            yield out[["episode_id", "frame", "track_id", "label_after", "status_after", "reason"]]
+        out = decisions(reid, pd.concat(frames))  # Arrow cuts a group at any row
+        out.insert(0, "episode_id", key[0])
+        yield out[["episode_id", "frame", "track_id", "label_after", "status_after", "reason"]]
         state.update((pickle.dumps(reid),))
+        state.setTimeoutDuration(keep_ms)
 
     fields = "episode_id bigint, frame bigint, track_id bigint, label_after string, status_after string, reason string"
-    return stream.groupBy("episode_id").applyInPandasWithState(run, fields, "state binary", "append", "NoTimeout")
+    return stream.groupBy("episode_id").applyInPandasWithState(run, fields, "state binary", "append", "ProcessingTimeTimeout")
+
+
+class Progress(StreamingQueryListener):
+    """Passes (query id, batch, rows in, rows a second) of every batch on, and the error (or none) with which a query ends."""
+
+    def __init__(self, report: Callable[[str, int, int, float], None], ended: Callable[[str, str | None], None] = lambda query, error: None):
+        self.report, self.ended = report, ended
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.report(str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended(str(event.id), event.exception)
+
+
+def to_table(stream: DataFrame, folder: str, checkpoint: str):
+    """Writes a stream as Parquet and goes on where it left off when started again with the same checkpoint folder."""
+    return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
