@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -28,7 +29,7 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder and read back: lineage ends there, lost executors cost nothing, and its shuffles go."""
     with tidy(checkpoints(df.sparkSession)):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # what cleans up is settled when a frame is made
 
 
 _claims: dict[str, Callable[[], None]] = {}
@@ -44,6 +45,8 @@ def claim(name: str, clear: Callable[[], None]) -> None:
             _claims.pop(other)()
         _claims[name] = clear
         gc.collect()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)  # what is free goes back to the system
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 #: Families of languages by code.  A language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af yi lb fy fo",
@@ -186,6 +188,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in ("lang_pred", "score")])
 
     def run(batches):
+        claim("language", lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, partitions
+from .common import claim, cut, partitions
 from .components import components
 from .shingles import COORDINATES, shingles, signature
 
@@ -49,9 +49,9 @@ BLOCK = 1024
 #: What a row of a level of branching costs, in rows of blocks.
 LEVEL = 4.0
 #: Columns of the incidence matrix that intersections are counted by at a time, and rows of each side.
-COLUMNS, ROWS = 8192, 1024
+COLUMNS, ROWS = 8192, 256
 #: Shingles of a part that is confirmed at once.
-PART_SHINGLES = 4 << 20
+PART_SHINGLES = 2 << 20
 
 ROOTS = TREES * BRANCH
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("item", pa.binary()), ("roots", pa.list_(pa.int32())), ("low", pa.binary())])
@@ -77,6 +77,7 @@ def _sign(batches):
 
 def _groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys, each whole; rows come sorted."""
+    claim("groups", lambda: None)
     held: list[pa.RecordBatch] = []
     for batch in rows:
         if not batch.num_rows:
@@ -318,7 +319,7 @@ def links_among(sets: list[np.ndarray], percent: int, rest: np.ndarray | None =
                 right = np.zeros((min(ROWS, n - b), COLUMNS), np.float32)
                 right[owner[i:j][these] - b, column[i:j][these] - at] = 1
                 both[:, b : b + ROWS] += left @ right.T
-        common = both.astype(np.int64)
+        common = both.astype(np.int64)  # of ROWS rows
         linked[of] = 100 * common >= percent * (size[of][:, None] + size - common)
     linked |= linked.T
     linked[np.arange(n), np.arange(n)] = False

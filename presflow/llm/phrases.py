@@ -19,6 +19,11 @@ LIMIT = 1 << 23
 _powers: list[np.ndarray] = []
 
 
+def forget() -> None:
+    """Frees the tables that a worker keeps."""
+    _powers.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * _BASES[0]
     return (x ^ x >> np.uint64(29)) * _BASES[1]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import phrases
-from .common import cut
+from .common import claim, cut
 
 MATCH = 50
 #: Bytes of text in a block that is parsed at once (unless one text is longer), and those behind a bucket.
@@ -132,6 +132,7 @@ def _parse_blocks(buckets: int, match: int):
         return _batch(out)
 
     def run(batches):
+        claim("phrases", phrases.forget)
         ids, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
