@@ -20,7 +20,20 @@ def id_errors(c: Column) -> Column:
     )
 
 
-def slug(c: Column) -> Column:
+def slug(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Lower case with underscores; a slug that has an alias becomes that."""
+    plain = _slug(c)
+    if not aliases:
+        return plain
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[plain], plain)
+
+
+def display_name(c: Column) -> Column:
+    """Words of a slug with capitals."""
+    return F.initcap(F.regexp_replace(c, "[_-]+", " "))
+
+
+def _slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_|_$", "")
 
 

@@ -47,8 +47,8 @@ def knee(df: DataFrame, k: int = 6, share: float = 0.75) -> float:
 
 
 def candidates(at: float, p: SweepParams = SweepParams()) -> list[float]:
-    """Radii around a knee, in steps up to at least the last."""
-    first, last = max(p.low, at - p.around), min(p.high, at + p.around)
+    """Radii around a knee, in steps up to at least the last; beyond the range its end."""
+    first, last = min(max(p.low, at - p.around), p.high), max(p.low, min(p.high, at + p.around))
     return [round(float(e), 6) for e in np.arange(first, last + p.step, p.step)]
 
 

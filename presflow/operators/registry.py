@@ -39,3 +39,41 @@ def stale(episodes: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def summary(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("show_id", "season").agg(F.count("*").alias("episodes"), F.count_if("archived").alias("archived"))
+
+
+def put(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The table with rows added, in place of those of the same key."""
+    return table.join(rows, key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def removed(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The table without the rows of these keys."""
+    return table.join(keys, keys.columns, "left_anti")
+
+
+def cascade(shows: DataFrame, seasons: DataFrame, episodes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shows, seasons and episodes without shows (show_id) and what belongs to them."""
+    return tuple(removed(t, gone.select("show_id")) for t in (shows, seasons, episodes))
+
+
+def allowed(actions: DataFrame, running: DataFrame) -> DataFrame:
+    """actions (episode_id, action) with ``allowed`` and ``why``: nothing starts on an episode on which a step runs (episode_id, step)."""
+    busy = running.groupBy("episode_id").agg(F.min("step").alias("_step"))
+    rows = actions.join(busy, "episode_id", "left")
+    return rows.select(*actions.columns, F.col("_step").isNull().alias("allowed"), F.when(F.col("_step").isNotNull(), F.concat(F.lit("running "), F.col("_step"))).alias("why"))
+
+
+#: What a video or an image must be.
+VIDEO_KINDS, IMAGE_KINDS = ("mp4", "mov", "avi", "mkv"), ("jpg", "jpeg", "png", "webp")
+
+
+def file_errors(name: Column, size: Column, kinds: tuple[str, ...], least: int, most: int) -> Column:
+    """Array of what is wrong with a file: its kind by its name, too small or too large."""
+    kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.array_compact(F.array(F.when(~kind.isin(*kinds), "kind"), F.when(size < least, "too_small"), F.when(size > most, "too_large")))
+
+
+def purged(files: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Files (episode_id, ...) of episodes that are archived or not in the registry: what may be deleted."""
+    kept = episodes.filter(~F.col("archived")).select("episode_id")
+    return files.join(kept, "episode_id", "left_anti")

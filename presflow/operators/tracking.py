@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -397,15 +397,41 @@ def reidentify(df: DataFrame, seeds: DataFrame, params: ReidParams = ReidParams(
     return df.groupBy(episode).cogroup(bank.groupBy("_of")).applyInPandas(run, f"{episode} {kind}, {REID_FIELDS}")
 
 
-def stitch(tracks: DataFrame, max_gap: int, least: float, margin: float, bin_ms: int = 5_000) -> DataFrame:
-    """track_id, linked_to and sim: the best later track that starts within ``max_gap`` of a track's end, alike and apart enough."""
-    reach = tracks.select("track_id", "prototype", F.col("end_ms").alias("start_ms"), (F.col("end_ms") + max_gap).alias("end_ms"), F.col("end_ms").alias("ends"))
-    starts = tracks.select("track_id", "prototype", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("ends"))
+def stitch(tracks: DataFrame, max_gap: int, least: float, margin: float, bin_ms: int = 5_000, rules: DataFrame | None = None) -> DataFrame:
+    """track_id, linked_to and sim: the best later track that starts within ``max_gap`` of a track's end, alike and apart enough.
+
+    Where tracks have them, a known ``identity`` only goes on in tracks of the same or of none, and ``first_scene`` of the later track is at
+    most one from ``last_scene`` of the earlier.  ``rules`` (identity, freeze, least, margin) have thresholds of identities; a frozen one's
+    tracks are not linked.  A later track may be linked to several times.
+    """
+    extra = [c for c in ("identity", "first_scene", "last_scene") if c in tracks.columns]
+    reach = tracks.select("track_id", "prototype", F.col("end_ms").alias("start_ms"), (F.col("end_ms") + max_gap).alias("end_ms"), F.col("end_ms").alias("ends"), *extra)
+    starts = tracks.select("track_id", "prototype", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("ends"), *extra)
     later = (F.col("l.track_id") != F.col("r.track_id")) & (F.struct("r.ends", "r.track_id") > F.struct("l.ends", "l.track_id")) & F.col("r.start_ms").between(F.col("l.start_ms"), F.col("l.end_ms"))
-    pairs = range_join(reach, starts, later, bin_ms).select(F.col("l.track_id").alias("track_id"), F.col("r.track_id").alias("linked_to"), F.round(dot("l.prototype", "r.prototype"), 9).alias("sim"))
+    if "identity" in extra:
+        later = later & (F.col("l.identity").isNull() | F.col("r.identity").isNull() | (F.col("l.identity") == F.col("r.identity")))
+    if "first_scene" in extra and "last_scene" in extra:
+        later = later & F.coalesce(F.abs(F.col("l.last_scene") - F.col("r.first_scene")) <= 1, F.lit(True))
+    who = F.col("l.identity") if "identity" in extra else F.lit(None).cast("string")
+    pairs = range_join(reach, starts, later, bin_ms).select(F.col("l.track_id").alias("track_id"), who.alias("identity"), F.col("r.track_id").alias("linked_to"), F.round(dot("l.prototype", "r.prototype"), 9).alias("sim"))
     w = Window.partitionBy("track_id").orderBy(F.desc("sim"), "linked_to")
     ranked = pairs.withColumn("nth", F.row_number().over(w)).withColumn("second", F.lead("sim").over(w)).filter("nth = 1")
-    return ranked.filter((F.col("sim") >= least) & (F.col("sim") - F.coalesce("second", F.lit(-1.0)) >= margin)).select("track_id", "linked_to", "sim")
+    ranked = ranked.withColumn("_least", F.lit(least)).withColumn("_margin", F.lit(margin)) if rules is None else (
+        ranked.join(rules, "identity", "left").filter(~F.coalesce("freeze", F.lit(False))).withColumn("_least", F.coalesce("least", F.lit(least))).withColumn("_margin", F.coalesce("margin", F.lit(margin)))
+    )
+    return ranked.filter((F.col("sim") >= F.col("_least")) & (F.col("sim") - F.coalesce("second", F.lit(-1.0)) >= F.col("_margin"))).select("track_id", "linked_to", "sim")
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """track_id, linked_to and linked_from (of several the most alike, then the smallest) of links (track_id, linked_to, sim)."""
+    back = links.groupBy(F.col("linked_to").alias("track_id")).agg(F.min_by("track_id", F.struct((-F.col("sim")).alias("s"), "track_id")).alias("linked_from"))
+    return links.select("track_id", "linked_to").join(back, "track_id", "full")
+
+
+def episode_parts(key: str = "episode_id"):
+    """show, season and episode of a key such as RHOBH_S05_E03: by underscores, else by hyphens; a missing part is null."""
+    parts = F.when(F.col(key).contains("_"), F.split(key, "_")).otherwise(F.split(key, "-"))
+    return [F.get(parts, i).alias(name) for i, name in enumerate(("show", "season", "episode"))]
 
 
 def resolve_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:
@@ -421,10 +447,21 @@ def resolve_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:
     return now
 
 
-def detect_with(df: DataFrame, detector, fields: str) -> DataFrame:
-    """Runs a detector (an iterator of pandas frames to one) over frames; the place where inference plugs in."""
+DETECTORS: dict[str, Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]] = {}
+
+
+def register_detector(name: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> None:
+    """Makes a detector known by a name: ``make`` is called once a task and gives what turns a frame of rows into detections."""
+    DETECTORS[name] = make
+
+
+def detect_with(df: DataFrame, name: str, fields: str) -> DataFrame:
+    """Runs a detector over rows, batch by batch; the place where inference plugs in."""
+    make = DETECTORS[name]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from detector(frames)
+        detector = make()
+        for frame in frames:
+            yield detector(frame)
 
     return df.mapInPandas(run, fields)

@@ -14,6 +14,7 @@ TRACKS_SCHEMA = (
     "frame_refs:array<struct<frame_id:bigint,det_idx:int,bbox:array<int>,confidence:double,ts_ms:bigint,global_id:string>>>>"
 )
 CLUSTERS_SCHEMA = "clusters array<struct<cluster_id:bigint,size:int,track_ids:array<bigint>,variance:double,silhouette_score:double,quality_score:double,is_lowconf:boolean,name:string,assignment_confidence:double,assignment_margin:double>>"
+TOTALS_SCHEMA = "person_name string, total_ms bigint, total_sec double, appearances bigint, first_ms bigint, last_ms bigint, mean_confidence double, percent double"
 TIMELINE_SCHEMA = "person_name string, start_ms bigint, end_ms bigint, duration_ms bigint, source string, confidence double, frame_count int, visible_fraction double"
 
 
@@ -51,9 +52,11 @@ def repaired(tracks_: DataFrame) -> DataFrame:
 
 
 def metrics(spark: SparkSession, path: str, schema: str, rows: str, key: str) -> DataFrame:
-    """Rows of a metrics document; an empty table with the key column alone if there are none."""
+    """Rows of a metrics document; an empty table with the key column alone, of its type, if there are none."""
     found = document(spark, path, schema, rows)
-    return found if found is not None and not found.isEmpty() else spark.createDataFrame([], f"{key} string")
+    if found is not None and not found.isEmpty():
+        return found
+    return spark.createDataFrame([], schema).select(F.explode(rows).alias("r")).select(f"r.{key}")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,6 +68,15 @@ def timeline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TIMELINE_SCHEMA).option("header", True).csv(path)
 
 
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOTALS_SCHEMA).option("header", True).csv(path)
+
+
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows whose JSON in ``column`` becomes columns of the schema; malformed JSON gives nulls."""
+    return rows.withColumn("_j", F.from_json(column, schema)).select(*[c for c in rows.columns if c != column], "_j.*")
+
+
 def merged_config(base: dict, over: dict) -> dict:
     """Deep merge; where both have a value that is not a mapping, the second wins."""
     out = dict(base)
@@ -97,7 +109,7 @@ def new_files(spark: SparkSession, folder: str, known: DataFrame, pattern: str =
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """path, row and embedding of .npy files of two dimensions."""
+    """path, row, embedding and quality (1 where there is none) of .npy files, and of .npz files that hold ``embeddings`` and maybe ``qualities``."""
 
     def rows(batches):
         import io
@@ -106,8 +118,19 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                matrix = np.load(io.BytesIO(content), allow_pickle=False)
-                yield pd.DataFrame({"path": name, "row": range(len(matrix)), "embedding": [v.astype(float).tolist() for v in np.atleast_2d(matrix)]})
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                packed = name.endswith(".npz")
+                matrix = np.atleast_2d(found["embeddings"] if packed else found)
+                quality = found["qualities"] if packed and "qualities" in found else np.ones(len(matrix))
+                yield pd.DataFrame({"path": name, "row": range(len(matrix)), "embedding": [v.astype(float).tolist() for v in matrix], "quality": quality.astype(float)})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInPandas(rows, "path string, row bigint, embedding array<double>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(path).select("path", "content")
+    return files.mapInPandas(rows, "path string, row bigint, embedding array<double>, quality double")
+
+
+def label_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Vectors (label, embedding) and figures (label, centroid, count, mean_dist, m2) of a stored index; None if there is none."""
+    if not exists(spark, f"{path}/vectors"):
+        return None
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/labels")

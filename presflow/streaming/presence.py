@@ -35,10 +35,11 @@ def sessions(stream: DataFrame, ts: str, keys: list[str], gap: str, late: str =
     return grouped.select("w.start", "last", *keys, "n")
 
 
-def identities(stream: DataFrame, seeds: list[tuple[str, list[float]]], params: ReidParams = ReidParams(), keep_ms: int = 3_600_000) -> DataFrame:
+def identities(stream: DataFrame, seeds: list[tuple[str, list[float]]], params: ReidParams = ReidParams(), ts: str | None = None, late: str = LATE, keep_ms: int = 3_600_000) -> DataFrame:
     """Identity decisions of a stream (episode_id, frame_id, track_id, embedding); an episode's labels, centroids and tracks are its state.
 
-    A frame's rows come in one file.  The state of an episode that has had no rows for ``keep_ms`` is dropped.
+    A frame's rows come in one file.  With a time column ``ts`` the state of an episode is dropped ``keep_ms`` after its last row, by the
+    watermark; without one it is kept.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -51,14 +52,18 @@ def identities(stream: DataFrame, seeds: list[tuple[str, list[float]]], params:
             reid = Reidentifier(params)
             for label, vector in seeds:
                 reid.seed(label, vector)
-        out = decisions(reid, pd.concat(frames))  # Arrow cuts a group at any row
+        rows = pd.concat(frames)  # Arrow cuts a group at any row
+        out = decisions(reid, rows)
         out.insert(0, "episode_id", key[0])
         yield out[["episode_id", "frame", "track_id", "label_after", "status_after", "reason"]]
         state.update((pickle.dumps(reid),))
-        state.setTimeoutDuration(keep_ms)
+        if ts:
+            last = int(rows[ts].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + keep_ms)
 
     fields = "episode_id bigint, frame bigint, track_id bigint, label_after string, status_after string, reason string"
-    return stream.groupBy("episode_id").applyInPandasWithState(run, fields, "state binary", "append", "ProcessingTimeTimeout")
+    timed = stream.withWatermark(ts, late) if ts else stream
+    return timed.groupBy("episode_id").applyInPandasWithState(run, fields, "state binary", "append", "EventTimeTimeout" if ts else "NoTimeout")
 
 
 class Progress(StreamingQueryListener):
