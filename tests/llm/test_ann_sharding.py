@@ -66,3 +66,33 @@ def test_shards(spark):
     more = sharding.shard(df, shards=11).toPandas().merge(got, on="doc_id", suffixes=("_new", "_old"))
     assert (more.shard_new != more.shard_old).mean() < 0.35
     assert sharding.shard(df.limit(0), shards=10).count() == 0
+
+
+def test_walk_around_the_ring():
+    """Every key goes to its point's shard while that has room; those left over go on clockwise, in order, to the first shard with room."""
+    rng = np.random.default_rng(5)
+    points, owner = sharding.ring(6, 8)
+    keys = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 200, dtype=np.int64))
+    arcs = np.searchsorted(points, keys) % len(points)
+    counts = np.bincount(arcs, minlength=len(points)).tolist()
+    room = sharding.bounds(len(keys), 6)
+    free, at_home, waiting, placed = room[:], [], [], {}
+    for arc, n in enumerate(counts):
+        for rank in range(n):
+            if free[owner[arc]]:
+                free[owner[arc]] -= 1
+                placed[arc, rank] = owner[arc]
+                at_home.append((arc, rank))
+            else:
+                waiting.append((arc, rank))
+    # the walk: pass each arc twice, taking up those that wait and come from an arc before it
+    queue, coming = [], {a: [k for k in waiting if k[0] == a] for a in range(len(points))}
+    for lap in range(2):
+        for arc in range(len(points)):
+            while queue and free[owner[arc]]:
+                placed[queue.pop(0)] = owner[arc]
+                free[owner[arc]] -= 1
+            if lap == 0:
+                queue += coming[arc]
+    runs = sharding.flow(counts, owner, room)
+    assert {(arc, r): s for arc, a, b, s, _ in runs for r in range(a, b)} == placed and not queue

@@ -1,7 +1,9 @@
 """Language identification on held-out rows."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from presflow.llm import language
@@ -39,3 +41,12 @@ def test_nothing_to_learn_from(spark):
 
 def test_families():
     assert language.family_of("en") == language.family_of("de-AT") == "germanic" and language.family_of("xx") == "xx"
+
+
+def test_held_out_accuracy_on_the_test_tables(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the test tables are not here")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    told = language.identify(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right >= 0.95, (right, n)

@@ -28,3 +28,19 @@ def test_mix(spark):
     kept = mixed.filter("kept").agg(F.sum("n_tokens")).first()[0]
     assert abs(kept / total - 1) < 0.1
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_tables_of_cells_are_raked_alike(spark, monkeypatch):
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 5}", f"l{i % 3}") for i in range(400)] + [(None, "w w", "s1", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    want = sorted((str(r.doc_id), round(r.probability, 6), r.kept) for r in mixing.mix(df, budget=0.4).collect())
+    monkeypatch.setattr(mixing, "MOST_CELLS", 3)
+    assert sorted((str(r.doc_id), round(r.probability, 6), r.kept) for r in mixing.mix(df, budget=0.4).collect()) == want
+
+
+def test_given_tokens_and_topics(spark):
+    rows = [(i, "some text", "a", "en", i % 4 + 1, f"t{i % 2}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n int, t string")
+    got = mixing.mix(df, topic=F.col("t"), tokens=F.col("n")).collect()
+    assert sum(r.n_tokens for r in got) == sum(r[4] for r in rows) and {r.topic for r in got} == {"t0", "t1"}
+    assert mixing.drawn(df, budget=0.5).columns == df.columns

@@ -1,11 +1,15 @@
 """The pipeline's stages on a small table."""
 
 import random
+from hashlib import sha256
 
+import numpy as np
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from presflow.llm import queries
+from presflow.llm import bpe, mixing, queries
+from test_near_dedup import brute as near_brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -27,23 +31,77 @@ def sf_dir(spark, tmp_path_factory):
     return str(path)
 
 
-def test_stages(spark, sf_dir, tmp_path):
+def rows_of(df):
+    return sorted(((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()), key=str)
+
+
+def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = {"documents": docs}
     before = docs
-    kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, sf_dir)
-        after.write.parquet(f"{tmp_path}/{name}")
-        after = spark.read.parquet(f"{tmp_path}/{name}")
+        stage(spark, before, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        before = done[name] = spark.read.parquet(f"{tmp_path}/{name}")
         if name != "bpe_encoding":
-            assert after.columns == docs.columns and after.dtypes == docs.dtypes
-        kept[name] = {r.doc_id for r in after.select("doc_id").collect()}
-        assert kept[name] <= {r.doc_id for r in before.select("doc_id").collect()}
-        before = after
-    assert {400, 401, 402}.isdisjoint(kept["language_id"]) and set(range(240)) <= kept["language_id"]
-    assert 300 in kept["minhash_near_dedup"] and {301, 302}.isdisjoint(kept["minhash_near_dedup"])
-    assert 300 not in kept["suffix_array_dedup"] or before.filter("doc_id = 300").count() <= 1
-    assert before.count() == len(kept["mixing"]) and before.filter("n_tokens > 0").count() == before.count()
+            assert before.columns == docs.columns and before.dtypes == docs.dtypes
+    first = {r[0] for r in rows_of(done["language_id"])}
+    assert {400, 401, 402}.isdisjoint(first) and set(range(240)) <= first
+
+    found = rows_of(done["language_id"])
+    kept = {i for i, _, _, stays in near_brute([(i, t) for i, t, _ in found], corpus_pipeline.NEAR_PERCENT) if stays}
+    assert rows_of(done["minhash_near_dedup"]) == [r for r in found if r[0] in kept] and {301, 302}.isdisjoint(kept)
+
+    want = []
+    found = rows_of(done["minhash_near_dedup"])
+    starts = {}
+    for i, t, _ in found:
+        for at in range(len(t.encode()) - 49):
+            starts[t.encode()[at : at + 50]] = min(i, starts.get(t.encode()[at : at + 50], i))
+    for i, t, s in found:
+        raw, gone = t.encode(), set()
+        for at in range(len(raw) - 49):
+            if starts[raw[at : at + 50]] < i:
+                gone |= set(range(at, at + 50))
+        left = bytes(b for n, b in enumerate(raw) if n not in gone).decode("utf-8", "ignore")
+        want += [(i, left, s)] if left or not gone else []
+    assert rows_of(done["suffix_array_dedup"]) == sorted(want, key=str)
+
+    cells, words = {}, lambda r: len(r.text.split())
+    everyone = done["suffix_array_dedup"].collect()
+    mixed = {r.doc_id: r for r in mixing.mix(done["suffix_array_dedup"], budget=corpus_pipeline.MIX_BUDGET).collect()}
+    for r in everyone:
+        key = mixed[r.doc_id].source, mixed[r.doc_id].lang, mixed[r.doc_id].topic
+        assert key[0] == (r.source or "") and key[1] == (r.lang or "") and mixed[r.doc_id].n_tokens == words(r)
+        cells[key] = cells.get(key, 0) + words(r)
+    keys = sorted(cells)
+    available = np.array([cells[k] for k in keys], float)
+    places = [np.unique([k[d] for k in keys], return_inverse=True)[1] for d in range(3)]
+    weight = mixing.rake(available, places, [mixing.tempered(np.bincount(p, available) / available.sum()) for p in places], corpus_pipeline.MIX_BUDGET)
+    chance = dict(zip(keys, weight / available, strict=True))
+    assert all(abs(m.probability - chance[m.source, m.lang, m.topic]) < 1e-9 for m in mixed.values())
+    assert rows_of(done["mixing"]) == [r for r in rows_of(done["suffix_array_dedup"]) if mixed[r[0]].kept]
+
+    own = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    texts = {r.doc_id: r.text for r in done["mixing"].collect()}
+    coded = done["bpe_encoding"].collect()
+    assert sorted(r.doc_id for r in coded) == sorted(texts)
+    for r in coded:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_odd_rows_through_the_stages(spark, tmp_path):
+    text = "the north wheel and the house of water thing and the wheel north of the house by the water"
+    rows = [(5, text, "en", "a", 9, 1.0, 2), (5, text, "en", "a", 9, 1.0, 2), (7, text + " more", "en", None, 9, None, 3), (None, text, "en", "b", 9, 0.5, 4), (None, None, None, None, None, None, None), (9, "", "en", "a", 0, 0.1, 5)]
+    wide = SCHEMA + ", probability double, kept int"
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, wide)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            stage(spark, docs, "").write.mode("overwrite").parquet(f"{tmp_path}/{len(some)}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(some)}-{name}")
+            if name == "minhash_near_dedup" and some:
+                assert sorted((r.doc_id for r in docs.collect()), key=str) == [5, 9, None, None]
+        assert docs.count() == 0 or some
 
 
 def test_every_operator_has_a_query():
