@@ -350,9 +350,9 @@ def nearest_after(tracks: DataFrame, keys: list[str], most: int, tie: str = "tra
     """
     begins = tracks.select(*keys, F.col(START).alias("at"), F.lit(0).alias("is_end"), F.struct(F.col(START).alias("start"), F.col(tie).alias("id")).alias("begin"), F.lit(None).cast(tracks.schema[tie].dataType).alias(tie))
     ends = tracks.select(*keys, F.col(END).alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast(begins.schema["begin"].dataType).alias("begin"), tie)
-    # ends come after the starts of their time; of starts at one time the smallest name is nearest
-    w = ordered(keys, "at", "is_end", F.col("begin.id")).rowsBetween(1, Window.unboundedFollowing)
-    found = begins.unionByName(ends).withColumn("found", F.first("begin", ignorenulls=True).over(w)).filter("is_end = 1 and found is not null")
+    # backwards in time, an end before the starts of its time: the last start so far is the next one; of starts at one time the smallest name
+    w = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("is_end"), F.desc("begin.id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = begins.unionByName(ends).withColumn("found", F.last("begin", ignorenulls=True).over(w)).filter("is_end = 1 and found is not null")
     return found.select(tie, F.col("found.id").alias("next_id"), (F.col("found.start") - F.col("at")).alias("gap")).filter(F.col("gap") <= most)
 
 

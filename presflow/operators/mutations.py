@@ -151,7 +151,7 @@ def standing(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     steps = log.withColumn("_sum", F.sum(F.when(F.col("action") == "undo", -1).otherwise(1)).over(w))
     steps = steps.withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
-    after = F.min("_level").over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = F.min("_level").over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
     return steps.withColumn("_after", after).filter((F.col("action") != "undo") & (F.coalesce("_after", "_level") >= F.col("_level"))).select(log.columns)
 
 
