@@ -299,6 +299,21 @@ def totals(intervals: DataFrame, duration: int | None = None) -> DataFrame:
     return rows.select("person", "total_ms", F.bround(F.col("total_ms") / 1000, 1).alias("total_sec"), "appearances", "first_ms", "last_ms", F.bround("conf", 3).alias("mean_confidence"), percent.alias("percent"))
 
 
+def overlaps(intervals: DataFrame, bin_ms: int) -> DataFrame:
+    """Every time that two persons are both seen: person_a, person_b, start, end and its length, one row for each pair of intervals."""
+    rows = intervals.select("person", START, END)
+    pairs = range_join(rows, rows, (F.col("l.person") < F.col("r.person")) & (overlap_ms("l", "r") > 0), bin_ms)
+    return pairs.select(F.col("l.person").alias("person_a"), F.col("r.person").alias("person_b"), F.greatest(f"l.{START}", f"r.{START}").alias(START), F.least(f"l.{END}", f"r.{END}").alias(END), overlap_ms("l", "r").alias("shared_ms"))
+
+
+def tracklets(df: DataFrame, keys: list[str], at: str, step: int, least: int, first_id: int = 10_000) -> DataFrame:
+    """Accepted runs of rows as tracks, numbered from ``first_id`` in order of key and time: track_id, first_at, last_at, n."""
+    from .vectors import numbered
+
+    found = runs(df, keys, at, step, least).filter("accepted").withColumn("_order", F.struct(*keys, "first_at"))
+    return numbered(found, "_order", "_n").select((F.col("_n") + first_id).cast("bigint").alias("track_id"), *keys, "first_at", "last_at", "n")
+
+
 def co_appearance(intervals: DataFrame, bin_ms: int) -> DataFrame:
     """Pairs of persons with the time both are seen, and how often."""
     rows = intervals.select("person", START, END)

@@ -48,6 +48,12 @@ def median_template(df: DataFrame, keys: list[str], vector: str = "embedding") -
     return medians.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_m"))).alias("_v")).select(*keys, F.col("_v._m").alias("template"))
 
 
+def best_template(df: DataFrame, keys: list[str], k: int = 10, item: str = "vec_id") -> DataFrame:
+    """Element-wise median of each key's k samples that are largest by confidence times face size (square root of the area)."""
+    size = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    return median_template(top_k(df, keys, k, F.desc(F.col("conf") * size), F.col(item)), keys)
+
+
 def against(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of left with every row of right, in blocks: right is dealt to blocks of at most SMALL rows that meet left by number.
 
@@ -163,10 +169,12 @@ def nms(df: DataFrame, keys: list[str], item: str, most: float = 0.5) -> DataFra
     return df.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.explode("_k.i").alias(item))
 
 
-def face_samples(df: DataFrame, least_conf: float, least_size: int, most_iou: float) -> DataFrame:
-    """Samples that pass, in this order: a vector, confidence, size (the longer side), and no other face that covers them in the frame."""
+def face_samples(df: DataFrame, least_conf: float, least_size: int, most_iou: float, least_sharpness: float | None = None) -> DataFrame:
+    """Samples that pass: a vector, confidence, size (the longer side), no other face that covers them in the frame, and sharpness, if asked for."""
     sized = df.withColumn("face_size", F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     good = sized.filter(F.col("embedding").isNotNull() & (F.col("conf") >= least_conf) & (F.col("face_size") >= least_size))
+    if least_sharpness is not None:
+        good = good.filter(F.col("sharpness") >= least_sharpness)
     l, r = good.alias("l"), df.select("frame_id", "vec_id", "x1", "y1", "x2", "y2").alias("r")
     different = (F.col("l.x1") != F.col("r.x1")) | (F.col("l.y1") != F.col("r.y1")) | (F.col("l.x2") != F.col("r.x2")) | (F.col("l.y2") != F.col("r.y2"))
     return l.join(r, (F.col("l.frame_id") == F.col("r.frame_id")) & different & (iou(box("l"), box("r")) > most_iou), "left_anti")

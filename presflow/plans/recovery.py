@@ -213,3 +213,26 @@ def injected_tracks(spark, sf_dir):
     return R.injected(rows.filter("conf > 0.98").select("track_id"), I.nearest_after(rows, ["person"], 1000))
 
 
+
+
+@query(f"{ISLANDS} SELECT a.person AS person_a, b.person AS person_b, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS shared_ms FROM merged a JOIN merged b ON a.person < b.person AND least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)")
+def overlaps(spark, sf_dir):
+    return I.overlaps(merged_at_300(spark, sf_dir), 5_000)
+
+
+@query(
+    f"""WITH {DETECTIONS}, o AS (SELECT track_id AS source, frame_id, CASE WHEN frame_id - lag(frame_id) OVER (PARTITION BY track_id ORDER BY frame_id) <= 10 THEN 0 ELSE 1 END AS opens FROM (SELECT DISTINCT track_id, frame_id FROM det WHERE vec_id % 7 <> 3)),
+ p AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY frame_id) AS run FROM o), r AS (SELECT source, min(frame_id) AS first_at, max(frame_id) AS last_at, count(*) AS n FROM p GROUP BY source, run HAVING count(*) >= 3)
+ SELECT 9999 + row_number() OVER (ORDER BY source, first_at) AS track_id, * FROM r"""
+)
+def tracklets(spark, sf_dir):
+    rows = detections(spark, sf_dir).filter("vec_id % 7 <> 3").select(F.col("track_id").alias("source"), "frame_id").distinct()
+    return I.tracklets(rows, ["source"], "frame_id", 10, 3)
+
+
+@query(
+    f"""WITH {DETECTIONS}, r AS (SELECT identity, embedding, row_number() OVER (PARTITION BY identity ORDER BY conf * sqrt((x2 - x1) * (y2 - y1)) DESC, vec_id) AS k FROM det), s AS (SELECT identity, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM r WHERE k <= 10),
+ m AS (SELECT identity, i, quantile_cont(x, 0.5) AS m FROM s GROUP BY 1, 2) SELECT identity, list(m ORDER BY i) AS template FROM m GROUP BY 1"""
+)
+def best_templates(spark, sf_dir):
+    return V.best_template(detections(spark, sf_dir), ["identity"])

@@ -161,11 +161,11 @@ IOU = "(SELECT CASE WHEN u > 0 THEN i / u ELSE 0 END FROM (SELECT i, (l.x2 - l.x
 
 
 @query(
-    f"""WITH {DETECTIONS} SELECT vec_id, frame_id, greatest(x2 - x1, y2 - y1) AS face_size FROM det l WHERE conf >= 0.6 AND greatest(x2 - x1, y2 - y1) >= 80
+    f"""WITH {DETECTIONS} SELECT vec_id, frame_id, greatest(x2 - x1, y2 - y1) AS face_size FROM det l WHERE vec_id % 9 >= 2 AND conf >= 0.6 AND greatest(x2 - x1, y2 - y1) >= 80
  AND NOT EXISTS (SELECT 1 FROM det r WHERE r.frame_id = l.frame_id AND (r.x1 <> l.x1 OR r.y1 <> l.y1 OR r.x2 <> l.x2 OR r.y2 <> l.y2) AND {IOU} > 0.1)"""
 )
 def face_samples(spark, sf_dir):
-    return V.face_samples(detections(spark, sf_dir), 0.6, 80, 0.1).select("vec_id", "frame_id", "face_size")
+    return V.face_samples(detections(spark, sf_dir).withColumn("sharpness", F.col("vec_id") % 9), 0.6, 80, 0.1, 2).select("vec_id", "frame_id", "face_size")
 
 
 QUALITY = "0.6 * greatest(0.0, (conf - 0.5) / 0.5) + 0.3 * least(greatest((greatest(x2 - x1, y2 - y1) - 72) / 228.0, 0.0), 1.0) + 0.1 * 0.5"
