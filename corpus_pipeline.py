@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presflow.llm import bpe, language, mixing, near_dedup, suffix_dedup
-from presflow.llm.common import id_crc_mod5, tidy
+from presflow.llm.common import cut, id_crc_mod5, tidy
 from presflow.session import shared_folder
 
 #: Documents whose language can't be told (no text, no letter) are rejected, and those that are told with less than this score.
@@ -39,12 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share that id one stays, by a hash of its text.  Rows with a null id have no group and stay.
     """
     linked = near_dedup.link(docs, percent=NEAR_PERCENT)
-    gone = linked.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")  # few ids, no texts
+    gone = cut(linked.filter(~F.col("kept")).select("doc_id").distinct())
+    repeated = cut(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id").join(gone, "doc_id", "left_anti"))
+    single = docs.join(gone.unionByName(repeated), "doc_id", "left_anti").select(docs.columns)
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
-    again = left.join(repeated, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns, first.alias("_first")).filter("_first = 1").select(docs.columns)
+    return single.unionByName(again)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
