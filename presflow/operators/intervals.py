@@ -189,6 +189,23 @@ def conflicts(df: DataFrame, p: MergeParams, tie: str = "track_id") -> DataFrame
 MERGES = ("overlap", "edge", "merged")
 
 
+def merge_step(q: MergeParams, gap: int, conf: float, visible: float, next_conf: float, next_visible: float, conflict: bool) -> str:
+    """The decision on an open interval (its confidence and visibility) and the next one, ``gap`` after its end."""
+    if gap < 0:
+        return "overlap"
+    if q.edge_epsilon > 0 and gap <= q.edge_epsilon:
+        return "edge"
+    if q.caps:
+        limit = min(q.hi_cap if (conf + next_conf) / 2 >= q.min_quality else q.lo_cap, q.gap_max)
+    else:
+        limit = q.gap_max if min(conf, next_conf) >= q.min_quality else q.gap
+    if gap > limit:
+        return "clamped"
+    if q.visibility is not None and min(visible, next_visible) < q.visibility:
+        return "invisible"
+    return "blocked" if conflict else "merged"
+
+
 def _window_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
     """The decisions where a threshold looks at nothing but whether the open group is of high quality.
 
@@ -229,20 +246,10 @@ def _fold_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
         for frame in frames:
             steps = []
             for person, segment, gap, conflict, c, v in zip(frame["person"], frame["_segment"], frame["gap"], frame["conflict"], frame["conf"], frame["visible"], strict=True):
-                q = own.get(person, p)
                 if at != (person, segment):
                     at, step = (person, segment), "first" if gap != gap else "clamped"
-                elif gap < 0:
-                    step = "overlap"
-                elif q.edge_epsilon > 0 and gap <= q.edge_epsilon:
-                    step = "edge"
                 else:
-                    if q.caps:
-                        limit = min(q.hi_cap if (conf + c) / 2 >= q.min_quality else q.lo_cap, q.gap_max)
-                    else:
-                        limit = q.gap_max if min(conf, c) >= q.min_quality else q.gap
-                    low = q.visibility is not None and min(visible, v) < q.visibility
-                    step = "clamped" if gap > limit else "invisible" if low else "blocked" if conflict else "merged"
+                    step = merge_step(own.get(person, p), gap, conf, visible, c, v, conflict)
                 steps.append(step)
                 conf, visible = (max(conf, c), 0.0) if step in MERGES else (c, v)
             yield pd.DataFrame({tie: frame[tie], "step": steps})
