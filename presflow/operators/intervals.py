@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scans
+from .scans import scan
+
 START, END = "start_ms", "end_ms"
 
 
@@ -30,20 +33,41 @@ def near(a_start: Column, a_end: Column, b_start: Column, b_end: Column, thresho
     return F.greatest(b_start - a_end, a_start - b_end) <= threshold
 
 
+def _nodes(df: DataFrame, bin_ms: int, pad: int) -> DataFrame:
+    """With ``_level``: bins of that level, ``bin_ms`` doubled so many times, are as long as the interval, which thus lies in two of them at most."""
+    a, b = F.col(START) - pad, F.greatest(F.col(START) - pad, F.col(END) + pad)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((b - a) / bin_ms, F.lit(1.0))))).cast("int")
+    return df.withColumn("_a", a).withColumn("_b", b).withColumn("_level", level)
+
+
+def _at_levels(df: DataFrame, levels: Column, bin_ms: int) -> DataFrame:
+    """A row for each of these levels and bin at it that the interval lies in."""
+    size = F.lit(bin_ms) * F.pow(F.lit(2.0), F.col("_at.level"))
+    first = lambda c: F.floor(F.col(c) / size)
+    rows = df.withColumn("_at", F.explode(levels))
+    return rows.withColumn("_first", first("_a")).withColumn("_bin", F.explode(F.sequence("_first", first("_b"))))
+
+
 def range_join(left: DataFrame, right: DataFrame, condition: Column, bin_ms: int, on: list[str] | None = None, pad: int = 0) -> DataFrame:
-    """Inner interval join on bins of ``bin_ms``: an equality join on the bin, so it shuffles by bin and never crosses all rows.
+    """Inner interval join on dyadic bins: an equality join on level and bin, so it never crosses all rows and copies no interval often.
 
-    ``left`` and ``right`` are named l and r in ``condition``.  A pair is kept only in the first bin that both lie in.  Right
-    intervals are widened by ``pad`` on both sides for the search.  For semi and anti joins see ``has_partner``.
+    ``left`` and ``right`` are named l and r in ``condition``.  Bins of the lowest level are ``bin_ms`` long.  An interval lives at
+    the level whose bins are as long as it is, in one or two of them, and visits those bins of the longer levels that it lies in and that any
+    interval of the other side lives at.  So it has at most two rows a level.  A pair meets at the longer one's level, where one of them lives, in the first bin that
+    both lie in.  Right intervals are widened by ``pad`` on both sides for the search.  An interval with a null end meets none.  For semi and anti joins see ``has_partner``.
     """
-    first = lambda c, shift: F.floor((F.col(c) + shift) / bin_ms)
-    spread = lambda df, p: df.withColumn("_bin", F.explode(F.sequence(first(START, -p), F.greatest(first(START, -p), first(END, p)))))
-    l, r = spread(left, 0).alias("l"), spread(right, pad).alias("r")
-    same = F.col("l._bin") == F.col("r._bin")
+    l, r = _nodes(left, bin_ms, 0), _nodes(right, bin_ms, pad)
+    lived = lambda df, name: F.broadcast(df.agg(F.collect_set("_level").alias(name)))  # noqa: E731  one row of a few numbers
+    at = lambda level, tag: F.struct(level.alias("level"), F.lit(tag).alias("tag"))
+    own = lambda tag: F.array(at(F.col("_level"), tag))
+    longer = lambda name, tag: F.transform(F.filter(name, lambda v: v > F.col("_level")), lambda v: at(v, tag))
+    # tag 0: a left one lives there, and right ones live there or visit; tag 1: a right one lives there, and left ones visit
+    l_rows = _at_levels(l.crossJoin(lived(r, "_others")), F.concat(own(0), longer("_others", 1)), bin_ms).drop("_others")
+    r_rows = _at_levels(r.crossJoin(lived(l, "_others")), F.concat(own(0), longer("_others", 0), own(1)), bin_ms).drop("_others")
+    same = (F.col("l._at") == F.col("r._at")) & (F.col("l._bin") == F.col("r._bin"))
     for c in on or []:
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    once = F.col("l._bin") == F.greatest(F.floor(F.col(f"l.{START}") / bin_ms), F.floor((F.col(f"r.{START}") - pad) / bin_ms))
-    return l.join(r, same & once & condition)
+    return l_rows.alias("l").join(r_rows.alias("r"), same & (F.col("l._bin") == F.greatest("l._first", "r._first")) & condition)
 
 
 def has_partner(left: DataFrame, right: DataFrame, key: list[str], condition: Column, bin_ms: int, pad: int = 0) -> DataFrame:
@@ -54,10 +78,10 @@ def has_partner(left: DataFrame, right: DataFrame, key: list[str], condition: Co
 
 def islands(df: DataFrame, keys: list[str], gap: int, start: str = START, end: str = END, tie: str | None = None) -> DataFrame:
     """``island`` numbers: a row opens one if it starts more than ``gap`` after the running end of its key."""
-    w = ordered(keys, start, *([tie] if tie else []))
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)
-    return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    order = [start, *([tie] if tie else [])]
+    placed = scan(df, keys, order, _before=scans.before(F.col(end)))
+    opens = F.when(F.col("_before").isNull() | (F.col(start) - F.col("_before") > gap), 1).otherwise(0)
+    return scan(placed, keys, order, island=scans.upto(opens)).drop("_before")
 
 
 def fixed_gap_merge(df: DataFrame, keys: list[str], gap: int, tie: str | None = None) -> DataFrame:
@@ -67,8 +91,8 @@ def fixed_gap_merge(df: DataFrame, keys: list[str], gap: int, tie: str | None =
 
 def gaps(df: DataFrame, keys: list[str], tie: str = "track_id") -> DataFrame:
     """Each row with the next one's start and confidence, and the gap to it (by order of start, not of running end)."""
-    w = ordered(keys, START, tie)
-    return df.withColumn("next_start", F.lead(START).over(w)).withColumn("next_conf", F.lead("conf").over(w)).withColumn("gap", F.col("next_start") - F.col(END))
+    near = scan(df, keys, [START, tie], _next=scans.following(F.struct(START, "conf")))
+    return near.withColumn("next_start", F.col(f"_next.{START}")).withColumn("next_conf", F.col("_next.conf")).withColumn("gap", F.col("next_start") - F.col(END)).drop("_next")
 
 
 def coverage(windows: DataFrame, intervals: DataFrame, bin_ms: int, on: list[str] | None = None) -> DataFrame:
@@ -109,15 +133,15 @@ def merge_windows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def runs(df: DataFrame, keys: list[str], at: str, step: int, least: int) -> DataFrame:
     """Runs of rows whose ``at`` grows by at most ``step``: first, last, n and whether there are at least ``least``."""
-    w = ordered(keys, at)
-    opens = F.when(F.coalesce(F.col(at) - F.lag(at).over(w), F.lit(step + 1)) > step, 1).otherwise(0)
-    placed = df.withColumn("_opens", opens).withColumn("run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = scan(df, keys, [at], _last=scans.preceding(F.col(at)))
+    opens = F.when(F.coalesce(F.col(at) - F.col("_last"), F.lit(step + 1)) > step, 1).otherwise(0)
+    placed = scan(near, keys, [at], run=scans.upto(opens))
     return placed.groupBy(*keys, "run").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).withColumn("accepted", F.col("n") >= least)
 
 
 def contiguous(df: DataFrame, keys: list[str], at: str, least: int) -> DataFrame:
     """Spans of consecutive whole numbers of at least ``least`` members."""
-    placed = df.withColumn("_span", F.col(at) - F.row_number().over(ordered(keys, at)))
+    placed = scan(df, keys, [at], 4096, _nth=scans.upto(F.lit(1))).withColumn("_span", F.col(at) - F.col("_nth"))
     return placed.groupBy(*keys, "_span").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_span")
 
 
@@ -175,9 +199,7 @@ def conflicts(df: DataFrame, p: MergeParams, tie: str = "track_id") -> DataFrame
     A group closes only at a gap of zero or more, so the end of the open group is the running maximum of ends; gap and
     conflict do not depend on what was merged, and need no fold.
     """
-    w = ordered(["person"], START, tie)
-    before = F.max(END).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = df.withColumn("gap_start", before).withColumn("gap", F.col(START) - F.col("gap_start"))
+    placed = scan(df, ["person"], [START, tie], gap_start=scans.before(F.col(END))).withColumn("gap", F.col(START) - F.col("gap_start"))
     wide = placed.filter((F.col("gap") > p.conflict_guard) & (F.col("gap") <= p.reach))
     wide = wide.select(tie, "person", F.col("gap_start").alias(START), F.col(START).alias(END))
     others = df.filter(F.col("conf") >= p.conflict_conf).select("person", START, END)
@@ -212,16 +234,14 @@ def _window_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
     A row whose decision depends on that is of high quality itself, so that after it the group is, merged or not.  Hence the
     group before a row is of high quality if any row is since the last gap that stays open whatever the group.
     """
-    w = ordered(["person"], START, tie)
     high = F.col("conf") >= p.value("min_quality")
     joins = (F.col("gap") < 0) | ((p.value("edge_epsilon") > 0) & (F.col("gap") <= p.value("edge_epsilon")))
     beyond = F.when(high, F.greatest(p.value("gap"), p.value("gap_max"))).otherwise(p.value("gap"))
     closed = F.col("gap").isNull() | (~joins & (F.col("conflict") | (F.col("gap") > beyond)))
-    rows = placed.withColumn("_high", high).withColumn("_run", F.sum(closed.cast("int")).over(w))
-    own = Window.partitionBy("person", "_run").orderBy(START, tie).rowsBetween(Window.unboundedPreceding, -1)
-    # the group that a run's first row meets is that of the run before it
-    rows = rows.withColumn("_so_far", F.max("_high").over(own)).withColumn("_whole", F.max("_high").over(Window.partitionBy("person", "_run")))
-    met = F.coalesce("_so_far", F.lag("_whole").over(w))
+    place = F.struct(START, tie)
+    rows = placed.withColumn("_high", high).withColumn("_closed", closed)
+    rows = scan(rows, ["person"], [START, tie], _last_high=scans.before(F.when(F.col("_high"), place)), _last_closed=scans.before(F.when(F.col("_closed"), place)))
+    met = F.coalesce(F.col("_last_high") >= F.col("_last_closed"), F.lit(False))
     threshold = F.when(met & F.col("_high"), p.value("gap_max")).otherwise(p.value("gap"))
     step = F.when(F.col("gap").isNull(), "first").when(F.col("gap") < 0, "overlap").when(joins, "edge").when(F.col("gap") > threshold, "clamped").when(F.col("conflict"), "blocked").otherwise("merged")
     quality = F.when(F.col("gap").isNull() | joins, None).when(met & F.col("_high"), "bump")
@@ -234,9 +254,8 @@ def _fold_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
     A gap beyond all thresholds is never merged; what follows it is a segment of its own and may lie in another task.  The
     confidence that its first row meets is filled in afterwards, for the counters.
     """
-    w = ordered(["person"], START, tie)
     apart = F.col("gap").isNull() | (F.col("gap") > p.reach)
-    segments = placed.withColumn("_segment", F.sum(apart.cast("int")).over(w))
+    segments = scan(placed, ["person"], [START, tie], _segment=scans.upto(apart.cast("int")))
     dealt = segments.select(tie, "person", "_segment", START, "gap", "conflict", F.col("conf").cast("double").alias("conf"), F.col("visible").cast("double").alias("visible"))
     dealt = dealt.repartition("person", "_segment").sortWithinPartitions("person", "_segment", START, tie)
     own = dict(p.per_person or {})
@@ -256,10 +275,10 @@ def _fold_steps(placed: DataFrame, p: MergeParams, tie: str) -> DataFrame:
 
     kind = placed.schema[tie].dataType.simpleString()
     rows = placed.join(dealt.mapInPandas(run, f"{tie} {kind}, step string"), tie)
-    rows = rows.withColumn("_group", F.sum((~F.col("step").isin(*MERGES)).cast("int")).over(w))
-    group = Window.partitionBy("person", "_group")
-    rows = rows.withColumn("_so_far", F.max("conf").over(group.orderBy(START, tie).rowsBetween(Window.unboundedPreceding, -1))).withColumn("_whole", F.max("conf").over(group))
-    met = F.coalesce("_so_far", F.lag("_whole").over(w))
+    # the confidence that a row meets is the largest since the last row that did not join
+    rows = scan(rows, ["person"], [START, tie], _opened=scans.before(F.when(~F.col("step").isin(*MERGES), F.struct(START, tie, "conf"))))
+    own = Window.partitionBy("person", "_opened").orderBy(START, tie).rowsBetween(Window.unboundedPreceding, -1)
+    met = F.greatest(F.max("conf").over(own), F.col("_opened.conf"))
     capped = F.when(p.value("caps"), F.when((met + F.col("conf")) / 2 >= p.value("min_quality"), "bump").otherwise("lo_cap"))
     quality = F.when(F.col("step").isin("first", "overlap", "edge"), None).otherwise(F.coalesce(capped, F.when(F.least(met, F.col("conf")) >= p.value("min_quality"), "bump")))
     return rows.select(*placed.columns, "step", quality.alias("quality"))
@@ -274,7 +293,7 @@ def adaptive_merge(df: DataFrame, p: MergeParams = MergeParams(), tie: str = "tr
     placed = conflicts(df, p, tie)
     fold = any(q.caps or q.visibility for q in p.everyone)
     rows = (_fold_steps if fold else _window_steps)(placed, p, tie)
-    return rows.withColumn("merged_id", F.sum((~F.col("step").isin(*MERGES)).cast("int")).over(ordered(["person"], START, tie)))
+    return scan(rows, ["person"], [START, tie], merged_id=scans.upto((~F.col("step").isin(*MERGES)).cast("int")))
 
 
 def timeline(merged: DataFrame) -> DataFrame:
@@ -343,8 +362,7 @@ def auto_caps(tracks: DataFrame, guard: int, cap_min: int, cap_max: int, quality
 
 def audit_gaps(intervals: DataFrame, length: int, max_gap: int) -> DataFrame:
     """Gaps before the first (longer than ``max_gap``), between and after intervals (up to it): person, kind, start, end."""
-    w = ordered(["person"], START, END)
-    placed = intervals.withColumn("next", F.lead(START).over(w)).withColumn("nth", F.row_number().over(w))
+    placed = scan(intervals, ["person"], [START, END], next=scans.following(F.col(START)), nth=scans.upto(F.lit(1)))
     kind = lambda k, a, b, rows: rows.select("person", F.lit(k).alias("kind"), a.cast("bigint").alias(START), b.cast("bigint").alias(END))
     between = placed.filter((F.col("next") - F.col(END) > 0) & (F.col("next") - F.col(END) <= max_gap))
     tail = placed.filter(F.col("next").isNull() & (length - F.col(END) > 0) & (length - F.col(END) <= max_gap))
@@ -372,9 +390,8 @@ def nearest_after(tracks: DataFrame, keys: list[str], most: int, tie: str = "tra
     """
     begins = tracks.select(*keys, F.col(START).alias("at"), F.lit(0).alias("is_end"), F.struct(F.col(START).alias("start"), F.col(tie).alias("id")).alias("begin"), F.lit(None).cast(tracks.schema[tie].dataType).alias(tie))
     ends = tracks.select(*keys, F.col(END).alias("at"), F.lit(1).alias("is_end"), F.lit(None).cast(begins.schema["begin"].dataType).alias("begin"), tie)
-    # backwards in time, an end before the starts of its time: the last start so far is the next one; of starts at one time the smallest name
-    w = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("is_end"), F.desc("begin.id")).rowsBetween(Window.unboundedPreceding, -1)
-    found = begins.unionByName(ends).withColumn("found", F.last("begin", ignorenulls=True).over(w)).filter("is_end = 1 and found is not null")
+    # a start before the ends of its time; the least of all later starts is the next one, of those at one time the one with the smallest name
+    found = scan(begins.unionByName(ends), keys, ["at", "is_end"], found=scans.after(F.col("begin"))).filter("is_end = 1 and found is not null")
     return found.select(tie, F.col("found.id").alias("next_id"), (F.col("found.start") - F.col("at")).alias("gap")).filter(F.col("gap") <= most)
 
 
@@ -408,8 +425,8 @@ def recall_windows(intervals: DataFrame, tracks: DataFrame, most: int, pad: int,
 
 def frame_gaps(tracks: DataFrame, frame_ms: int, least: int) -> DataFrame:
     """Gaps of a person's tracks in frames (first_frame, last_frame), ``least`` milliseconds or longer, with the tracks on both sides."""
-    w = ordered(["person"], "first_frame", "last_frame", "track_id")
-    placed = tracks.withColumn("after_id", F.lead("track_id").over(w)).withColumn("after_frame", F.lead("first_frame").over(w))
+    near = scan(tracks.select("person", "track_id", "first_frame", "last_frame"), ["person"], ["first_frame", "last_frame", "track_id"], 4096, _next=scans.following(F.struct("track_id", "first_frame")))
+    placed = near.withColumn("after_id", F.col("_next.track_id")).withColumn("after_frame", F.col("_next.first_frame"))
     length = (F.col("after_frame") - F.col("last_frame")) * frame_ms
     rows = placed.select("person", F.col("track_id").alias("before_id"), "after_id", F.col("last_frame").alias("gap_first"), F.col("after_frame").alias("gap_last"), length.alias("gap_ms"))
     return rows.filter(F.col("gap_ms") >= least)

@@ -1,8 +1,8 @@
 """Registered queries of the presence operators, by name, and the SQL that an oracle runs for them."""
 
-from . import assembly, audits, clustering, intervals, records, recovery, registry, summaries, tracking, vectors
+from . import assembly, audits, clustering, intervals, records, recovery, registry, streams, summaries, tracking, vectors
 
-MODULES = (intervals, assembly, vectors, audits, clustering, recovery, summaries, records, registry, tracking)
+MODULES = (intervals, assembly, vectors, audits, clustering, recovery, summaries, records, registry, tracking, streams)
 
 
 def queries() -> dict:

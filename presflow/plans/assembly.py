@@ -10,19 +10,11 @@ from ..operators import tracking as T
 from ..operators import vectors as V
 from ..sources.views import BANK, DETECTIONS, TRACKS, bank, detections, tracks
 from .vectors import TRACK_METRICS, UNIT, _track_metrics
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 #: Tracks of detections as documents have them: 45 tracks, of which five refer to faces that others refer to as well; every third has no

@@ -9,19 +9,11 @@ from ..operators import vectors as V
 from ..operators.graphs import components
 from ..sources.views import BANK, DETECTIONS, bank, detections
 from .vectors import NAMED, TRACK_METRICS, UNIT, _centroids, _named, _track_metrics
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 HITS = f"""WITH {DETECTIONS}, {_centroids('cluster_id', 'det')}, u AS (SELECT vec_id, cluster_id, vec_id // 40 * 5 + vec_id % 40 // 8 AS at_, {UNIT.format(v='embedding')} AS u FROM det),

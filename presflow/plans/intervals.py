@@ -7,21 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..sources.views import TRACKS, tracks
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 LENGTH = 2_600_000  # of the "episode", past the last track
 TRUTH = [("P0", 1_400_000), ("P1", 1_250_000), ("P2", 1_400_000), ("P3", 900_000), ("P9", 5_000)]
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 ISLANDS = f"""WITH {TRACKS},
@@ -50,8 +42,8 @@ def totals_by_person(spark, sf_dir):
 _P = I.MergeParams()
 
 
-def _merge_sql(p: I.MergeParams) -> str:
-    """The adaptive merge as a recursion over each person's intervals in order."""
+def _merge_sql(p: I.MergeParams, only: str = "true") -> str:
+    """The adaptive merge as a recursion over each person's intervals in order, of the tracks that meet a condition."""
     quality = "(s.conf + x.conf) / 2"
     threshold = (
         f"least(CASE WHEN {quality} >= {p.min_quality} THEN {p.hi_cap} ELSE {p.lo_cap} END, {p.gap_max})"
@@ -64,9 +56,10 @@ def _merge_sql(p: I.MergeParams) -> str:
     bump = f"CASE WHEN {quality} >= {p.min_quality} THEN 'bump' ELSE 'lo_cap' END" if p.caps else f"CASE WHEN s.conf >= {p.min_quality} AND x.conf >= {p.min_quality} THEN 'bump' END"
     bump = f"CASE WHEN ({step}) NOT IN ('overlap', 'edge') THEN {bump} END"
     return f"""WITH RECURSIVE {TRACKS},
+ chosen AS (SELECT * FROM tracks WHERE {only}),
  before AS (SELECT *, max(end_ms) OVER (PARTITION BY person ORDER BY start_ms, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gs,
-   row_number() OVER (PARTITION BY person ORDER BY start_ms, track_id) AS n FROM tracks),
- hits AS (SELECT DISTINCT l.track_id FROM before l JOIN tracks r ON l.person <> r.person AND r.conf >= {p.conflict_conf} AND l.start_ms - l.gs > {p.conflict_guard}
+   row_number() OVER (PARTITION BY person ORDER BY start_ms, track_id) AS n FROM chosen),
+ hits AS (SELECT DISTINCT l.track_id FROM before l JOIN chosen r ON l.person <> r.person AND r.conf >= {p.conflict_conf} AND l.start_ms - l.gs > {p.conflict_guard}
    AND r.start_ms < l.start_ms AND r.end_ms > l.gs AND least(r.end_ms, l.start_ms) - greatest(r.start_ms, l.gs) >= {p.conflict_guard}),
  placed AS (SELECT b.*, b.start_ms - b.gs AS gap, h.track_id IS NOT NULL AS conflict FROM before b LEFT JOIN hits h USING (track_id)),
  state AS (SELECT person, n, start_ms, end_ms, conf, visible, frames, 1::BIGINT AS members, 1::BIGINT AS g, 'first' AS step, NULL::VARCHAR AS quality, NULL::BIGINT AS gap, NULL::BIGINT AS gs, track_id FROM placed WHERE n = 1

@@ -8,19 +8,11 @@ from ..functions import text as T
 from ..operators import logs
 from ..operators import mutations as M
 from ..sources.views import TRACKS, tracks
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 MEMBERS = """m AS (SELECT user_id % 12 AS cluster_id, event_id AS track_id, CASE WHEN user_id % 12 < 6 THEN 'N' || (user_id % 12 % 4) END AS name,

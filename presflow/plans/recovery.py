@@ -10,19 +10,11 @@ from ..operators import vectors as V
 from ..sources.views import BANK, DETECTIONS, TRACKS, bank, detections, tracks
 from .intervals import ISLANDS, merged_at_300
 from .vectors import UNIT
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 GAPS = f"{ISLANDS}, g AS (SELECT person, end_ms AS a, lead(start_ms) OVER (PARTITION BY person ORDER BY start_ms, end_ms) AS b FROM merged)"

@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 EPISODES = "ep AS (SELECT o_orderkey AS episode_id, 'S' || (o_custkey % 5) AS show_id, o_orderkey % 4 AS season, o_orderkey % 7 = 0 AS archived FROM orders)"

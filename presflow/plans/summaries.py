@@ -13,19 +13,11 @@ from ..sources.views import DETECTIONS, TRACKS, detections, tracks
 from .assembly import TRACK_DOCS, references, track_docs
 from .records import MEMBERS, members
 from .vectors import TRACK_METRICS, UNIT, _track_metrics
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 HELD = f"{TRACK_METRICS}, mem AS (SELECT i AS track_id, i % 9 AS cluster_id, CASE WHEN i % 9 < 6 THEN 'P' || (i % 9 % 4) END AS name, (i % 9) / 16.0::DOUBLE AS quality FROM range(0, 50) t(i))"

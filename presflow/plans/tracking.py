@@ -9,19 +9,11 @@ from ..operators import tracking as T
 from ..operators import vectors as V
 from ..sources.views import DETECTIONS, bank, detections
 from .vectors import UNIT
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 def _episodes(spark, sf_dir):

@@ -8,21 +8,13 @@ from pyspark.sql.window import Window
 from ..operators import graphs
 from ..operators import vectors as V
 from ..sources.views import BANK, DETECTIONS, bank, detections
+from .registering import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: The test vectors carry no signal, so thresholds are where their similarities lie.
 LEAST, MARGIN = 0.2, 0.02
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 UNIT = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"

@@ -13,7 +13,17 @@ EPOCH_US = 1704067200000000  # 2024-01-01
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track_id, person, start_ms, end_ms, conf, visible and frames."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+    return tracks_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return tracks_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))  # a pattern: the table may be one file
+
+
+def tracks_of(events: DataFrame) -> DataFrame:
+    events = events.select("event_id", "user_id", "ts", "value")
     start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / 1_000_000).cast("bigint")
     return events.select(
         F.col("event_id").alias("track_id"), F.format_string("P%d", F.col("user_id") % 7).alias("person"), start.alias("start_ms"),
