@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import dot, l2_normalise, medoid, products
+from .graphs import components, first_independent
+from .vectors import dot, l2_normalise, least_product, medoid, metric_links, products, whole
 
 
 def cross_contamination(frames: DataFrame, centres: DataFrame, margin: float) -> DataFrame:
@@ -67,21 +68,38 @@ def enforce_must(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def consolidate(clusters: DataFrame, least: float, cannot: DataFrame) -> DataFrame:
-    """cluster_id and target: locked clusters of one name join its smallest one if their centroids are alike (or one is missing) and no pair (a, b) forbids it."""
-    locked = clusters.filter("name is not null and confidence = 1.0")
-    first = locked.groupBy("name").agg(F.min_by(F.struct("cluster_id", "centroid"), "cluster_id").alias("f"))
-    met = locked.join(first, "name").select("cluster_id", F.col("f.cluster_id").alias("target"), "centroid", F.col("f.centroid").alias("other"))
-    alike = met.filter((F.col("cluster_id") != F.col("target")) & F.coalesce(dot("centroid", "other") >= least, F.lit(True)))
-    barred = (F.col("cluster_id") == F.col("b")) & (F.col("target") == F.col("a"))
-    return alike.join(cannot, barred, "left_anti").select("cluster_id", "target")
-
-
-def greedy_distinct(vectors: Column, most: float) -> Column:
-    """Places (from 0) of the vectors of an ordered array that are not alike to one accepted before."""
-    kind = "struct<at:int,v:array<double>>"
-    rows = F.transform(vectors, lambda v, i: F.struct(i.alias("at"), v.alias("v")))
-    fold = lambda kept, r: F.when(F.exists(kept, lambda k: dot(k["v"], r["v"]) >= most), kept).otherwise(F.concat(kept, F.array(r)))
-    return F.aggregate(rows, F.array().cast(f"array<{kind}>"), fold)["at"]
+    """cluster_id and target: clusters (cluster_id, name, confidence, centroid) that a person gave the same name join the smallest of those they are tied to.
+
+    A name is left alone as a whole if any two of its clusters, both with a centroid, have a product under ``least``.  Else all its clusters are tied
+    to each other, but for pairs of ``cannot`` (a, b).  A cluster in no such pair ties all of a name together; only where a name has none, pairs are
+    made, of clusters that are in such pairs.
+    """
+    locked = clusters.filter("name is not null and name <> 'Unknown' and confidence = 1.0").select("name", "cluster_id", "centroid")
+    apart = least_product(locked, ["name"], "cluster_id", "centroid").filter(F.col("least") < least)
+    joined = locked.join(apart, "name", "left_anti").select("name", "cluster_id")
+    of = lambda c: joined.select(F.col("cluster_id").alias(c), F.col("name").alias(f"_{c}"))
+    barred = cannot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(of("a"), "a").join(of("b"), "b").filter("_a = _b and a < b").select(F.col("_a").alias("name"), "a", "b")
+    held = barred.select("name", F.explode(F.array("a", "b")).alias("cluster_id")).distinct()
+    free = joined.join(held, ["name", "cluster_id"], "left_anti").groupBy("name").agg(F.min("cluster_id").alias("free"))
+    stars = joined.join(free, "name").select(F.col("free").alias("a"), F.col("cluster_id").alias("b"))
+    tight = held.join(free, "name", "left_anti")
+    among = tight.select("name", F.col("cluster_id").alias("a")).join(tight.select("name", F.col("cluster_id").alias("b")), "name").filter("a < b").join(barred, ["name", "a", "b"], "left_anti")
+    return components(stars.unionByName(among.select("a", "b"))).filter("node <> component").select(F.col("node").alias("cluster_id"), F.col("component").alias("target"))
+
+
+def greedy_distinct(df: DataFrame, keys: list[str], order: str, most: float, vector: str = "embedding") -> DataFrame:
+    """keys and order of the rows that are not alike (by a similarity of ``most``) to an accepted one of their key that comes before.
+
+    ``order`` is a column of distinct values.  Alike pairs come from the metric index; what stays is settled in rounds over them.
+    """
+    node = F.struct(*keys, order)
+    unit = df.select(F.col(order).alias("vec_id"), F.struct(*keys).alias("_key"), l2_normalise(vector).alias("u"))
+    usable = unit.filter(whole("u") & F.exists("u", lambda x: x != 0))
+    alike = metric_links(usable.select("vec_id", "u"), "vec_id", "u", most).select("a", "b")
+    of = lambda c: unit.select(F.col("vec_id").alias(c), F.col("_key").alias(f"_{c}"))
+    same = alike.join(of("a"), "a").join(of("b"), "b").filter("_a = _b")
+    side = lambda c: F.struct(*[F.col(f"_a.{k}") for k in keys], F.col(c).alias(order)).alias(c)
+    return first_independent(df.select(node.alias("node")), same.select(side("a"), side("b"))).select("node.*")
 
 
 def cluster_audit(frames: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ class ReclusterParams:
     open_sim: float = 0.6
     open_margin: float = 0.08
     frame_low: float = 0.55
-    frame_margin: float = 0.05
+    frame_margin: float = 0.08
 
 
 def recluster(detections: DataFrame, refs: DataFrame, bank: DataFrame, suppressed: DataFrame, links: DataFrame, quality: Column, p: ReclusterParams = ReclusterParams()) -> dict[str, DataFrame]:

@@ -26,6 +26,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def first_independent(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The nodes that stay if they are gone through in order and one goes if it is in conflict with one that stays.
+
+    ``conflicts`` (a, b): a comes before b in the order, which is thus in the pairs alone.  In rounds: who has no conflict with an earlier node
+    that is still open stays, and whoever is in conflict with these goes.  That is the lexicographically first maximal independent set; rounds are
+    as many as its longest chain of decisions, each over the pairs that are still open, and written as a checkpoint.
+    """
+    checkpoints(nodes.sparkSession)
+    open_ = conflicts.select("a", "b").distinct().checkpoint()
+    gone = None
+    while not open_.isEmpty():
+        stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        goes = open_.join(stays, "a", "left_semi").select("b").distinct().checkpoint()
+        gone = goes if gone is None else gone.unionByName(goes)
+        # pairs whose first node goes are settled, and so are those whose second does
+        open_ = open_.join(stays, "a", "left_anti").join(goes.select(F.col("b").alias("a")), "a", "left_anti").join(goes, "b", "left_anti").select("a", "b").checkpoint()
+    return nodes if gone is None else nodes.join(gone.select(F.col("b").alias("node")), "node", "left_anti")
+
+
 def must_cannot(named: DataFrame) -> DataFrame:
     """kind (must or cannot), a, b of tracks (track_id, cluster_id, name, confidence) in clusters named by hand.
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoints
 from . import scans
 from .scans import scan
 
@@ -145,10 +147,71 @@ def contiguous(df: DataFrame, keys: list[str], at: str, least: int) -> DataFrame
     return placed.groupBy(*keys, "_span").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_span")
 
 
-def debounce(values: Column, least: int) -> Column:
-    """Of an ascending array, what lies at least ``least`` after the last accepted value (the first is accepted)."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(values, empty, lambda out, v: F.when((F.size(out) == 0) | (v - F.coalesce(F.element_at(out, -1), v) >= least), F.concat(out, F.array(v))).otherwise(out))
+def debounce(df: DataFrame, keys: list[str], at: str, least: int) -> DataFrame:
+    """keys and ``at`` of the values that lie at least ``least`` after the last accepted one; a key's first is accepted.
+
+    Which value follows an accepted one does not depend on what was accepted before: it is the first that lies ``least`` after it.  So accepted
+    values are those that these pointers reach from a key's first one.  A bin of 64 times ``least`` is walked through by itself, from every value
+    to the last one reached in the bin; that one's pointer leads out of it.  Pointers out of bins are doubled in rounds, as many as the
+    logarithm of a key's bins, which gives the one value by which a bin is entered; from it the bin is walked again.  Null values are left out.
+    """
+    checkpoints(df.sparkSession)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, at])
+    rows = df.select(*keys, at).filter(F.col(at).isNotNull()).distinct().withColumn("_bin", F.floor(F.col(at) / (64 * least)))
+    rows = rows.repartition(*keys, "_bin").sortWithinPartitions(*keys, "_bin", at)
+
+    def walked(entered: bool):
+        """Values with the last one that is reached from them in their bin; or those that are reached from the one that is entered."""
+
+        def bins(frames):
+            held, last = [], None
+            for frame in frames:  # a batch may end in the middle of a bin
+                for row in frame.itertuples(index=False, name=None):
+                    if (row[: len(keys)], row[len(keys) + 1]) != last:
+                        if held:
+                            yield held
+                        held, last = [], (row[: len(keys)], row[len(keys) + 1])
+                    held.append(row)
+            if held:
+                yield held
+
+        def run(frames):
+            for some in bins(frames):
+                values = np.array([r[len(keys)] for r in some], np.int64)
+                follow = np.searchsorted(values, values + least)
+                if entered:
+                    i = int(np.searchsorted(values, int(some[0][-1]))) if some[0][-1] is not None and some[0][-1] == some[0][-1] else len(values)
+                    out = []
+                    while i < len(values):
+                        out.append(some[i][: len(keys) + 1])
+                        i = int(follow[i])
+                    yield pd.DataFrame(out, columns=[*keys, at])
+                else:
+                    tail = np.arange(len(values))
+                    for i in range(len(values) - 1, -1, -1):
+                        if follow[i] < len(values):
+                            tail[i] = tail[follow[i]]
+                    yield pd.DataFrame([(*r[: len(keys) + 1], int(values[t])) for r, t in zip(some, tail.tolist(), strict=True)], columns=[*keys, at, "_tail"])
+
+        return run
+
+    key = F.struct(*[F.col(k) for k in keys])
+    tails = rows.mapInPandas(walked(False), f"{kinds}, _tail bigint").checkpoint()
+    none = F.lit(None).cast("bigint")
+    asked = tails.select(*keys, (F.col("_tail") + least).alias("_p"), F.lit(0).alias("_kind"), none.alias("_v"), "_tail").distinct()
+    values = tails.select(*keys, F.col(at).cast("bigint").alias("_p"), F.lit(1).alias("_kind"), F.col(at).cast("bigint").alias("_v"), none.alias("_tail"))
+    out = scan(asked.unionByName(values), keys, ["_p", "_kind"], 64 * least, _to=scans.after(F.col("_v"))).filter("_kind = 0 and _to is not null").select(key.alias("_key"), "_tail", "_to")
+    jump = tails.select(key.alias("_key"), F.col(at).alias("_at"), "_tail").join(out, ["_key", "_tail"]).select("_key", "_at", "_to").checkpoint()
+    reached = tails.groupBy(key.alias("_key")).agg(F.min(at).alias("_at")).checkpoint()
+    while True:
+        more = reached.join(jump, ["_key", "_at"]).select("_key", F.col("_to").alias("_at")).checkpoint()
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        jump = jump.join(jump.select("_key", F.col("_at").alias("_to"), F.col("_to").alias("_far")), ["_key", "_to"]).select("_key", "_at", F.col("_far").alias("_to")).checkpoint()
+    entries = reached.select("_key", F.floor(F.col("_at") / (64 * least)).alias("_bin"), F.col("_at").alias("_entry"))
+    met = rows.withColumn("_key", key).join(entries, ["_key", "_bin"]).select(*keys, at, "_bin", "_entry")
+    return met.repartition(*keys, "_bin").sortWithinPartitions(*keys, "_bin", at).mapInPandas(walked(True), kinds)
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoints
+
 
 def reattachments(log: DataFrame) -> DataFrame:
     """label, frame and latency of reattachments whose previous event of the label is a drop: a drop is consumed once."""
@@ -52,22 +54,29 @@ def rolling(df: DataFrame, keys: list[str], order: str, value: str, rows: int =
     return got.select(*keys, order, F.size("_v").alias("samples"), middle.alias("median"), exclusive_quantile(F.col("_v"), 0.9).alias("p90"))
 
 
-def ema(values: Column, alpha: float) -> Column:
-    """Exponential mean over an ordered array, from the first value."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda m, x: F.when(m.isNull(), x).otherwise(alpha * x + (1 - alpha) * m))
-
-
-def welford(values: Column) -> Column:
-    """n, mean and sample deviation of an ordered array in one pass."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+def running_stats(df: DataFrame, keys: list[str], order: str, value: str, alpha: float, width: int = 1024, fan: int = 64) -> DataFrame:
+    """keys, ema (from the first value), n, mean and sigma (sample deviation) of a key's values in order; rows with a null are left out.
 
-    def step(s: Column, x: Column) -> Column:
-        n = s["n"] + 1
-        mean = s["mean"] + (x - s["mean"]) / n
-        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
-
-    done = lambda s: F.struct(s["n"].alias("n"), s["mean"].alias("mean"), F.when(s["n"] > 1, F.sqrt(s["m2"] / (s["n"] - 1))).otherwise(0.0).alias("sigma"))
-    return F.aggregate(values, zero, step, done)
+    A step of the exponential mean is the map m -> a m + b, and maps compose; so a bin of ``width`` of the order becomes one map, with
+    mergeable moments beside it, and ``fan`` neighbours become one again, until a key has one.  No more than ``fan`` rows of a key, or a bin's, come together.
+    """
+    checkpoints(df.sparkSession)
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_x")).filter(F.col(order).isNotNull() & F.col("_x").isNotNull())
+    held = rows.groupBy(*keys, F.floor(F.col(order) / width).alias("_at")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_x").alias("x")))).alias("_r"))
+    one = lambda x: F.struct(F.lit(1 - alpha).alias("a"), (alpha * x).alias("b"), F.lit(1).cast("bigint").alias("n"), x.alias("mean"), F.lit(0.0).alias("m2"), x.alias("first"))
+
+    def after(s: Column, t: Column) -> Column:
+        n, apart = s["n"] + t["n"], t["mean"] - s["mean"]
+        mean = s["mean"] + apart * t["n"] / n
+        return F.struct((s["a"] * t["a"]).alias("a"), (t["a"] * s["b"] + t["b"]).alias("b"), n.alias("n"), mean.alias("mean"), (s["m2"] + t["m2"] + apart * apart * s["n"] * t["n"] / n).alias("m2"), s["first"].alias("first"))
+
+    whole = lambda maps: F.aggregate(F.slice(maps, 2, F.size(maps)), F.element_at(maps, 1), after)
+    maps = held.select(*keys, "_at", whole(F.transform("_r", lambda r: one(r["x"]))).alias("_m")).checkpoint()
+    while not maps.groupBy(*keys).count().filter("count > 1").isEmpty():
+        near = maps.groupBy(*keys, F.floor(F.col("_at") / fan).alias("_up")).agg(F.sort_array(F.collect_list(F.struct("_at", "_m"))).alias("_r"))
+        maps = near.select(*keys, F.col("_up").alias("_at"), whole(F.transform("_r", lambda r: r["_m"])).alias("_m")).checkpoint()
+    m = lambda c: F.col(f"_m.{c}")
+    return maps.select(*keys, (m("a") * m("first") + m("b")).alias("ema"), m("n").alias("n"), m("mean").alias("mean"), F.when(m("n") > 1, F.sqrt(m("m2") / (m("n") - 1))).otherwise(0.0).alias("sigma"))
 
 
 def histogram(df: DataFrame, value: Column, low: Column, high: Column, bins: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,8 @@ from ..session import checkpoints
 SMALL = 20_000
 #: Rows of each side of a block of products.
 BLOCK = 2048
+#: Pivots of the metric index at most.
+MOST_PIVOTS = 512
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -64,22 +67,35 @@ def against(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(numbered, "_block").drop("_block")
 
 
+def whole(vector: Column | str) -> Column:
+    """Whether a vector is there and has no null component."""
+    return F.coalesce(~F.exists(vector, lambda x: x.isNull()), F.lit(False))
+
+
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
     flat = table[column].combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    if not len(flat):
+        return np.zeros((0, 0))
+    values, lengths = flat.flatten().to_numpy(zero_copy_only=False).astype(float), set(flat.value_lengths().to_pylist())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of {min(lengths)} and of {max(lengths)} components can't be multiplied")
+    return values.reshape(len(flat), -1)
 
 
 def _schema(*frames: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for df in frames for f in df.schema.fields)
 
 
-def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float | None = None, best: int | None = None, triangle: bool = False, block: int = BLOCK) -> DataFrame:
+def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float | None = None, best: int | None = None, triangle: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """Rows of left with rows of right and ``sim``, the product of the vectors ``lv`` and ``rv`` (which are left out).
 
     Blocks of left meet blocks of right, one matrix product each, so a row is sent once for each block of the other side.  Only pairs of
     ``least`` or more are kept, and of each left row in each block the ``best`` (with ties).  ``triangle``: both sides are one frame with
-    its names apart, and a pair of blocks meets once; who asks for it keeps one of (x, y) and (y, x).
+    its names apart, and a pair of blocks meets once; who asks for it keeps one of (x, y) and (y, x).  ``by``: of the right
+    columns only this one, with the largest product of each of its values in each block.  Rows whose vector is null or holds a null take no
+    part; vectors of different lengths are an error.
     """
+    left, right = left.filter(whole(lv)), right.filter(whole(rv))
     n, m = (max(1, -(-df.count() // block)) for df in (left, right))
     left_keys, right_keys = left.drop(lv), right.drop(rv)
     spot = lambda df, of, blocks: F.pmod(F.xxhash64(*[c for c in df.columns if c != of]), F.lit(blocks)).cast("int")
@@ -87,6 +103,8 @@ def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float |
     r = right.withColumn("_r", spot(right, rv, m)).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if triangle:
         l, r = l.filter("_l <= _r"), r.filter("_l <= _r")
+    if by:
+        right_keys = right_keys.select(by)
     names = [*left_keys.columns], [*right_keys.columns]
 
     def run(some: pa.Table, others: pa.Table) -> pa.Table:
@@ -94,7 +112,16 @@ def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float |
             i = j = np.zeros(0, np.int64)
             sims = np.zeros(0)
         else:
-            sims = _matrix(some, lv) @ _matrix(others, rv).T
+            x, y = _matrix(some, lv), _matrix(others, rv)
+            if x.shape[1] != y.shape[1]:
+                raise ValueError(f"vectors of {x.shape[1]} and of {y.shape[1]} components can't be multiplied")
+            sims = x @ y.T
+            if by:
+                order = pa.compute.sort_indices(others, [(by, "ascending")])
+                others, sims = others.select([by]).take(order), sims[:, order.to_numpy()]
+                run_ends = pa.compute.run_end_encode(others[by].combine_chunks()).run_ends.to_numpy()
+                first = np.r_[0, run_ends[:-1]]
+                others, sims = others.take(pa.array(first)), np.maximum.reduceat(sims, first, axis=1)
             keep = np.ones(sims.shape, bool) if least is None else sims >= least
             if best is not None and best < sims.shape[1]:
                 keep &= sims >= np.partition(sims, -best, axis=1)[:, -best, None]
@@ -105,6 +132,28 @@ def products(left: DataFrame, right: DataFrame, lv: str, rv: str, least: float |
     return l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInArrow(run, f"{_schema(left_keys, right_keys)}, sim double")
 
 
+def least_product(rows: DataFrame, keys: list[str], item: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """keys and ``least``, the smallest product of two of a key's vectors, for keys that have two.  Blocks of a key's vectors meet, one number comes out."""
+    usable = rows.select(*keys, item, vector).filter(whole(vector))
+    counts = usable.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = usable.join(counts, keys).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_n")).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    kinds = _schema(rows.select(*keys))
+
+    def run(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return some.select(keys).slice(0, 0).append_column("least", pa.array([], pa.float64()))
+        sims = _matrix(some, vector) @ _matrix(others, f"_{vector}").T
+        mine, theirs = np.asarray(some[item].to_pylist()), np.asarray(others[f"_{item}"].to_pylist())
+        sims[mine[:, None] == theirs[None, :]] = np.inf
+        return some.select(keys).slice(0, 1).append_column("least", pa.array([float(sims.min())]))
+
+    left = dealt.select(*keys, item, vector, F.col("_own").alias("_l"), F.col("_met").alias("_r"))
+    right = dealt.select(*[F.col(c).alias(f"_{c}") for c in (*keys, item, vector)], F.col("_met").alias("_l"), F.col("_own").alias("_r"))
+    on = [*keys, "_l", "_r"], [*[f"_{k}" for k in keys], "_l", "_r"]
+    found = left.filter("_l <= _r").groupBy(*on[0]).cogroup(right.filter("_l <= _r").groupBy(*on[1])).applyInArrow(run, f"{kinds}, least double")
+    return found.groupBy(*keys).agg(F.min("least").alias("least")).filter(F.col("least") < float("inf"))
+
+
 def medoid(df: DataFrame, keys: list[str], item: str, vector: str = "embedding") -> DataFrame:
     """Of each key, the item with the largest summed similarity to the others, the smallest of equals.
 
@@ -130,7 +179,7 @@ def best_two(scored: DataFrame, key: list[str], label: str, score: str = "sim")
 def identity_sims(rows: DataFrame, bank: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:
     """sim: each row's best similarity to any prototype of each identity."""
     b = bank.select(F.col("identity").alias("label"), F.col("embedding").alias("_proto"), "proto_id")
-    return products(rows.select(*key, F.col(vector).alias("_v")), b, "_v", "_proto").groupBy(*key, "label").agg(F.max("sim").alias("sim"))
+    return products(rows.select(*key, F.col(vector).alias("_v")), b, "_v", "_proto", by="label").groupBy(*key, "label").agg(F.max("sim").alias("sim"))
 
 
 def open_set(best: DataFrame, least: float, margin: float) -> DataFrame:
@@ -159,14 +208,21 @@ def box(alias: str = "") -> list[Column]:
     return [F.col(f"{alias}.{c}" if alias else c) for c in ("x1", "y1", "x2", "y2")]
 
 
-def nms(df: DataFrame, keys: list[str], item: str, most: float = 0.5) -> DataFrame:
-    """Greedy suppression: by falling confidence, a box goes if it overlaps one that stays by more than ``most``."""
-    kind = "struct<c:double,i:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
-    row = F.struct((-F.col("conf")).alias("c"), F.col(item).cast("bigint").alias("i"), *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    sides = lambda r: [r[c] for c in ("x1", "y1", "x2", "y2")]
-    fold = lambda kept, r: F.when(F.exists(kept, lambda k: iou(sides(k), sides(r)) > most), kept).otherwise(F.concat(kept, F.array(r)))
-    kept = F.aggregate(F.sort_array(F.collect_list(row)), F.array().cast(f"array<{kind}>"), fold)
-    return df.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.explode("_k.i").alias(item))
+def nms(df: DataFrame, keys: list[str], item: str, most: float = 0.5, bin_px: int = 64) -> DataFrame:
+    """Greedy suppression: by falling confidence, a box goes if it overlaps one of its key that stays by more than ``most``.
+
+    Boxes that overlap are found by a join of their sides; what stays is settled in rounds over these conflicts, not box by box.
+    """
+    from .graphs import first_independent
+    from .intervals import range_join
+
+    rank = F.struct((-F.col("conf")).alias("c"), F.col(item).alias("i"))
+    rows = df.select(*keys, item, rank.alias("_rank"), *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    sides = rows.withColumn("start_ms", F.col("x1")).withColumn("end_ms", F.col("x2"))
+    over = range_join(sides, sides, (F.col("l._rank") < F.col("r._rank")) & (iou(box("l"), box("r")) > most), bin_px, on=keys)
+    node = lambda of: F.struct(*[F.col(f"{of}.{k}") for k in [*keys, item]])
+    kept = first_independent(rows.select(F.struct(*keys, item).alias("node")), over.select(node("l").alias("a"), node("r").alias("b")))
+    return kept.select("node.*")
 
 
 def face_samples(df: DataFrame, least_conf: float, least_size: int, most_iou: float, least_sharpness: float | None = None) -> DataFrame:
@@ -202,7 +258,7 @@ def set_similarity(rows: DataFrame, wanted: DataFrame, k: int, key: str = "track
     return top_k(met, [key, "other"], k, F.desc("sim"), F.col("_i"), F.col("_j")).groupBy(key, "other").agg(F.avg("sim").alias("sim"))
 
 
-def frame_confidence(frames: DataFrame, bank: DataFrame, low: float, margin_low: float = 0.05, key: str = "vec_id") -> DataFrame:
+def frame_confidence(frames: DataFrame, bank: DataFrame, low: float, margin_low: float = 0.08, key: str = "vec_id") -> DataFrame:
     """frame_conf, frame_margin, frame_low and frame_conflict of each frame (key, identity, embedding, and maybe centroid, of its cluster).
 
     The frame's own similarity is the best to its identity's prototypes, without any that to its cluster's centroid, without one zero.  It
@@ -295,9 +351,98 @@ def nearest_distances(df: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("nth") == k).select("vec_id", F.greatest(F.lit(0.0), "d").alias("kth"))
 
 
+def tuned_radius(df: DataFrame, k: int = 5, low: float = 0.40, high: float = 0.50) -> DataFrame:
+    """One row: n, percentiles of the distances to the k-th nearest (p25, p50, p75, p90), knee_index (how many lie under p75) and eps, p75 within bounds."""
+    kth = nearest_distances(df, k + 1)
+    figures = kth.agg(F.count("*").alias("n"), *[F.percentile("kth", F.lit(share)).alias(f"p{round(100 * share)}") for share in (0.25, 0.5, 0.75, 0.9)])
+    under = kth.crossJoin(F.broadcast(figures.select("p75"))).agg(F.count_if(F.col("kth") < F.col("p75")).alias("knee_index"))  # one row
+    return figures.crossJoin(F.broadcast(under)).withColumn("eps", F.least(F.lit(high), F.greatest(F.lit(low), "p75")))
+
+
 def near_links(df: DataFrame, eps: float) -> DataFrame:
-    """(a, b, sim) of vectors within a cosine distance of ``eps``, a < b."""
-    return pairs(df.select("vec_id", l2_normalise("embedding").alias("u")), "vec_id", "u", 1 - eps)
+    """(a, b, sim) of vectors within a cosine distance of ``eps``, a < b.
+
+    Vectors of zero length, null ones and those that hold a null are near to none.
+    """
+    unit = df.select("vec_id", l2_normalise("embedding").alias("u")).filter(whole("u") & F.exists("u", lambda x: x != 0))
+    return metric_links(unit, "vec_id", "u", 1 - eps)
+
+
+def metric_links(unit: DataFrame, item: str, vector: str, least: float, block: int = BLOCK, figures: list | None = None) -> DataFrame:
+    """``pairs`` of unit vectors, without those blocks that the triangle inequality rules out.
+
+    Angles are a metric.  A bounded number of pivots (vectors of the table) cut the vectors into cells, each vector at home with its nearest
+    pivot, at an angle d.  With R the angle of ``least``: a vector is copied to another cell only if it is within R of the cell's ball and at most
+    2 R farther from its pivot than from its own; every pair is then found where its first one is at home.  In a cell, blocks are bands of d: two
+    bands that lie more than R apart do not meet.  All this only leaves out what cannot be near; where nothing can be left out (``least`` at or under
+    zero, or vectors in no order), it comes to all blocks of pairs.  ``figures`` gets (pairs of blocks that meet, pairs that there are).
+    """
+    n = unit.count()
+    cells = min(MOST_PIVOTS, n // block)
+    if cells < 2:
+        return pairs(unit, item, vector, least)
+    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
+    pivots = np.array([r[0] for r in unit.orderBy(F.xxhash64(item), item).select(vector).limit(cells).collect()])
+    shared = unit.sparkSession.sparkContext.broadcast(pivots)
+    kind = unit.schema[item].dataType.simpleString()
+    angles = lambda x: np.arccos(np.clip(x @ shared.value.T, -1.0, 1.0))
+
+    def homes(batches):
+        for batch in batches:
+            d = angles(_matrix(pa.Table.from_batches([batch]), vector))
+            home = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(d[np.arange(len(home)), home])], ["cell", "d"])
+
+    balls = unit.select(vector).mapInArrow(homes, "cell int, d double").groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()  # a row a pivot at most
+    radius = np.full(cells, -1.0)
+    bands = np.ones(cells, np.int64)
+    for row in balls:
+        radius[row["cell"]], bands[row["cell"]] = row["radius"], max(1, -(-row["n"] // block))
+    radii = unit.sparkSession.sparkContext.broadcast((radius, bands))
+
+    def placed(batches):
+        """A row for each cell that a vector belongs to, with the bands (by angle to the pivot) that it has to meet there."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                table = pa.Table.from_batches([part])
+                d = angles(_matrix(table, vector))
+                radius, bands = radii.value
+                home = d.argmin(1)
+                own = d[np.arange(len(d)), home][:, None]
+                inside = (d <= np.minimum(own + 2 * reach, radius + reach)) | (np.arange(cells) == home[:, None])
+                inside &= radius >= 0
+                row, cell = np.nonzero(inside)
+                width = np.maximum(radius[cell], 1e-9) / bands[cell]
+                band = lambda a: np.clip(np.floor(a / width), 0, bands[cell] - 1).astype(np.int64)
+                resident = home[row] == cell
+                low, high = band(d[row, cell] - reach), band(d[row, cell] + reach)
+                values = [table[item].take(pa.array(row)), table[vector].take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(resident), pa.array(band(d[row, cell]), pa.int32()), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
+                yield from pa.Table.from_arrays(values, [item, vector, "cell", "resident", "band", "low", "high"]).to_batches()
+
+    checkpoints(unit.sparkSession)
+    rows = unit.select(item, vector).mapInArrow(placed, f"{item} {kind}, {vector} array<double>, cell int, resident boolean, band int, low int, high int").checkpoint()
+    # the residents of a band, and what has to meet them, are dealt to parts of about a block each
+    mine = rows.filter("resident").select(F.col(item).alias("a"), F.col(vector).alias("_va"), F.col("cell").alias("_cell"), F.col("band").alias("_band"))
+    theirs = rows.select(F.col(item).alias("b"), F.col(vector).alias("_vb"), F.col("cell").alias("_cell"), F.explode(F.sequence("low", "high")).alias("_band"))
+    counted = lambda df, name: df.groupBy("_cell", "_band").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = counted(mine, "_n").join(counted(theirs, "_m"), ["_cell", "_band"]).checkpoint()
+    if figures is not None:
+        figures.append((blocks.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0, (-(-n // block)) ** 2))
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = mine.join(blocks, ["_cell", "_band"]).withColumn("_i", part("a", "_n")).withColumn("_j", each("_m")).drop("_n", "_m")
+    right = theirs.join(blocks, ["_cell", "_band"]).withColumn("_j", part("b", "_m")).withColumn("_i", each("_n")).drop("_n", "_m")
+
+    def run(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return pa.table({"a": some["a"].slice(0, 0), "b": others["b"].slice(0, 0), "sim": pa.array([], pa.float64())})
+        sims = _matrix(some, "_va") @ _matrix(others, "_vb").T
+        i, j = np.nonzero(sims >= least)
+        return pa.table({"a": some["a"].take(pa.array(i)), "b": others["b"].take(pa.array(j)), "sim": pa.array(sims[i, j])})
+
+    keys = ["_cell", "_band", "_i", "_j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"a {kind}, b {kind}, sim double").filter("a < b")
 
 
 def dbscan(df: DataFrame, eps: float, least: int, components, links: DataFrame | None = None) -> DataFrame:

@@ -91,26 +91,33 @@ def enforce_must_links(spark, sf_dir):
     return A.enforce_must(named, components(links))
 
 
+GUARD = -0.12
+#: Pairs of clusters that must stay apart: one pair of N1, and all of N2 but two pairs that do not meet.
+APART = [(1, 13), (2, 8), (2, 26), (8, 32), (26, 32), (14, 2), (14, 8), (14, 26), (14, 32), (2, 38), (14, 38), (8, 38), (26, 38), (32, 38)]
+
+
 @query(
-    f"""WITH {DETECTIONS}, {_centroids('track_id', 'det')}, c AS (SELECT track_id AS cluster_id, 'N' || (track_id % 6) AS name, CASE WHEN track_id % 5 = 0 THEN 0.5 ELSE 1.0 END AS confidence, track_id % 7 > 0 AS has, centroid FROM centres),
- k AS (SELECT * FROM c WHERE confidence = 1.0), f AS (SELECT name, min(cluster_id) AS target FROM k GROUP BY name)
- SELECT k.cluster_id, target FROM k JOIN f USING (name) JOIN k t ON t.cluster_id = target WHERE k.cluster_id <> target AND (NOT k.has OR NOT t.has OR list_dot_product(k.centroid, t.centroid) >= 0.0) AND NOT (target = 1 AND k.cluster_id = 13)"""
+    f"""WITH RECURSIVE {DETECTIONS}, {_centroids('track_id', 'det')}, c AS (SELECT track_id AS cluster_id, 'N' || (track_id % 6) AS name, CASE WHEN track_id % 5 = 0 THEN 0.5 ELSE 1.0 END AS confidence, track_id % 7 > 0 AS has, centroid FROM centres),
+ k AS (SELECT * FROM c WHERE confidence = 1.0), far AS (SELECT DISTINCT x.name FROM k x JOIN k y ON x.name = y.name AND x.cluster_id < y.cluster_id AND x.has AND y.has AND list_dot_product(x.centroid, y.centroid) < {GUARD}),
+ e AS (SELECT x.cluster_id AS a, y.cluster_id AS b FROM k x JOIN k y ON x.name = y.name AND x.cluster_id <> y.cluster_id AND x.name NOT IN (FROM far) AND NOT (least(x.cluster_id, y.cluster_id), greatest(x.cluster_id, y.cluster_id)) IN ({", ".join(str((min(p), max(p))) for p in APART)})),
+ r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node AS cluster_id, min(root) AS target FROM r GROUP BY node HAVING min(root) < node"""
 )
 def consolidate_names(spark, sf_dir):
     t = F.col("track_id")
     rows = V.centroid(detections(spark, sf_dir), ["track_id"]).select(t.alias("cluster_id"), F.format_string("N%d", t % 6).alias("name"), F.when(t % 5 == 0, 0.5).otherwise(1.0).alias("confidence"), F.when(t % 7 > 0, F.col("centroid")).alias("centroid"))
-    return A.consolidate(rows, 0.0, spark.createDataFrame([(1, 13)], "a bigint, b bigint"))
+    return A.consolidate(rows, GUARD, spark.createDataFrame(APART, "a bigint, b bigint"))
 
 
 @query(
     f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY vec_id) - 1 AS n, {UNIT.format(v='embedding')} AS u FROM det), near AS (SELECT a.track_id, a.n AS a, b.n AS b FROM o a JOIN o b ON a.track_id = b.track_id AND a.n < b.n AND list_dot_product(a.u, b.u) >= 0.2),
  s AS (SELECT DISTINCT track_id, -1::BIGINT AS n, []::BIGINT[] AS kept FROM o
   UNION ALL SELECT s.track_id, s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM near x WHERE x.track_id = s.track_id AND x.b = s.n + 1 AND list_contains(s.kept, x.a)) THEN s.kept ELSE list_append(s.kept, s.n + 1) END FROM s WHERE EXISTS (SELECT 1 FROM o WHERE o.track_id = s.track_id AND o.n = s.n + 1))
- SELECT track_id, arg_max(kept, n) AS kept FROM s GROUP BY 1"""
+, f AS (SELECT track_id, arg_max(kept, n) AS kept FROM s GROUP BY 1),
+ v AS (SELECT track_id, vec_id, row_number() OVER (PARTITION BY track_id ORDER BY vec_id) - 1 AS n FROM det)
+ SELECT v.track_id, vec_id FROM v JOIN f ON f.track_id = v.track_id AND list_contains(kept, n)"""
 )
 def greedy_distinct(spark, sf_dir):
-    rows = detections(spark, sf_dir).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", V.l2_normalise("embedding").alias("u")))).alias("r"))
-    return rows.select("track_id", A.greedy_distinct(F.col("r.u"), 0.2).alias("kept"))
+    return A.greedy_distinct(detections(spark, sf_dir), ["track_id"], "vec_id", 0.2)
 
 
 @query(

@@ -300,5 +300,4 @@ def nearest_downstream(spark, sf_dir):
  SELECT person, last AS boundary_ms FROM s WHERE kept"""
 )
 def scene_debounce(spark, sf_dir):
-    at = tracks(spark, sf_dir).filter("conf > 0.8").groupBy("person").agg(F.sort_array(F.collect_set("start_ms")).alias("at"))
-    return at.select("person", F.explode(I.debounce(F.col("at"), 5000)).alias("boundary_ms"))
+    return I.debounce(tracks(spark, sf_dir).filter("conf > 0.8"), ["person"], "start_ms", 5000).withColumnRenamed("start_ms", "boundary_ms")

@@ -124,10 +124,9 @@ def rolling_samples(spark, sf_dir):
   CAST(floor((SELECT stddev_samp(value) FROM o WHERE o.user_id = e.user_id) * 1000 + 0.00001) AS BIGINT) AS sigma_milli FROM e GROUP BY user_id"""
 )
 def running_stats(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("r"))
-    got = rows.select("user_id", logs.ema(F.col("r.value"), 0.3).alias("ema"), logs.welford(F.col("r.value")).alias("w"))
+    got = logs.running_stats(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], "event_id", "value", 0.3)
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.00001).cast("bigint")
-    return got.select("user_id", milli("ema").alias("ema_milli"), "w.n", milli("w.mean").alias("mean_milli"), milli("w.sigma").alias("sigma_milli"))
+    return got.select("user_id", milli("ema").alias("ema_milli"), "n", milli("mean").alias("mean_milli"), milli("sigma").alias("sigma_milli"))
 
 
 @query(f"WITH {TRACKS} SELECT CAST(least(floor((conf - 0.0) / 0.1::DOUBLE), 9) AS INT) AS bin, count(*) AS count FROM tracks GROUP BY 1")

@@ -91,7 +91,7 @@ def merge_suggestions(spark, sf_dir):
 FRAMES = f"""WITH {DETECTIONS}, {BANK}, named AS (SELECT *, 'L' || (vec_id % 40 % 12) AS who FROM det), {_centroids('cluster_id', 'named')},
  sims AS (SELECT d.vec_id, d.track_id, d.who, d.cluster_id, {UNIT.format(v='d.embedding')} AS u, b.identity, max(list_dot_product({UNIT.format(v='d.embedding')}, {UNIT.format(v='b.embedding')})) AS sim FROM named d, bank b GROUP BY ALL),
  f AS (SELECT vec_id, track_id, coalesce(max(sim) FILTER (identity = who), max(list_dot_product(u, centroid)), 0.0) AS frame_conf, max(sim) FILTER (identity <> who) AS other FROM sims JOIN centres USING (cluster_id) GROUP BY 1, 2),
- frames AS (SELECT vec_id, track_id, frame_conf, frame_conf - coalesce(other, 0.0) AS frame_margin, frame_conf < 0.2 AS frame_low, other IS NOT NULL AND frame_conf - other < 0.05 AS frame_conflict FROM f)"""
+ frames AS (SELECT vec_id, track_id, frame_conf, frame_conf - coalesce(other, 0.0) AS frame_margin, frame_conf < 0.2 AS frame_low, other IS NOT NULL AND frame_conf - other < 0.08 AS frame_conflict FROM f)"""
 
 
 def _frames(spark, sf_dir):
@@ -189,11 +189,13 @@ def impurity(spark, sf_dir):
 KTH = f"WITH {EMB}, d AS (SELECT a.vec_id, 1 - list_dot_product(a.u, b.u) AS d, b.vec_id AS other FROM emb a, emb b), k AS (SELECT vec_id, greatest(0.0, d) AS kth FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, other) = 6)"
 
 
-@query(f"{KTH} SELECT count(*) AS n, round(quantile_cont(kth, 0.5), 6) AS p50, round(quantile_cont(kth, 0.75), 6) AS knee, round(least(0.85, greatest(0.4, quantile_cont(kth, 0.75))), 6) AS eps FROM k")
+@query(
+    f"""{KTH}, p AS (SELECT count(*) AS n, quantile_cont(kth, 0.25) AS p25, quantile_cont(kth, 0.5) AS p50, quantile_cont(kth, 0.75) AS p75, quantile_cont(kth, 0.9) AS p90 FROM k)
+ SELECT n, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, round(p90, 6) AS p90, (SELECT count(*) FROM k, p WHERE kth < p75) AS knee_index, round(least(0.5, greatest(0.4, p75)), 6) AS eps FROM p"""
+)
 def knn_knee(spark, sf_dir):
-    kth = V.nearest_distances(_embeddings(spark, sf_dir), 6)
-    knee = F.percentile("kth", F.lit(0.75))
-    return kth.agg(F.count("*").alias("n"), F.round(F.percentile("kth", F.lit(0.5)), 6).alias("p50"), F.round(knee, 6).alias("knee"), F.round(F.least(F.lit(0.85), F.greatest(F.lit(0.4), knee)), 6).alias("eps"))
+    tuned = V.tuned_radius(_embeddings(spark, sf_dir))
+    return tuned.select("n", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75", "p90")], "knee_index", F.round("eps", 6).alias("eps"))
 
 
 @query(
