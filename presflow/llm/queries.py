@@ -47,10 +47,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids are those of op1, four bytes each, encoded once; every record is read back from its shard's file."""
-    coded = cut(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "token_bytes"))
-    records = training_order.read(training_order.materialise(coded, F.col("token_bytes"), 4), 4)
-    return records.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    """Ids are those of op1, two bytes each; every record is read back from its shard's file, then the files go."""
+    coded = training_order.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    records = training_order.materialise(coded, F.col("tokens"), size=F.octet_length("text"))
+    back = training_order.read(records)
+    told = cut(back.select("slot", "shard", "byte_offset", "n_tokens", F.size("docs").alias("n_docs"), F.get("docs", 0)["doc_id"].alias("doc_id"), F.get("docs", 0)["offset"].alias("from_token"), F.sha2("ids", 256).alias("ids_sha256")))
+    training_order.discard(records)
+    return told
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

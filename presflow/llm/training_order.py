@@ -1,32 +1,42 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
-Texts are cut into sequences, numbered without gaps in order of document.  A keyed Feistel permutation of the numbers, with
-cycle-walking back into their range, gives each sequence its global slot.  Partitions are ranges of slots; each writes its
-shards, one file each in the shared folder, as records of equal length.  So record r of a shard starts at byte r * stride, and
-reading may start at any slot without anything else being read or worked out again.
+Each task packs its documents end to end, each followed by an end mark, and cuts them into sequences of LENGTH ids.  A sequence is
+numbered by where it begins: the document and the offset in it.  A keyed Feistel permutation of these numbers, with cycle-walking
+back into their range, gives each sequence its place; places are spread evenly, so ranges of them are alike in size.  Partitions are ranges
+of places; each writes its sequences in order, one file a shard, LENGTH ids a record and nothing else.  A sequence's global slot is its rank.
 
-Record: document id (8 bytes), part (4), tokens (4), then the token ids, filled up with zeros; all little-endian.
+So record r of a shard starts at byte r * stride, and reading may start at any slot without anything else being read.  What lies
+where in a record (documents, their offsets, and how much of the last record is filling) is a small table beside the shards.
+
+Token ids are shuffled once.  A file gets a name of its own, and is valid by the row that names it: what a lost or repeated task left behind is
+named by none, and nothing is moved onto a name.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpoints
-from .common import cut, partitions
+from ..session import shared_folder
+from . import bpe
+from .common import claim, cut, partitions
 
-#: Tokens of a sequence, records of a shard, and rounds of the permutation.
-LENGTH, RECORDS, ROUNDS = 1024, 2048, 6
-HEADER = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u4")])
+#: Ids of a sequence, bytes of text behind a shard, and rounds of the permutation.
+LENGTH, SHARD_BYTES, ROUNDS = 1024, 64 << 20, 6
 KEY = 20_261
+#: The id that ends a document; it is free in the vocabulary, and ids need two bytes with it.
+END, WIDTH = 50_256, 2
 #: Records that are read at once.
 READ = 256
 
@@ -38,7 +48,7 @@ def _round(x: np.ndarray, key: int) -> np.ndarray:
 
 
 def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
-    """Slots of numbers in [0, n): a permutation of [0, n)."""
+    """Places of numbers in [0, n): a permutation of [0, n)."""
     half = max(1, ((max(1, n - 1)).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     x = numbers.astype(np.uint64)
@@ -52,37 +62,72 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def first_numbers(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(place, first) for distinct (place, n): the sum of n over smaller places; and the sum of all.
+_encoders: dict[tuple[str, str], tiktoken.Encoding] = {}
+#: A piece that the library would take long for; such texts are encoded by the segment tree.
+_LONG = regex.compile(r"\S{4000}|\s{4000}")
 
-    Places are dealt to ranges once (written, so that the ranges stay); sums run within a range and over the ranges' sums.
-    """
-    spans = cut(counts.repartitionByRange(partitions(counts.sparkSession), "place").withColumn("span", F.spark_partition_id()))
-    sums = spans.groupBy("span").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a range
-    inner = Window.partitionBy("span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    first = spans.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(bases), "span")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    return first.select("place", (F.col("base") + F.col("inside")).alias("first")), total
-
-
-def _sequences(n: int, length: int, width: int, records: int, key: int):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                slots, made = [], []
-                for doc_id, first, tokens in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    raw = tokens.as_buffer().to_pybytes() if tokens.is_valid else b""
-                    step = length * width
-                    for i, start in enumerate(range(0, max(1, len(raw)), step)):
-                        ids = raw[start : start + step]
-                        head = np.array([(-1 if doc_id is None else doc_id, i, len(ids) // width)], HEADER).tobytes()
-                        made.append(head + ids)
-                        slots.append(first + i)
-                slot = permute(np.array(slots, np.int64), n, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // records), pa.array(slot), pa.array(made, pa.binary())], ["shard", "slot", "record"])
+
+def _encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
+    claim("training_order", _encoders.clear)
+    if (ranks, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[ranks, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.load_ranks(ranks), special_tokens={})
+    return _encoders[ranks, pattern]
+
+
+def _packed(text: str, ranks: str, pattern: str) -> bytes:
+    if _LONG.search(text) is None:
+        return _encoder(ranks, pattern).encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+    return np.frombuffer(bpe.Codec.of(ranks, pattern).encode(text), "<u4").astype("<u2").tobytes()
+
+
+def encode(df: DataFrame, text: str = "text", ranks: str = bpe.RANKS, pattern: str = bpe.PATTERN) -> DataFrame:
+    """Adds ``tokens``, the ids of ``bpe.encode`` in two bytes each; a null text has none."""
+
+    def apply(texts):
+        return [[_packed(t or "", ranks, pattern) for t in texts]]
+
+    return bpe._with(df, text, "tokens binary", [("tokens", pa.binary())], apply)
+
+
+_DOC = pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("at", pa.int32())]))
+_DOCS = "array<struct<doc_id: bigint, offset: bigint, at: int>>"
+_SEQUENCE = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("place", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int32()), ("docs", _DOC), ("ids", pa.binary())])
+_SEQUENCE_SQL = f"part int, shard int, place bigint, tie bigint, n_tokens int, docs {_DOCS}, ids binary"
+
+
+def _pack(low: int, span: int, most: int, shards: int, parts: int, length: int, width: int, end: int, key: int):
+    """Sequences of a task's documents.  ``span`` documents' ids from ``low`` on (the last of them for null), each with ``most`` offsets."""
+    domain = span * most
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        numbers = [((span - 1 if docs[0]["doc_id"] is None else docs[0]["doc_id"] - low) * most + docs[0]["offset"]) for docs, _, _ in held]
+        place = permute(np.array(numbers, np.int64), domain, key)
+        shard = [int(p) * shards // domain for p in place.tolist()]
+        columns = [[s * parts // shards for s in shard], shard, place.tolist(), [zlib.crc32(ids) for _, _, ids in held], [n for _, n, _ in held], [docs for docs, _, _ in held], [ids for _, _, ids in held]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEQUENCE, strict=True)], schema=_SEQUENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, mark = length * width, end.to_bytes(width, "little")
+        docs, buffer, held = [], bytearray(), []
+        for rows in batches:
+            for doc_id, tokens in zip(rows.column(0), rows.column(1), strict=True):
+                doc_id, ids, at = doc_id.as_py(), (tokens.as_py() or b"") + mark, 0
+                while at < len(ids):
+                    docs.append({"doc_id": doc_id, "offset": at // width, "at": len(buffer) // width})
+                    taken = ids[at : at + step - len(buffer)]
+                    buffer += taken
+                    at += len(taken)
+                    if len(buffer) == step:
+                        held.append((docs, length, bytes(buffer)))
+                        docs, buffer = [], bytearray()
+                        if len(held) >= 1000:
+                            yield batch(held)
+                            held = []
+        if buffer:
+            held.append((docs, len(buffer) // width, bytes(buffer) + mark * (length - len(buffer) // width)))
+        if held:
+            yield batch(held)
 
     return run
 
@@ -91,86 +136,105 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
 
-def _write(folder: str, stride: int):
-    """Shards of records in order: a file each, under its name once it is whole, and a row for it."""
+_RECORDS = pa.schema([("shard", pa.int32()), ("record", pa.int32()), ("path", pa.string()), ("n_tokens", pa.int32()), ("docs", _DOC)])
+_RECORDS_SQL = f"shard int, record int, path string, n_tokens int, docs {_DOCS}"
 
-    def shards(batches):
-        """(shard, slot, record), with a None after each shard."""
-        last = None
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if last not in (None, row[0]):
-                    yield None
-                last = row[0]
-                yield row
-        if last is not None:
-            yield None
+
+def _write(folder: str):
+    """Shards of sequences in order, a file each; a row for each record, given once its file is whole."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
-        out = None
-        for row in shards(batches):
-            if row is None:
-                out.close()
-                system.move(f"{root}/{part}", f"{root}/{name}")
-                columns = [pa.array([shard]), pa.array([first]), pa.array([n], pa.int32()), pa.array([stride], pa.int32()), pa.array([f"{folder}/{name}"])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "first_slot", "n_records", "stride", "path"])
-                out = None
-                continue
-            if out is None:
-                shard, first, n = row[0], row[1], 0
-                name, part = f"shard-{shard:08d}", f".{uuid.uuid4().hex}"
-                system.create_dir(root)
-                out = system.open_output_stream(f"{root}/{part}")
-            out.write(row[2].ljust(stride, b"\0"))
-            n += 1
+        now, out, path, rows = None, None, "", []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            out.close()
+            for at in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_pylist(rows[at : at + 5000], _RECORDS)
+
+        for batch in batches:
+            for shard, n, docs, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "n_tokens", "docs", "ids")), strict=True):
+                if shard != now:
+                    if out is not None:
+                        yield from done()
+                    now, rows, name = shard, [], f"shard-{shard:08d}-{uuid.uuid4().hex}"
+                    system.create_dir(root)
+                    out, path = system.open_output_stream(f"{root}/{name}"), f"{folder}/{name}"
+                out.write(ids)
+                rows.append({"shard": shard, "record": len(rows), "path": path, "n_tokens": n, "docs": docs})
+        if out is not None:
+            yield from done()
 
     return run
 
 
-def materialise(df: DataFrame, tokens: Column, width: int, doc_id: str = "doc_id", length: int = LENGTH, records: int = RECORDS, key: int = KEY) -> DataFrame:
-    """Writes the shards; shard, first_slot, n_records, stride and path, a row for each of their files.
+def materialise(df: DataFrame, tokens: Column, width: int = WIDTH, end: int = END, doc_id: str = "doc_id", size: Column | None = None, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """Writes the shards; a row for each record: slot, shard, record, path, n_tokens (without filling) and docs.
 
-    ``tokens`` is a binary column of ids of ``width`` bytes each.  A null or empty one makes one sequence of no tokens.  Rows
-    that share an id follow each other by a hash of their tokens; a null id is written as -1 and comes first.  Other columns
-    are not looked at.  An empty table gives no shard.  Tokens are shuffled twice: to their numbers, by id, and to their ranges
-    of slots.  The files lie in a folder of their own below ``spark.checkpoint.dir`` and stay there.
+    ``tokens`` is a binary column of ids of ``width`` bytes each; ``end`` follows every document and fills the last record of a task.  ``size``
+    is a bound of a document's number of ids that is cheap to work out (else they are worked out twice).  ``docs`` tells the documents
+    of a record, from which of its ids on (offset) and where in the record (at).  A null or empty one is its end mark alone.  A null id is null in ``docs``.
+    Rows that share an id are documents of their own; sequences that begin alike go by their ids' checksum, and equal ones in any order.  Other
+    columns are not looked at.  An empty table gives no record.  The files lie in a folder of their own below ``spark.checkpoint.dir``, for whoever
+    asked for them; ``discard`` removes them.
     """
-    # one key, never null, for the join and the window: texts are dealt by it once
-    place = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("place")
-    rows = df.select(place, F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(tokens, F.lit(b"")).alias("tokens"))
-    parts = F.greatest(F.lit(1), F.ceil(F.octet_length("tokens") / (length * width))).cast("bigint")
-    first, n = first_numbers(rows.select("place", parts.alias("n")).groupBy("place").agg(F.sum("n").alias("n")))
-    alike = Window.partitionBy("place").orderBy(F.xxhash64("tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.join(first.hint("merge"), "place").select("doc_id", (F.col("first") + F.coalesce(F.sum(parts).over(alike), F.lit(0))).alias("first"), "tokens")
-    sequences = numbered.mapInArrow(_sequences(n, length, width, records, key), "shard bigint, slot bigint, record binary")
-    p, shards = partitions(df.sparkSession), max(1, -(-n // records))
-    dealt = sequences.repartitionById(p, F.floor(F.col("shard") * p / shards).cast("int")).sortWithinPartitions("shard", "slot")
-    folder = f"{checkpoints(df.sparkSession).sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
-    return cut(dealt.mapInArrow(_write(folder, HEADER.itemsize + length * width), "shard bigint, first_slot bigint, n_records int, stride int, path string"))
-
-
-def _read(width: int, from_slot: int):
-    def run(batches):
+    spark = df.sparkSession
+    bound = F.coalesce(F.octet_length(tokens) / width if size is None else size, F.lit(0)) + 1
+    low, high, most, total = df.agg(F.min(doc_id), F.max(doc_id), F.max(bound).cast("bigint"), F.sum(bound).cast("bigint")).first()
+    low, span, most = low or 0, (high or 0) - (low or 0) + 2, most or 1
+    if span * most >= 1 << 62:
+        raise ValueError("ids and lengths are too far apart to be numbered in 62 bits")
+    p = partitions(spark)
+    shards = max(p, ceil((total or 0) / SHARD_BYTES))
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), tokens.alias("tokens"))
+    sequences = rows.mapInArrow(_pack(low, span, most, shards, p, length, width, end, key), _SEQUENCE_SQL)
+    dealt = sequences.repartitionById(p, "part").sortWithinPartitions("shard", "place", "tie")
+    records = cut(dealt.select("shard", "n_tokens", "docs", "ids").mapInArrow(_write(f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"), _RECORDS_SQL))
+    counts = records.groupBy("shard").agg(F.count("*").alias("n"))  # a row a shard
+    first = counts.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return records.join(F.broadcast(first), "shard").select((F.col("first") + F.col("record")).alias("slot"), "shard", "record", "path", "n_tokens", "docs")
+
+
+def _read(width: int, stride: int):
+    """Adds ``ids`` to rows of records; records that follow each other in a file are read together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = file = None
         for batch in batches:
-            for row in batch.to_pylist():
-                system, path = _filesystem(row["path"])
-                stride = row["stride"]
-                with system.open_input_file(path) as file:
-                    for start in range(max(0, from_slot - row["first_slot"]), row["n_records"], READ):
-                        n = min(READ, row["n_records"] - start)
-                        data = np.frombuffer(file.read_at(n * stride, start * stride), np.uint8).reshape(n, stride)
-                        heads = np.ascontiguousarray(data[:, : HEADER.itemsize]).view(HEADER).ravel()
-                        tokens = [data[i, HEADER.itemsize : HEADER.itemsize + int(h["n_tokens"]) * width].tobytes() for i, h in enumerate(heads)]
-                        at = start + np.arange(n, dtype=np.int64)
-                        columns = [np.full(n, row["shard"]), row["first_slot"] + at, at * stride, heads["doc_id"], heads["part"].astype(np.int64), heads["n_tokens"].astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tokens, pa.binary())], ["shard", "slot", "byte_offset", "doc_id", "part", "n_tokens", "tokens"])
+            for at in range(0, batch.num_rows, READ):
+                part = batch.slice(at, READ)
+                paths, numbers, counts = (part.column(c).to_pylist() for c in ("path", "record", "n_tokens"))
+                ids, i = [], 0
+                while i < len(paths):
+                    j = i + 1
+                    while j < len(paths) and paths[j] == paths[i] and numbers[j] == numbers[j - 1] + 1:
+                        j += 1
+                    if paths[i] != path:
+                        if file is not None:
+                            file.close()
+                        system, place = _filesystem(path := paths[i])
+                        file = system.open_input_file(place)
+                    data = file.read_at((j - i) * stride, numbers[i] * stride)
+                    ids += [data[k * stride : k * stride + counts[i + k] * width] for k in range(j - i)]
+                    i = j
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, "ids"])
+        if file is not None:
+            file.close()
 
     return run
 
 
-def read(shards: DataFrame, width: int, from_slot: int = 0) -> DataFrame:
-    """Records of the shards' files, from a slot on: shard, slot, byte_offset, doc_id, part, n_tokens and tokens.  What lies before is not read."""
-    wanted = shards.filter(F.col("first_slot") + F.col("n_records") > from_slot)
-    fields = "shard bigint, slot bigint, byte_offset bigint, doc_id bigint, part bigint, n_tokens bigint, tokens binary"
-    return wanted.mapInArrow(_read(width, from_slot), fields)
+def read(records: DataFrame, width: int = WIDTH, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
+    """slot, shard, byte_offset, n_tokens, docs and ids (filling left out) from a slot on; what lies before it is not read, nothing is shuffled."""
+    stride = width * length
+    wanted = records.filter(F.col("slot") >= from_slot).select("slot", "shard", "record", "path", "n_tokens", "docs")
+    rows = wanted.mapInArrow(_read(width, stride), f"slot bigint, shard int, record int, path string, n_tokens int, docs {_DOCS}, ids binary")
+    return rows.select("slot", "shard", (F.col("record").cast("bigint") * stride).alias("byte_offset"), "n_tokens", "docs", "ids")
+
+
+def discard(records: DataFrame) -> None:
+    """Removes the files of shards, and what repeated tasks left beside them."""
+    path = records.select("path").first()  # all lie in one folder
+    if path is not None:
+        system, folder = _filesystem(path[0].rpartition("/")[0])
+        system.delete_dir(folder)
