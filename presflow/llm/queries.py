@@ -48,8 +48,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are those of op1, two bytes each; every record is read back from its shard's file, then the files go."""
-    coded = training_order.encode(documents(spark, sf_dir).select("doc_id", "text"))
-    records = training_order.materialise(coded, F.col("tokens"), size=F.octet_length("text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    records = training_order.materialise(training_order.encode(docs), F.col("tokens"), sizes=docs.select("doc_id", F.octet_length("text").alias("size")))
     back = training_order.read(records)
     told = cut(back.select("slot", "shard", "byte_offset", "n_tokens", F.size("docs").alias("n_docs"), F.get("docs", 0)["doc_id"].alias("doc_id"), F.get("docs", 0)["offset"].alias("from_token"), F.sha2("ids", 256).alias("ids_sha256")))
     training_order.discard(records)

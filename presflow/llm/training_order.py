@@ -168,19 +168,20 @@ def _write(folder: str):
     return run
 
 
-def materialise(df: DataFrame, tokens: Column, width: int = WIDTH, end: int = END, doc_id: str = "doc_id", size: Column | None = None, length: int = LENGTH, key: int = KEY) -> DataFrame:
+def materialise(df: DataFrame, tokens: Column, width: int = WIDTH, end: int = END, doc_id: str = "doc_id", sizes: DataFrame | None = None, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """Writes the shards; a row for each record: slot, shard, record, path, n_tokens (without filling) and docs.
 
-    ``tokens`` is a binary column of ids of ``width`` bytes each; ``end`` follows every document and fills the last record of a task.  ``size``
-    is a bound of a document's number of ids that is cheap to work out (else they are worked out twice).  ``docs`` tells the documents
+    ``tokens`` is a binary column of ids of ``width`` bytes each; ``end`` follows every document and fills the last record of a task.  ``sizes``
+    (doc_id, size) has a bound of each document's number of ids, from a table that is cheap to read (else ids are worked out twice).  ``docs`` tells the documents
     of a record, from which of its ids on (offset) and where in the record (at).  A null or empty one is its end mark alone.  A null id is null in ``docs``.
     Rows that share an id are documents of their own; sequences that begin alike go by their ids' checksum, and equal ones in any order.  Other
     columns are not looked at.  An empty table gives no record.  The files lie in a folder of their own below ``spark.checkpoint.dir``, for whoever
     asked for them; ``discard`` removes them.
     """
     spark = df.sparkSession
-    bound = F.coalesce(F.octet_length(tokens) / width if size is None else size, F.lit(0)) + 1
-    low, high, most, total = df.agg(F.min(doc_id), F.max(doc_id), F.max(bound).cast("bigint"), F.sum(bound).cast("bigint")).first()
+    known = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(tokens) / width).alias("size")) if sizes is None else sizes
+    bound = F.coalesce("size", F.lit(0)) + 1
+    low, high, most, total = known.agg(F.min("doc_id"), F.max("doc_id"), F.max(bound).cast("bigint"), F.sum(bound).cast("bigint")).first()
     low, span, most = low or 0, (high or 0) - (low or 0) + 2, most or 1
     if span * most >= 1 << 62:
         raise ValueError("ids and lengths are too far apart to be numbered in 62 bits")
