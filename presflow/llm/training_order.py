@@ -21,7 +21,6 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -63,8 +62,8 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 _encoders: dict[tuple[str, str], tiktoken.Encoding] = {}
-#: A piece that the library would take long for; such texts are encoded by the segment tree.
-_LONG = regex.compile(r"\S{4000}|\s{4000}")
+#: A piece of so many characters is one that the library would take long for; its text is encoded by the segment tree.
+_LONG = 4000
 
 
 def _encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
@@ -75,8 +74,15 @@ def _encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
     return _encoders[ranks, pattern]
 
 
+def _long(text: str) -> bool:
+    """Whether a piece may be that long: it would fill a stretch of half its length, with no space in it or nothing else."""
+    half = _LONG // 2
+    stretches = (text[i : i + half] for i in range(0, len(text) - half + 1, half))
+    return any(s.isspace() if s[0].isspace() else " " not in s for s in stretches)
+
+
 def _packed(text: str, ranks: str, pattern: str) -> bytes:
-    if _LONG.search(text) is None:
+    if not _long(text):
         return _encoder(ranks, pattern).encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
     return np.frombuffer(bpe.Codec.of(ranks, pattern).encode(text), "<u4").astype("<u2").tobytes()
 
