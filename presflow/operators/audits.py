@@ -21,7 +21,10 @@ def cross_contamination(frames: DataFrame, centres: DataFrame, margin: float) ->
 
 
 def contamination_spans(hits: DataFrame, least: int) -> DataFrame:
-    """Runs of consecutive contaminated frames of a cluster with the action they call for: split_to_X if one cluster takes most of the run, else flag."""
+    """Runs of consecutive contaminated frames of a cluster with the action they call for.
+
+    split_to_X if all of the run's frames that have another cluster have the same, X; split_to_unknown if none has one; else flag.
+    """
     w = Window.partitionBy("cluster_id").orderBy("at")
     placed = hits.withColumn("run", F.col("at") - F.row_number().over(w))
     rows = placed.groupBy("cluster_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n"), F.avg("strength").alias("strength"), F.min("other").alias("low"), F.max("other").alias("high"))

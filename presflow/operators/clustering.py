@@ -203,12 +203,40 @@ class ReclusterParams:
     frame_margin: float = 0.08
 
 
-def recluster(detections: DataFrame, refs: DataFrame, bank: DataFrame, suppressed: DataFrame, links: DataFrame, quality: Column, p: ReclusterParams = ReclusterParams()) -> dict[str, DataFrame]:
-    """An episode clustered anew: members (cluster_id, track_id, name), samples, and figures of tracks, clusters and persons.
+def _linked(named: DataFrame, members: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Must links and cannot links (a, b) between tracks, from clusters named by hand (cluster_id, track_id, name, confidence and maybe centroid) and kept ones.
 
-    References to tracks, without suppressed ones (track_id), join detections; faces that pass, the best of each track by ``quality``, give
-    the tracks' centroids; these are clustered by density, and must and cannot links (kind, a, b) are enforced; clusters are named by the
-    bank (identity, proto_id, embedding) where it is sure, and clusters of one name joined where they are alike; last, confidence is rolled up.
+    Tracks of one such cluster must stay together, and so must clusters of one name (see ``consolidate``).  Of different names, only those tracks are
+    listed that ``members`` (cluster_id, track_id) puts together: each with one of another name, so that all who violate a constraint are in a pair.
+    """
+    stars = graphs.must_cannot(named).filter("kind = 'must'").select("a", "b")
+    kept = links.filter("kind = 'must'").select("a", "b")
+    cannot = links.filter("kind = 'cannot'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # two clusters of a name are kept apart only where every pair of their tracks is
+    at = lambda c, of: named.select(F.col("track_id").alias(c), F.col("cluster_id").alias(of))
+    size = lambda of: named.groupBy(F.col("cluster_id").alias(of)).agg(F.count("*").alias(f"n_{of}"))
+    apart = cannot.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).count()
+    apart = apart.join(size("x"), "x").join(size("y"), "y").filter("count = n_x * n_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    centre = F.first("centroid").alias("centroid") if "centroid" in named.columns else F.lit(None).cast("array<double>").alias("centroid")
+    old = named.groupBy("cluster_id", "name", "confidence").agg(centre, F.min("track_id").alias("track_id"))
+    first = lambda of, c: old.select(F.col("cluster_id").alias(of), F.col("track_id").alias(c))
+    ties = consolidate(old, least, apart).join(first("cluster_id", "a"), "cluster_id").join(first("target", "b"), "target").select("a", "b")
+    # of a track that is in several clusters, the last name holds
+    by_hand = graphs.by_hand(named).groupBy("track_id").agg(F.max_by("name", "cluster_id").alias("name"))
+    held = members.select("cluster_id", "track_id").join(by_hand, "track_id")
+    two = held.groupBy("cluster_id").agg(F.min(F.struct("name", "track_id")).alias("p"), F.max(F.struct("name", F.col("track_id"))).alias("q")).filter("p.name <> q.name")
+    met = held.join(two, "cluster_id").select(F.col("track_id").alias("a"), F.when(F.col("name") == F.col("p.name"), F.col("q.track_id")).otherwise(F.col("p.track_id")).alias("b"))
+    return stars.unionByName(kept).unionByName(ties), cannot.unionByName(met)
+
+
+def recluster(detections: DataFrame, refs: DataFrame, bank: DataFrame, suppressed: DataFrame, links: DataFrame, quality: Column, p: ReclusterParams = ReclusterParams(), named: DataFrame | None = None) -> dict[str, DataFrame]:
+    """An episode clustered anew: members (cluster_id, track_id, name), samples, and figures of clusters (``figures``), tracks, clusters and persons.
+
+    References to tracks, without suppressed ones (track_id), join detections; faces that pass, the best of each track by ``quality``, give the
+    tracks' centroids, and these are clustered by density; noise is in no cluster.  Links are those of ``links`` (kind, a, b) and of clusters that were
+    named by hand before (``named``: cluster_id, track_id, name, confidence, maybe centroid).  First, tracks that must not be together leave their cluster for a new
+    one; then clusters that must links tie become one.  A cluster's centroid is the mean of all its sampled faces; one that left another has that one's,
+    one that was tied the mean of its parts'.  By it the bank (identity, proto_id, embedding) names clusters where it is sure.  Last, confidence is rolled up.
     """
     from .assembly import of_tracks
 
@@ -219,24 +247,22 @@ def recluster(detections: DataFrame, refs: DataFrame, bank: DataFrame, suppresse
     tracks = centroid(samples, ["track_id"]).checkpoint()
     rows = tracks.select(F.col("track_id").alias("vec_id"), F.col("centroid").alias("embedding"))
     eps = p.eps if p.eps is not None else chosen_eps(rows, p.sweep)[0]
-    labels = dbscan(rows, eps, p.sweep.least, components)
-    # tracks that are noise are clusters of their own, behind the others
-    top = labels.agg(F.max("cluster").alias("_top"))
-    alone = V.numbered(labels.filter("cluster < 0").select("vec_id"), "vec_id", "_nth").crossJoin(F.broadcast(top)).select((F.col("_top") + 1 + F.col("_nth")).alias("cluster_id"), F.col("vec_id").alias("track_id"))
-    members = labels.filter("cluster >= 0").select(F.col("cluster").alias("cluster_id"), F.col("vec_id").alias("track_id")).unionByName(alone).withColumn("name", F.lit(None).cast("string"))
-    must, cannot = (links.filter(F.col("kind") == kind).select("a", "b") for kind in ("must", "cannot"))
-    members = enforce_must(members, components(must)).checkpoint()
-    members = graphs.enforce_cannot(members, cannot).checkpoint()
-    centres = lambda m: centroid(m.join(tracks.select("track_id", F.col("centroid").alias("embedding")), "track_id"), ["cluster_id"])
-    best = V.best_two(V.identity_sims(centres(members), bank.withColumn("embedding", l2_normalise("embedding")), ["cluster_id"], "centroid"), ["cluster_id"], "label")
-    named = V.open_set(best, p.open_sim, p.open_margin).select("cluster_id", F.when(F.col("assigned") != "unknown", F.col("assigned")).alias("name"))
-    members = members.select("cluster_id", "track_id").join(named, "cluster_id", "left").checkpoint()
-    clusters = centres(members).join(members.select("cluster_id", "name").distinct(), "cluster_id").withColumn("confidence", F.lit(1.0))
-    at = members.select("track_id", "cluster_id")
-    apart = cannot.join(at.withColumnRenamed("track_id", "a").withColumnRenamed("cluster_id", "x"), "a").join(at.withColumnRenamed("track_id", "b").withColumnRenamed("cluster_id", "y"), "b")
-    joins = consolidate(clusters, p.same_name, apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    members = members.join(joins, "cluster_id", "left").select(F.coalesce("target", "cluster_id").alias("cluster_id"), "track_id", "name").checkpoint()
-    frames = samples.drop("identity", "cluster_id").join(members, "track_id").withColumnRenamed("name", "identity").join(centres(members).select("cluster_id", "centroid"), "cluster_id")
+    labels = dbscan(rows, eps, p.sweep.least, components).checkpoint()
+    dense = labels.filter("cluster >= 0").select(F.col("cluster").alias("cluster_id"), F.col("vec_id").alias("track_id"), F.lit(None).cast("string").alias("name"))
+    none = detections.sparkSession.createDataFrame([], "cluster_id bigint, track_id bigint, name string, confidence double")
+    must, cannot = _linked(none if named is None else named, dense, links, p.same_name)
+    parted = graphs.enforce_cannot(dense, cannot).checkpoint()
+    tied = enforce_must(parted, components(must)).checkpoint()
+    faces = samples.select("track_id", "embedding").join(dense.select("cluster_id", "track_id"), "track_id").select("cluster_id", F.posexplode("embedding").alias("_at", "_x"))
+    means = faces.groupBy("cluster_id", "_at").agg(F.avg("_x").alias("_m")).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("_at", "_m"))).alias("_v")).select(F.col("cluster_id").alias("_from"), F.col("_v._m").alias("embedding"))
+    of = lambda m, c: m.select("track_id", F.col("cluster_id").alias(c))
+    parts = of(tied, "cluster_id").join(of(parted, "_part"), "track_id").join(of(dense, "_from"), "track_id").select("cluster_id", "_part", "_from").distinct()
+    centres = centroid(parts.join(means, "_from"), ["cluster_id"]).select("cluster_id", "centroid").checkpoint()
+    best = V.best_two(V.identity_sims(centres, bank.withColumn("embedding", l2_normalise("embedding")), ["cluster_id"], "centroid"), ["cluster_id"], "label")
+    sure = V.open_set(best, p.open_sim, p.open_margin).select("cluster_id", F.when(F.col("assigned") != "unknown", F.col("assigned")).alias("name"))
+    members = tied.select("cluster_id", "track_id").join(sure, "cluster_id", "left").checkpoint()
+    frames = samples.drop("identity", "cluster_id").join(members, "track_id").withColumnRenamed("name", "identity").join(centres, "cluster_id")
     scored = V.frame_confidence(frames, bank, p.frame_low, p.frame_margin).join(samples.select("vec_id", "track_id", "quality"), "vec_id").checkpoint()
     metrics = V.track_confidence(members.select("track_id"), scored)
-    return {"members": members, "samples": scored, "tracks": metrics, "clusters": V.cluster_confidence(members, metrics, tracks), "persons": V.person_confidence(members, metrics)}
+    figures = cluster_figures(rows.join(labels.withColumnRenamed("cluster", "label"), "vec_id"))
+    return {"members": members, "samples": scored, "centres": centres, "figures": figures, "tracks": metrics, "clusters": V.cluster_confidence(members, metrics, tracks), "persons": V.person_confidence(members, metrics)}

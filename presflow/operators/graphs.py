@@ -26,6 +26,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def components_after(labels: DataFrame, edges: DataFrame, new: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """The labels (node, component) after links ``new`` (a, b) have come and ``lost`` ones have gone; ``edges`` are all links before.
+
+    Only what is touched is worked out again: components that lost a link from their own remaining links, and then the new links between
+    components, which are contracted to one node each.  Nodes whose component stays keep their row as it is; a component's name is its smallest node.
+    """
+    checkpoints(labels.sparkSession)
+    both = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    new, at = both(new), lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    if lost is not None:
+        gone = both(lost).join(both(edges), ["a", "b"], "left_semi").join(new, ["a", "b"], "left_anti").checkpoint()
+        hurt = gone.join(at("a"), "a").select(F.col("_a").alias("component")).distinct().checkpoint()
+        inside = both(edges).join(gone, ["a", "b"], "left_anti").join(at("a"), "a").join(hurt.withColumnRenamed("component", "_a"), "_a", "left_semi").select("a", "b")
+        again = components(inside).checkpoint()
+        parts = labels.join(hurt, "component", "left_semi").select("node").join(again, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        labels = labels.join(hurt, "component", "left_anti").select("node", "component").unionByName(parts).checkpoint()
+    fresh = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = labels.select("node", "component").unionByName(fresh).checkpoint()
+    between = new.join(at("a"), "a").join(at("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).checkpoint()
+    if between.isEmpty():
+        return labels
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+
 def first_independent(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The nodes that stay if they are gone through in order and one goes if it is in conflict with one that stays.
 
@@ -51,24 +76,25 @@ def must_cannot(named: DataFrame) -> DataFrame:
     Tracks of one such cluster must stay together, tracks of different names must not.  Links are between classes: a cluster's tracks are
     tied to its smallest one, and a name's smallest track stands for all of the name; ``expanded`` gives the pairs of tracks that are asked for.
     """
-    by_hand = _by_hand(named)
-    first = by_hand.groupBy("cluster_id").agg(F.min("track_id").alias("a"))
-    must = by_hand.join(first, "cluster_id").filter("track_id > a").select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
-    names = by_hand.groupBy("name").agg(F.min("track_id").alias("a"))
+    own = by_hand(named)
+    first = own.groupBy("cluster_id").agg(F.min("track_id").alias("a"))
+    must = own.join(first, "cluster_id").filter("track_id > a").select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
+    names = own.groupBy("name").agg(F.min("track_id").alias("a"))
     cannot = against(names.select("a"), names.select(F.col("a").alias("b"))).filter("a < b")  # names: those that people gave
     return must.unionByName(cannot.select(F.lit("cannot").alias("kind"), "a", "b")).distinct()
 
 
-def _by_hand(named: DataFrame) -> DataFrame:
-    return named.filter(F.col("name").isNotNull() & (F.col("confidence").isNull() | (F.col("confidence") == 1.0)))
+def by_hand(named: DataFrame) -> DataFrame:
+    """Rows of clusters that a person gave a name."""
+    return named.filter(F.col("name").isNotNull() & (F.col("name") != "Unknown") & (F.col("confidence").isNull() | (F.col("confidence") == 1.0)))
 
 
 def expanded(named: DataFrame, asked: DataFrame) -> DataFrame:
     """kind, a, b: every pair that a track of ``asked`` (track_id) has in the constraints of ``must_cannot``; as many rows as asked tracks times tracks."""
-    by_hand = _by_hand(named).select("track_id", "cluster_id", "name")
-    some = by_hand.join(asked, "track_id", "left_semi").select(F.col("track_id").alias("a"), F.col("cluster_id").alias("c"), F.col("name").alias("n"))
-    must = some.join(by_hand, (F.col("c") == F.col("cluster_id")) & (F.col("a") != F.col("track_id"))).select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
-    cannot = against(by_hand, some).filter("n <> name").select(F.lit("cannot").alias("kind"), "a", F.col("track_id").alias("b"))
+    own = by_hand(named).select("track_id", "cluster_id", "name")
+    some = own.join(asked, "track_id", "left_semi").select(F.col("track_id").alias("a"), F.col("cluster_id").alias("c"), F.col("name").alias("n"))
+    must = some.join(own, (F.col("c") == F.col("cluster_id")) & (F.col("a") != F.col("track_id"))).select(F.lit("must").alias("kind"), "a", F.col("track_id").alias("b"))
+    cannot = against(own, some).filter("n <> name").select(F.lit("cannot").alias("kind"), "a", F.col("track_id").alias("b"))
     return must.unionByName(cannot).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -23,8 +23,8 @@ class TrackerParams:
     match: float = 0.8
     iou_weight: float = 0.4
     buffer: int = 30
-    #: Lost tracks never age, and tracks that a scene ends or that stay lost have no rows in the result, as in the tracker whose results
-    #: this reproduces.  Otherwise tracks end after ``buffer`` frames, and all are in the result.
+    #: Lost tracks never age, and tracks that a scene ends before the last frame have no rows in the result, as in the tracker whose results
+    #: this reproduces; it takes ended tracks away as the next frame comes.  Otherwise tracks end after ``buffer`` frames, and all are in the result.
     compat: bool = False
     #: Assignment of least total cost, or each track in turn its cheapest.
     greedy: bool = False
@@ -144,15 +144,16 @@ def track(df: DataFrame, params: TrackerParams = TrackerParams(), episode: str =
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(params), []
+        tracker, out, gone = Tracker(params), [], set()
         for frame, rows in pdf.sort_values(["frame_id", "det_idx"]).groupby("frame_id", sort=True):
+            gone = set(tracker.dropped)  # what has ended before the frame
             boxes, vectors = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), np.array(rows["embedding"].tolist(), float)
             ids = tracker.update(frame, boxes, vectors, rows["conf"].to_numpy())
             out += [(rows[episode].iloc[0], frame, rows["det_idx"].iloc[i], t) for i, t in sorted(ids.items())]
             if scene_end and rows[scene_end].any():
                 tracker.cut()
         if params.compat:
-            out = [row for row in out if row[3] not in tracker.dropped]
+            out = [row for row in out if row[3] not in gone]
         return pd.DataFrame(out, columns=[episode, "frame_id", "det_idx", "track_id"])
 
     kind = df.schema[episode].dataType.simpleString()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import versions
+
 TRACKS_SCHEMA = (
     "tracks array<struct<track_id:bigint,start_ms:bigint,end_ms:bigint,duration_ms:bigint,count:int,stitch_score:double,mean_confidence:double,global_id:string,person_name:string,"
     "frame_refs:array<struct<frame_id:bigint,det_idx:int,bbox:array<int>,confidence:double,ts_ms:bigint,global_id:string>>>>"
@@ -131,6 +133,5 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def label_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """Vectors (label, embedding) and figures (label, centroid, count, mean_dist, m2) of a stored index; None if there is none."""
-    if not exists(spark, f"{path}/vectors"):
-        return None
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/labels")
+    number = versions.latest(spark, path)
+    return (versions.table(spark, path, "vectors", number), versions.table(spark, path, "labels", number)) if number else None

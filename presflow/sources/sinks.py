@@ -7,6 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -28,7 +30,8 @@ def append_lines(df: DataFrame, path: str) -> None:
 def replace(df: DataFrame, path: str) -> None:
     """Writes beside the target, then renames: ``df`` may read from the target, and a failed rename puts the old table back.
 
-    A crash between the renames leaves the old table under its other name: ``restored`` puts it back.
+    For tables that others read by their path while they are replaced; between the renames there is none, and a crash there leaves the old one under
+    its other name: ``restored`` puts it back.  ``versions.commit`` has no such moment.
     """
     spark = df.sparkSession
     staged, old = f"{path}.{uuid4().hex}.new", f"{path}.{uuid4().hex}.old"
@@ -53,11 +56,12 @@ def replace(df: DataFrame, path: str) -> None:
 
 
 def restored(spark: SparkSession, path: str) -> bool:
-    """Puts a table back that a crash in ``replace`` left under its other name; whether there was one."""
+    """Puts the newest table back that a crash in ``replace`` left under its other name; whether there was one."""
     as_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     left = fs.globStatus(as_path(f"{path}.*.old"))
-    return not fs.exists(as_path(path)) and bool(left) and fs.rename(left[-1].getPath(), as_path(path))
+    newest = max(left, key=lambda f: f.getModificationTime(), default=None)
+    return not fs.exists(as_path(path)) and newest is not None and fs.rename(newest.getPath(), as_path(path))
 
 
 #: Rows that a sheet of a workbook holds.
@@ -91,9 +95,8 @@ def report(summary: DataFrame, timeline: DataFrame, metadata: DataFrame, path: s
 
 
 def label_index(vectors: DataFrame, labels: DataFrame, path: str) -> None:
-    """Stores an index: vectors (label, embedding) and figures (label, centroid, count, mean_dist, m2)."""
-    replace(vectors, f"{path}/vectors")
-    replace(labels, f"{path}/labels")
+    """Stores an index: vectors (label, embedding) and figures (label, centroid, count, mean_dist, m2), which change together."""
+    versions.commit({"vectors": vectors, "labels": labels}, path)
 
 
 def with_hash(df: DataFrame, *columns: str, length: int = 12) -> DataFrame:
