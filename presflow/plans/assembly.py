@@ -197,10 +197,10 @@ def mended_tracks(spark, sf_dir):
     return A.mended(track_docs(spark, sf_dir), references(spark, sf_dir), found).withColumn("mean_confidence", F.round("mean_confidence", 9))
 
 
-@query(f"WITH {TRACKS}, a AS (SELECT * FROM tracks WHERE conf >= 0.9) SELECT a.track_id, b.track_id AS next_id, b.start_ms - a.end_ms AS gap FROM a JOIN a b ON b.start_ms - a.end_ms BETWEEN 0 AND 200 AND a.track_id <> b.track_id")
+@query(f"WITH {TRACKS} SELECT a.track_id, b.track_id AS next_id, b.start_ms - a.end_ms AS gap FROM tracks a JOIN tracks b ON b.start_ms - a.end_ms BETWEEN 0 AND 100 AND a.track_id <> b.track_id")
 def adjacent_tracks(spark, sf_dir):
-    rows = tracks(spark, sf_dir).filter("conf >= 0.9").select("track_id", "start_ms", "end_ms")
-    return I.adjacent(rows, rows, 200, 2_000)
+    rows = tracks(spark, sf_dir).select("track_id", "start_ms", "end_ms")
+    return I.adjacent(rows, rows, 100, 2_000)
 
 
 @query(

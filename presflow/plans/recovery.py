@@ -98,13 +98,13 @@ def verified_faces(spark, sf_dir):
 
 
 SEED = f"""{DETECTIONS}, {BANK}, seed AS (SELECT {UNIT.format(v='embedding')} AS s FROM det WHERE vec_id = 8), u AS (SELECT vec_id, frame_id, track_id, {UNIT.format(v='embedding')} AS u FROM det),
- acc AS (SELECT u.vec_id, u.frame_id * 40 AS ts_ms, u.u, list_dot_product(u.u, s) AS sim, greatest(-1, (SELECT max(list_dot_product(u.u, embedding)) FROM bank)) AS other FROM u, seed WHERE vec_id < 200), ok AS (SELECT * FROM acc WHERE sim >= 0.1 AND sim - other >= -0.2)"""
+ acc AS (SELECT u.vec_id, u.frame_id * 40 AS ts_ms, u.u, list_dot_product(u.u, s) AS sim, greatest(-1, (SELECT max(list_dot_product(u.u, embedding)) FROM bank)) AS other FROM u, seed), ok AS (SELECT * FROM acc WHERE sim >= 0.1 AND sim - other >= -0.2)"""
 
 
 def _entrance(spark, sf_dir):
     faces = detections(spark, sf_dir)
     seed = faces.filter("vec_id = 8").select(F.col("embedding").alias("seed"))
-    return R.entrance_accepted(faces.filter("vec_id < 200"), seed, bank(spark, sf_dir), 0.1, -0.2)
+    return R.entrance_accepted(faces, seed, bank(spark, sf_dir), 0.1, -0.2)
 
 
 @query(f"WITH {SEED} SELECT vec_id, round(sim, 6) AS sim, round(other, 6) AS other FROM ok")
@@ -113,7 +113,7 @@ def entrance_accepted(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SEED}, st AS (SELECT track_id, min(frame_id) * 40 + 1200 AS start_ms FROM det GROUP BY 1), near AS (SELECT track_id, start_ms - (SELECT max(ts_ms) FROM ok) AS gap FROM st WHERE gap BETWEEN 0 AND 100000),
+    f"""WITH {SEED}, st AS (SELECT track_id, min(frame_id) * 40 + 24000 AS start_ms FROM det GROUP BY 1), near AS (SELECT track_id, start_ms - (SELECT max(ts_ms) FROM ok) AS gap FROM st WHERE gap BETWEEN 0 AND 100000),
  p AS (SELECT near.track_id, gap, list_dot_product(ok.u, u.u) AS s, row_number() OVER (PARTITION BY near.track_id ORDER BY list_dot_product(ok.u, u.u) DESC) AS k FROM near JOIN u USING (track_id), ok),
  m AS (SELECT track_id, gap, avg(s) AS sim FROM p WHERE k <= 5 GROUP BY 1, 2), b AS (SELECT * FROM m WHERE sim > 0 ORDER BY sim DESC, track_id LIMIT 1)
  SELECT track_id AS target, round(sim, 6) AS sim, gap, coalesce(sim >= 0.2, false) AS success FROM (SELECT 1 AS one) LEFT JOIN b ON true"""
@@ -121,7 +121,7 @@ def entrance_accepted(spark, sf_dir):
 def entrance_bridge(spark, sf_dir):
     faces = detections(spark, sf_dir).select("track_id", "vec_id", "frame_id", V.l2_normalise("embedding").alias("u"))
     entrance = faces.join(_entrance(spark, sf_dir).select("vec_id"), "vec_id").select("vec_id", (F.col("frame_id") * 40).alias("ts_ms"), "u")
-    starts = faces.groupBy("track_id").agg((F.min("frame_id") * 40 + 1200).alias("start_ms"))
+    starts = faces.groupBy("track_id").agg((F.min("frame_id") * 40 + 24_000).alias("start_ms"))
     return R.bridge(entrance, starts, faces, 100_000, 5, 0.2).withColumn("sim", F.round("sim", 6))
 
 

@@ -132,12 +132,12 @@ def frame_flags(spark, sf_dir):
     return S.frame_flags(frames, ["span"])
 
 
-REFS = f"{TRACK_DOCS}, five AS (SELECT * FROM refs WHERE track_id < 10 OR track_id = 40), mm AS (SELECT i % 4 AS cluster_id, i AS track_id, 'N' || (i % 4) AS name, 1.0::DOUBLE AS confidence, 0.25::DOUBLE AS quality FROM range(0, 41) t(i) WHERE i < 10 OR i = 40)"
+REFS = f"{TRACK_DOCS}, mm AS (SELECT i % 4 AS cluster_id, i AS track_id, 'N' || (i % 4) AS name, 1.0::DOUBLE AS confidence, 0.25::DOUBLE AS quality FROM range(0, 45) t(i))"
 
 
-def _five(spark, sf_dir):
-    refs = references(spark, sf_dir).filter("track_id < 10 or track_id = 40")
-    docs = track_docs(spark, sf_dir).filter("track_id < 10 or track_id = 40").select("track_id", "start_ms", "end_ms", "count")
+def _tracks_of_refs(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    docs = track_docs(spark, sf_dir).select("track_id", "start_ms", "end_ms", "count")
     rows = docs.select((F.col("track_id") % 4).alias("cluster_id"), "track_id", F.format_string("N%d", F.col("track_id") % 4).alias("name"), F.lit(1.0).alias("confidence"), F.lit(0.25).alias("quality"))
     return rows, docs, refs
 
@@ -152,25 +152,25 @@ def _parts(rows, docs, refs):
     )
 
 
-@query(f"WITH {REFS} SELECT track_id, frame_id, det_idx FROM five WHERE NOT (track_id = 4 AND frame_id = 11)")
+@query(f"WITH {REFS} SELECT track_id, frame_id, det_idx FROM refs WHERE NOT (track_id = 4 AND frame_id = 11)")
 def delete_frame(spark, sf_dir):
-    return M.delete_frame(_five(spark, sf_dir)[2], 4, 11).select("track_id", "frame_id", "det_idx")
+    return M.delete_frame(_tracks_of_refs(spark, sf_dir)[2], 4, 11).select("track_id", "frame_id", "det_idx")
 
 
 @query(
-    f"""WITH {REFS} SELECT 'member' AS kind, track_id, cluster_id AS a, NULL::BIGINT AS b FROM mm UNION ALL SELECT 'member', 41, 3, NULL UNION ALL SELECT 'track', track_id, start_ms, end_ms FROM docs WHERE track_id < 10 OR track_id = 40
- UNION ALL SELECT 'track', 41, start_ms, end_ms FROM docs WHERE track_id = 4 UNION ALL SELECT 'ref', CASE WHEN track_id = 4 AND frame_id = 11 THEN 41 ELSE track_id END, frame_id, det_idx FROM five"""
+    f"""WITH {REFS} SELECT 'member' AS kind, track_id, cluster_id AS a, NULL::BIGINT AS b FROM mm UNION ALL SELECT 'member', 45, 3, NULL UNION ALL SELECT 'track', track_id, start_ms, end_ms FROM docs
+ UNION ALL SELECT 'track', 45, start_ms, end_ms FROM docs WHERE track_id = 4 UNION ALL SELECT 'ref', CASE WHEN track_id = 4 AND frame_id = 11 THEN 45 ELSE track_id END, frame_id, det_idx FROM refs"""
 )
 def move_frame(spark, sf_dir):
-    return _parts(*M.move_frame(*_five(spark, sf_dir), 4, 11, 3))
+    return _parts(*M.move_frame(*_tracks_of_refs(spark, sf_dir), 4, 11, 3))
 
 
 @query(
-    f"""WITH {REFS}, took AS (SELECT * FROM five WHERE track_id = 4 AND frame_id IN (1, 11, 21)) SELECT 'member' AS kind, track_id, cluster_id AS a, NULL::BIGINT AS b FROM mm UNION ALL SELECT 'member', 41, 2, NULL UNION ALL SELECT 'track', track_id, start_ms, end_ms FROM docs WHERE track_id < 10 OR track_id = 40
- UNION ALL SELECT 'track', 41, min(frame_id) * 40, max(frame_id) * 40 FROM took UNION ALL SELECT 'ref', CASE WHEN track_id = 4 AND frame_id IN (1, 11, 21) THEN 41 ELSE track_id END, frame_id, det_idx FROM five"""
+    f"""WITH {REFS}, took AS (SELECT * FROM refs WHERE track_id = 4 AND frame_id IN (1, 11, 21)) SELECT 'member' AS kind, track_id, cluster_id AS a, NULL::BIGINT AS b FROM mm UNION ALL SELECT 'member', 45, 2, NULL UNION ALL SELECT 'track', track_id, start_ms, end_ms FROM docs
+ UNION ALL SELECT 'track', 45, min(frame_id) * 40, max(frame_id) * 40 FROM took UNION ALL SELECT 'ref', CASE WHEN track_id = 4 AND frame_id IN (1, 11, 21) THEN 45 ELSE track_id END, frame_id, det_idx FROM refs"""
 )
 def split_frames(spark, sf_dir):
-    rows, docs, refs = _five(spark, sf_dir)
+    rows, docs, refs = _tracks_of_refs(spark, sf_dir)
     return _parts(*M.split_frames(rows, docs, refs.withColumn("ts_ms", F.col("frame_id") * 40), 4, [1, 11, 21], "N2"))
 
 
