@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-Each conversation becomes windows of whole turns.  Prefix sums of the turns' token counts choose how far a window goes: it
+Each conversation becomes windows of whole turns.  Prefix sums of the turns' token counts, as they are formatted, choose how far a window goes: it
 opens with the system turn (if the conversation starts with one), repeats as much of the latest history as a share of the
 budget allows, and goes on with new turns while they fit.  Each turn is new in exactly one window; there, an assistant's
 text is a target.  In repeated history it is masked.
@@ -133,12 +133,13 @@ def _format(budget: int, share: float, ranks: str):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 turns = part.to_pylist()
-                for turn, packed in zip(turns, codec.encode_many([t["text"] for t in turns]), strict=True):
+                # marks, names and escapes count; where two turns meet, their ends may be cut up otherwise, for which each has one more
+                for turn, packed in zip(turns, codec.encode_many([write_turn(t["role"], t["text"])[0] for t in turns]), strict=True):
                     if open_ is None or open_.conv_id != turn["conv_id"]:
                         if open_ is not None:
                             yield from open_.end()
                         open_ = _Windows(turn["conv_id"], budget, share)
-                    yield from open_.give(turn["role"], turn["text"], len(packed) // 4)
+                    yield from open_.give(turn["role"], turn["text"], len(packed) // 4 + 1)
         if open_ is not None:
             yield from open_.end()
 
@@ -146,7 +147,7 @@ def _format(budget: int, share: float, ranks: str):
 
 
 def format_windows(df: DataFrame, budget: int = BUDGET, history_share: float = HISTORY_SHARE, ranks: str = bpe.RANKS, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, window, formatted, n_repeated (turns at the front that are masked), loss_spans (code points) and n_tokens.
+    """conv_id, window, formatted, n_repeated (turns at the front that are masked), loss_spans (code points) and n_tokens (a bound of the formatted window's tokens).
 
     Turns go by turn number, then role, then text (a null number first); repeated rows are turns of their own.  A null text
     or role is an empty one; rows with a null conv_id belong to one conversation with that id.  A turn longer than the budget gets a

@@ -5,7 +5,7 @@ from hashlib import sha256
 
 import pytest
 
-from presflow.llm import chat
+from presflow.llm import bpe, chat
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 PARTS = ["[INST] ", " [/INST]", "<a>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE x]", "[/ROLE]", "\\", "]", "<", "[", "a", " word", "\n", "é", ""]
@@ -43,6 +43,9 @@ def test_windows_read_back(spark, budget):
     windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=budget)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
     assert got == {conv: expected(turns) for conv, turns in by_conv.items()}
+    codec = bpe.Codec.of(bpe.RANKS, bpe.PATTERN)
+    for w in windows.collect():
+        assert len(codec.encode(w.formatted)) // 4 <= w.n_tokens
     if budget == 20:
         for w in windows.collect():
             new = [t for i, t in enumerate(chat.read_turns(w.formatted)) if i >= w.n_repeated]
@@ -60,6 +63,14 @@ def test_history_is_repeated_and_masked(spark):
         assert spans == {(a, b) for i, (role, _, a, b) in enumerate(turns) if role == "assistant" and i >= w.n_repeated}
 
 
+def test_marks_count(spark):
+    """Many turns of one word: what is formatted fits into the budget, not only the words."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "ok") for i in range(400)] + [(2, i, "a role with a long name", "\\[INST] ]") for i in range(60)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), budget=100).collect()
+    codec = bpe.Codec.of(bpe.RANKS, bpe.PATTERN)
+    assert len(windows) > 20 and max(len(codec.encode(w.formatted)) // 4 for w in windows) <= 100
+
+
 def test_empty_nulls_and_clashing_columns(spark):
     assert chat.format_windows(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, None, None, None, "x", 3), (1, None, None, None, "x", 3), (None, 1, "assistant", "hi", "y", 4)]
