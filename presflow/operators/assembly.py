@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import box, iou
+from .tracking import both_ways, stitch
+from .vectors import box, iou, numbered, whole
 
 
 def references(tracks: DataFrame) -> DataFrame:
@@ -174,11 +175,17 @@ def integrated(tracks: DataFrame, members: DataFrame, tracklets: DataFrame, clus
     person's first cluster (person, cluster_id); tracklets of persons without one are left out."""
     first = cluster_of.groupBy("person").agg(F.min("cluster_id").alias("cluster_id"))
     top = tracks.agg(F.coalesce(F.max("track_id"), F.lit(-1)).alias("_top"))
-    nth = F.row_number().over(Window.orderBy("start_ms", "end_ms", "person"))  # tracklets found in gaps: a few an episode
-    new = tracklets.join(first, "person").withColumn("_nth", nth).crossJoin(F.broadcast(top)).withColumn("track_id", F.col("_top") + F.col("_nth")).drop("_top", "_nth")
+    placed = tracklets.withColumn("_order", F.struct("start_ms", "end_ms", "person", F.xxhash64(*tracklets.columns))).join(first, "person")
+    new = numbered(placed, "_order", "_nth").crossJoin(F.broadcast(top)).withColumn("track_id", F.col("_top") + 1 + F.col("_nth")).drop("_top", "_nth", "_order")
     return appended(tracks, new.drop("cluster_id", "person")), members.unionByName(new.select("cluster_id", "track_id"))
 
 
+def restitched(tracks: DataFrame, members: DataFrame, tracklets: DataFrame, cluster_of: DataFrame, max_gap: int, least: float, margin: float, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``integrated``, and the links (track_id, linked_to, linked_from) of all tracks, old and new, stitched anew by their ``prototype``."""
+    all_, held = integrated(tracks, members, tracklets, cluster_of)
+    return all_, held, both_ways(stitch(all_.filter(whole("prototype")), max_gap, least, margin, rules=rules))
+
+
 def mended(tracks: DataFrame, refs: DataFrame, detections: DataFrame) -> DataFrame:
     """Tracks with start, end, count and mean confidence as their references' detections have them; tracks without any stay as they are."""
     seen = refs.join(detections.select("frame_id", "det_idx", "ts_ms", F.col("conf").alias("_conf")), ["frame_id", "det_idx"])

@@ -430,7 +430,7 @@ def both_ways(links: DataFrame) -> DataFrame:
 
 
 def episode_parts(key: str = "episode_id"):
-    """show, season and episode of a key such as RHOBH_S05_E03: by underscores, else by hyphens; a missing part is null."""
+    """show, season and episode of a key such as SHOW_S05_E03: by underscores, else by hyphens; a missing part is null."""
     parts = F.when(F.col(key).contains("_"), F.split(key, "_")).otherwise(F.split(key, "-"))
     return [F.get(parts, i).alias(name) for i, name in enumerate(("show", "season", "episode"))]
 

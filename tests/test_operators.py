@@ -142,3 +142,17 @@ def test_progress_and_restart(spark, tmp_path):
         presence.to_table(presence.observations(spark, str(tmp_path / "in"), "id bigint"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     spark.streams.removeListener(listener)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12 and sum(told) in (0, 5, 12)
+
+
+def test_tracklets_are_stitched_in(spark):
+    from presflow.operators import assembly
+
+    fields = "track_id bigint, start_ms bigint, end_ms bigint, prototype array<double>"
+    tracks = spark.createDataFrame([(1, 0, 100, [1.0, 0.0]), (2, 900, 1000, [1.0, 0.0]), (5, 2000, 2100, None)], fields)
+    members = spark.createDataFrame([(7, 1), (7, 2), (8, 5)], "cluster_id bigint, track_id bigint")
+    found = spark.createDataFrame([("A", 700, 800, [0.0, 1.0]), ("A", 300, 500, [1.0, 0.1]), ("Z", 1, 2, [1.0, 0.0])], "person string, start_ms bigint, end_ms bigint, prototype array<double>")
+    names = spark.createDataFrame([("A", 7), ("B", 8)], "person string, cluster_id bigint")
+    all_, held, links = assembly.restitched(tracks, members, found, names, 500, 0.8, 0.0)
+    assert sorted((r.track_id, r.start_ms) for r in all_.collect()) == [(1, 0), (2, 900), (5, 2000), (6, 300), (7, 700)]
+    assert sorted(map(tuple, held.collect())) == [(7, 1), (7, 2), (7, 6), (7, 7), (8, 5)]
+    assert sorted((r.track_id, r.linked_to, r.linked_from) for r in links.collect()) == [(1, 6, None), (2, None, 6), (6, 2, 1)]
