@@ -5,8 +5,8 @@ run within a bin, and what each bin comes to (its largest, sum, first or last ro
 bin.  The carries go back to the rows of their bin.  Each step of a scan must be associative: maxima, minima, sums, first and last values.
 
 The rows are shuffled once a scan and both levels read that shuffle: Spark takes it twice only if both need the same columns of it, so
-ties are told apart by a hash of the whole row, which both look at.  Select what is needed before a scan.  The bins' table is small enough to be broadcast as a rule; where it
-is not, it is sorted and joined on the key and bin by which the rows lie already.
+ties are told apart by a hash of the whole row, which both look at.  Select what is needed before a scan.  Where the bins' table is
+too large to be broadcast, it is joined on the key and bin by which the rows lie, and are sorted, already.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def preceding(value: Column) -> Step:
     return Step("preceding", value)
 
 
-_FRAMES = {"before": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing)}
+#: What comes after is what comes before in falling order: a frame that has no end is worked out anew for each row.
+_FRAMES = {"before": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (Window.unboundedPreceding, -1)}
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH, **steps: Step) -> DataFrame:
@@ -67,15 +68,17 @@ def scan(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH, *
     dealt = rows.repartition("_key", "_bin")
     row = F.xxhash64(*df.columns)
     inner, outer = Window.partitionBy("_key", "_bin").orderBy(*order, row), Window.partitionBy("_key").orderBy("_bin")
+    falling, falling_bins = Window.partitionBy("_key", "_bin").orderBy(*[F.desc(c) for c in order], row.desc()), Window.partitionBy("_key").orderBy(F.desc("_bin"))
     place = F.struct(*[F.col(c) for c in order], row)
     local, totals, carries, whole = [], [F.max(row).alias("_seen")], [], {}
     for name, s in steps.items():
         own, total, carry = f"_l_{name}", f"_t_{name}", f"_c_{name}"
         if s.kind in _FRAMES:
             aggregate, join = _AGGREGATES[s.how]
-            local.append(aggregate(s.value).over(inner.rowsBetween(*_FRAMES[s.kind])).alias(own))
+            within, across = (falling, falling_bins) if s.kind == "after" else (inner, outer)
+            local.append(aggregate(s.value).over(within.rowsBetween(*_FRAMES[s.kind])).alias(own))
             totals.append(aggregate(s.value).alias(total))
-            carries.append(aggregate(total).over(outer.rowsBetween(*_FRAMES["after" if s.kind == "after" else "before"])).alias(carry))
+            carries.append(aggregate(total).over(across.rowsBetween(*_FRAMES["before"])).alias(carry))
             zero = lambda c: F.coalesce(F.col(c), F.lit(0))
             whole[name] = zero(own) + zero(carry) if join is None else join(own, carry)
         else:
