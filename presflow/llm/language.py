@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import claim
 
@@ -38,7 +39,7 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-#: Labelled rows that are learned from: at most SAMPLE in expectation, an equal share for each language.
+#: Labelled rows that are learned from: never more than SAMPLE, an equal share for each language; of more than SAMPLE languages the most frequent.
 SAMPLE = 1200
 FEATURES = 1 << 14
 GRAMS = 4
@@ -89,31 +90,40 @@ class _Duels:
         self.classes = sorted({label for label in labels if label is not None})
         names = np.array([label if label is not None else "" for label in labels])
         used = np.array([label is not None for label in labels], bool)
-        self.pairs = list(combinations(range(len(self.classes)), 2))
-        weights = []
-        for a, b in self.pairs:
-            of_a, of_b = used & (names == self.classes[a]), used & (names == self.classes[b])
-            either = np.flatnonzero(of_a | of_b)
-            dual = np.zeros(len(x), np.float32)
-            dual[either] = svm(gram[np.ix_(either, either)], np.where(of_a[either], 1.0, -1.0))
-            weights.append(dual @ x)
-        self.weights = np.array(weights).T.astype(np.float32) if weights else np.zeros((x.shape[1], 0), np.float32)
-
-    def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.array(list(combinations(range(len(self.classes)), 2)), int).reshape(-1, 2)
+        #: For each class the duels it leads and those it is the second of.
+        self.duels = [(np.flatnonzero(pairs[:, 0] == c), np.flatnonzero(pairs[:, 1] == c)) for c in range(len(self.classes))]
+        of = [np.flatnonzero(used & (names == c)) for c in self.classes]
+        # a machine is a sum of sample rows: with more machines than rows the sums' factors are less than the sums
+        self.rows = np.flatnonzero(used) if len(pairs) > used.sum() else None
+        self.factors = []
+        weights = np.zeros((0 if self.rows is not None else len(pairs), x.shape[1]), np.float32)
+        for k, (a, b) in enumerate(pairs):
+            either = np.concatenate([of[a], of[b]])
+            dual = svm(gram[np.ix_(either, either)], np.repeat([1.0, -1.0], [len(of[a]), len(of[b])])).astype(np.float32)
+            if self.rows is None:
+                weights[k] = dual @ x[either]
+            else:
+                self.factors.append((np.searchsorted(self.rows, either).astype(np.int32), dual))
+        self.weights, self.count = weights.T, len(pairs)
+
+    def margins(self, x: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        if self.rows is None:
+            return x @ self.weights
+        near = x @ sample[self.rows].T
+        return np.array([near[:, at] @ dual for at, dual in self.factors]).T
+
+    def decide(self, x: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class numbers, and the least margin of the winner in its duels (infinite if there are none)."""
-        margins = x @ self.weights
+        margins = self.margins(x, sample)
         n = len(self.classes)
-        won, sums = np.zeros((len(x), n)), np.zeros((len(x), n))
-        for k, (a, b) in enumerate(self.pairs):
-            won[:, a] += margins[:, k] > 0
-            won[:, b] += margins[:, k] <= 0
-            sums[:, a] += margins[:, k]
-            sums[:, b] -= margins[:, k]
+        won, sums, least = np.zeros((len(x), n)), np.zeros((len(x), n)), np.full((len(x), n), np.inf)
+        for c, (first, second) in enumerate(self.duels):
+            own = np.hstack([margins[:, first], -margins[:, second]])
+            won[:, c] = (margins[:, first] > 0).sum(1) + (margins[:, second] <= 0).sum(1)
+            sums[:, c], least[:, c] = own.sum(1), own.min(1, initial=np.inf)
         best = np.lexsort((np.tile(-np.arange(n), (len(x), 1)), sums, won))[:, -1] if n > 1 else np.zeros(len(x), int)
-        least = np.full(len(x), np.inf)
-        for k, (a, b) in enumerate(self.pairs):
-            least = np.where(best == a, np.minimum(least, margins[:, k]), np.where(best == b, np.minimum(least, -margins[:, k]), least))
-        return best, least
+        return best, least[np.arange(len(x)), best]
 
 
 class Model:
@@ -121,10 +131,13 @@ class Model:
 
     def __init__(self, x: np.ndarray, languages: list[str]):
         gram = (x @ x.T).astype(np.float64)
+        self.sample = x
         self.families = _Duels(x, gram, [family_of(language) for language in languages])
         self.within = {}
         for family in self.families.classes:
             self.within[family] = _Duels(x, gram, [language if family_of(language) == family else None for language in languages])
+        if all(d.rows is None for d in [self.families, *self.within.values()]):
+            self.sample = x[:0]  # no machine needs it any more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -132,15 +145,15 @@ class Model:
         if not vectors or not self.families.classes:
             return names, scores
         x = np.array([v for _, v in vectors])
-        family, margin = self.families.decide(x)
+        family, margin = self.families.decide(x, self.sample)
         for f, name in enumerate(self.families.classes):
             rows = np.flatnonzero(family == f)
             if len(rows):
-                best, inner = self.within[name].decide(x[rows])
+                best, inner = self.within[name].decide(x[rows], self.sample)
                 for row, b, m in zip(rows, best, np.minimum(margin[rows], inner), strict=True):
                     i = vectors[row][0]
                     names[i] = self.within[name].classes[b]
-                    scores[i] = float(np.clip((1 + m) / 2, 0.0, 1.0))  # a margin of 1 or more is sure, one of -1 or less is not
+                    scores[i] = round(float(np.clip((1 + m) / 2, 0.0, 1.0)), 6)  # sums differ in the last digits with the rows of a batch; a margin of 1 or more is sure, one of -1 or less is not
         return names, scores
 
 
@@ -158,30 +171,29 @@ def _vectors(batches):
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of rows (row_key, lang, text).  Which rows are taken follows from a hash of the key and each language's count; what reaches the
-    driver is at most about ``sample`` rows of at most FEATURES numbers, whatever the texts' length."""
+    """A model of rows (row_key, lang, text).  Which rows are taken follows from a hash of the key, then the text, and each language's count;
+    at most ``sample`` rows of at most FEATURES numbers reach the driver, whatever the texts' length and however many languages there are."""
     labelled = labelled.filter("lang is not null and text is not null")
-    counts = dict(labelled.groupBy("lang").count().collect())  # one row a language
-    share = max(20, sample // max(1, len(counts)))
+    counts = dict(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect())  # one row a language
+    share = sample // max(1, len(counts))
     spot = F.pmod(F.xxhash64("row_key"), F.lit(1 << 40))
-    # one row in four more than the share is asked for, as the draw is by chance
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.25 * share / n) * (1 << 40)))) for lang, n in sorted(counts.items())]) if counts else F.lit(0)
-    rows = labelled.filter(spot < rate).select("lang", "text").mapInArrow(_vectors, "lang string, places binary, values binary").collect()
-    taken: dict[str, int] = {}
+    # some rows more than the share are asked for, as the draw is by chance
+    rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int(min(1.0, (1.25 * share + 8) / n) * (1 << 40)))]) if counts else F.create_map().cast("map<string,bigint>")
+    drawn = labelled.select("lang", "text", spot.alias("_spot")).filter(F.col("_spot") < rate[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_spot", F.xxhash64("text"), "text"))
+    rows = drawn.withColumn("_n", first).filter(F.col("_n") <= share).select("lang", "text").mapInArrow(_vectors, "lang string, places binary, values binary").collect()
     x, languages = np.zeros((len(rows), FEATURES), np.float32), []
     for row in sorted(rows, key=lambda r: (r.lang, bytes(r.places), bytes(r["values"]))):
-        if taken.get(row.lang, 0) < 1.5 * share:
-            taken[row.lang] = taken.get(row.lang, 0) + 1
-            x[len(languages), np.frombuffer(row.places, "u2")] = np.frombuffer(row["values"], np.float32)
-            languages.append(row.lang)
+        x[len(languages), np.frombuffer(row.places, "u2")] = np.frombuffer(row["values"], np.float32)
+        languages.append(row.lang)
     del rows
-    return Model(x[: len(languages)], languages)
+    return Model(x, languages)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) in place of columns of these names; ``und`` and 0 for a null text or one without a letter.
 
-    The model is sent once: a fixed number of weights for each pair of classes.  One pass without a shuffle; repeated rows
+    The model is sent once: never more numbers than the sample has, FEATURES a row, and twice a row for each class.  One pass without a shuffle; repeated rows
     are rows of their own, an empty table gives an empty table.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
