@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpoints
 from . import graphs
@@ -266,3 +267,41 @@ def recluster(detections: DataFrame, refs: DataFrame, bank: DataFrame, suppresse
     metrics = V.track_confidence(members.select("track_id"), scored)
     figures = cluster_figures(rows.join(labels.withColumnRenamed("cluster", "label"), "vec_id"))
     return {"members": members, "samples": scored, "centres": centres, "figures": figures, "tracks": metrics, "clusters": V.cluster_confidence(members, metrics, tracks), "persons": V.person_confidence(members, metrics)}
+
+
+@dataclass(frozen=True)
+class CleanParams:
+    least_conf: float = 0.65
+    least_size: int = 72
+    most_iou: float = 0.1
+    faces: int = 10
+    eps: float = 0.45
+    least: int = 3
+    outlier_sim: float = 0.75
+    deviations: float = 3.0
+    margin: float = 0.1
+    run: int = 4
+    evidence: float = 0.12
+    split: bool = True
+
+
+def clean_clusters(detections: DataFrame, refs: DataFrame, quality: Column, p: CleanParams = CleanParams()) -> dict[str, DataFrame]:
+    """An episode clustered by its good faces alone: samples, members (cluster_id, track_id; noise is in none), figures of clusters and
+    contaminated spans (see ``recovery.contamination_audit``), which are told of and not acted on.
+
+    Faces that pass, the best of each track by ``quality``, give the tracks' centroids; these are clustered by density with one
+    radius, without constraints or names.  A track without a good face takes no part.  A sample's place is its number in its track by frame.
+    """
+    from .assembly import of_tracks
+    from .recovery import contamination_audit
+
+    checkpoints(detections.sparkSession)
+    good = V.face_samples(of_tracks(detections, refs), p.least_conf, p.least_size, p.most_iou).withColumn("quality", quality)
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("frame_id", "vec_id")) - 1
+    samples = V.top_k(good, ["track_id"], p.faces, F.desc("quality"), F.col("vec_id")).select("track_id", "frame_id", "vec_id", "embedding", "conf", "face_size", "quality", place.alias("at")).checkpoint()
+    rows = centroid(samples, ["track_id"]).select(F.col("track_id").alias("vec_id"), F.col("centroid").alias("embedding")).checkpoint()
+    labels = dbscan(rows, p.eps, p.least, components).checkpoint()
+    members = labels.filter("cluster >= 0").select(F.col("cluster").alias("cluster_id"), F.col("vec_id").alias("track_id"))
+    figures = cluster_figures(rows.join(labels.withColumnRenamed("cluster", "label").filter("label >= 0"), "vec_id"))
+    spans = contamination_audit(samples.join(members, "track_id").select("cluster_id", "track_id", "at", "vec_id", "embedding"), p.outlier_sim, p.deviations, p.margin, p.run, p.evidence, p.split)
+    return {"samples": samples, "members": members, "figures": figures, "spans": spans}

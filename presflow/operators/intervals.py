@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..session import checkpoints
 from . import scans
-from .scans import scan
+from .scans import scan, settled
 
 START, END = "start_ms", "end_ms"
 
@@ -101,7 +101,7 @@ def coverage(windows: DataFrame, intervals: DataFrame, bin_ms: int, on: list[str
     """``windows`` with ``covered_ms`` (lengths shared with intervals (start, end, conf), summed), the number and mean confidence of these,
     and the ratio to the window, which passes one where intervals overlap.  ``window_id`` is a hash of all of a window's columns.
     """
-    named = windows.withColumn("window_id", F.xxhash64(*windows.columns))
+    named = settled(windows.withColumn("window_id", F.xxhash64(*windows.columns)))  # read three times
     inside = (F.col(f"r.{END}") > F.col(f"l.{START}")) & (F.col(f"r.{START}") < F.col(f"l.{END}"))
     shared = range_join(named.dropDuplicates(["window_id"]), intervals, inside, bin_ms, on=on).select(F.col("l.window_id").alias("window_id"), overlap_ms("l", "r").alias("shared"), F.col("r.conf").alias("c"))
     summed = shared.groupBy("window_id").agg(F.sum("shared").alias("covered_ms"), F.count("*").alias("tracks"), F.avg("c").alias("mean_conf"))
@@ -262,13 +262,13 @@ def conflicts(df: DataFrame, p: MergeParams, tie: str = "track_id") -> DataFrame
     A group closes only at a gap of zero or more, so the end of the open group is the running maximum of ends; gap and
     conflict do not depend on what was merged, and need no fold.
     """
-    placed = scan(df, ["person"], [START, tie], gap_start=scans.before(F.col(END))).withColumn("gap", F.col(START) - F.col("gap_start"))
+    placed = settled(scan(df, ["person"], [START, tie], gap_start=scans.before(F.col(END))).withColumn("gap", F.col(START) - F.col("gap_start")))
     wide = placed.filter((F.col("gap") > p.conflict_guard) & (F.col("gap") <= p.reach))
     wide = wide.select(tie, "person", F.col("gap_start").alias(START), F.col(START).alias(END))
     others = df.filter(F.col("conf") >= p.conflict_conf).select("person", START, END)
     seen = (F.col("l.person") != F.col("r.person")) & (F.col(f"r.{START}") < F.col(f"l.{END}")) & (F.col(f"r.{END}") > F.col(f"l.{START}")) & (overlap_ms("l", "r") >= p.conflict_guard)
     hit = range_join(wide, others, seen, 4 * p.reach).select(F.col(f"l.{tie}").alias(tie)).distinct().withColumn("conflict", F.lit(True))
-    return placed.join(hit, tie, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    return settled(placed.join(hit, tie, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False))))
 
 
 MERGES = ("overlap", "edge", "merged")
@@ -426,11 +426,12 @@ def auto_caps(tracks: DataFrame, guard: int, cap_min: int, cap_max: int, quality
 def audit_gaps(intervals: DataFrame, length: int, max_gap: int) -> DataFrame:
     """Gaps before the first (longer than ``max_gap``), between and after intervals (up to it): person, kind, start, end."""
     placed = scan(intervals, ["person"], [START, END], next=scans.following(F.col(START)), nth=scans.upto(F.lit(1)))
-    kind = lambda k, a, b, rows: rows.select("person", F.lit(k).alias("kind"), a.cast("bigint").alias(START), b.cast("bigint").alias(END))
-    between = placed.filter((F.col("next") - F.col(END) > 0) & (F.col("next") - F.col(END) <= max_gap))
-    tail = placed.filter(F.col("next").isNull() & (length - F.col(END) > 0) & (length - F.col(END) <= max_gap))
-    head = placed.filter((F.col("nth") == 1) & (F.col(START) > max_gap))
-    return kind("start", F.lit(0), F.col(START), head).unionByName(kind("between", F.col(END), F.col("next"), between)).unionByName(kind("tail", F.col(END), F.lit(length), tail))
+    gap = lambda when, k, a, b: F.when(when, F.struct(F.lit(k).alias("kind"), a.cast("bigint").alias(START), b.cast("bigint").alias(END)))
+    fits = lambda n: (n > 0) & (n <= max_gap)
+    head = gap((F.col("nth") == 1) & (F.col(START) > max_gap), "start", F.lit(0), F.col(START))
+    between = gap(fits(F.col("next") - F.col(END)), "between", F.col(END), F.col("next"))
+    tail = gap(F.col("next").isNull() & fits(length - F.col(END)), "tail", F.col(END), F.lit(length))
+    return placed.select("person", F.inline(F.filter(F.array(head, between, tail), lambda g: g.isNotNull())))
 
 
 def priority(ratio: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,3 +110,41 @@ def missing_chunks(uploads: DataFrame, received: DataFrame) -> DataFrame:
     """(upload_id, chunk) that have not come; uploads (upload_id, chunks), received (upload_id, chunk)."""
     wanted = uploads.filter("chunks > 0").select("upload_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
     return wanted.join(received, ["upload_id", "chunk"], "left_anti")
+
+
+def assembled(uploads: DataFrame, received: DataFrame) -> DataFrame:
+    """upload_id, n_bytes, sha256 (of the chunks in order) and status of each upload: ``missing`` chunks, ``mismatch`` with the digest that was told, or ``ok``.
+
+    uploads (upload_id, chunks, sha256; null: none was told, and what came is taken), received (upload_id, chunk, at, data).  Of a chunk that was sent again the
+    newest counts (of one time the largest data); chunks beyond ``chunks`` and of unknown uploads don't.  Null data is an empty chunk.  With chunks
+    missing, n_bytes and sha256 are null.  Repeated rows of an upload count once.  Chunks are dealt by upload and stream through its task in order, one batch in memory.
+    """
+    told = uploads.filter("upload_id is not null").dropDuplicates(["upload_id"]).select("upload_id", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"), F.lower("sha256").alias("told"))
+    newest = F.row_number().over(Window.partitionBy("upload_id", "chunk").orderBy(F.desc_nulls_last("at"), F.desc_nulls_last("data")))
+    rows = received.select("upload_id", F.col("chunk").cast("bigint").alias("chunk"), "at", F.col("data").cast("binary").alias("data"))
+    rows = rows.join(told.select("upload_id", "chunks"), "upload_id").filter("chunk >= 0 and chunk < chunks").withColumn("_n", newest).filter("_n = 1").select("upload_id", "chunk", "data")
+    kind = rows.schema["upload_id"].dataType.simpleString()
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, running, n, size = None, hashlib.sha256(), 0, 0
+        for frame in frames:
+            done = []
+            for upload, data in zip(frame["upload_id"], frame["data"], strict=True):
+                if upload != at:
+                    if n:
+                        done.append((at, n, size, running.hexdigest()))
+                    at, running, n, size = upload, hashlib.sha256(), 0, 0
+                running.update(data or b"")
+                n, size = n + 1, size + len(data or b"")
+            yield pd.DataFrame(done, columns=["upload_id", "came", "n_bytes", "sha256"])
+        if n:
+            yield pd.DataFrame([(at, n, size, running.hexdigest())], columns=["upload_id", "came", "n_bytes", "sha256"])
+
+    sums = rows.repartition("upload_id").sortWithinPartitions("upload_id", "chunk").mapInPandas(digest, f"upload_id {kind}, came bigint, n_bytes bigint, sha256 string")
+    out = told.join(sums, "upload_id", "left")
+    whole = F.coalesce("came", F.lit(0)) == F.col("chunks")
+    nothing = F.col("chunks") == 0
+    value = lambda c, empty: F.when(nothing, F.lit(empty)).when(whole, F.col(c)).alias(c)
+    out = out.select("upload_id", "told", whole.alias("_whole"), value("n_bytes", 0), value("sha256", hashlib.sha256().hexdigest()))
+    status = F.when(~F.col("_whole"), "missing").when(F.col("told").isNotNull() & (F.col("told") != F.col("sha256")), "mismatch").otherwise("ok")
+    return out.select("upload_id", F.col("n_bytes").cast("bigint").alias("n_bytes"), "sha256", status.alias("status"))

@@ -7,6 +7,9 @@ bin.  The carries go back to the rows of their bin.  Each step of a scan must be
 The rows are shuffled once a scan and both levels read that shuffle: Spark takes it twice only if both need the same columns of it, so
 ties are told apart by a hash of the whole row, which both look at.  Select what is needed before a scan.  Where the bins' table is
 too large to be broadcast, it is joined on the key and bin by which the rows lie, and are sorted, already.
+
+A scan names its input twice, so a plan of scans over scans doubles with each; Spark runs a shuffle once, but plans all of it.  ``settled``
+writes what lies between, where such a plan would be long.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoints
+
 #: Width of a bin: a minute of milliseconds.
 WIDTH = 60_000
 _AGGREGATES = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, None)}
@@ -58,6 +63,12 @@ def preceding(value: Column) -> Step:
 _FRAMES = {"before": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (Window.unboundedPreceding, -1)}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that what reads it several times has a short plan and finds it worked out."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH, **steps: Step) -> DataFrame:
     """``df`` with a column for each step, over the rows of a key in order (nulls first; equal rows of ``order`` by a hash of the row).
 

@@ -146,6 +146,20 @@ def missing_chunks(spark, sf_dir):
     return logs.missing_chunks(uploads, received)
 
 
+@query(
+    """WITH u AS (SELECT o_orderkey AS upload_id, 1 + o_orderkey % 3 AS chunks FROM orders), r AS (SELECT l_orderkey AS upload_id, l_linenumber - 1 AS chunk, l_partkey || ':' || l_suppkey AS data FROM lineitem),
+ told AS (SELECT upload_id, sha256(max(data)) AS told FROM r WHERE chunk = 0 GROUP BY 1), kept AS (SELECT upload_id, chunk, max(data) AS data FROM r GROUP BY 1, 2),
+ came AS (SELECT upload_id, count(*) AS n, string_agg(data, '' ORDER BY chunk) AS whole FROM kept JOIN u USING (upload_id) WHERE chunk < chunks GROUP BY 1)
+ SELECT u.upload_id, CASE WHEN n = chunks THEN CAST(strlen(whole) AS BIGINT) END AS n_bytes, CASE WHEN n = chunks THEN sha256(whole) END AS sha256, CASE WHEN n IS DISTINCT FROM chunks THEN 'missing' WHEN told <> sha256(whole) THEN 'mismatch' ELSE 'ok' END AS status
+ FROM u LEFT JOIN came USING (upload_id) LEFT JOIN told USING (upload_id)"""
+)
+def assembled_uploads(spark, sf_dir):
+    chunks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("upload_id"), (F.col("l_linenumber") - 1).alias("chunk"), F.lit(0).alias("at"), F.concat_ws(":", "l_partkey", "l_suppkey").alias("data"))
+    told = chunks.filter("chunk = 0").groupBy("upload_id").agg(F.sha2(F.max("data"), 256).alias("sha256"))
+    uploads = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("upload_id"), (1 + F.col("o_orderkey") % 3).alias("chunks")).join(told, "upload_id", "left")
+    return logs.assembled(uploads, chunks)
+
+
 @query("SELECT user_id AS step, CASE WHEN user_id % 4 > 0 THEN max(event_id) FILTER (event_id % 5 <> 0) END IS NULL OR coalesce(max(event_id) > CASE WHEN user_id % 4 > 0 THEN max(event_id) FILTER (event_id % 5 <> 0) END, false) AS needed FROM events GROUP BY user_id")
 def needs_step(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("step"))

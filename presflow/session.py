@@ -23,6 +23,7 @@ def get_session(app: str = "presflow", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
     } | {k: str(v) for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
