@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import claim, cut, partitions
-from .components import components
+from .components import stars
 from .shingles import COORDINATES, shingles, signature
 
 PERCENT = 85
@@ -352,18 +352,18 @@ def _sets(batches):
 
 
 class Search:
-    """Confirmed links between items (item, doc_id, n_shingles, roots, low), whose texts are in ``rows`` (doc_id, text)."""
+    """What hangs together of items (item, doc_id, n_shingles, roots, low), whose texts are in ``rows`` (doc_id, text), and of ``links`` (a, b)."""
 
-    def __init__(self, items: DataFrame, rows: DataFrame, percent: int):
+    def __init__(self, items: DataFrame, rows: DataFrame, percent: int, links: DataFrame | None = None):
         self.items, self.percent, self.least = items, percent, _tolerance(percent)
         self.rows = rows.filter("doc_id is not null and text is not null")
         self.slim = items.select("item", "low")
         self.weights = items.select("item", "n_shingles")
-        self.links: list[DataFrame] = []
+        self.links = links  # that are known: stars, once something has been confirmed
         self.labels: DataFrame | None = None
 
     def labelled(self, df: DataFrame, item: str = "item", label: str = "label") -> DataFrame:
-        """``label``: what each item is connected with so far."""
+        """``label``: the smallest item that each is connected with so far."""
         if self.labels is None:
             return df.withColumn(label, F.col(item))
         labels = self.labels.select(F.col("item").alias(item), F.col("label").alias(label))
@@ -375,10 +375,11 @@ class Search:
         return self.rows.join(ids, "doc_id").select("item", "text").mapInArrow(_sets, "item binary, shingles binary").dropDuplicates(["item"])
 
     def confirm(self, parts: DataFrame, sets: DataFrame) -> None:
-        """Adds the links of parts (part, item, rest)."""
+        """Adds the links of parts (part, item, rest) to what hangs together so far, of which a star is left."""
         met = _dealt(parts.select("part", "item", "rest").join(sets, "item"), "part", "item")
-        self.links.append(cut(met.mapInArrow(_confirm(self.percent), "a binary, b binary")))
-        self.labels = cut(components(reduce(DataFrame.unionByName, self.links))).select(F.col("node").alias("item"), F.col("component").alias("label"))
+        links = cut(met.mapInArrow(_confirm(self.percent), "a binary, b binary"))
+        self.links = stars(links if self.links is None else self.links.unionByName(links))
+        self.labels = self.links.select(F.col("a").alias("item"), F.col("b").alias("label"))
 
     def grown(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of rows (node, item), (node, item, low, m) of nodes that one task looks through, and of larger ones."""
@@ -408,7 +409,7 @@ class Search:
         return met.filter("item is null").groupBy("node").agg(F.max("agree").alias("alike"))
 
     def run(self) -> DataFrame:
-        """Links (a, b) that connect whatever links connect."""
+        """(item, label): the smallest item that any other is connected with."""
         roots = F.array(*[F.xxhash64(F.lit(at), F.get("roots", F.lit(at))) for at in range(ROOTS)])
         small, large = self.grown(self.items.select(F.explode(roots).alias("node"), "item"))
         nodes, blocks, depth = [small], [], 0
@@ -424,18 +425,19 @@ class Search:
             nodes.append(small)
             depth += 1
         self.compare(reduce(DataFrame.unionByName, nodes), blocks)
-        return reduce(DataFrame.unionByName, self.links)
+        return self.labels
 
     def compare(self, nodes: DataFrame, blocks: list[DataFrame]) -> None:
         """Candidates of all nodes and blocks, confirmed."""
         units = nodes.select(F.col("node").alias("unit"), "item", "low")
-        parts = cut(_dealt(units, "unit", "item").mapInArrow(_candidates(self.least), _PART_SQL).distinct())
+        found = _dealt(units, "unit", "item").mapInArrow(_candidates(self.least), _PART_SQL)
+        parts = cut(found.repartition(partitions(units.sparkSession), "item").distinct(), dealt=True)  # an item is in few parts
         # a part that lies in a larger one is not needed: then all its items have that one as their largest
         largest = parts.groupBy("item").agg(F.max(F.struct("size", "part")).alias("largest"))
         inner = parts.join(largest, "item").groupBy("part").agg(F.min("largest.part").alias("low"), F.max("largest.part").alias("high")).filter("low = high and part <> low").select("part")
         again = nodes.filter(F.col("m") > STAR).select(F.col("node").alias("unit"), "item", "low")
         wanted = reduce(DataFrame.unionByName, [x.select("item") for x in (parts, again, *blocks)])
-        sets = cut(self.sets(wanted))
+        sets = cut(self.sets(wanted), dealt=True)
         self.confirm(parts.join(inner, "part", "left_anti"), sets)
         units = self.labelled(again).withColumn("side", F.lit(0))
         for some in blocks:
@@ -489,12 +491,11 @@ def link(df: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: st
     signed = cut(rows.mapInArrow(_sign, _SIGNED_SQL))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     by_item = known.groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("low").alias("low"))
-    items = cut(by_item.repartition(partitions(df.sparkSession), "item"))  # joins by item below find it dealt already
+    items = cut(by_item.repartition(partitions(df.sparkSession), "item"), dealt=True)  # joins by item below find it dealt already
     # rows that share an id but not a set hang together by the id
     ids = known.groupBy("doc_id").agg(F.min("item").alias("one"), F.max("item").alias("other")).filter("one <> other").select("doc_id", "one")
     by_id = cut(known.join(ids, "doc_id").filter("item <> one").select(F.col("item").alias("a"), F.col("one").alias("b")).distinct())
-    links = Search(items, rows, percent).run().unionByName(by_id)
-    labels = components(links).select(F.col("node").alias("item"), F.col("component").alias("label"))
+    labels = Search(items, rows, percent, None if by_id.isEmpty() else by_id).run()
     placed = items.select("item", "doc_id").join(labels, "item", "left").withColumn("label", F.coalesce("label", "item"))
     placed = placed.join(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("item", "component_id")
     done = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "item").join(placed, "item").select("doc_id", "n_shingles", "component_id")

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from presflow.llm import near_dedup
+from presflow.llm.common import cut
+from presflow.llm.components import stars
 from presflow.llm.shingles import linked, shingles, signature
 
 SCHEMA = "doc_id bigint, text string"
@@ -154,3 +156,46 @@ def test_rest_and_chunks():
     every, some = near_dedup.links_among(sets, 30), near_dedup.links_among(sets, 30, rest)
     assert (some == every & (rest[:, None] | rest)).all() and some.any()
     assert [c.tolist() for c in near_dedup._chunks(np.array([3, 1, 9, 1, 1]), 4)] == [[0, 1], [2], [3, 4]]
+
+
+def test_settled_links_are_not_gone_through_again(spark):
+    n = 16
+    rows = corpus(random.Random(6), 60, 120)
+    conf = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    sc = spark.sparkContext
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        sc.setJobGroup("near_dedup", "")
+        got = near_dedup.link(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(map(tuple, got)) == brute(rows)
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("near_dedup") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert tasks < 90 * n
+
+
+def test_checkpoints_tell_how_they_are_dealt(spark):
+    rows = spark.range(1000).selectExpr("id % 77 AS item", "id")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    kept = cut(rows.groupBy("item").count().repartition(4, "item"), dealt=True)
+    assert kept._jdf.queryExecution().optimizedPlan().outputPartitioning().numPartitions() == 4
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before and kept.count() == 77
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stars(spark, seed):
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(45)] + [(7, 7), (500, 200), (500, 200), (200, 500)]
+    up = {i: i for e in edges for i in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    found = stars(cut(spark.createDataFrame(edges, "a bigint, b bigint"))).collect()
+    assert sorted(map(tuple, found)) == sorted((a, b) for a, b in up.items() if a != b)
+    assert stars(cut(spark.createDataFrame([], "a bigint, b bigint"))).count() == 0
