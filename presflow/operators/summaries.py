@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def plain_clusters(members: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -29,8 +30,12 @@ def flat_tracks(members: DataFrame, metrics: DataFrame, tracks: DataFrame) -> Da
 
 def workspace_counts(members: DataFrame, low: float = 0.6) -> DataFrame:
     """One row of counts of members (cluster_id, track_id, person, dirty, confidence): clusters, those with and without a person, dirty
-    ones, those whose tracks' mean confidence is under ``low``, and tracks."""
-    clusters = members.groupBy("cluster_id").agg(F.max("person").alias("person"), F.max("dirty").alias("dirty"), F.count("*").alias("n"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean"))
+    ones, those whose tracks' mean confidence is under ``low``, and tracks.
+
+    Confidences are added up in order of tracks, so a mean that is ``low`` but for its last digit comes out alike however rows are dealt."""
+    upto = Window.partitionBy("cluster_id").orderBy("track_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = members.withColumn("_mean", F.avg(F.coalesce("confidence", F.lit(0.0))).over(upto))
+    clusters = running.groupBy("cluster_id").agg(F.max("person").alias("person"), F.max("dirty").alias("dirty"), F.count("*").alias("n"), F.max_by("_mean", "track_id").alias("mean"))
     given = F.col("person").isNotNull() & ~F.col("person").isin("", "unassigned")
     return clusters.agg(
         F.count("*").alias("clusters"), F.count_if(given).alias("assigned"), F.count_if(~given).alias("unassigned"), F.count_if(F.col("mean") < low).alias("low_confidence"), F.count_if("dirty").alias("dirty"), F.coalesce(F.sum("n"), F.lit(0)).alias("tracks")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from presflow.operators import clustering as C
 from presflow.operators import logs
 from presflow.operators.recovery import contamination_audit
+from presflow.operators.summaries import workspace_counts
 
 
 def sha(data):
@@ -70,3 +71,22 @@ def test_audit_split_to_the_best_that_there_is(spark):
     (span,) = contamination_audit(faces, -2.0, 1e9, 0.5, 2, 0.5).collect()
     assert (span.first_at, span.last_at, span.n, span.reason, span.other, span.action) == (8, 9, 2, "cross_identity", 1, "split_to_1")
     assert abs(span.strength + math.cos(math.radians(200))) < 1e-9
+
+
+def test_low_confidence_in_order_of_tracks(spark):
+    """Clusters whose mean is the limit but for the last digit: sums in order of tracks decide, however rows are dealt."""
+    rng, rows, low = random.Random(3), [], 0
+    for cluster in range(200):
+        parts = rng.sample(range(25), 8)
+        confs = [0.5 + k / 100.0 for p in parts for k in (24 - p, 24 + p)]
+        rng.shuffle(confs)
+        total = 0.0
+        for i, c in enumerate(confs):
+            total += c
+            rows.append((cluster, 100 * cluster + i, "p", False, c))
+        low += total / len(confs) < 0.74
+    assert 0 < low < 200
+    df = spark.createDataFrame(rows, "cluster_id bigint, track_id bigint, person string, dirty boolean, confidence double")
+    for parts in (3, 7):
+        got = workspace_counts(df.orderBy(F.rand(parts)).repartition(parts), 0.74).first()
+        assert (got.clusters, got.low_confidence, got.tracks) == (200, low, len(rows))
