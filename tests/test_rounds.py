@@ -95,3 +95,16 @@ def test_null_and_ragged_vectors(spark):
     ragged = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [1.0, 0.1])], "vec_id bigint, label int, embedding array<double>")
     with pytest.raises(Exception, match="components can't be multiplied"):
         V.near_links(ragged, 0.1).collect()
+
+
+def test_expanded_pairs_are_told_once(spark):
+    """Against a loop, with tracks in several clusters; pairs of the others are not looked through again."""
+    rng = random.Random(5)
+    rows = [(t, t % 7, f"N{t % 7 % 3}") for t in range(60)] + [(t, 7 + t % 2, "N0") for t in (3, 4, 50)]
+    asked = set(rng.sample(range(60), 12)) | {3}
+    named = spark.createDataFrame([(*r, None) for r in rows], "track_id bigint, cluster_id bigint, name string, confidence double")
+    want = {("must" if must else "cannot", min(a, b), max(a, b)) for a, c, n in rows if a in asked for b, d, m in rows if a != b for must in (True, False) if (c == d if must else n != m)}
+    got = [tuple(r) for r in graphs.expanded(named, spark.createDataFrame([(t,) for t in asked], "track_id bigint")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plain = graphs.expanded(named.filter("cluster_id < 7"), spark.createDataFrame([(t,) for t in asked], "track_id bigint"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
