@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from presflow.operators import graphs
+from presflow.operators import graphs, intervals
 from presflow.operators import vectors as V
 
 
@@ -64,3 +64,27 @@ def test_kth_nearest(spark):
     want = np.sort(1 - x @ x.T, axis=1)[:, 5]
     assert len(got) == 400 and all(abs(got[i] - want[i]) < 1e-12 for i in got)
     assert V.nearest_distances(df.limit(3), 6).count() == 0 and V.nearest_distances(df.limit(0), 2).count() == 0
+
+
+def test_set_similarity_by_blocks(spark):
+    """Sets of several blocks, of a single row and of fewer rows than k, against products of all their rows; no join of rows with rows."""
+    rng = np.random.default_rng(6)
+    sets = [(t, rng.standard_normal((n, 4))) for t, n in ((0, 50), (1, 37), (2, 1), (3, 2))]
+    data = [(t, 100 * t + i, v.tolist()) for t, x in sets for i, v in enumerate(x)] + [(0, 99, None), (4, 400, [None] * 4)]
+    wanted = [(0, 1), (1, 0), (2, 3), (0, 0), (0, 4), (7, 1)]
+    frame = spark.createDataFrame(data, "track_id bigint, vec_id bigint, u array<double>")
+    out = V.set_similarity(frame, spark.createDataFrame(wanted, "track_id bigint, other bigint"), 5, block=16)
+    x = dict(sets)
+    want = {(a, b): float(np.sort((x[a] @ x[b].T).ravel())[-5:].mean()) for a, b in wanted if a in x and b in x}
+    got = {(r.track_id, r.other): r.sim for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_adjacent_meets_in_short_bins(spark):
+    """Against a loop, and with bins no longer than what an end looks at."""
+    rng = np.random.default_rng(7)
+    spans = [(i, int(s), int(s + d)) for i, (s, d) in enumerate(zip(rng.integers(-300, 3000, 200), rng.integers(0, 400, 200), strict=True))]
+    df = spark.createDataFrame(spans, "track_id bigint, start_ms bigint, end_ms bigint")
+    found = intervals.adjacent(df, df, 20)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j, s - e) for i, _, e in spans for j, s, _ in spans if i != j and 0 <= s - e <= 20)
+    assert "21" in found._jdf.queryExecution().optimizedPlan().toString()
