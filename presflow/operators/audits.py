@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graphs import components, first_independent
-from .vectors import dot, l2_normalise, least_product, medoid, metric_links, products, whole
+from ..session import checkpoints
+from .graphs import components
+from .vectors import _matrix, l2_normalise, least_product, products, whole
+
+#: Rows of a key that are settled in one round, and open rows of a key that are one task's.
+FIRST, SPLIT = 1024, 16_384
 
 
 def cross_contamination(frames: DataFrame, centres: DataFrame, margin: float) -> DataFrame:
@@ -93,16 +101,59 @@ def consolidate(clusters: DataFrame, least: float, cannot: DataFrame) -> DataFra
 def greedy_distinct(df: DataFrame, keys: list[str], order: str, most: float, vector: str = "embedding") -> DataFrame:
     """keys and order of the rows that are not alike (by a similarity of ``most``) to an accepted one of their key that comes before.
 
-    ``order`` is a column of distinct values.  Alike pairs come from the metric index; what stays is settled in rounds over them.
+    ``order`` is a column of distinct values.  In rounds: of each key the next FIRST open rows in order are settled one after another, and the open
+    rows behind them that are alike to an accepted one go, in products of blocks.  Pairs are not written; a round leaves FIRST rows fewer of each
+    key at least, and mostly far fewer.
     """
-    node = F.struct(*keys, order)
-    unit = df.select(F.col(order).alias("vec_id"), F.struct(*keys).alias("_key"), l2_normalise(vector).alias("u"))
-    usable = unit.filter(whole("u") & F.exists("u", lambda x: x != 0))
-    alike = metric_links(usable.select("vec_id", "u"), "vec_id", "u", most).select("a", "b")
-    of = lambda c: unit.select(F.col("vec_id").alias(c), F.col("_key").alias(f"_{c}"))
-    same = alike.join(of("a"), "a").join(of("b"), "b").filter("_a = _b")
-    side = lambda c: F.struct(*[F.col(f"_a.{k}") for k in keys], F.col(c).alias(order)).alias(c)
-    return first_independent(df.select(node.alias("node")), same.select(side("a"), side("b"))).select("node.*")
+    spark = checkpoints(df.sparkSession)
+    names = [*keys, "_order"]
+    unit = df.select(*keys, F.col(order).alias("_order"), l2_normalise(vector).alias("_u"))
+    usable = F.col("_usable")
+    unit = unit.withColumn("_usable", whole("_u") & F.coalesce(F.exists("_u", lambda x: x != 0), F.lit(False)))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in unit.schema.fields if f.name in names)
+    apart = unit.filter(~usable).select(*names)  # near to none
+    open_ = unit.filter(usable).drop("_usable").checkpoint()
+    # equal keys meet, nulls among them
+    key = F.xxhash64(*keys)
+
+    def settle(some: pa.Table) -> pa.Table:
+        some = some.sort_by("_order")
+        x = _matrix(some, "_u")
+        alike, kept = x @ x.T >= most, []
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            if not gone[i]:
+                kept.append(i)
+                gone |= alike[i]
+        return some.take(pa.array(kept))
+
+    def rest(some: pa.Table, accepted: pa.Table) -> pa.Table:
+        if not some.num_rows or not accepted.num_rows:
+            return some.select(open_names)
+        x, y = _matrix(some, "_u"), _matrix(accepted, "_u")
+        near = np.concatenate([(x[at : at + 1024] @ y.T >= most).any(1) for at in range(0, len(x), 1024)])
+        return some.select(open_names).filter(pa.array(~near))
+
+    kept, open_names = [], open_.columns
+    full = f"{kinds}, _u array<double>"
+    while not open_.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
+        first = open_.select(*names).withColumn("_n", nth).filter(F.col("_n") <= FIRST)
+        right_names = [F.col(k).alias(f"_r_{k}") for k in keys]
+        same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+        sizes = open_.groupBy(*keys).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("_parts"))
+        bound = first.groupBy(*keys).agg(F.max("_order").alias("_last")).select(*right_names, "_last").join(sizes, same).select(*[f"_r_{k}" for k in keys], "_last", "_parts").checkpoint()
+        bound = F.broadcast(bound) if bound.count() <= FIRST else bound
+        placed = open_.join(bound, same).select(*open_names, "_last", "_parts")
+        accepted = placed.filter(F.col("_order") <= F.col("_last")).select(*open_names).groupBy(*keys).applyInArrow(settle, full).checkpoint()
+        kept.append(accepted.select(*names))
+        # the open rows of a key are dealt to parts, each of which meets all that were accepted in this round
+        behind = placed.filter(F.col("_order") > F.col("_last"))
+        left = behind.withColumn("_part", F.pmod(F.xxhash64("_order"), F.col("_parts")).cast("int")).select(*open_names, key.alias("_key"), "_part")
+        right = accepted.join(bound, same).select(*open_names, key.alias("_key"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        open_ = left.groupBy("_key", *keys, "_part").cogroup(right.groupBy("_key", *keys, "_part")).applyInArrow(rest, full).checkpoint()
+    out = reduce(DataFrame.unionByName, [apart, *kept])
+    return out.select(*keys, F.col("_order").alias(order))
 
 
 def cluster_audit(frames: DataFrame) -> DataFrame:

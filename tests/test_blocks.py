@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from presflow.operators import graphs, intervals
+from presflow.operators import audits, graphs, intervals
 from presflow.operators import vectors as V
 
 
@@ -88,3 +88,22 @@ def test_adjacent_meets_in_short_bins(spark):
     found = intervals.adjacent(df, df, 20)
     assert sorted(map(tuple, found.collect())) == sorted((i, j, s - e) for i, _, e in spans for j, s, _ in spans if i != j and 0 <= s - e <= 20)
     assert "21" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_greedy_distinct_in_several_rounds(spark, monkeypatch):
+    """Against a loop, with rounds and parts of few rows, a key that is null, and rows without a whole vector; no pairs are looked for by links."""
+    monkeypatch.setattr(audits, "FIRST", 8)
+    monkeypatch.setattr(audits, "SPLIT", 30)
+    x, df = rows(spark, 240, 6, 40, 0.4, 8)
+    df = df.withColumn("track", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 3))
+    want = {240, 241, 242}
+    for t in range(3):
+        kept = []
+        for i in range(t, 240, 3):
+            if not any(x[i] @ x[j] >= 0.7 for j in kept):
+                kept.append(i)
+        assert len(kept) > 8
+        want |= set(kept)
+    monkeypatch.delattr(audits, "metric_links", raising=False)
+    got = [(r.track, r.vec_id) for r in audits.greedy_distinct(df, ["track"], "vec_id", 0.7).collect()]
+    assert len(got) == len(want) and {i for _, i in got} == want and all(t == (i % 3 or None) for t, i in got)
