@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
 from ..operators import intervals as I
 from ..session import shared_folder
 from ..sources.views import track_stream
-from ..streaming import ordered
+from ..streaming import batches
 from .intervals import _merge_sql
 from .registering import registry
 
@@ -19,13 +17,6 @@ query = registry(QUERIES, SQL)
 _P, _LATE = I.MergeParams(), 100_000
 
 
-def ran(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """What a stream writes until its files are read; its checkpoint and output lie in the shared folder."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
 # what starts up to the last watermark is settled; a person's last interval is given once nothing can join it
 @query(
     f"""{_merge_sql(_P, f"start_ms <= (SELECT max(start_ms) FROM tracks) - {_LATE}")}, g AS (SELECT person, g, max_by(start_ms, n) AS start_ms, max_by(end_ms, n) AS end_ms, max_by(conf, n) AS conf, max_by(visible, n) AS visible,
@@ -33,4 +24,4 @@ def ran(stream: DataFrame, spark: SparkSession) -> DataFrame:
  SELECT person, start_ms, end_ms, conf, visible, frames, members FROM g WHERE NOT open OR end_ms + {_P.reach} < (SELECT max(start_ms) FROM tracks) - {_LATE}"""
 )
 def stream_timeline(spark, sf_dir):
-    return ran(ordered.merged(track_stream(spark, sf_dir), _P, late_ms=_LATE), spark)
+    return batches.merged(track_stream(spark, sf_dir), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", _P, late_ms=_LATE)
